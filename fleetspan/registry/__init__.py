@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,6 +13,7 @@ from fleetspan.session import configure
 from fleetspan.sources.views import VIEWS, Telemetry
 
 _VIEW_NAME = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
+MODULES = ["sources"]
 _INPUT = re.compile(r"\{(\w+)\}")
 
 
@@ -36,10 +38,9 @@ def with_views(body: str) -> str:
 
 
 def all_entries() -> dict[str, Entry]:
-    from fleetspan.registry import aggregates, composites, joins, rankings, rows, sources, streams
-
     merged: dict[str, Entry] = {}
-    for module in (sources, rows, joins, aggregates, rankings, streams, composites):
+    for name in MODULES:
+        module = import_module(f"fleetspan.registry.{name}")
         overlap = merged.keys() & module.ENTRIES.keys()
         if overlap:
             raise ValueError(f"query names used twice: {sorted(overlap)}")
