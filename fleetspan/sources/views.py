@@ -269,7 +269,7 @@ VIEWS["lock_table"] = """
 SELECT c_custkey + 51 AS pid, 'relation' AS locktype, CAST(c_nationkey AS BIGINT) AS database_id,
        CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 40 END AS relation_id,
        CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 5 END AS page_id,
-       CASE WHEN c_custkey % 6 = 0 THEN 0 ELSE 1 END AS granted,
+       CASE c_mktsegment WHEN 'MACHINERY' THEN 0 ELSE 1 END AS granted,
        CASE c_custkey % 3 WHEN 0 THEN 'ExclusiveLock' ELSE 'AccessShareLock' END AS lock_mode
 FROM {customer}
 """
