@@ -13,7 +13,7 @@ from fleetspan.session import configure
 from fleetspan.sources.views import VIEWS, Telemetry
 
 _VIEW_NAME = re.compile(r"\b(" + "|".join(sorted(VIEWS, key=len, reverse=True)) + r")\b")
-MODULES = ["sources", "rows", "joins", "aggregates", "rankings"]
+MODULES = ["sources", "rows", "joins", "aggregates", "rankings", "streams", "composites"]
 _INPUT = re.compile(r"\{(\w+)\}")
 
 
