@@ -268,17 +268,23 @@ def storage_by_file_kind(files: DataFrame, by: str = "database_name") -> DataFra
 
 
 def baseline(waits: DataFrame, counters: DataFrame, queries: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
-    """Mean of waits by type, of the named counters and of query elapsed time, per server."""
+    """Mean of waits by type, of the named counters and of query elapsed time, per server.
+
+    ``metric_source`` is a constant per branch, so a filter on it drops the other branches from the plan.
+    """
     recent = lambda df: df.where(F.col("capture_time") >= before(as_of, days=days))
     mean = lambda c: F.round(F.avg(c), 4).alias("metric_value")
+    source = lambda name: F.lit(name).alias("metric_source")
     parts = [
-        recent(waits).groupBy("server_name", F.concat(F.lit("Wait_"), "wait_type").alias("metric_name")).agg(mean("wait_time_ms")),
+        recent(waits)
+        .groupBy("server_name", source("wait"), F.concat(F.lit("Wait_"), "wait_type").alias("metric_name"))
+        .agg(mean("wait_time_ms")),
         recent(counters)
         .where(F.col("counter_name").isin(rules.BASELINE_COUNTERS))
-        .groupBy("server_name", F.col("counter_name").alias("metric_name"))
+        .groupBy("server_name", source("counter"), F.col("counter_name").alias("metric_name"))
         .agg(mean("counter_value")),
         recent(queries)
-        .groupBy("server_name", F.concat(F.lit("Query_AvgElapsed_"), "database_name").alias("metric_name"))
+        .groupBy("server_name", source("query"), F.concat(F.lit("Query_AvgElapsed_"), "database_name").alias("metric_name"))
         .agg(mean(F.floor(F.col("total_elapsed_ms") / F.nullif(F.col("exec_count"), F.lit(0))))),
     ]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
@@ -315,7 +321,7 @@ def baseline_variance(waits: DataFrame, base: DataFrame, as_of: datetime, pct: f
         .groupBy("server_name", F.concat(F.lit("Wait_"), "wait_type").alias("metric_name"))
         .agg(F.avg("wait_time_ms").alias("current_value"))
     )
-    found = baseline_compare(current, base.where(F.col("metric_type") == "AVG"), pct)
+    found = baseline_compare(current, base.where((F.col("metric_type") == "AVG") & (F.col("metric_source") == "wait")), pct)
     p = F.col("variance_pct")
     return found.withColumns(
         {

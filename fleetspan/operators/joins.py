@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetspan.functions.expr import at, before, first_match, ordered_names, ratio, seconds_between, total, type_text
+from fleetspan.operators.grouping import join_groups
 from fleetspan.operators.rows import status_band
 from fleetspan.session import ensure_checkpoint_dir
 
@@ -314,7 +315,7 @@ def _redundant(members: DataFrame, group: list[str], drop_label: str) -> DataFra
     )
     first = first.where(F.col("first").isNotNull() & (F.col("group_size") > 1))
     return (
-        members.join(first, group)
+        join_groups(members, first, group)
         .where(F.col("index_id") > F.col("first.index_id"))
         .select(
             *members.columns,
@@ -381,7 +382,7 @@ def duplicate_indexes(index_columns: DataFrame, indexes: DataFrame, min_kb: int
         .groupBy("table_name", "key_columns")
         .agg(F.min("wide").alias("wide"), F.count("*").alias("covering"))
     )
-    prefix = keyed.join(covers, ["table_name", "key_columns"]).select(
+    prefix = join_groups(keyed, covers, ["table_name", "key_columns"]).select(
         "table_name",
         F.col("wide.index_name").alias("index1_name"),
         F.col("index_name").alias("index2_name"),

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspan.functions.expr import before, format_bytes, ratio, total
+from fleetspan.operators.grouping import join_groups
 from fleetspan.operators.rows import wait_category
 
 
@@ -34,7 +35,7 @@ def share_of_total(
         shared = df.withColumn(name, ratio(F.col(value), whole, 100))
     else:
         sums = df.groupBy(*by).agg(total(F.col(value)).alias("group_total"))
-        shared = df.join(sums, list(by)).withColumn(name, ratio(F.col(value), F.col("group_total"), 100)).drop("group_total")
+        shared = join_groups(df, sums, by, null_safe=True).withColumn(name, ratio(F.col(value), F.col("group_total"), 100)).drop("group_total")
     return _top(shared, [F.desc(value), *[F.asc(c) for c in tie]], top)
 
 
@@ -53,7 +54,7 @@ def latest_snapshot(history: DataFrame, by: Sequence[str] = ("server_name",), ti
     if not by:
         return history.where(F.col(time_col) == history.select(F.max(time_col)).scalar())
     newest = history.groupBy(*by).agg(F.max(time_col).alias(time_col))
-    return history.join(newest, [*by, time_col], "left_semi")
+    return join_groups(history, newest, [*by, time_col], "left_semi")
 
 
 def current_waits(history: DataFrame) -> DataFrame:

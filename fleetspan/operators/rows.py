@@ -23,6 +23,7 @@ from fleetspan.functions.expr import (
     ratio,
     seconds_between,
 )
+from fleetspan.operators.grouping import join_groups
 from fleetspan.operators.ingest import healthy
 
 
@@ -304,9 +305,9 @@ def index_selectivity(index_stats: DataFrame, table_sizes: DataFrame, as_of: dat
         table_sizes.where(F.col("capture_time") >= day).groupBy("table_name").agg(F.max("n_rows").alias("table_rows"))
     )
     share = F.col("cardinality").cast("double") / F.nullif(F.col("table_rows"), F.lit(0))
+    recent = index_stats.where((F.col("capture_time") >= day) & (F.col("non_unique") == 1))
     return (
-        index_stats.where((F.col("capture_time") >= day) & (F.col("non_unique") == 1))
-        .join(rows, "table_name")
+        join_groups(recent, rows, ["table_name"])
         .select(
             "table_name",
             "index_name",
@@ -692,29 +693,26 @@ def redo_log_groups(logs: DataFrame) -> DataFrame:
     )
 
 
-def setting_changes(snapshots: DataFrame, time_col: str = "capture_time") -> DataFrame:
+def setting_changes(snapshots: DataFrame, time_col: str = "capture_time", slice_unit: str = "day") -> DataFrame:
     """Old and new value whenever a captured setting differs from the previous snapshot.
 
-    Long series are cut into days: ``lag`` runs inside (server, setting, day), and
-    the first row of a day gets the last value of the latest earlier day, taken
-    from a table with one row per series and day. So no task ever sorts the whole
-    history of one busy series.
+    Long series are cut into slices (days, or hours for dense captures): ``lag`` runs
+    inside (server, setting, slice), and the first row of a slice gets the last value
+    of the latest earlier slice, taken from a table with one row per series and slice.
+    So no task ever sorts the whole history of one busy series.
     """
     keys = ["server_name", "setting_name"]
-    dated = snapshots.select(*keys, F.col(time_col).alias("t"), "setting_value").withColumn("d", F.to_date("t"))
-    in_day = W.partitionBy(*keys, "d").orderBy("t")
-    stepped = dated.withColumns(
-        {
-            "lagged": F.lag(F.struct("setting_value")).over(in_day),
-        }
-    )
-    day_last = dated.groupBy(*keys, "d").agg(F.max_by(F.struct("setting_value"), "t").alias("last_value"))
-    across = W.partitionBy(*keys).orderBy("d")
-    carried = day_last.select(*keys, "d", F.lag("last_value").over(across).alias("carried"))
-    previous = F.coalesce("lagged", "carried")
+    sliced = snapshots.select(*keys, F.col(time_col).alias("t"), "setting_value").withColumn(
+        "slice", F.date_trunc(slice_unit, "t")
+    )
+    inside = W.partitionBy(*keys, "slice").orderBy("t")
+    stepped = sliced.withColumn("lagged", F.lag(F.struct("setting_value")).over(inside))
+    slice_last = sliced.groupBy(*keys, "slice").agg(F.max_by(F.struct("setting_value"), "t").alias("last_value"))
+    across = W.partitionBy(*keys).orderBy("slice")
+    carried = slice_last.select(*keys, "slice", F.lag("last_value").over(across).alias("carried"))
     return (
-        stepped.join(carried, [*keys, "d"])
-        .withColumn("previous", previous)
+        stepped.join(carried, [*keys, "slice"])
+        .withColumn("previous", F.coalesce("lagged", "carried"))
         .where(F.col("previous").isNotNull() & ~F.col("previous.setting_value").eqNullSafe(F.col("setting_value")))
         .select(
             *keys,

@@ -249,7 +249,8 @@ ENTRIES = {
     ),
     "a13_baseline": Entry(
         base,
-        with_views(f"""WITH {SQL_BASELINE} SELECT *, 'AVG' AS metric_type, DATE '2024-01-31' AS baseline_date FROM base"""),
+        with_views(f"""WITH {SQL_BASELINE} SELECT *, CASE WHEN metric_name LIKE 'Wait%' THEN 'wait' WHEN metric_name LIKE 'Query%' THEN 'query' ELSE 'counter' END AS metric_source,
+               'AVG' AS metric_type, DATE '2024-01-31' AS baseline_date FROM base"""),
     ),
     "a14_baseline_variance": Entry(
         lambda t: agg.baseline_variance(t.wait_stats_history, base(t), AS_OF),
@@ -269,7 +270,7 @@ ENTRIES = {
             t.perf_counters.where(F.col("capture_time") >= F.lit("2024-01-30 00:00:00").cast("timestamp_ntz"))
             .groupBy("server_name", F.col("counter_name").alias("metric_name"))
             .agg(F.avg("counter_value").alias("current_value")),
-            base(t),
+            base(t).where(F.col("metric_source") == "counter"),
             pct=5,
         ),
         with_views(f"""WITH {SQL_BASELINE},

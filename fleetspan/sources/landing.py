@@ -16,13 +16,11 @@ DATE_COL = "capture_date"
 def append_history(df: DataFrame, path: str, time_col: str = "capture_time") -> None:
     """Append rows under ``capture_date=...`` folders.
 
-    Rows are spread over (date, hash of the row) before the write, so that one
-    busy day is written by many tasks and a quiet one does not leave a file per task.
+    The rebalance hint groups rows by date and lets the adaptive planner split a
+    busy day over many tasks and merge quiet ones, so files come out at the advisory size.
     """
     dated = df.withColumn(DATE_COL, F.to_date(time_col))
-    dated.repartition(F.col(DATE_COL), F.pmod(F.xxhash64(*df.columns), F.lit(16))).write.mode("append").partitionBy(
-        DATE_COL
-    ).parquet(path)
+    dated.hint("rebalance", F.col(DATE_COL)).write.mode("append").partitionBy(DATE_COL).parquet(path)
 
 
 def read_history(
