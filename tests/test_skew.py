@@ -7,6 +7,7 @@ from fleetspan.operators import joins, rankings
 from fleetspan.registry import all_entries
 
 SMALL_SPLITS = {
+    "spark.sql.shuffle.partitions": "32",
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64KB",

@@ -1,6 +1,7 @@
 """History tables on disk, log files, and the streaming jobs over several landed files."""
 
 import os
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -98,11 +99,10 @@ def test_wait_windows_drop_late_rows(spark, tmp_path):
     files = [
         [("s", minute(1), "w", 10, 1), ("s", minute(14), "w", 5, 1)],
         [("s", minute(16), "w", 7, 1), ("s", minute(60), "w", 1, 1)],
-        [("s", minute(2), "w", 1000, 1), ("s", minute(61), "w", 2, 1)],  # minute 2 is later than the delay allows
+        [("s", minute(61), "w", 2, 1)],
+        [("s", minute(2), "w", 1000, 1)],  # its window was closed by the watermark of the second file
         [("s", minute(200), "w", 3, 1)],
     ]
-    import time
-
     for i, data in enumerate(files):
         land(spark.createDataFrame(data, schema), source, f"f{i}")
         time.sleep(0.05)
@@ -119,8 +119,6 @@ def test_membership_over_daily_files(spark, tmp_path):
     day = lambda d: datetime(2024, 1, d)
     present = {1: "ab", 2: "abc", 3: "bc", 4: "abc", 5: "c", 6: "c", 7: "c"}
     schema = "server_name string, principal string, snapshot_time timestamp_ntz"
-    import time
-
     for d, names in present.items():
         land(spark.createDataFrame([("s", n, day(d)) for n in names], schema), source, f"f{d}")
         time.sleep(0.05)
