@@ -27,8 +27,9 @@ from fleetspan.operators.rows import wait_category
 MB = 1024 * 1024
 
 
-def _mean(col: str | Column, digits: int = 2) -> Column:
-    return F.round(F.avg(col), digits)
+def _mean(col: str | Column) -> Column:
+    """Average as DOUBLE, not rounded and not truncated."""
+    return F.avg(col)
 
 
 def wait_summary(history: DataFrame, as_of: datetime, hours: int = 1, profile: str = "events") -> DataFrame:

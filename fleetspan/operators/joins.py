@@ -354,57 +354,65 @@ def key_lists(index_columns: DataFrame, indexes: DataFrame) -> DataFrame:
 def duplicate_indexes(index_columns: DataFrame, indexes: DataFrame, min_kb: int = 100) -> DataFrame:
     """Redundant indexes: the same key list as an earlier index, or a left prefix of a wider one.
 
-    Both are equality joins. Exact copies meet on (table, key list). For prefixes each
-    wider index contributes its strict prefixes, reduced to one covering index per prefix.
+    Every index contributes each prefix of its key list once. One aggregate per
+    (table, list) then knows the first index with exactly that list and the first
+    wider index starting with it, and one join back finds both kinds of redundancy:
+    a row per redundant index and kind, never a row per pair.
     """
     keyed = key_lists(index_columns, indexes)
-    exact = _redundant(keyed, ["table_name", "key_columns"], "DROP Index2").select(
-        "table_name",
-        "index1_name",
-        "index2_name",
-        F.col("key_columns").alias("index1_columns"),
-        F.col("key_columns").alias("index2_columns"),
-        "index1_size_kb",
-        "index2_size_kb",
-        "group_size",
-        "recommendation",
-        F.lit("EXACT").alias("match_kind"),
-    )
-    plain = keyed.where((F.col("is_primary_key") == 0) & (F.col("is_unique") == 0) & (F.size("key_columns") > 1))
-    covers = (
-        plain.select(
-            "table_name",
-            F.struct("index_id", "index_name", "size_kb", F.col("key_columns").alias("cols")).alias("wide"),
-            F.explode(
-                F.transform(F.sequence(F.lit(1), F.size("key_columns") - 1), lambda n: F.slice("key_columns", F.lit(1), n))
-            ).alias("key_columns"),
+    plain = (F.col("is_primary_key") == 0) & (F.col("is_unique") == 0)
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("key_columns")), lambda n: F.slice("key_columns", F.lit(1), n))
+    whole = F.size("prefix") == F.size("key_columns")
+    known = F.struct("index_id", "index_name", "size_kb", "key_columns")
+    groups = (
+        keyed.select("*", F.explode(prefixes).alias("prefix"))
+        .groupBy("table_name", "prefix")
+        .agg(
+            F.min(F.when(whole & plain, known)).alias("first"),
+            F.count(F.when(whole, 1)).alias("alike"),
+            F.min(F.when(~whole & plain, known)).alias("wide"),
+            F.count(F.when(~whole & plain, 1)).alias("covering"),
+        )
+        .where((F.col("alike") > 1) | ((F.col("alike") > 0) & (F.col("covering") > 0)))
+        .withColumnRenamed("prefix", "key_columns")
+    )
+
+    def match(kind: str, other: str, size, hit):
+        return F.when(
+            hit,
+            F.struct(
+                F.lit(kind).alias("match_kind"),
+                F.col(f"{other}.index_name").alias("index1_name"),
+                F.col(f"{other}.key_columns").alias("index1_list"),
+                F.col(f"{other}.size_kb").alias("index1_size_kb"),
+                size.alias("group_size"),
+            ),
+        )
+
+    found = F.array_compact(
+        F.array(
+            match("EXACT", "first", F.col("alike"), F.col("index_id") > F.col("first.index_id")),
+            match("LEFT PREFIX", "wide", F.col("covering") + 1, F.col("wide").isNotNull()),
         )
-        .groupBy("table_name", "key_columns")
-        .agg(F.min("wide").alias("wide"), F.count("*").alias("covering"))
-    )
-    prefix = join_groups(keyed, covers, ["table_name", "key_columns"]).select(
-        "table_name",
-        F.col("wide.index_name").alias("index1_name"),
-        F.col("index_name").alias("index2_name"),
-        F.col("wide.cols").alias("index1_columns"),
-        F.col("key_columns").alias("index2_columns"),
-        F.col("wide.size_kb").alias("index1_size_kb"),
-        F.col("size_kb").alias("index2_size_kb"),
-        (F.col("covering") + 1).alias("group_size"),
-        _verdict("DROP Index2").alias("recommendation"),
-        F.lit("LEFT PREFIX").alias("match_kind"),
     )
     return (
-        exact.unionByName(prefix)
-        .where(F.col("index2_size_kb") >= min_kb)
+        join_groups(keyed.where(F.col("size_kb") >= min_kb), groups, ["table_name", "key_columns"])
+        .select(
+            "table_name",
+            F.col("index_name").alias("index2_name"),
+            F.col("size_kb").alias("index2_size_kb"),
+            "key_columns",
+            _verdict("DROP Index2").alias("recommendation"),
+            F.inline(found),
+        )
         .select(
             "table_name",
             "match_kind",
             "index1_name",
             "index2_name",
-            F.array_join("index1_columns", ", ").alias("index1_columns"),
-            F.array_join("index2_columns", ", ").alias("index2_columns"),
-            shared_columns(F.col("index1_columns"), F.col("index2_columns")).alias("shared_columns"),
+            F.array_join("index1_list", ", ").alias("index1_columns"),
+            F.array_join("key_columns", ", ").alias("index2_columns"),
+            shared_columns(F.col("index1_list"), F.col("key_columns")).alias("shared_columns"),
             "index1_size_kb",
             "index2_size_kb",
             F.col("index2_size_kb").alias("savings_kb"),

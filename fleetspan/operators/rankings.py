@@ -71,7 +71,7 @@ def query_patterns(stats: DataFrame, n: int = 20, text_len: int = 500, frequent:
     totals = stats.agg(
         F.count("*").alias("execution_count"),
         total(F.col("total_elapsed_ms")).alias("total_elapsed_ms"),
-        F.round(F.avg("total_elapsed_ms"), 2).alias("avg_elapsed_ms"),
+        F.avg("total_elapsed_ms").alias("avg_elapsed_ms"),
         F.max("capture_time").alias("last_execution"),
     )
     order = [F.desc("total_elapsed_ms"), "server_name", "database_name", "query_hash", "exec_count", "logical_reads"]
@@ -146,7 +146,7 @@ def recent_wait_totals(history: DataFrame, as_of: datetime, days: int = 7, n: in
         .groupBy("wait_type")
         .agg(
             total(F.col("wait_time_ms")).alias("total_wait_ms"),
-            F.round(F.avg("wait_time_ms"), 2).alias("avg_wait_ms"),
+            F.avg("wait_time_ms").alias("avg_wait_ms"),
             F.count("*").alias("samples"),
         )
         .orderBy(F.desc("total_wait_ms"), "wait_type")

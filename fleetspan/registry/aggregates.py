@@ -107,7 +107,7 @@ def sql_count(condition: str) -> str:
 def sql_wait_summary(hours: int) -> str:
     return f"""
         SELECT wait_type, CAST(sum(waiting_tasks) AS BIGINT) AS total_waits, CAST(sum(wait_time_ms) AS BIGINT) AS total_wait_ms,
-               round(avg(wait_time_ms), 2) AS avg_wait_ms, CAST(sum(signal_wait_ms) AS BIGINT) AS total_signal_ms, CAST(count(*) AS BIGINT) AS samples,
+               avg(wait_time_ms) AS avg_wait_ms, CAST(sum(signal_wait_ms) AS BIGINT) AS total_signal_ms, CAST(count(*) AS BIGINT) AS samples,
                {SQL_WAIT_CATEGORY['history']} AS category
         FROM wait_stats_history WHERE capture_time >= {NOW} - INTERVAL '{hours}' HOUR GROUP BY wait_type"""
 
@@ -176,9 +176,9 @@ ENTRIES = {
     "a07_size_trend": Entry(
         lambda t: agg.size_trend(t.database_size_history),
         with_views("""
-        SELECT server_name, database_name, CAST(capture_time AS DATE) AS snapshot_date, round(avg(total_mb), 2) AS avg_size_mb,
-               min(total_mb) AS min_size_mb, max(total_mb) AS max_size_mb, round(avg(used_mb), 2) AS avg_used_mb,
-               round(avg(total_mb - used_mb), 2) AS avg_free_mb
+        SELECT server_name, database_name, CAST(capture_time AS DATE) AS snapshot_date, avg(total_mb) AS avg_size_mb,
+               min(total_mb) AS min_size_mb, max(total_mb) AS max_size_mb, avg(used_mb) AS avg_used_mb,
+               avg(total_mb - used_mb) AS avg_free_mb
         FROM database_size_history GROUP BY 1, 2, 3"""),
     ),
     "a08_growth_summary": Entry(
@@ -186,14 +186,14 @@ ENTRIES = {
         with_views(f"""WITH s AS (SELECT server_name, capture_time, CAST(sum(total_mb) AS BIGINT) AS size_mb FROM database_size_history
             WHERE capture_time >= {NOW} - INTERVAL '7' DAY GROUP BY 1, 2)
         SELECT server_name, min(capture_time) AS first_sample, max(capture_time) AS last_sample, min(size_mb) AS min_mb, max(size_mb) AS max_mb,
-               max(size_mb) - min(size_mb) AS growth_mb, round(avg(size_mb), 2) AS avg_mb FROM s GROUP BY 1"""),
+               max(size_mb) - min(size_mb) AS growth_mb, avg(size_mb) AS avg_mb FROM s GROUP BY 1"""),
     ),
     "a08_growth_by_database": Entry(
         lambda t: agg.growth_summary(t.database_size_history, AS_OF, by="database_name", value="used_mb", days=14),
         with_views(f"""WITH s AS (SELECT database_name, capture_time, CAST(sum(used_mb) AS BIGINT) AS size_mb FROM database_size_history
             WHERE capture_time >= {NOW} - INTERVAL '14' DAY GROUP BY 1, 2)
         SELECT database_name, min(capture_time) AS first_sample, max(capture_time) AS last_sample, min(size_mb) AS min_mb, max(size_mb) AS max_mb,
-               max(size_mb) - min(size_mb) AS growth_mb, round(avg(size_mb), 2) AS avg_mb FROM s GROUP BY 1"""),
+               max(size_mb) - min(size_mb) AS growth_mb, avg(size_mb) AS avg_mb FROM s GROUP BY 1"""),
     ),
     "a09_growth_projection": Entry(
         lambda t: agg.growth_projection(t.database_size_history, AS_OF, limits=limits(t)),
@@ -286,7 +286,7 @@ ENTRIES = {
         with_views(f"""
         SELECT server_name, database_name, table_name, index_name, operation_type, CAST(count(*) AS BIGINT) AS operations,
                min(operation_start) AS first_operation, max(operation_start) AS last_operation, CAST(sum(duration_s) AS BIGINT) AS total_duration_s,
-               round(avg(frag_before), 2) AS avg_frag_before, round(avg(frag_after), 2) AS avg_frag_after,
+               avg(frag_before) AS avg_frag_before, avg(frag_after) AS avg_frag_after,
                {sql_count("status = 'Success'")} AS successes, {sql_count("status = 'Failed'")} AS failures
         FROM index_maintenance_log GROUP BY 1, 2, 3, 4, 5"""),
     ),
@@ -295,7 +295,7 @@ ENTRIES = {
         with_views(f"""
         SELECT database_name, operation_type, CAST(count(*) AS BIGINT) AS operations,
                min(operation_start) AS first_operation, max(operation_start) AS last_operation, CAST(sum(duration_s) AS BIGINT) AS total_duration_s,
-               round(avg(frag_before), 2) AS avg_frag_before, round(avg(frag_after), 2) AS avg_frag_after,
+               avg(frag_before) AS avg_frag_before, avg(frag_after) AS avg_frag_after,
                {sql_count("status = 'Success'")} AS successes, {sql_count("status = 'Failed'")} AS failures
         FROM index_maintenance_log WHERE operation_start >= {NOW} - INTERVAL '7' DAY GROUP BY 1, 2"""),
     ),
@@ -427,7 +427,7 @@ ENTRIES = {
         with_views(f"""
         SELECT server_name, job_name, CAST(run_time AS DATE) AS run_date, CAST(count(*) AS BIGINT) AS total_runs,
                {sql_count('run_status = 1')} AS succeeded_runs, {sql_count('run_status = 0')} AS failed_runs, {sql_count('run_status = 3')} AS canceled_runs,
-               round(avg(duration_s), 2) AS avg_duration_s,
+               avg(duration_s) AS avg_duration_s,
                CASE arg_max(run_status, (run_time, run_id)) WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry' WHEN 3 THEN 'Canceled' ELSE 'Unknown' END AS last_run_status,
                max(run_time) AS last_run_time
         FROM job_history GROUP BY 1, 2, 3"""),

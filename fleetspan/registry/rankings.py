@@ -86,7 +86,7 @@ ENTRIES = {
         with_views(f"""WITH o AS (SELECT *, row_number() OVER (ORDER BY total_elapsed_ms DESC, {STATS_ORDER}, logical_reads) AS rn FROM query_stats_snapshot)
         SELECT CASE WHEN count(*) > 100 THEN 'Frequent Query - Consider indexing' ELSE 'Occasional Query' END AS recommendation,
                left(string_agg(query_text, '; ' ORDER BY rn) FILTER (rn <= 20), 500) AS query_pattern, CAST(count(*) AS BIGINT) AS execution_count,
-               CAST(sum(total_elapsed_ms) AS BIGINT) AS total_elapsed_ms, round(avg(total_elapsed_ms), 2) AS avg_elapsed_ms, max(capture_time) AS last_execution FROM o"""),
+               CAST(sum(total_elapsed_ms) AS BIGINT) AS total_elapsed_ms, avg(total_elapsed_ms) AS avg_elapsed_ms, max(capture_time) AS last_execution FROM o"""),
     ),
     "t01_top_queries": Entry(lambda t: rankings.top_queries(t.query_stats_snapshot), with_views(sql_top("total_elapsed_ms", 20))),
     "t01_top_queries_mean": Entry(
@@ -123,7 +123,7 @@ ENTRIES = {
     "t04_recent_wait_totals": Entry(
         lambda t: rankings.recent_wait_totals(t.wait_stats_history, AS_OF),
         with_views("""
-        SELECT wait_type, CAST(sum(wait_time_ms) AS BIGINT) AS total_wait_ms, round(avg(wait_time_ms), 2) AS avg_wait_ms, CAST(count(*) AS BIGINT) AS samples
+        SELECT wait_type, CAST(sum(wait_time_ms) AS BIGINT) AS total_wait_ms, avg(wait_time_ms) AS avg_wait_ms, CAST(count(*) AS BIGINT) AS samples
         FROM wait_stats_history WHERE capture_time >= TIMESTAMP '2024-01-24 00:00:00' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10"""),
     ),
 }
