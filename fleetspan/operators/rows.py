@@ -20,6 +20,7 @@ from fleetspan.functions.expr import (
     decode,
     first_match,
     format_bytes,
+    ordered_names,
     ratio,
     seconds_between,
 )
@@ -258,12 +259,16 @@ def index_usage_status(indexes: DataFrame, profile: str = "detail", skip_like: s
     )
 
 
-def index_read_verdict(indexes: DataFrame) -> DataFrame:
-    """Verdict over seeks, scans and lookups together."""
+def index_read_verdict(indexes: DataFrame, index_columns: DataFrame) -> DataFrame:
+    """Verdict over seeks, scans and lookups together, with the key columns in order."""
     no_seeks = F.col("user_seeks") == 0
-    return indexes.select(
+    keys = index_columns.groupBy("table_name", "index_id").agg(
+        F.array_join(ordered_names(F.col("key_ordinal"), F.col("column_name")), ", ").alias("indexed_columns")
+    )
+    return indexes.join(keys, ["table_name", "index_id"], "left").select(
         "table_name",
         "index_name",
+        "indexed_columns",
         "user_seeks",
         "user_scans",
         "user_lookups",

@@ -57,6 +57,12 @@ class FleetTelemetry:
     sizes: DataFrame
     maintenance: DataFrame
     query_stats: DataFrame
+    missing: DataFrame
+    redo: DataFrame
+    archive: DataFrame
+    locks: DataFrame
+    channels: DataFrame
+    counters: DataFrame
 
 
 def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
@@ -83,12 +89,16 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
         return section(df, *args).withColumn("row_no", F.lit(0).cast("bigint"))
 
     recent_backups = t.backups.where(c("backup_start") > before(as_of, days=1))
+    # Several counters of one input come out of a single pass over it.
     overview = [
-        (t.databases.agg(count_if(c("state_desc") == "ONLINE").alias("n")), "Databases"),
-        (t.sessions.agg(count_if(c("status") == "running").alias("n")), "Active Sessions"),
-        (t.sessions.agg(count_if(c("blocking_session_id") > 0).alias("n")), "Blocked Requests"),
-        (recent_backups.agg(F.count("*").alias("n")), "Backups (24h)"),
+        _counters(t.databases, {"Databases": count_if(c("state_desc") == "ONLINE")}),
+        _counters(
+            t.sessions,
+            {"Active Sessions": count_if(c("status") == "running"), "Blocked Requests": count_if(c("blocking_session_id") > 0)},
+        ),
+        _counters(recent_backups, {"Backups (24h)": F.count("*")}),
     ]
+    totals = aggregates.backup_totals(t.backups, as_of)
     backup_state = aggregates.database_backup_status(t.databases, t.backups, as_of)
     pairs = joins.blocking_pairs(t.sessions, how="left")
     waits = t.waits.groupBy("wait_type").agg(F.sum("wait_time_ms").cast("bigint").alias("wait_time_ms"))
@@ -97,7 +107,7 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
     lag = rows.replication_lag(t.replicas)
     indexes = rows.index_usage_status(t.indexes, "health")
     parts = [
-        *[summary(df, 1, "OVERVIEW", F.lit(name), "count", c("n"), none) for df, name in overview],
+        *[summary(df, 1, "OVERVIEW", c("name"), "count", c("n"), none) for df in overview],
         summary(
             rows.databases_not_online(t.databases), 2, "DATABASE STATUS", c("database_name"), "recovery_model",
             c("recovery_model"), c("state_desc"),
@@ -154,10 +164,69 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
             rows.long_running(t.sessions, as_of, seconds=300), 16, "LONG RUNNING QUERIES", c("session_id"), "duration_s",
             c("duration_s"), c("status"),
         ),
+        listing(
+            t.missing, [F.desc("improvement"), F.asc("index_handle")], 10,
+            17, "MISSING INDEXES", c("index_handle"), "user_seeks", c("user_seeks"), none,
+        ),
+        summary(t.files, 18, "FILE USAGE", c("file_name"), "used_mb", c("used_mb"), c("file_type")),
+        summary(rows.redo_log_groups(t.redo), 19, "REDO LOG", c("group_no"), "members", c("members"), c("status")),
+        summary(
+            aggregates.archive_rate(t.archive, as_of), 20, "ARCHIVE LOGS", F.date_format("hour", "yyyy-MM-dd HH"), "archive_logs",
+            c("archive_logs"), none,
+        ),
+        summary(_stacked(totals, ["full_backups", "incr_backups"]), 21, "BACKUP TOTALS", c("name"), "count", c("n"), none),
+        listing(
+            rankings.top_queries(t.query_stats, "logical_reads", 10, min_calls=10), _heaviest("logical_reads"), 10,
+            22, "TOP SQL BY READS", c("query_hash"), "logical_reads", c("logical_reads"), none,
+        ),
+        listing(
+            rankings.top_queries(t.query_stats, "total_elapsed_ms", 20), _heaviest("total_elapsed_ms"), 20,
+            23, "SLOW QUERIES", c("query_hash"), "total_elapsed_ms", c("total_elapsed_ms"), none,
+        ),
+        summary(
+            aggregates.wait_event_counts(t.sessions), 24, "WAIT EVENTS", F.concat_ws(":", "wait_event_type", "wait_type"),
+            "wait_count", c("wait_count"), none,
+        ),
+        listing(
+            rows.table_bloat(t.tables), [F.desc("n_dead"), F.asc("schema_name"), F.asc("table_name")], 20,
+            25, "TABLE BLOAT", c("table_name"), "n_dead", c("n_dead"), c("status"),
+        ),
+        listing(
+            rows.cache_hit_ratio(t.tables, n=10), [F.asc_nulls_last("cache_hit_ratio"), F.asc("schema_name"), F.asc("table_name")], 10,
+            26, "CACHE HIT RATIO", c("table_name"), "blks_read", c("blks_read"), none,
+        ),
+        summary(
+            aggregates.storage_by_schema(t.tables), 27, "STORAGE BY SCHEMA", c("schema_name"), "table_count", c("table_count"), none
+        ),
+        listing(
+            aggregates.lock_summary(t.locks),
+            [F.desc("lock_count"), F.asc_nulls_first("relation_id"), F.asc("lock_mode"), F.asc("lock_status")], 20,
+            28, "TABLE LOCKS", F.coalesce(c("relation_id").cast("string"), F.lit("-")), "lock_count", c("lock_count"), c("lock_status"),
+        ),
+        summary(t.channels, 29, "REPLICATION CHANNELS", c("channel_name"), "seconds_behind", c("seconds_behind"), c("io_state")),
+        summary(
+            rankings.latest_snapshot(t.counters), 30, "COUNTERS", F.concat_ws("/", "server_name", "counter_name"), "counter_value",
+            c("counter_value"), none,
+        ),
     ]
     return union_sections(parts)
 
 
+def _stacked(one_row: DataFrame, names: list[str]) -> DataFrame:
+    """(name, n) rows out of the columns of a one-row frame."""
+    pairs = [F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").cast("bigint").alias("n")) for name in names]
+    return one_row.select(F.inline(F.array(*pairs)))
+
+
+def _counters(df: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    return _stacked(df.agg(*[expr.alias(name) for name, expr in counts.items()]), list(counts))
+
+
+def _heaviest(by: str) -> list[Column]:
+    keys = ["server_name", "database_name", "query_hash", "exec_count", "total_elapsed_ms", "logical_reads"]
+    return [F.desc(by), *[F.asc(k) for k in keys]]
+
+
 def weekly_summary(t: FleetTelemetry, as_of: datetime) -> DataFrame:
     """Top waits, backups, failed logins, growth concerns and maintenance of the last week."""
     c = F.col

@@ -17,9 +17,17 @@ from fleetspan.sources.views import AS_OF
 def fleet(t) -> reports.FleetTelemetry:
     return reports.FleetTelemetry(
         databases=t.database_catalog, sessions=t.session_requests, waits=t.wait_stats_history, backups=t.backup_history,
-        files=t.file_space, free=free_extents(t), tables=t.table_stats, indexes=t.index_catalog, jobs=t.job_history,
+        files=t.file_space, free=free_extents(t),
+        tables=t.table_stats.withColumns(
+            {"free_bytes": F.col("n_dead") * 40, "idx_blks_hit": F.col("blks_hit"), "idx_blks_read": F.col("blks_read")}
+        ), indexes=t.index_catalog, jobs=t.job_history,
         errors=classified(t), replicas=t.replica_lag, audit=t.login_audit, objects=t.object_catalog,
         sizes=t.database_size_history, maintenance=t.index_maintenance_log, query_stats=t.query_stats_snapshot,
+        missing=joins.missing_indexes(t.missing_index_details, t.missing_index_groups, t.missing_index_stats), redo=t.redo_log,
+        archive=t.backup_history.where(F.col("backup_type") == "L").select(
+            F.col("backup_start").alias("first_time"), F.col("backup_size_mb").alias("size_mb")
+        ),
+        locks=t.lock_table, channels=t.replication_channel, counters=t.perf_counters,
     )
 
 
@@ -122,6 +130,35 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
          f"FROM object_catalog WHERE status <> 'VALID' AND object_type IN ({names(rules.CHECKED_OBJECT_TYPES)}) AND owner NOT IN ({names(rules.SYSTEM_OWNERS_OBJECTS)})"),
     _sec(16, "LONG RUNNING QUERIES", "session_id", "duration_s", f"date_diff('second', query_start, {NOW})", "status",
          f"FROM session_requests WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '300' SECOND"),
+    _top(17, "MISSING INDEXES", "index_handle", "user_seeks", "user_seeks", "NULL",
+         "(SELECT g.index_handle, s.user_seeks, round(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100, 2) AS imp FROM missing_index_stats s "
+         "JOIN missing_index_groups g ON s.group_handle = g.group_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50) q",
+         "imp DESC, index_handle", 10),
+    _sec(18, "FILE USAGE", "file_name", "used_mb", "used_mb", "file_type", "FROM file_space"),
+    _sec(19, "REDO LOG", "group_no", "members", "members", "status", "FROM redo_log"),
+    _sec(20, "ARCHIVE LOGS", "strftime(date_trunc('hour', backup_start), '%Y-%m-%d %H')", "archive_logs", "count(*)", "NULL",
+         f"FROM backup_history WHERE backup_type = 'L' AND backup_start > {NOW} - INTERVAL '24' HOUR GROUP BY date_trunc('hour', backup_start)"),
+    *[_sec(21, "BACKUP TOTALS", f"'{n}'", "count", "count(*)", "NULL",
+           f"FROM backup_history WHERE backup_type = '{k}' AND backup_finish > {NOW} - INTERVAL '7' DAY")
+      for n, k in (("full_backups", "D"), ("incr_backups", "I"))],
+    _top(22, "TOP SQL BY READS", "query_hash", "logical_reads", "logical_reads", "NULL", "query_stats_snapshot WHERE exec_count > 10",
+         "logical_reads DESC, server_name, database_name, query_hash, exec_count, total_elapsed_ms", 10),
+    _top(23, "SLOW QUERIES", "query_hash", "total_elapsed_ms", "total_elapsed_ms", "NULL", "query_stats_snapshot",
+         "total_elapsed_ms DESC, server_name, database_name, query_hash, exec_count, logical_reads", 20),
+    _sec(24, "WAIT EVENTS", "status || ':' || wait_type", "wait_count", "count(*)", "NULL",
+         "FROM session_requests WHERE wait_type IS NOT NULL GROUP BY session_requests.status, wait_type"),
+    _top(25, "TABLE BLOAT", "table_name", "n_dead", "n_dead",
+         "CASE WHEN n_dead > 0 AND table_bytes > 0 AND CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 > 20 THEN 'CLEANUP NEEDED' ELSE 'OK' END",
+         "table_stats", "n_dead DESC, schema_name, table_name", 20),
+    _top(26, "CACHE HIT RATIO", "table_name", "blks_read", "blks_read", "NULL", "table_stats WHERE blks_read > 0",
+         "round(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0), 2) NULLS LAST, schema_name, table_name", 10),
+    _sec(27, "STORAGE BY SCHEMA", "schema_name", "table_count", "count(*)", "NULL", "FROM table_stats GROUP BY schema_name"),
+    _top(28, "TABLE LOCKS", "coalesce(CAST(relation_id AS VARCHAR), '-')", "lock_count", "n", "lock_status",
+         "(SELECT relation_id, lock_mode, CASE WHEN granted = 1 THEN 'GRANTED' ELSE 'WAITING' END AS lock_status, count(*) AS n FROM lock_table GROUP BY 1, 2, 3) q",
+         "n DESC, relation_id NULLS FIRST, lock_mode, lock_status", 20),
+    _sec(29, "REPLICATION CHANNELS", "channel_name", "seconds_behind", "seconds_behind", "io_state", "FROM replication_channel"),
+    _sec(30, "COUNTERS", "server_name || '/' || counter_name", "counter_value", "counter_value", "NULL",
+         "FROM perf_counters p WHERE capture_time = (SELECT max(capture_time) FROM perf_counters x WHERE x.server_name = p.server_name)"),
 ])
 
 SQL_WEEKLY = f"""WITH {sql_growth()}, b AS ({sql_backup('weekly')})

@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fleetspan.functions import rules
-from fleetspan.functions.expr import format_bytes
+from fleetspan.functions.expr import (
+    boundary_diff,
+    fill_template,
+    format_bytes,
+    format_rate_mb,
+    ratio,
+    seconds_between,
+    truncated_div,
+    type_text,
+)
 from fleetspan.operators import ingest, rows
 from fleetspan.registry import Entry, with_views
 from fleetspan.sources.views import AS_OF
@@ -30,33 +39,44 @@ def sql_minutes(start: str, end: str) -> str:
     return f"CAST(date_diff('minute', {start}, {end}) AS BIGINT)"
 
 
+def sql_case(pairs, default: str) -> str:
+    """CASE text over (condition, label) pairs."""
+    return "CASE " + " ".join(f"WHEN {test} THEN '{label}'" for test, label in pairs) + f" ELSE '{default}' END"
+
+
+def sql_band(value: str, ladder, default: str) -> str:
+    """CASE text of a threshold ladder."""
+    return sql_case([(f"{value} {'=' if op == '==' else op} {limit}", label) for op, limit, label in ladder], default)
+
+
+def _names_or_pattern(col: str, match) -> str:
+    return f"{col} IN ({names(match)})" if isinstance(match, list) else f"{col} LIKE '{match}'"
+
+
 SQL_WAIT_CATEGORY = {
-    "history": """CASE WHEN wait_type LIKE 'PAGEIOLATCH%' THEN 'I/O' WHEN wait_type LIKE 'LCK_M%' THEN 'Lock'
-        WHEN wait_type LIKE 'PAGELATCH%' THEN 'Latch' WHEN wait_type LIKE 'ASYNC%' THEN 'Network'
-        WHEN wait_type = 'CXPACKET' THEN 'Parallelism'
-        WHEN wait_type IN ('SOS_SCHEDULER_YIELD', 'THREADPOOL') THEN 'CPU' ELSE 'Other' END""",
-    "diagnostic": """CASE WHEN wait_type LIKE 'PAGEIOLATCH%' THEN 'I/O' WHEN wait_type LIKE 'LCK_M%' THEN 'LOCKS'
-        WHEN wait_type LIKE 'PAGELATCH%' THEN 'LATCH' WHEN wait_type LIKE 'ASYNC%' THEN 'NETWORK'
-        WHEN wait_type LIKE 'SOS%' THEN 'MEMORY' WHEN wait_type = 'CXPACKET' THEN 'PARALLELISM' ELSE 'OTHER' END""",
-    "contention": """CASE WHEN wait_type LIKE 'PAGELATCH%' THEN 'LATCH' WHEN wait_type LIKE 'PAGEIO%' THEN 'IO'
-        WHEN wait_type IN ('SOS_SCHEDULER_YIELD', 'THREADPOOL') THEN 'CPU' ELSE 'OTHER' END""",
-    "events": """CASE WHEN wait_type LIKE '%LWLock%' THEN 'LWLock' WHEN wait_type LIKE '%Lock%' THEN 'Lock'
-        WHEN wait_type LIKE '%Buffer%' THEN 'Buffer' WHEN wait_type LIKE '%WAL%' THEN 'WAL'
-        WHEN wait_type LIKE '%IO%' THEN 'IO' WHEN wait_type = 'Activity' THEN 'Idle' ELSE 'Other' END""",
+    profile: sql_case([(_names_or_pattern("wait_type", m), label) for m, label in table], default)
+    for profile, table, default in (
+        ("history", rules.WAIT_CATEGORIES_HISTORY, rules.WAIT_CATEGORIES_HISTORY_DEFAULT),
+        ("diagnostic", rules.WAIT_CATEGORIES_DIAGNOSTIC, rules.WAIT_CATEGORIES_DIAGNOSTIC_DEFAULT),
+        ("contention", rules.WAIT_CATEGORIES_CONTENTION, rules.WAIT_CATEGORIES_CONTENTION_DEFAULT),
+        ("events", rules.WAIT_CATEGORIES_EVENTS, rules.WAIT_CATEGORIES_EVENTS_DEFAULT),
+    )
 }
 
-SQL_LOG_TYPE = """CASE WHEN log_text ILIKE '%deadlock%' THEN 'Deadlock' WHEN log_text ILIKE '%error%' THEN 'ERROR'
-        WHEN log_text ILIKE '%warning%' OR log_text ILIKE '%warn%' THEN 'WARNING' ELSE 'INFO' END"""
+SQL_LOG_TYPE = sql_case(
+    [(" OR ".join(f"log_text ILIKE '{p}'" for p in patterns), label) for patterns, label in rules.LOG_TYPES], rules.LOG_TYPE_DEFAULT
+)
+SQL_LOG_SEVERITY = (
+    "CASE "
+    + " ".join(f"WHEN regexp_matches(log_text, '{pattern}') THEN {level}" for pattern, level in rules.LOG_SEVERITIES)
+    + f" WHEN log_type = 'ERROR' THEN {rules.LOG_SEVERITY_ERROR} ELSE {rules.LOG_SEVERITY_DEFAULT} END"
+)
+
 
 # Classified log rows as a CTE body; ``days`` is the window.
 def sql_classified(days: int) -> str:
     relevant = " OR ".join(f"log_text ILIKE '{p}'" for p in rules.LOG_RELEVANT)
-    return f"""SELECT log_id, server_name, log_date, process_info, log_text, log_type,
-               CASE WHEN regexp_matches(lower(log_text), 'severity 17') THEN 17 WHEN regexp_matches(lower(log_text), 'severity 18') THEN 18
-                    WHEN regexp_matches(lower(log_text), 'severity 19') THEN 19
-                    WHEN regexp_matches(lower(log_text), 'severity 2[0-4]') THEN 20
-                    WHEN regexp_matches(lower(log_text), 'severity 25') THEN 25
-                    WHEN log_type = 'ERROR' THEN 16 ELSE 10 END AS severity
+    return f"""SELECT log_id, server_name, log_date, process_info, log_text, log_type, {SQL_LOG_SEVERITY} AS severity
         FROM (SELECT *, {SQL_LOG_TYPE} AS log_type FROM error_log
               WHERE log_date >= {NOW} - INTERVAL '{days}' DAY AND ({relevant})) c"""
 
@@ -126,10 +146,10 @@ ENTRIES = {
             rows.status_band(F.col("used_mb").cast("double") * 100 / F.col("size_mb"), "inclusive").alias("inclusive_status"),
             rows.status_band(F.col("used_mb").cast("double") * 100 / F.col("size_mb"), "strict").alias("strict_status"),
         ),
-        with_views("""
+        with_views(f"""
         SELECT file_name, used_mb >= 0 AS measured,
-               CASE WHEN used_mb * 100.0 / size_mb >= 90 THEN 'CRITICAL' WHEN used_mb * 100.0 / size_mb >= 80 THEN 'WARNING' ELSE 'OK' END AS inclusive_status,
-               CASE WHEN used_mb * 100.0 / size_mb > 90 THEN 'CRITICAL' WHEN used_mb * 100.0 / size_mb > 80 THEN 'WARNING' ELSE 'OK' END AS strict_status
+               {sql_band('used_mb * 100.0 / size_mb', rules.SPACE_BAND['inclusive'], 'OK')} AS inclusive_status,
+               {sql_band('used_mb * 100.0 / size_mb', rules.SPACE_BAND['strict'], 'OK')} AS strict_status
         FROM file_space"""),
     ),
     "p02_wait_category": Entry(
@@ -188,7 +208,7 @@ ENTRIES = {
     "p09_recent_errors": Entry(
         lambda t: rows.recent_errors(classified(t), AS_OF, hours=24, n=100),
         with_views(f"""WITH c AS ({sql_classified(7)})
-        SELECT *, CASE WHEN severity >= 20 THEN 'CRITICAL' WHEN severity >= 17 THEN 'HIGH' WHEN severity >= 10 THEN 'MEDIUM' ELSE 'LOW' END AS priority
+        SELECT *, {sql_band('severity', rules.ERROR_PRIORITY, 'LOW')} AS priority
         FROM c WHERE severity >= 10 AND log_date >= {NOW} - INTERVAL '24' HOUR
         ORDER BY log_date DESC, severity DESC, log_id LIMIT 100"""),
     ),
@@ -240,9 +260,9 @@ ENTRIES = {
     ),
     "p15_fragmentation_action": Entry(
         lambda t: rows.fragmentation_action(t.index_catalog),
-        with_views("""
+        with_views(f"""
         SELECT table_name, index_name, frag_pct, used_pages,
-               CASE WHEN frag_pct >= 30 THEN 'REBUILD' WHEN frag_pct >= 5 THEN 'REORGANIZE' ELSE 'OK' END AS recommended_action
+               {sql_band('frag_pct', rules.FRAGMENTATION, 'OK')} AS recommended_action
         FROM index_catalog WHERE frag_pct > 0 AND used_pages > 1000"""),
     ),
     "p15_maintenance_plan": Entry(
@@ -256,25 +276,26 @@ ENTRIES = {
     ),
     "p16_index_usage_status": Entry(
         lambda t: rows.index_usage_status(t.index_catalog, "detail"),
-        with_views("""
+        with_views(f"""
         SELECT table_name, index_name, user_scans, used_pages * 8 AS size_kb,
-               CASE WHEN user_scans = 0 THEN 'UNUSED - CONSIDER DROP' WHEN user_scans < 100 THEN 'LOW USAGE' ELSE 'ACTIVE' END AS status
+               {sql_band('user_scans', rules.INDEX_USAGE['detail'], 'ACTIVE')} AS status
         FROM index_catalog WHERE index_name NOT LIKE '%pkey%'"""),
     ),
     "p16_index_usage_health": Entry(
         lambda t: rows.index_usage_status(t.index_catalog, "health"),
-        with_views("""
+        with_views(f"""
         SELECT table_name, index_name, user_scans, used_pages * 8 AS size_kb,
-               CASE WHEN user_scans = 0 THEN 'UNUSED' WHEN user_scans < 10 THEN 'LOW USAGE' ELSE 'ACTIVE' END AS status
+               {sql_band('user_scans', rules.INDEX_USAGE['health'], 'ACTIVE')} AS status
         FROM index_catalog"""),
     ),
     "p16_index_read_verdict": Entry(
-        lambda t: rows.index_read_verdict(t.index_catalog),
+        lambda t: rows.index_read_verdict(t.index_catalog, t.index_columns),
         with_views("""
-        SELECT table_name, index_name, user_seeks, user_scans, user_lookups, user_updates, is_primary_key, is_unique,
+        SELECT i.table_name, i.index_name, k.indexed_columns, user_seeks, user_scans, user_lookups, user_updates, is_primary_key, is_unique,
                CASE WHEN user_seeks = 0 AND user_scans = 0 AND user_lookups = 0 THEN 'UNUSED - DROP CANDIDATE'
                     WHEN user_seeks = 0 AND user_scans < 10 THEN 'RARELY USED' ELSE 'IN USE' END AS recommendation
-        FROM index_catalog"""),
+        FROM index_catalog i LEFT JOIN (SELECT table_name, index_id, string_agg(column_name, ', ' ORDER BY key_ordinal) AS indexed_columns
+             FROM index_columns GROUP BY 1, 2) k ON k.table_name = i.table_name AND k.index_id = i.index_id"""),
     ),
     "p17_index_review": Entry(
         lambda t: rows.index_review(t.index_catalog.withColumn("used_pages", F.col("used_pages") * 2)),
@@ -420,7 +441,7 @@ ENTRIES = {
         with_views(f"""
         SELECT ag_name, replica_name, capture_time, sent_lsn, replay_lsn, sent_lsn - replay_lsn AS lag_bytes,
                {sql_bytes('(sent_lsn - replay_lsn)')} AS lag_size,
-               CASE WHEN sent_lsn - replay_lsn > 1073741824 THEN 'CRITICAL' WHEN sent_lsn - replay_lsn > 104857600 THEN 'WARNING' ELSE 'OK' END AS status
+               {sql_band('sent_lsn - replay_lsn', rules.REPLICATION_LAG_BYTES, 'OK')} AS status
         FROM replica_lag"""),
     ),
     "p28_recent_channel_lag": Entry(
@@ -483,7 +504,7 @@ ENTRIES = {
                    round(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0), 2) AS avg_wait_ms
                    FROM wait_stats_history WHERE wait_type IN ({names(rules.CONTENTION_WAITS)}))
         SELECT *, {SQL_WAIT_CATEGORY['contention']} AS category,
-               CASE WHEN avg_wait_ms > 100 THEN 'HIGH' WHEN avg_wait_ms > 10 THEN 'MEDIUM' ELSE 'LOW' END AS severity
+               {sql_band('avg_wait_ms', rules.CONTENTION_SEVERITY, 'LOW')} AS severity
         FROM c WHERE capture_time >= {NOW} - INTERVAL '48' HOUR"""),
     ),
     "p33_contention_summary": Entry(
@@ -525,7 +546,7 @@ ENTRIES = {
         lambda t: rows.recommendations_open(recommendations(t), AS_OF),
         with_views(f"""WITH r AS (SELECT group_handle AS rec_id, capture_time, avg_user_impact AS estimated_impact, user_seeks,
                    CASE WHEN avg_user_impact % 10 = 3 THEN 1 ELSE 0 END AS is_implemented FROM missing_index_stats)
-        SELECT *, CASE WHEN estimated_impact >= 50 THEN 'HIGH' WHEN estimated_impact >= 25 THEN 'MEDIUM' ELSE 'LOW' END AS priority
+        SELECT *, {sql_band('estimated_impact', rules.RECOMMENDATION_PRIORITY, 'LOW')} AS priority
         FROM r WHERE is_implemented = 0 AND capture_time >= {NOW} - INTERVAL '7' DAY
         ORDER BY estimated_impact DESC, user_seeks DESC, rec_id LIMIT 100"""),
     ),
@@ -559,6 +580,73 @@ ENTRIES = {
                    row_number() OVER (PARTITION BY server_name, setting_name ORDER BY capture_time) AS rn FROM settings_snapshot) x
         WHERE rn > 1 AND prev IS DISTINCT FROM setting_value"""),
     ),
+    "fx_text": Entry(
+        lambda t: t.missing_index_details.select(
+            "index_handle",
+            F.regexp_replace("equality_columns", r"[\[\]]", "").alias("bare_columns"),
+            F.concat(F.col("table_name"), F.lit("."), F.col("inequality_columns")).alias("joined"),
+            F.concat_ws(".", "schema_name", "table_name").alias("qualified"),
+            F.repeat(F.lit("  "), (F.col("index_handle") % 4).cast("int")).alias("indent"),
+            fill_template(F.lit("Job {0} failed"), F.col("table_name")).alias("message"),
+            F.substring("equality_columns", 1, 4).alias("preview"),
+            F.col("equality_columns").like("[c1]%").alias("starts_with_c1"),
+        ),
+        with_views("""
+        SELECT index_handle, replace(replace(equality_columns, '[', ''), ']', '') AS bare_columns, table_name || '.' || inequality_columns AS joined,
+               schema_name || '.' || table_name AS qualified, repeat('  ', CAST(index_handle % 4 AS INT)) AS indent,
+               'Job ' || table_name || ' failed' AS message, left(equality_columns, 4) AS preview, equality_columns LIKE '[c1]%' AS starts_with_c1
+        FROM missing_index_details"""),
+    ),
+    "fx_dates": Entry(
+        lambda t: t.replica_lag.select(
+            "capture_time",
+            *[boundary_diff(u, F.col("last_commit_time"), F.col("capture_time")).alias(f"{u}s_crossed") for u in ("minute", "hour", "day")],
+            seconds_between(F.col("last_commit_time"), F.col("capture_time")).alias("lag_s"),
+            F.date_format("capture_time", "yyyyMMdd").cast("bigint").alias("date_key"),
+            F.date_format("capture_time", "yyyy-MM-dd HH").alias("hour_text"),
+            F.make_date(F.year("capture_time"), F.month("capture_time"), F.lit(1)).alias("month_start"),
+            (F.col("capture_time") - F.expr("INTERVAL '1' DAY")).alias("day_earlier"),
+        ),
+        with_views("""
+        SELECT capture_time, CAST(date_diff('minute', last_commit_time, capture_time) AS BIGINT) AS minutes_crossed,
+               CAST(date_diff('hour', last_commit_time, capture_time) AS BIGINT) AS hours_crossed,
+               CAST(date_diff('day', last_commit_time, capture_time) AS BIGINT) AS days_crossed,
+               CAST(date_diff('second', last_commit_time, capture_time) AS BIGINT) AS lag_s,
+               CAST(strftime(capture_time, '%Y%m%d') AS BIGINT) AS date_key, strftime(capture_time, '%Y-%m-%d %H') AS hour_text,
+               CAST(date_trunc('month', capture_time) AS DATE) AS month_start, capture_time - INTERVAL '1' DAY AS day_earlier
+        FROM replica_lag"""),
+    ),
+    "fx_nulls_and_math": Entry(
+        lambda t: t.index_maintenance_log.select(
+            "index_name",
+            "operation_start",
+            "duration_s",
+            F.coalesce("frag_before", F.lit(0).cast("bigint")).alias("frag_or_zero"),
+            F.nullif("frag_after", F.lit(0).cast("bigint")).alias("frag_or_null"),
+            F.abs(F.col("frag_after") - F.col("frag_before")).alias("change"),
+            ratio(F.col("frag_before"), F.col("frag_after")).alias("ratio"),
+            truncated_div(F.col("duration_s"), F.col("frag_after")).alias("whole"),
+            F.col("frag_before").eqNullSafe(F.col("frag_after")).alias("same"),
+        ),
+        with_views("""
+        SELECT index_name, operation_start, duration_s, coalesce(frag_before, 0) AS frag_or_zero, nullif(frag_after, 0) AS frag_or_null,
+               abs(frag_after - frag_before) AS change, round(CAST(frag_before AS DOUBLE) / nullif(frag_after, 0), 2) AS ratio,
+               CAST(floor(duration_s / nullif(frag_after, 0)) AS BIGINT) AS whole, frag_before IS NOT DISTINCT FROM frag_after AS same
+        FROM index_maintenance_log"""),
+    ),
+    "fx_rate_and_type_text": Entry(
+        lambda t: t.column_catalog.select(
+            "column_id",
+            type_text(F.col("data_type"), F.col("max_length"), F.col("num_precision"), F.col("num_scale")).alias("type_text"),
+            format_rate_mb((F.col("column_id") * 3).cast("double")).alias("rate_text"),
+        ),
+        with_views("""
+        SELECT column_id, CASE WHEN max_length IS NOT NULL THEN data_type || '(' || max_length || ')'
+                    WHEN num_precision IS NOT NULL THEN data_type || '(' || num_precision || ',' || num_scale || ')' ELSE data_type END AS type_text,
+               CASE WHEN column_id * 3 > 1024 THEN printf('%.2f', round(CAST(column_id * 3 AS DOUBLE) / 1024, 2)) || ' GB/day'
+                    ELSE printf('%.2f', CAST(column_id * 3 AS DOUBLE)) || ' MB/day' END AS rate_text
+        FROM column_catalog"""),
+    ),
     "fx_format_bytes": Entry(
         lambda t: t.table_stats.select("table_name", format_bytes(F.col("table_bytes") * F.col("n_live")).alias("size_text")),
         with_views(f"SELECT table_name, {sql_bytes('(table_bytes * n_live)')} AS size_text FROM table_stats"),
