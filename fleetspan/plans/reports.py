@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from datetime import datetime
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -15,8 +14,15 @@ from fleetspan.operators import aggregates, joins, rankings, rows
 
 
 def union_sections(sections: list[DataFrame]) -> DataFrame:
-    """All sections below each other; order columns inside the rows keep them sortable."""
-    return reduce(DataFrame.unionByName, sections)
+    """All sections below each other; order columns inside the rows keep them sortable.
+
+    Merged in pairs, so that no section is analysed more than log2(n) times.
+    """
+    while len(sections) > 1:
+        pairs = zip(sections[::2], sections[1::2])
+        rest = sections[-1:] if len(sections) % 2 else []
+        sections = [a.unionByName(b) for a, b in pairs] + rest
+    return sections[0]
 
 
 def section(df: DataFrame, number: int, title: str, item: Column, metric: str, value: Column, status: Column) -> DataFrame:

@@ -376,9 +376,12 @@ class Telemetry:
         self.spark = spark
         self.sf_dir = sf_dir.rstrip("/")
         self._views: dict[str, DataFrame] = {}
+        self._read: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return self._read[name]
 
     @cached_property
     def _tables(self) -> list[str]:
