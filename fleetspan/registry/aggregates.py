@@ -61,18 +61,18 @@ def sales(t):
 
 
 SQL_BASELINE = f"""base AS (
-        SELECT server_name, 'Wait_' || wait_type AS metric_name, round(avg(wait_time_ms), 4) AS metric_value FROM wait_stats_history
+        SELECT server_name, 'Wait_' || wait_type AS metric_name, CAST(round(CAST(avg(wait_time_ms) AS DECIMAL(38, 10)), 4) AS DOUBLE) AS metric_value FROM wait_stats_history
         WHERE capture_time >= {NOW} - INTERVAL '30' DAY GROUP BY 1, 2
-        UNION ALL SELECT server_name, counter_name, round(avg(counter_value), 4) FROM perf_counters
+        UNION ALL SELECT server_name, counter_name, CAST(round(CAST(avg(counter_value) AS DECIMAL(38, 10)), 4) AS DOUBLE) FROM perf_counters
         WHERE capture_time >= {NOW} - INTERVAL '30' DAY AND counter_name IN ({names(BASELINE_COUNTERS)}) GROUP BY 1, 2
         UNION ALL SELECT server_name, 'Query_AvgElapsed_' || database_name,
-                         round(avg(CAST(floor(total_elapsed_ms / nullif(exec_count, 0)) AS BIGINT)), 4)
+                         CAST(round(CAST(avg(CAST(floor(total_elapsed_ms / nullif(exec_count, 0)) AS BIGINT)) AS DECIMAL(38, 10)), 4) AS DOUBLE)
         FROM query_stats_snapshot WHERE capture_time >= {NOW} - INTERVAL '30' DAY GROUP BY 1, 2)"""
 SQL_VARIANCE = f"""{SQL_BASELINE},
         cur AS (SELECT server_name, 'Wait_' || wait_type AS metric_name, avg(wait_time_ms) AS v FROM wait_stats_history
                 WHERE capture_time >= {NOW} - INTERVAL '24' HOUR GROUP BY 1, 2),
-        var AS (SELECT c.server_name, c.metric_name, round(c.v, 4) AS current_value, b.metric_value AS baseline_value,
-                       round(c.v - b.metric_value, 4) AS variance, round((c.v - b.metric_value) / nullif(b.metric_value, 0) * 100, 2) AS variance_pct
+        var AS (SELECT c.server_name, c.metric_name, CAST(round(CAST(c.v AS DECIMAL(38, 10)), 4) AS DOUBLE) AS current_value, b.metric_value AS baseline_value,
+                       CAST(round(CAST(c.v - b.metric_value AS DECIMAL(38, 10)), 4) AS DOUBLE) AS variance, CAST(round(CAST((c.v - b.metric_value) / nullif(b.metric_value, 0) * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS variance_pct
                 FROM cur c JOIN base b ON c.server_name = b.server_name AND c.metric_name = b.metric_name
                 WHERE abs((c.v - b.metric_value) / nullif(b.metric_value, 0) * 100) > 25)"""
 
@@ -81,7 +81,7 @@ def sql_growth(days: int = 30) -> str:
     return f"""g AS (SELECT server_name, database_name, min(total_mb) AS first_mb, max(total_mb) AS current_mb,
                CAST(date_diff('day', min(capture_time), max(capture_time)) AS BIGINT) AS days_between
         FROM database_size_history WHERE capture_time >= {NOW} - INTERVAL '{days}' DAY GROUP BY 1, 2 HAVING min(total_mb) < max(total_mb)),
-    r AS (SELECT *, round(CAST(current_mb - first_mb AS DOUBLE) / nullif(days_between, 0), 2) AS daily_growth_mb FROM g),
+    r AS (SELECT *, CAST(round(CAST(CAST(current_mb - first_mb AS DOUBLE) / nullif(days_between, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS daily_growth_mb FROM g),
     d AS (SELECT *, CASE WHEN daily_growth_mb > 0 THEN CAST(floor(current_mb / daily_growth_mb) AS BIGINT) END AS days_to_double FROM r)"""
 
 
@@ -169,8 +169,8 @@ ENTRIES = {
     "a06_backup_totals": Entry(
         lambda t: agg.backup_totals(t.backup_history, AS_OF),
         with_views(f"""
-        SELECT round(CAST(sum(backup_size_mb) AS DOUBLE) / 1024, 2) AS total_gb, max(backup_finish) AS last_backup,
-               round(avg(backup_size_mb) / 1024, 2) AS avg_gb, {sql_count("backup_type = 'D'")} AS full_backups, {sql_count("backup_type = 'I'")} AS incr_backups
+        SELECT CAST(round(CAST(CAST(sum(backup_size_mb) AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_gb, max(backup_finish) AS last_backup,
+               CAST(round(CAST(avg(backup_size_mb) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS avg_gb, {sql_count("backup_type = 'D'")} AS full_backups, {sql_count("backup_type = 'I'")} AS incr_backups
         FROM backup_history WHERE backup_finish > {NOW} - INTERVAL '7' DAY"""),
     ),
     "a07_size_trend": Entry(
@@ -204,8 +204,8 @@ ENTRIES = {
                CASE WHEN m.max_mb IS NOT NULL AND daily_growth_mb > 0 THEN CAST(floor(greatest(m.max_mb - d.current_mb, 0) / d.daily_growth_mb) AS BIGINT) END AS days_to_exhaustion,
                CASE WHEN days_between >= 30 THEN 'HIGH' WHEN days_between >= 14 THEN 'MEDIUM' ELSE 'LOW' END AS confidence,
                {SQL_EXHAUST_BAND} AS status,
-               CASE WHEN daily_growth_mb > 1024 THEN printf('%.2f', round(daily_growth_mb / 1024, 2)) || ' GB/day'
-                    ELSE printf('%.2f', round(daily_growth_mb, 2)) || ' MB/day' END AS growth_text
+               CASE WHEN daily_growth_mb > 1024 THEN printf('%.2f', CAST(round(CAST(daily_growth_mb / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB/day'
+                    ELSE printf('%.2f', CAST(round(CAST(daily_growth_mb AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' MB/day' END AS growth_text
         FROM d LEFT JOIN m ON d.database_name = m.database_name"""),
     ),
     "a10_days_to_double": Entry(
@@ -214,21 +214,21 @@ ENTRIES = {
             CAST(floor(date_diff('second', min(capture_time), max(capture_time)) / 86400) AS BIGINT) AS whole_days
             FROM database_size_history WHERE capture_time >= {NOW} - INTERVAL '30' DAY GROUP BY 1, 2),
         r AS (SELECT *, CAST(growth_mb AS DOUBLE) / nullif(whole_days, 0) AS rate FROM g)
-        SELECT server_name, database_name, current_size_mb, round(rate, 2) AS daily_growth_mb,
-               CASE WHEN rate > 0 THEN round(current_size_mb / rate, 0) END AS days_to_double,
+        SELECT server_name, database_name, current_size_mb, CAST(round(CAST(rate AS DECIMAL(38, 10)), 2) AS DOUBLE) AS daily_growth_mb,
+               CASE WHEN rate > 0 THEN CAST(round(CAST(current_size_mb / rate AS DECIMAL(38, 10)), 0) AS DOUBLE) END AS days_to_double,
                CASE WHEN rate > 1024 THEN 'CRITICAL' WHEN rate > 512 THEN 'WARNING' WHEN rate > 100 THEN 'MONITOR' ELSE 'OK' END AS status FROM r"""),
     ),
     "a11_growth_rate": Entry(
         lambda t: agg.growth_rate(t.database_size_history),
         with_views("""WITH e AS (SELECT server_name, database_name, arg_min(total_mb, capture_time) AS first_mb, arg_max(total_mb, capture_time) AS last_mb,
             min(capture_time) AS first_time, max(capture_time) AS last_time FROM database_size_history GROUP BY 1, 2)
-        SELECT *, round(CAST(last_mb - first_mb AS DOUBLE) / nullif(CAST(date_diff('second', first_time, last_time) AS DOUBLE) / 86400, 0), 2) AS mb_per_day FROM e"""),
+        SELECT *, CAST(round(CAST(CAST(last_mb - first_mb AS DOUBLE) / nullif(CAST(date_diff('second', first_time, last_time) AS DOUBLE) / 86400, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS mb_per_day FROM e"""),
     ),
     "a12_storage_by_schema": Entry(
         lambda t: agg.storage_by_schema(t.table_stats),
         with_views("""
-        SELECT schema_name, round(CAST(sum(table_bytes + index_bytes) AS DOUBLE) / 1048576, 2) AS total_mb,
-               round(CAST(sum(table_bytes) AS DOUBLE) / 1048576, 2) AS data_mb, round(CAST(sum(index_bytes) AS DOUBLE) / 1048576, 2) AS index_mb,
+        SELECT schema_name, CAST(round(CAST(CAST(sum(table_bytes + index_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb,
+               CAST(round(CAST(CAST(sum(table_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(sum(index_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
                CAST(count(*) AS BIGINT) AS table_count FROM table_stats GROUP BY 1"""),
     ),
     "a12_storage_by_database": Entry(
@@ -236,7 +236,7 @@ ENTRIES = {
         with_views("""
         SELECT database_name, CAST(sum(CASE WHEN file_type = 'ROWS' THEN size_mb ELSE 0 END) AS BIGINT) AS data_mb,
                CAST(sum(CASE WHEN file_type = 'LOG' THEN size_mb ELSE 0 END) AS BIGINT) AS log_mb, CAST(sum(size_mb) AS BIGINT) AS total_mb,
-               round(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb), 2) AS used_pct, CAST(count(*) AS BIGINT) AS file_count
+               CAST(round(CAST(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct, CAST(count(*) AS BIGINT) AS file_count
         FROM file_space GROUP BY 1"""),
     ),
     "a12_storage_by_tablespace": Entry(
@@ -244,7 +244,7 @@ ENTRIES = {
         with_views("""
         SELECT tablespace_name, CAST(sum(CASE WHEN file_type = 'ROWS' THEN size_mb ELSE 0 END) AS BIGINT) AS data_mb,
                CAST(sum(CASE WHEN file_type = 'LOG' THEN size_mb ELSE 0 END) AS BIGINT) AS log_mb, CAST(sum(size_mb) AS BIGINT) AS total_mb,
-               round(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb), 2) AS used_pct, CAST(count(*) AS BIGINT) AS file_count
+               CAST(round(CAST(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct, CAST(count(*) AS BIGINT) AS file_count
         FROM file_space GROUP BY 1"""),
     ),
     "a13_baseline": Entry(
@@ -276,8 +276,8 @@ ENTRIES = {
         with_views(f"""WITH {SQL_BASELINE},
         cur AS (SELECT server_name, counter_name AS metric_name, avg(counter_value) AS v FROM perf_counters
                 WHERE capture_time >= {NOW} - INTERVAL '24' HOUR GROUP BY 1, 2)
-        SELECT c.server_name, c.metric_name, round(c.v, 4) AS current_value, b.metric_value AS baseline_value,
-               round(c.v - b.metric_value, 4) AS variance, round((c.v - b.metric_value) / nullif(b.metric_value, 0) * 100, 2) AS variance_pct
+        SELECT c.server_name, c.metric_name, CAST(round(CAST(c.v AS DECIMAL(38, 10)), 4) AS DOUBLE) AS current_value, b.metric_value AS baseline_value,
+               CAST(round(CAST(c.v - b.metric_value AS DECIMAL(38, 10)), 4) AS DOUBLE) AS variance, CAST(round(CAST((c.v - b.metric_value) / nullif(b.metric_value, 0) * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS variance_pct
         FROM cur c JOIN base b ON c.server_name = b.server_name AND c.metric_name = b.metric_name
         WHERE abs((c.v - b.metric_value) / nullif(b.metric_value, 0) * 100) > 5"""),
     ),
@@ -366,7 +366,7 @@ ENTRIES = {
         lambda t: agg.connection_limit(t.session_requests, 1800),
         with_views("""
         SELECT CAST(count(*) AS BIGINT) AS current_connections, CAST(1800 AS BIGINT) AS max_connections,
-               round(CAST(count(*) AS DOUBLE) * 100 / 1800, 2) AS usage_pct,
+               CAST(round(CAST(CAST(count(*) AS DOUBLE) * 100 / 1800 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS usage_pct,
                CASE WHEN CAST(count(*) AS DOUBLE) * 100 / 1800 > 90 THEN 'CRITICAL' WHEN CAST(count(*) AS DOUBLE) * 100 / 1800 > 75 THEN 'WARNING' ELSE 'OK' END AS status
         FROM session_requests"""),
     ),
@@ -469,14 +469,14 @@ ENTRIES = {
                      count(*) FILTER (span = 'cur') AS nc, count(*) FILTER (span = 'prev') AS np FROM o),
         m AS (SELECT 'TotalRevenue' AS metric_name, rc AS current_value, rp AS previous_value FROM s
               UNION ALL SELECT 'ActiveCustomers', CAST(cc AS DOUBLE), CAST(cp AS DOUBLE) FROM s
-              UNION ALL SELECT 'AvgOrderValue', round(rc / nullif(nc, 0), 2), round(rp / nullif(np, 0), 2) FROM s)
-        SELECT *, round((current_value - previous_value) / nullif(previous_value, 0) * 100, 2) AS change_pct FROM m""",
+              UNION ALL SELECT 'AvgOrderValue', CAST(round(CAST(rc / nullif(nc, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE), CAST(round(CAST(rp / nullif(np, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) FROM s)
+        SELECT *, CAST(round(CAST((current_value - previous_value) / nullif(previous_value, 0) * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS change_pct FROM m""",
     ),
     "a31_index_usage_ratio": Entry(
         lambda t: agg.index_usage_ratio(t.index_catalog),
         with_views("""
         SELECT table_name, index_name, max(user_seeks) AS user_seeks, max(user_scans) AS user_scans, max(user_updates) AS user_updates, max(last_used) AS last_access,
-               coalesce(round(CAST(max(user_seeks) AS DOUBLE) / nullif(max(user_seeks) + max(user_scans), 0), 4), 0.0) AS usage_ratio
+               coalesce(CAST(round(CAST(CAST(max(user_seeks) AS DOUBLE) / nullif(max(user_seeks) + max(user_scans), 0) AS DECIMAL(38, 10)), 4) AS DOUBLE), 0.0) AS usage_ratio
         FROM index_catalog GROUP BY 1, 2"""),
     ),
 }

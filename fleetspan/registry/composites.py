@@ -125,13 +125,13 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
          "replica_lag", "sent_lsn - replay_lsn DESC, capture_time", 10),
     _top(14, "LARGEST TABLES", "table_name", "table_rows", "n_live", "NULL",
          "(SELECT * FROM table_stats ORDER BY table_bytes + index_bytes DESC, schema_name, table_name LIMIT 20) q",
-         "round(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024, 2) DESC, schema_name, table_name", 20),
+         "CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) DESC, schema_name, table_name", 20),
     _sec(15, "INVALID OBJECTS", "object_name", "object_type", "object_type", "status",
          f"FROM object_catalog WHERE status <> 'VALID' AND object_type IN ({names(rules.CHECKED_OBJECT_TYPES)}) AND owner NOT IN ({names(rules.SYSTEM_OWNERS_OBJECTS)})"),
     _sec(16, "LONG RUNNING QUERIES", "session_id", "duration_s", f"date_diff('second', query_start, {NOW})", "status",
          f"FROM session_requests WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '300' SECOND"),
     _top(17, "MISSING INDEXES", "index_handle", "user_seeks", "user_seeks", "NULL",
-         "(SELECT g.index_handle, s.user_seeks, round(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100, 2) AS imp FROM missing_index_stats s "
+         "(SELECT g.index_handle, s.user_seeks, CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS imp FROM missing_index_stats s "
          "JOIN missing_index_groups g ON s.group_handle = g.group_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50) q",
          "imp DESC, index_handle", 10),
     _sec(18, "FILE USAGE", "file_name", "used_mb", "used_mb", "file_type", "FROM file_space"),
@@ -151,7 +151,7 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
          "CASE WHEN n_dead > 0 AND table_bytes > 0 AND CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 > 20 THEN 'CLEANUP NEEDED' ELSE 'OK' END",
          "table_stats", "n_dead DESC, schema_name, table_name", 20),
     _top(26, "CACHE HIT RATIO", "table_name", "blks_read", "blks_read", "NULL", "table_stats WHERE blks_read > 0",
-         "round(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0), 2) NULLS LAST, schema_name, table_name", 10),
+         "CAST(round(CAST(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) NULLS LAST, schema_name, table_name", 10),
     _sec(27, "STORAGE BY SCHEMA", "schema_name", "table_count", "count(*)", "NULL", "FROM table_stats GROUP BY schema_name"),
     _top(28, "TABLE LOCKS", "coalesce(CAST(relation_id AS VARCHAR), '-')", "lock_count", "n", "lock_status",
          "(SELECT relation_id, lock_mode, CASE WHEN granted = 1 THEN 'GRANTED' ELSE 'WAITING' END AS lock_status, count(*) AS n FROM lock_table GROUP BY 1, 2, 3) q",
@@ -182,7 +182,7 @@ SQL_WEEKLY_LINES = f"""
     UNION ALL SELECT 2, wait_type, 'Count: ' || CAST(sum(waiting_tasks) AS BIGINT) || ', Total: ' || CAST(sum(wait_time_ms) AS BIGINT) || 'ms'
     FROM wait_stats_history WHERE capture_time >= {NOW} - INTERVAL '24' HOUR GROUP BY wait_type
     UNION ALL SELECT 3, '=== DATABASE SIZES ===', ''
-    UNION ALL SELECT 3, database_name, printf('%.2f', round(CAST(total_mb AS DOUBLE) / 1024, 2)) || ' GB' FROM database_size_history
+    UNION ALL SELECT 3, database_name, printf('%.2f', CAST(round(CAST(CAST(total_mb AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB' FROM database_size_history
     WHERE capture_time = (SELECT max(capture_time) FROM database_size_history)
     UNION ALL SELECT 4, '=== FAILED LOGINS (Last 7 days) ===', ''
     UNION ALL SELECT 4, login_name, n || ' attempts' FROM (SELECT login_name, count(*) AS n FROM login_audit

@@ -202,7 +202,7 @@ ENTRIES = {
         j AS (SELECT a.tablespace_name, CAST(a.total_mb AS BIGINT) AS total_mb, CAST(coalesce(f.free_mb, 0) AS BIGINT) AS free_mb
               FROM a LEFT JOIN f ON a.tablespace_name = f.tablespace_name)
         SELECT tablespace_name, total_mb, total_mb - free_mb AS used_mb, free_mb,
-               round(CAST(total_mb - free_mb AS DOUBLE) / total_mb * 100, 2) AS used_pct,
+               CAST(round(CAST(CAST(total_mb - free_mb AS DOUBLE) / total_mb * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct,
                CASE WHEN CAST(total_mb - free_mb AS DOUBLE) / total_mb * 100 >= 90 THEN 'CRITICAL'
                     WHEN CAST(total_mb - free_mb AS DOUBLE) / total_mb * 100 >= 80 THEN 'WARNING' ELSE 'OK' END AS alert_status FROM j"""),
     ),
@@ -211,7 +211,7 @@ ENTRIES = {
         with_views("""WITH a AS (SELECT tablespace_name, CAST(sum(size_mb) AS BIGINT) AS allocated_mb FROM file_space GROUP BY 1),
         u AS (SELECT tablespace_name, CAST(sum(used_mb) AS BIGINT) AS used_mb FROM file_space WHERE used_mb > 1500 GROUP BY 1)
         SELECT a.tablespace_name, a.allocated_mb, coalesce(u.used_mb, 0) AS used_mb, a.allocated_mb - coalesce(u.used_mb, 0) AS free_mb,
-               round(CAST(coalesce(u.used_mb, 0) AS DOUBLE) * 100 / a.allocated_mb, 2) AS used_pct
+               CAST(round(CAST(CAST(coalesce(u.used_mb, 0) AS DOUBLE) * 100 / a.allocated_mb AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct
         FROM a LEFT JOIN u ON a.tablespace_name = u.tablespace_name"""),
     ),
     "j06_undo_usage": Entry(
@@ -219,7 +219,7 @@ ENTRIES = {
         with_views("""WITH a AS (SELECT tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb FROM file_space GROUP BY 1),
         u AS (SELECT tablespace_name, CAST(sum(used_mb) AS BIGINT) AS used_mb FROM file_space WHERE file_type = 'ROWS' GROUP BY 1)
         SELECT a.tablespace_name, a.total_mb, coalesce(u.used_mb, 0) AS used_mb,
-               round(CAST(coalesce(u.used_mb, 0) AS DOUBLE) * 100 / a.total_mb, 2) AS used_pct, t.undo_retention, t.tuned_retention,
+               CAST(round(CAST(CAST(coalesce(u.used_mb, 0) AS DOUBLE) * 100 / a.total_mb AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct, t.undo_retention, t.tuned_retention,
                CASE WHEN t.tuned_retention < t.undo_retention THEN 'BELOW TARGET' ELSE 'OK' END AS retention_status
         FROM a JOIN undo_tablespaces t ON a.tablespace_name = t.tablespace_name LEFT JOIN u ON a.tablespace_name = u.tablespace_name
         WHERE t.contents = 'UNDO'"""),
@@ -256,7 +256,7 @@ ENTRIES = {
         with_views("""
         SELECT d.index_handle, d.database_name, d.schema_name, d.table_name,
                d.equality_columns || coalesce(', ' || d.inequality_columns, '') AS index_columns, d.included_columns,
-               round(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100, 2) AS improvement, s.user_seeks,
+               CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS improvement, s.user_seeks,
                'IX_' || d.table_name || '_' || replace(replace(d.equality_columns, '[', ''), ']', '') AS index_name,
                'CREATE INDEX [IX_' || d.table_name || '_' || d.index_handle || '] ON [' || d.schema_name || '].[' || d.table_name || '] ('
                    || d.equality_columns || coalesce(', ' || d.inequality_columns, '') || ')'
@@ -269,7 +269,7 @@ ENTRIES = {
             "index_handle", "improvement", "user_seeks"
         ),
         with_views("""
-        SELECT g.index_handle, round(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100, 2) AS improvement, s.user_seeks
+        SELECT g.index_handle, CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS improvement, s.user_seeks
         FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle
         JOIN missing_index_details d ON d.index_handle = g.index_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50
         ORDER BY improvement DESC, g.index_handle LIMIT 10"""),
@@ -373,7 +373,7 @@ ENTRIES = {
         with_views("""WITH e AS (SELECT server_name, wait_type AS event, CAST(sum(waiting_tasks) AS BIGINT) AS total_waits, CAST(sum(wait_time_ms) AS BIGINT) AS time_waited
             FROM wait_stats_history GROUP BY 1, 2)
         SELECT server_name, event, 'Work' AS wait_class, total_waits, time_waited,
-               round(CAST(time_waited AS DOUBLE) / total_waits * 10, 2) AS avg_wait_cs, round(CAST(time_waited AS DOUBLE) / total_waits / 100, 2) AS avg_wait_ms
+               CAST(round(CAST(CAST(time_waited AS DOUBLE) / total_waits * 10 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS avg_wait_cs, CAST(round(CAST(CAST(time_waited AS DOUBLE) / total_waits / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS avg_wait_ms
         FROM e WHERE total_waits > 100 AND event NOT LIKE 'ASYNC%' ORDER BY time_waited DESC, server_name, event LIMIT 20"""),
     ),
     "j21_column_dictionary": Entry(

@@ -29,8 +29,8 @@ STATS_ORDER = "server_name, database_name, query_hash, exec_count"
 
 def sql_top(by: str, n: int, floor: int = 0) -> str:
     return f"""WITH m AS (SELECT server_name, database_name, query_hash, exec_count, left(query_text, 100) AS query_text, total_elapsed_ms, logical_reads,
-               round(CAST(total_elapsed_ms AS DOUBLE) / nullif(exec_count, 0), 2) AS mean_elapsed_ms,
-               round(CAST(logical_reads AS DOUBLE) / nullif(exec_count, 0), 0) AS reads_per_exec FROM query_stats_snapshot WHERE exec_count > {floor})
+               CAST(round(CAST(CAST(total_elapsed_ms AS DOUBLE) / nullif(exec_count, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS mean_elapsed_ms,
+               CAST(round(CAST(CAST(logical_reads AS DOUBLE) / nullif(exec_count, 0) AS DECIMAL(38, 10)), 0) AS DOUBLE) AS reads_per_exec FROM query_stats_snapshot WHERE exec_count > {floor})
         SELECT * FROM m ORDER BY {by} DESC NULLS LAST, {STATS_ORDER}, total_elapsed_ms, logical_reads LIMIT {n}"""
 
 
@@ -44,24 +44,24 @@ ENTRIES = {
             }
         ),
         with_views(f"""WITH {SQL_FLEET}
-        SELECT *, round(CAST(wait_time_ms AS DOUBLE) * 100 / nullif((SELECT sum(wait_time_ms) FROM f), 0), 2) AS pct,
+        SELECT *, CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) * 100 / nullif((SELECT sum(wait_time_ms) FROM f), 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS pct,
                wait_time_ms - signal_wait_ms AS resource_wait_ms, {SQL_WAIT_CATEGORY['diagnostic']} AS category
         FROM f ORDER BY wait_time_ms DESC, server_name, wait_type LIMIT 20"""),
     ),
     "w01_share_by_server": Entry(
         lambda t: rankings.share_of_total(fleet_waits(t), "wait_time_ms", by=["server_name"]),
         with_views(f"""WITH {SQL_FLEET}
-        SELECT *, round(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (PARTITION BY server_name), 0), 2) AS pct FROM f"""),
+        SELECT *, CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (PARTITION BY server_name), 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS pct FROM f"""),
     ),
     "w02_share_of_top": Entry(
         lambda t: rankings.share_of_top(fleet_waits(t), "wait_time_ms", 10, tie=["server_name", "wait_type"]),
         with_views(f"""WITH {SQL_FLEET}, top AS (SELECT * FROM f ORDER BY wait_time_ms DESC, server_name, wait_type LIMIT 10)
-        SELECT *, round(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (), 0), 2) AS pct FROM top"""),
+        SELECT *, CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (), 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS pct FROM top"""),
     ),
     "w03_share_per_snapshot": Entry(
         lambda t: rankings.share_per_snapshot(t.wait_stats_history),
         with_views("""
-        SELECT *, round(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (PARTITION BY server_name, capture_time), 0), 2) AS wait_pct
+        SELECT *, CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (PARTITION BY server_name, capture_time), 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS wait_pct
         FROM wait_stats_history"""),
     ),
     "w04_latest_snapshot": Entry(
@@ -77,7 +77,7 @@ ENTRIES = {
     "w04_current_waits": Entry(
         lambda t: rankings.current_waits(t.wait_stats_history),
         with_views(f"""
-        SELECT *, round(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (PARTITION BY server_name, capture_time), 0), 2) AS wait_pct,
+        SELECT *, CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) * 100 / nullif(sum(wait_time_ms) OVER (PARTITION BY server_name, capture_time), 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS wait_pct,
                {SQL_WAIT_CATEGORY['history']} AS category
         FROM wait_stats_history w WHERE wait_time_ms > 0 AND capture_time = (SELECT max(capture_time) FROM wait_stats_history x WHERE x.server_name = w.server_name)"""),
     ),
@@ -99,15 +99,15 @@ ENTRIES = {
     "t02_largest_tables": Entry(
         lambda t: rankings.largest_tables(t.table_stats),
         with_views("""
-        SELECT schema_name, table_name, round(CAST(table_bytes AS DOUBLE) / 1024 / 1024, 2) AS data_mb, round(CAST(index_bytes AS DOUBLE) / 1024 / 1024, 2) AS index_mb,
-               round(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024, 2) AS total_mb, n_live AS table_rows
+        SELECT schema_name, table_name, CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
+               CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb, n_live AS table_rows
         FROM table_stats ORDER BY table_bytes + index_bytes DESC, schema_name, table_name LIMIT 20"""),
     ),
     "t02_tables_above": Entry(
         lambda t: rankings.largest_tables(t.table_stats, n=None, min_mb=20),
         with_views("""
-        SELECT schema_name, table_name, round(CAST(table_bytes AS DOUBLE) / 1024 / 1024, 2) AS data_mb, round(CAST(index_bytes AS DOUBLE) / 1024 / 1024, 2) AS index_mb,
-               round(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024, 2) AS total_mb, n_live AS table_rows
+        SELECT schema_name, table_name, CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
+               CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb, n_live AS table_rows
         FROM table_stats WHERE CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 > 20"""),
     ),
     "t03_largest_databases": Entry(

@@ -29,7 +29,7 @@ def names(values) -> str:
 def sql_bytes(col: str) -> str:
     """SQL text of the rounded byte formatter."""
     rungs = "".join(
-        f"WHEN {col} >= {size} THEN printf('%.2f', round(CAST({col} AS DOUBLE) / {size}, 2)) || ' {unit}' "
+        f"WHEN {col} >= {size} THEN printf('%.2f', CAST(round(CAST(CAST({col} AS DOUBLE) / {size} AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' {unit}' "
         for size, unit in [(1099511627776, "TB"), (1073741824, "GB"), (1048576, "MB"), (1024, "KB")]
     )
     return f"CASE {rungs} ELSE CAST({col} AS VARCHAR) || ' bytes' END"
@@ -136,7 +136,7 @@ def channels(t):
     )
 
 
-SQL_DEAD_PCT = "CASE WHEN n_live > 0 THEN round(CAST(n_dead AS DOUBLE) * 100 / nullif(n_live + n_dead, 0), 2) ELSE 0.0 END"
+SQL_DEAD_PCT = "CASE WHEN n_live > 0 THEN CAST(round(CAST(CAST(n_dead AS DOUBLE) * 100 / nullif(n_live + n_dead, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) ELSE 0.0 END"
 
 ENTRIES = {
     "p01_status_band": Entry(
@@ -227,7 +227,7 @@ ENTRIES = {
         with_views(f"""
         SELECT event_id, database_name, CASE file_type_code WHEN 0 THEN 'Row Data' WHEN 1 THEN 'Log' END AS file_type, start_time,
                CASE event_class WHEN 92 THEN 'Autogrowth' WHEN 93 THEN 'Shrink' END AS event_type,
-               CASE WHEN event_class = 92 THEN round(CAST(changed_pages AS DOUBLE) * 8 / 1024, 4) END AS growth_mb
+               CASE WHEN event_class = 92 THEN CAST(round(CAST(CAST(changed_pages AS DOUBLE) * 8 / 1024 AS DECIMAL(38, 10)), 4) AS DOUBLE) END AS growth_mb
         FROM trace_events WHERE event_class IN (92, 93) AND date_diff('day', start_time, {NOW}) <= 7"""),
     ),
     "p13_job_runs": Entry(
@@ -344,9 +344,9 @@ ENTRIES = {
         with_views(f"""
         SELECT schema_name, table_name, n_live, n_dead, {SQL_DEAD_PCT} AS dead_pct,
                {sql_bytes('(table_bytes + index_bytes)')} AS total_size, {sql_bytes('table_bytes')} AS table_size,
-               CASE WHEN n_dead > 0 AND table_bytes > 0 THEN round(CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100, 2) ELSE 0.0 END AS bloat_ratio,
+               CASE WHEN n_dead > 0 AND table_bytes > 0 THEN CAST(round(CAST(CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) ELSE 0.0 END AS bloat_ratio,
                CASE WHEN n_dead > 0 AND table_bytes > 0 AND CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 > 20 THEN 'CLEANUP NEEDED' ELSE 'OK' END AS status,
-               CASE WHEN table_bytes + index_bytes > 0 THEN round(CAST(index_bytes AS DOUBLE) * 100 / (table_bytes + index_bytes), 1) ELSE 0.0 END AS overhead_pct
+               CASE WHEN table_bytes + index_bytes > 0 THEN CAST(round(CAST(CAST(index_bytes AS DOUBLE) * 100 / (table_bytes + index_bytes) AS DECIMAL(38, 10)), 1) AS DOUBLE) ELSE 0.0 END AS overhead_pct
         FROM table_stats"""),
     ),
     "p21_vacuum_recommendation": Entry(
@@ -363,23 +363,23 @@ ENTRIES = {
         ),
         with_views("""
         SELECT schema_name, table_name, blks_hit, blks_read, blks_hit + blks_read AS total_blks,
-               round(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0), 2) AS cache_hit_ratio,
-               round(CAST(chained_rows AS DOUBLE) * 100 / nullif(chained_rows + blks_read * 2, 0), 2) AS idx_cache_ratio
+               CAST(round(CAST(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS cache_hit_ratio,
+               CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(chained_rows + blks_read * 2, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS idx_cache_ratio
         FROM table_stats WHERE blks_read > 0 ORDER BY cache_hit_ratio NULLS LAST, schema_name, table_name LIMIT 25"""),
     ),
     "p23_row_chaining": Entry(
         lambda t: rows.row_chaining(t.table_stats),
         with_views("""
-        SELECT schema_name, table_name, n_live, chained_rows, round(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0), 2) AS chain_pct,
-               CASE WHEN round(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0), 2) > 10 THEN 'REBUILD NEEDED'
-                    WHEN round(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0), 2) > 5 THEN 'MONITOR' ELSE 'OK' END AS status
+        SELECT schema_name, table_name, n_live, chained_rows, CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS chain_pct,
+               CASE WHEN CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) > 10 THEN 'REBUILD NEEDED'
+                    WHEN CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) > 5 THEN 'MONITOR' ELSE 'OK' END AS status
         FROM table_stats WHERE chained_rows > 0 AND n_live > 10000"""),
     ),
     "p24_index_bloat": Entry(
         lambda t: rows.index_bloat(t.table_stats),
         with_views("""
         SELECT schema_name, table_name, index_bytes,
-               round(CASE WHEN n_live > 0 THEN (1 - CAST(n_live AS DOUBLE) / (n_live + n_dead + 1)) * 100 ELSE 0.0 END, 2) AS bloat_pct
+               CAST(round(CAST(CASE WHEN n_live > 0 THEN (1 - CAST(n_live AS DOUBLE) / (n_live + n_dead + 1)) * 100 ELSE 0.0 END AS DECIMAL(38, 10)), 2) AS DOUBLE) AS bloat_pct
         FROM table_stats WHERE floor(index_bytes / 1048576) >= 1
           AND CASE WHEN n_live > 0 THEN (1 - CAST(n_live AS DOUBLE) / (n_live + n_dead + 1)) * 100 ELSE 0.0 END >= 20"""),
     ),
@@ -393,7 +393,7 @@ ENTRIES = {
         with_views("""
         SELECT schema_name, table_name, CAST(floor(index_bytes / 8192) AS BIGINT) AS leaf_blocks,
                CAST(floor(n_dead / 20) AS BIGINT) AS clustering_factor,
-               round(floor(index_bytes / 8192) * 8192 / 1024 / 1024, 2) AS size_mb,
+               CAST(round(CAST(floor(index_bytes / 8192) * 8192 / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS size_mb,
                CASE WHEN floor(n_dead / 20) > n_live * 0.1 THEN 'HIGH' ELSE 'OK' END AS recommendation
         FROM table_stats"""),
     ),
@@ -403,19 +403,19 @@ ENTRIES = {
         ),
         with_views("""
         SELECT database_name, file_name, CASE WHEN file_type = 'ROWS' THEN 'Data' ELSE 'Log' END AS file_type,
-               round(CAST(size_mb * 128 + 7 AS DOUBLE) / 128, 2) AS size_mb, round(CAST(used_mb * 128 + 3 AS DOUBLE) / 128, 2) AS used_mb,
-               round(CAST((size_mb - used_mb) * 128 + 4 AS DOUBLE) / 128, 2) AS free_mb,
-               round(CAST((size_mb - used_mb) * 128 + 4 AS DOUBLE) * 100 / (size_mb * 128 + 7), 2) AS free_pct,
-               round(CAST(used_mb * 128 + 3 AS DOUBLE) * 100 / (size_mb * 128 + 7), 2) AS used_pct
+               CAST(round(CAST(CAST(size_mb * 128 + 7 AS DOUBLE) / 128 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS size_mb, CAST(round(CAST(CAST(used_mb * 128 + 3 AS DOUBLE) / 128 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_mb,
+               CAST(round(CAST(CAST((size_mb - used_mb) * 128 + 4 AS DOUBLE) / 128 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_mb,
+               CAST(round(CAST(CAST((size_mb - used_mb) * 128 + 4 AS DOUBLE) * 100 / (size_mb * 128 + 7) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_pct,
+               CAST(round(CAST(CAST(used_mb * 128 + 3 AS DOUBLE) * 100 / (size_mb * 128 + 7) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct
         FROM file_space"""),
     ),
     "p26_file_capacity_risk": Entry(
         lambda t: rows.file_capacity_risk(t.file_space),
         with_views("""
         SELECT database_name, file_name, size_mb - used_mb AS free_mb, max_size_mb,
-               round(CAST(size_mb - used_mb AS DOUBLE) / 1024, 2) AS free_gb,
-               round(CAST(max_size_mb - (size_mb - used_mb) AS DOUBLE) / 1024, 2) AS used_gb,
-               round(CAST(size_mb - used_mb AS DOUBLE) * 100 / nullif(max_size_mb, 0), 2) AS free_pct,
+               CAST(round(CAST(CAST(size_mb - used_mb AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_gb,
+               CAST(round(CAST(CAST(max_size_mb - (size_mb - used_mb) AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_gb,
+               CAST(round(CAST(CAST(size_mb - used_mb AS DOUBLE) * 100 / nullif(max_size_mb, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_pct,
                CASE WHEN CAST(size_mb - used_mb AS DOUBLE) * 100 / nullif(max_size_mb, 0) < 10 THEN 'CRITICAL'
                     WHEN CAST(size_mb - used_mb AS DOUBLE) * 100 / nullif(max_size_mb, 0) < 20 THEN 'WARNING' ELSE 'OK' END AS status
         FROM file_space WHERE max_size_mb > 0"""),
@@ -494,14 +494,14 @@ ENTRIES = {
             )
         ),
         with_views("""
-        SELECT schema_name, table_name, chained_rows AS lock_count, round(CAST(n_dead * 123456789 AS DOUBLE) / 1e12, 6) AS total_wait_s,
-               round(CAST(n_dead * 123456789 AS DOUBLE) / 1e12 / nullif(chained_rows, 0), 6) AS avg_wait_s
+        SELECT schema_name, table_name, chained_rows AS lock_count, CAST(round(CAST(CAST(n_dead * 123456789 AS DOUBLE) / 1e12 AS DECIMAL(38, 10)), 6) AS DOUBLE) AS total_wait_s,
+               CAST(round(CAST(CAST(n_dead * 123456789 AS DOUBLE) / 1e12 / nullif(chained_rows, 0) AS DECIMAL(38, 10)), 6) AS DOUBLE) AS avg_wait_s
         FROM table_stats ORDER BY n_dead DESC, schema_name, table_name LIMIT 30"""),
     ),
     "p33_contention_severity": Entry(
         lambda t: rows.contention_severity(contention(t), AS_OF, hours=48),
         with_views(f"""WITH c AS (SELECT server_name, capture_time, wait_type, wait_time_ms,
-                   round(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0), 2) AS avg_wait_ms
+                   CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS avg_wait_ms
                    FROM wait_stats_history WHERE wait_type IN ({names(rules.CONTENTION_WAITS)}))
         SELECT *, {SQL_WAIT_CATEGORY['contention']} AS category,
                {sql_band('avg_wait_ms', rules.CONTENTION_SEVERITY, 'LOW')} AS severity
@@ -510,7 +510,7 @@ ENTRIES = {
     "p33_contention_summary": Entry(
         lambda t: rows.contention_summary(contention(t), AS_OF, hours=48),
         with_views(f"""WITH c AS (SELECT server_name, capture_time, wait_type, wait_time_ms,
-                   round(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0), 2) AS avg_wait_ms
+                   CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS avg_wait_ms
                    FROM wait_stats_history WHERE wait_type IN ({names(rules.CONTENTION_WAITS)}))
         SELECT *, CASE WHEN avg_wait_ms > 100 THEN 'CRITICAL - Investigate immediately'
                        WHEN avg_wait_ms > 10 THEN 'WARNING - Monitor closely' ELSE 'OK' END AS recommendation
@@ -521,7 +521,7 @@ ENTRIES = {
         lambda t: rows.latch_waits(t.wait_stats_history),
         with_views("""
         SELECT server_name, capture_time, wait_type, waiting_tasks, wait_time_ms,
-               round(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0), 2) AS avg_wait_ms
+               CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS avg_wait_ms
         FROM wait_stats_history WHERE wait_type LIKE 'PAGELATCH%' AND wait_time_ms > 0"""),
     ),
     "p34_active_alerts": Entry(
@@ -630,7 +630,7 @@ ENTRIES = {
         ),
         with_views("""
         SELECT index_name, operation_start, duration_s, coalesce(frag_before, 0) AS frag_or_zero, nullif(frag_after, 0) AS frag_or_null,
-               abs(frag_after - frag_before) AS change, round(CAST(frag_before AS DOUBLE) / nullif(frag_after, 0), 2) AS ratio,
+               abs(frag_after - frag_before) AS change, CAST(round(CAST(CAST(frag_before AS DOUBLE) / nullif(frag_after, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS ratio,
                CAST(floor(duration_s / nullif(frag_after, 0)) AS BIGINT) AS whole, frag_before IS NOT DISTINCT FROM frag_after AS same
         FROM index_maintenance_log"""),
     ),
@@ -643,7 +643,7 @@ ENTRIES = {
         with_views("""
         SELECT column_id, CASE WHEN max_length IS NOT NULL THEN data_type || '(' || max_length || ')'
                     WHEN num_precision IS NOT NULL THEN data_type || '(' || num_precision || ',' || num_scale || ')' ELSE data_type END AS type_text,
-               CASE WHEN column_id * 3 > 1024 THEN printf('%.2f', round(CAST(column_id * 3 AS DOUBLE) / 1024, 2)) || ' GB/day'
+               CASE WHEN column_id * 3 > 1024 THEN printf('%.2f', CAST(round(CAST(CAST(column_id * 3 AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB/day'
                     ELSE printf('%.2f', CAST(column_id * 3 AS DOUBLE)) || ' MB/day' END AS rate_text
         FROM column_catalog"""),
     ),

@@ -149,15 +149,15 @@ ENTRIES = {
         with_views(f"""
         SELECT tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb, CAST(sum(used_mb) AS BIGINT) AS used_mb,
                CAST(sum(size_mb - used_mb) AS BIGINT) AS free_mb,
-               round(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb), 2) AS pct_used, {NOW} AS capture_time
+               CAST(round(CAST(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS pct_used, {NOW} AS capture_time
         FROM file_space GROUP BY tablespace_name"""),
     ),
     "s06_capture_table_sizes": Entry(
         lambda t: ingest.capture_table_sizes(t.table_stats, AS_OF, skip_schemas=["schema3"]),
         with_views(f"""
         SELECT schema_name, table_name, table_bytes, index_bytes, table_bytes + index_bytes AS total_bytes,
-               round(CAST(table_bytes AS DOUBLE) / 1048576, 2) AS table_mb, round(CAST(index_bytes AS DOUBLE) / 1048576, 2) AS index_mb,
-               round(CAST(table_bytes + index_bytes AS DOUBLE) / 1048576, 2) AS total_mb, n_live, n_dead, {NOW} AS capture_time
+               CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS table_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
+               CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb, n_live, n_dead, {NOW} AS capture_time
         FROM table_stats WHERE schema_name <> 'schema3'"""),
     ),
     "s06_capture_segment_sizes": Entry(
@@ -173,7 +173,7 @@ ENTRIES = {
         ),
         with_views(f"""
         SELECT schema_name AS owner, 'seg' || CAST(floor(n_live / 1000) AS BIGINT) AS table_name, 'USERS' AS tablespace_name,
-               round(CAST(sum(table_bytes) AS DOUBLE) / 1048576, 2) AS size_mb, CAST(sum(n_live) AS BIGINT) AS num_rows,
+               CAST(round(CAST(CAST(sum(table_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS size_mb, CAST(sum(n_live) AS BIGINT) AS num_rows,
                {NOW} AS capture_time
         FROM table_stats GROUP BY 1, 2, 3"""),
     ),
@@ -257,7 +257,7 @@ ENTRIES = {
         ),
         with_views(f"""
         SELECT server_name, capture_time, wait_type, waiting_tasks, wait_time_ms,
-               round(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0), 2) AS avg_wait_ms, {NOW} AS recorded_at
+               CAST(round(CAST(CAST(wait_time_ms AS DOUBLE) / nullif(waiting_tasks, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS avg_wait_ms, {NOW} AS recorded_at
         FROM wait_stats_history WHERE wait_type IN ({_names(CONTENTION_WAITS)})"""),
     ),
     "s13_append_audit_events": Entry(
