@@ -7,11 +7,13 @@ from the checkpoint.
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -19,6 +21,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType, Tim
 
 from fleetspan.operators import joins, rows
 
+# Python workers get this module's processor class itself, so they need no copy of the package on their path.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

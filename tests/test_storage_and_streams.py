@@ -1,6 +1,9 @@
 """History tables on disk, log files, and the streaming jobs over several landed files."""
 
 import os
+import subprocess
+import sys
+import textwrap
 import time
 from datetime import datetime, timedelta
 
@@ -132,3 +135,26 @@ def test_membership_over_daily_files(spark, tmp_path):
             (day(4), "a", "ADDED"), (day(5), "a", "REMOVED"), (day(5), "b", "REMOVED"),
         ]
     )
+
+
+def test_driver_contract_from_another_folder(tmp_path):
+    """Workers do not find the package on their own path when the driver starts elsewhere."""
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+        import importlib.util
+        spec = importlib.util.spec_from_file_location("driver_entry", {repo + "/__spark_entry__.py"!r})
+        module = importlib.util.module_from_spec(spec)
+        spec.loader.exec_module(module)
+        from pyspark.sql import SparkSession
+        spark = SparkSession.builder.master("local[4]").config("spark.ui.enabled", "false").config(
+            "spark.checkpoint.dir", {str(tmp_path)!r}).getOrCreate()
+        assert module.entry(spark).count() > 0
+        rows = module.queries()["r04_stream_membership_changes"](spark, "/root/testdata/sf0.001").count()
+        print("rows", rows)
+    """
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run(
+        [sys.executable, "-c", textwrap.dedent(code)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300
+    )
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert int(done.stdout.split("rows")[1]) > 0
