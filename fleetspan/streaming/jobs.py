@@ -54,24 +54,44 @@ def snapshot_stream(
     return reader.parquet(path)
 
 
-def run_append(stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None) -> None:
+@contextmanager
+def state_width(spark: SparkSession, partitions: int | None):
+    """Number of state partitions for queries started inside.
+
+    A query keeps the width of its first start for good. The default is one
+    partition per core the application holds, whatever batch jobs use.
+    """
+    key = "spark.sql.shuffle.partitions"
+    previous = spark.conf.get(key)
+    spark.conf.set(key, str(partitions or spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, previous)
+
+
+def run_append(
+    stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None, state_partitions: int | None = None
+) -> None:
     """Process what has landed, append to parquet, stop."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
     if partition_by is not None:
         writer = writer.partitionBy(partition_by)
-    writer.trigger(availableNow=True).start(path).awaitTermination()
+    with state_width(stream.sparkSession, state_partitions):
+        writer.trigger(availableNow=True).start(path).awaitTermination()
 
 
-def run_batches(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def run_batches(
+    stream: DataFrame,
+    handle: Callable[[DataFrame, int], None],
+    checkpoint: str,
+    mode: str = "append",
+    state_partitions: int | None = None,
+) -> None:
     """Process what has landed batch by batch with a function, stop."""
-    (
-        stream.writeStream.outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(handle)
-        .trigger(availableNow=True)
-        .start()
-        .awaitTermination()
-    )
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle)
+    with state_width(stream.sparkSession, state_partitions):
+        writer.trigger(availableNow=True).start().awaitTermination()
 
 
 def _event_time(col: str):
@@ -246,7 +266,7 @@ def replace_table(path: str) -> Callable[[DataFrame, int], None]:
     return handle
 
 
-def blocking_batches(path: str, as_of: datetime | None = None, min_wait_ms: int = 30000) -> Callable[[DataFrame, int], None]:
+def blocking_batches(path: str, min_wait_ms: int = 30000) -> Callable[[DataFrame, int], None]:
     """Batch handler that finds blocked sessions in each landed session snapshot.
 
     Each batch owns a folder, so a repeated batch replaces its own rows.
