@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspan.llm import decontamination, licenses, urls
+from fleetspan.llm import chat, decontamination, fingerprint, licenses, minhash, mixing, secret_scan, token_counts, toxicity, urls
 from fleetspan.llm.common import table
 from fleetspan.session import configure
 
@@ -25,7 +25,13 @@ class Query:
     sql: str | None = None
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
-        return self.build(configure(spark), sf_dir)
+        return self.build(prepare(spark), sf_dir)
+
+
+def prepare(spark: SparkSession) -> SparkSession:
+    """Session settings of the library, and Arrow batches bounded in bytes: texts can be long."""
+    configure(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    return spark
 
 
 def _licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,8 +107,78 @@ SELECT page_id, {_SQL_HOST.format("url")} AS host, {_SQL_PATH.format("url")} AS
 FROM pages LEFT JOIN own ON own.h = {_SQL_HOST.format("url")} AND own.p = {_SQL_PATH.format("url")}
      LEFT JOIN bad ON bad.k = {_SQL_KEY.format("url")} LEFT JOIN low ON low.k = {_SQL_KEY.format("url")}"""
 
+
+TOKENIZER = "word_bpe_49k.json"
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def _chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame(
+        [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)], "conv_id long, turn long, role string, text string"
+    )
+    return chat.read_back(chat.format_conversations(turns.unionByName(extra)), ordered=True).drop("n_parts")
+
+
+SQL_CHAT = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, '### ' || replace(replace(replace(replace(role, '\', '\\'), ':', '\:'), '#', '\#'), '<', '\<') || ': '
+             || replace(replace(replace(text, '\', '\\'), '### ', '\### '), '</turn>', '\</turn>') || '</turn>' || chr(10) AS formatted FROM c)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, formatted)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, formatted) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(length(formatted))::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id"""
+
+
+def _mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
+def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
+SQL_NEAR = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS sh FROM d, unnest(range(1, greatest(len(w) - 1, 2))) r(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach(x, y) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.x, l.y FROM reach r JOIN link l ON l.x = r.y)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, min(y) AS component_id, d.doc_id = min(y) AS kept
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN reach ON x = d.doc_id GROUP BY d.doc_id, n"""
+
+
+def _toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan_secrets(table(spark, sf_dir, "documents"))
+
+
+def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": Query(_licenses, _sql_licenses()),
+    "op2_chat_formatting": Query(_chat, SQL_CHAT),
     "op3_benchmark_decontamination": Query(_decontamination, SQL_DECONTAMINATION),
+    "op4_source_mixing": Query(_mixture),
+    "op5_minhash_near_dedup": Query(_near, SQL_NEAR),
+    "op6_toxicity": Query(_toxicity),
+    "op7_document_fingerprints": Query(_fingerprints),
+    "op8_secret_scan": Query(_secrets),
+    "op9_token_counts": Query(_tokens),
     "op10_url_filter": Query(_urls, SQL_URLS),
 }
