@@ -1,12 +1,13 @@
 """Toxicity: misspelled terms by Levenshtein automata over a lexicon trie, scored in their context.
 
-The lexicon is learned: words that stand in far more documents labelled toxic than others, beyond
+The lexicon is learned: words, and stems of longer words (written with a star), that stand in far more documents labelled toxic than others, beyond
 chance over the whole vocabulary, and after many different words (a word that always follows the
 same one comes from copies of one passage). The terms form a trie; the automaton of all words
 within the allowed edit distance of some term is the trie crossed with edit states, and is made
 deterministic step by step as words run through it. Every hit is weighed by its surroundings:
-quotation marks and words of reporting lower it, direct address raises it. A logistic model turns
-a document's hit features into a score.
+quotation marks and words of reporting lower it, direct address raises it. A word near a term that also
+stands in documents labelled clean is no misspelling and does not count. A logistic model turns a
+document's hit features into a score.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ FIT_ROWS = 20_000  # labelled rows, by hash of their id, that the lexicon and th
 LEAST_DOCS = 3  # toxic documents that must hold a term
 LEAST_LIFT = 5.0  # times as frequent in toxic documents as in others
 MOST_TERMS = 2_000  # terms in a lexicon, the most telling first
+STEMS = (4, 5, 6, 7)  # letters of the stems that are tried
 WINDOW = 8  # words on either side of a hit
 FOLDS, HELD_OUT = 5, 0
 
@@ -41,7 +43,7 @@ ADDRESS = frozenset("you your youre yourself u ur du dich dir dein deine ihr tu
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-FEATURES = ("any", "exact", "fuzzy", "peak", "density", "reported")
+FEATURES = ("any", "total", "peak", "density", "reported")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -50,19 +52,21 @@ def held_out(doc_id: Column) -> Column:
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 8 else 2
 
 
 class LexiconAutomaton:
     """Accepts all words within the allowed distance of a term, and says which term and distance."""
 
-    def __init__(self, terms: dict[str, float]):
+    def __init__(self, terms: dict[str, float], ordinary: frozenset[str] = frozenset()):
+        self.ordinary = ordinary
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.stem: dict[int, str] = {}
         self.room: list[int] = [0]  # the largest distance allowed below a node
         for word in terms:
             node = 0
-            for c in word:
+            for c in word.removesuffix("*"):
                 self.room[node] = max(self.room[node], edits_allowed(word))
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
@@ -71,7 +75,10 @@ class LexiconAutomaton:
                     self.room.append(0)
                 node = self.children[node][c]
             self.room[node] = max(self.room[node], edits_allowed(word))
-            self.term[node] = word
+            if word.endswith("*"):
+                self.stem[node] = word
+            else:
+                self.term[node] = word
         self.start = self._closed({0: 0})
         self.steps: dict[tuple, dict[str, tuple]] = {}
 
@@ -103,17 +110,21 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term and its distance; of equally near ones the first in order."""
-        states = self.start
+        states, stem = self.start, None
         for c in word:
+            if stem is None and self.stem:
+                stem = next(((self.stem[n], 0) for n, e in states if e == 0 and n in self.stem), None)
             known = self.steps.setdefault(states, {})
             after = known.get(c)
             if after is None:
                 after = known[c] = self._step(states, c)
             if not after:
-                return None
+                return stem
             states = after
         found = [(e, self.term[n]) for n, e in states if self.term[n] is not None and e <= edits_allowed(self.term[n])]
-        return min(found)[::-1] if found else None
+        if not found or min(found)[0] and word in self.ordinary:
+            return stem
+        return min(found)[::-1]
 
 
 def document_features(text: str | None, terms: dict[str, float], automaton: LexiconAutomaton, cache: dict) -> tuple[float, ...]:
@@ -131,14 +142,13 @@ def document_features(text: str | None, terms: dict[str, float], automaton: Lexi
     if not hits:
         return (0.0,) * len(FEATURES)
     spans, places = [m.span() for m in _WORD.finditer(low)], []
-    exact = fuzzy = reported = 0.0
+    total = reported = 0.0
     for i, (term, edits) in hits:
         near = words[max(0, i - WINDOW) : i + WINDOW + 1]
         quoted = _in_quotes(low, *spans[i]) or any(w in REPORTING for w in words[max(0, i - WINDOW) : i])
         weight = terms[term] * (1.0 if edits == 0 else 0.7 if edits == 1 else 0.5)
         weight *= 0.25 if quoted else 1.5 if any(w in ADDRESS for w in near) else 1.0
-        exact += weight if edits == 0 else 0.0
-        fuzzy += weight if edits else 0.0
+        total += weight
         reported += quoted
         places.append((i, weight))
     peak, inside, first = 0.0, 0.0, 0
@@ -148,7 +158,7 @@ def document_features(text: str | None, terms: dict[str, float], automaton: Lexi
             inside -= places[first][1]
             first += 1
         peak = max(peak, inside)
-    return (1.0, log1p(exact), log1p(fuzzy), log1p(peak), log1p(100 * (exact + fuzzy) / len(words)), reported / len(hits))
+    return (1.0, log1p(total), log1p(peak), log1p(100 * total / len(words)), reported / len(hits))
 
 
 def _in_quotes(text: str, start: int, end: int) -> bool:
@@ -162,6 +172,7 @@ def _in_quotes(text: str, start: int, end: int) -> bool:
 @dataclass(frozen=True)
 class Model:
     terms: dict[str, float]
+    ordinary: frozenset[str]  # words near a term that clean documents hold
     weights: np.ndarray  # of FEATURES, and the constant last
 
     def score(self, features: np.ndarray) -> np.ndarray:
@@ -181,7 +192,7 @@ def learn_terms(texts: DataFrame) -> dict[str, float]:
     bad, good = int(size["bad"] or 0), size["n"] - int(size["bad"] or 0)
     if not bad or not good:
         return {}
-    counts = kept.select("toxic", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(
+    counts = kept.select("toxic", F.explode(F.array_distinct(_entries(F.col("words")))).alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")
     ).where(F.col("a") >= LEAST_DOCS).checkpoint()
     vocabulary = max(2, counts.count())
@@ -195,20 +206,47 @@ def learn_terms(texts: DataFrame) -> dict[str, float]:
 
     lift = (a / bad) / ((b + 0.5) / good)
     told = counts.withColumn("g", 2 * (part(a, bad) + part(b, good))).where((lift >= LEAST_LIFT) & (F.col("g") >= 2 * log(vocabulary) + 14))
-    candidates = told.orderBy(F.desc("g"), "word").limit(MOST_TERMS).select("word", "a", "b")
+    candidates = told.orderBy(F.desc("g"), F.col("word").endswith("*"), F.desc(F.length("word")), "word").limit(MOST_TERMS).select("word", "a", "b", "g")
     before = kept.where("toxic = 1").select(
-        F.explode(F.transform("words", lambda w, i: F.struct(w.alias("word"), F.when(i > 0, F.get("words", i - 1)).alias("prev")))).alias("x")
-    ).select("x.word", "x.prev")
-    varied = before.join(F.broadcast(candidates), "word").groupBy("word", "a", "b").agg(F.countDistinct("prev").alias("places"))
+        F.explode(F.transform("words", lambda w, i: F.struct(F.array(w).alias("one"), F.when(i > 0, F.get("words", i - 1)).alias("prev")))).alias("x")
+    ).select(F.explode(_entries(F.col("x.one"))).alias("word"), "x.prev")
+    varied = before.join(F.broadcast(candidates), "word").groupBy("word", "a", "b", "g").agg(F.countDistinct("prev").alias("places"))
     rows = varied.where(F.col("places") >= F.greatest(F.lit(LEAST_DOCS), a * 0.3)).collect()  # at most MOST_TERMS
-    return {r["word"]: log((r["a"] / bad) / ((r["b"] + 0.5) / good)) for r in sorted(rows, key=lambda r: r["word"])}
+    terms: dict[str, float] = {}
+    for r in sorted(rows, key=lambda r: (-r["g"], r["word"].endswith("*"), -len(r["word"]), r["word"])):
+        bare = r["word"].removesuffix("*")
+        covered = any(bare.startswith(t[:-1]) for t in terms if t.endswith("*"))
+        if not covered and not (bare != r["word"] and any(t.startswith(bare) for t in terms)):
+            terms[r["word"]] = log((r["a"] / bad) / ((r["b"] + 0.5) / good))
+    return terms
 
 
-def features_of(docs: DataFrame, terms: dict[str, float], keep: list[str]) -> DataFrame:
+def _entries(words: Column) -> Column:
+    """The words and, with a star, the stems of those that are longer."""
+    stems = [F.transform(F.filter(words, lambda w: F.length(w) > k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*"))) for k in STEMS]
+    return F.concat(words, *stems)
+
+
+def ordinary_words(texts: DataFrame, terms: dict[str, float]) -> frozenset[str]:
+    """The words of ``texts`` that are near a term without being one; few, as only near misses are kept."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        automaton = LexiconAutomaton(terms)
+        for batch in batches:
+            found = set()
+            for text in batch.column(0):
+                found.update(_WORD.findall((text.as_py() or "").translate(_UPPER)))
+            near = [w for w in found if (automaton.match(w) or ("", 0))[1]]
+            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], names=["word"])
+
+    return frozenset(r["word"] for r in texts.select("text").mapInArrow(run, "word string").distinct().collect())
+
+
+def features_of(docs: DataFrame, terms: dict[str, float], ordinary: frozenset[str], keep: list[str]) -> DataFrame:
     """``keep`` columns and ``features`` (array of doubles) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, cache = LexiconAutomaton(terms), {}
+        automaton, cache = LexiconAutomaton(terms, ordinary), {}
         for batch in batches:
             found = [list(document_features(t.as_py(), terms, automaton, cache)) for t in batch.column(len(keep))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(found, pa.list_(pa.float64()))], names=[*keep, "features"])
@@ -218,7 +256,7 @@ def features_of(docs: DataFrame, terms: dict[str, float], keep: list[str]) -> Da
     return wanted.mapInArrow(run, f"{schema}, features array<double>")
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 50) -> np.ndarray:
     """Weights and constant by Newton steps with a small ridge."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
@@ -247,21 +285,22 @@ def learn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model
     ensure_checkpoint_dir(docs.sparkSession)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").checkpoint()
     terms = learn_terms(rows)
-    fitted = features_of(rows, terms, ["doc_id", "toxic"]).select("toxic", "features").collect() if terms else []
     if not terms:
         share = rows.agg(F.avg("toxic").alias("share")).first()["share"] or 0.0
         share = min(max(share, 1e-6), 1 - 1e-6)
-        return Model({}, np.array([0.0] * len(FEATURES) + [log(share / (1 - share))]))
+        return Model({}, frozenset(), np.array([0.0] * len(FEATURES) + [log(share / (1 - share))]))
+    ordinary = ordinary_words(rows.where("toxic = 0"), terms)
+    fitted = features_of(rows, terms, ordinary, ["toxic"]).collect()  # at most fit_rows
     x = np.array([r["features"] for r in fitted])
     y = np.array([r["toxic"] for r in fitted], float)
-    return Model(terms, fit_logistic(x, y))
+    return Model(terms, ordinary, fit_logistic(x, y))
 
 
 def score_toxicity(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (doc_id), score and predicted of every row; null and empty texts score as texts without hits."""
     keep = keep or ["doc_id"]
     weights = model.weights
-    found = features_of(docs, model.terms, keep)
+    found = features_of(docs, model.terms, model.ordinary, keep)
     line = F.aggregate(
         F.arrays_zip(F.col("features"), F.array(*[F.lit(float(w)) for w in weights[:-1]]).alias("w")),
         F.lit(float(weights[-1])),
@@ -284,11 +323,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Da
 def acceptable(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The rows of ``docs`` not predicted toxic, all columns as they were."""
     model = learn(docs, labels, fit_rows)
-    terms, weights = model.terms, model.weights
+    terms, ordinary, weights = model.terms, model.ordinary, model.weights
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, cache = LexiconAutomaton(terms), {}
+        automaton, cache = LexiconAutomaton(terms, ordinary), {}
         for batch in batches:
             found = np.array([document_features(t.as_py(), terms, automaton, cache) for t in batch.column(at)]).reshape(-1, len(FEATURES))
             yield batch.filter(pa.array(found @ weights[:-1] + weights[-1] < 0))
