@@ -84,8 +84,18 @@ def ratio(num: Column, den: Column, scale: float = 1.0, digits: int = 2) -> Colu
 
 
 def truncated_div(num: Column, den: Column) -> Column:
-    """Integer division that drops the fraction, NULL on a zero denominator."""
-    return F.floor(num / F.nullif(den, F.lit(0)))
+    """Integer division of whole numbers that drops the fraction, exact beyond 2^53; NULL on a zero denominator."""
+    return F.call_function("div", num.cast("bigint"), F.nullif(den.cast("bigint"), F.lit(0).cast("bigint")))
+
+
+def not_in(col: Column, names: Sequence[str]) -> Column:
+    """Whether a value is none of the names; a NULL is none of them."""
+    return ~F.coalesce(col.isin(list(names)), F.lit(False))
+
+
+def not_like(col: Column, pattern: str) -> Column:
+    """Whether a text does not match; a NULL does not."""
+    return ~F.coalesce(col.like(pattern), F.lit(False))
 
 
 def total(col: Column) -> Column:
@@ -97,11 +107,6 @@ def count_if(condition: Column) -> Column:
     return F.count(F.when(condition, 1))
 
 
-def scalar_of(df: DataFrame, value: Column) -> Column:
-    """A one-row aggregate as an uncorrelated scalar subquery (no join, no extra shuffle of df)."""
-    return df.select(value).scalar()
-
-
 def ordered_names(order: Column, name: Column) -> Column:
     """Array of names in the given order. Only for groups bounded by design (index key columns)."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("k"), name.alias("v"))))
@@ -137,9 +142,11 @@ def format_rate_mb(col: Column) -> Column:
     )
 
 
-def fill_template(template: Column, value: Column) -> Column:
-    """Put the value in place of ``{0}``."""
-    return F.replace(template, F.lit("{0}"), value)
+def fill_template(template: Column, *values: Column) -> Column:
+    """Put the values in place of ``{0}``, ``{1}``, ...; a missing value leaves an empty place."""
+    for i, value in enumerate(values):
+        template = F.replace(template, F.lit(f"{{{i}}}"), F.coalesce(value, F.lit("")))
+    return template
 
 
 def type_text(base: Column, length: Column, precision: Column, scale: Column) -> Column:

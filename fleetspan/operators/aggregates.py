@@ -17,6 +17,8 @@ from fleetspan.functions.expr import (
     count_if,
     first_match,
     format_rate_mb,
+    not_in,
+    not_like,
     ratio,
     total,
     trunc_ts,
@@ -71,7 +73,7 @@ def backup_status(
     newest = backups.groupBy(*keys).agg(
         F.max("backup_start").alias("last_start"),
         F.max("backup_finish").alias("last_finish"),
-        F.max("backup_size_mb").alias("last_size_mb"),
+        F.max_by("backup_size_mb", "backup_finish").alias("last_size_mb"),
     )
     return _judge(newest, as_of, profile)
 
@@ -85,12 +87,15 @@ def _judge(newest: DataFrame, as_of: datetime, profile: str) -> DataFrame:
 def database_backup_status(
     databases: DataFrame, backups: DataFrame, as_of: datetime, skip: Sequence[str] = ("model", "tempdb")
 ) -> DataFrame:
-    """Every database with its newest full backup, also those that have none."""
+    """Every database of every server with its newest full backup, also those that have none."""
     newest = (
-        backups.where(F.col("backup_type") == "D").groupBy("database_name").agg(F.max("backup_finish").alias("last_finish"))
+        backups.where(F.col("backup_type") == "D")
+        .groupBy("server_name", "database_name")
+        .agg(F.max("backup_finish").alias("last_finish"))
     )
-    listed = databases.where(~F.col("database_name").isin(list(skip))).select("database_name").distinct()
-    return _judge(listed.join(newest, "database_name", "left"), as_of, "health")
+    named = not_in(F.col("database_name"), skip)
+    listed = databases.where(named).select("server_name", "database_name").distinct()
+    return _judge(listed.join(newest, ["server_name", "database_name"], "left"), as_of, "health")
 
 
 def backup_chain(backups: DataFrame, as_of: datetime, profile: str = "any_status") -> DataFrame:
@@ -168,7 +173,7 @@ def growth_summary(history: DataFrame, as_of: datetime, by: str, value: str, day
 
 def growth_projection(history: DataFrame, as_of: datetime, days: int = 30, limits: DataFrame | None = None) -> DataFrame:
     """Daily growth of growing databases, days until the size doubles, and, where a maximum
-    is known (``limits``: database_name, max_mb), days until it is reached."""
+    is known (``limits``: server_name, database_name, max_mb), days until it is reached."""
     spans = (
         history.where(F.col("capture_time") >= before(as_of, days=days))
         .groupBy("server_name", "database_name")
@@ -186,8 +191,8 @@ def growth_projection(history: DataFrame, as_of: datetime, days: int = 30, limit
     per_day = F.when(F.col("daily_growth_mb") > 0, F.col("daily_growth_mb"))
     out = out.withColumn("days_to_double", F.floor(F.col("current_mb") / per_day))
     if limits is not None:
-        room = limits.groupBy("database_name").agg(F.max("max_mb").alias("max_mb"))
-        out = out.join(room, "database_name", "left")
+        room = limits.groupBy("server_name", "database_name").agg(F.max("max_mb").alias("max_mb"))
+        out = out.join(room, ["server_name", "database_name"], "left")
     else:
         out = out.withColumn("max_mb", F.lit(None).cast("bigint"))
     return out.select(
@@ -243,11 +248,11 @@ def growth_rate(history: DataFrame) -> DataFrame:
 
 
 def storage_by_schema(tables: DataFrame, skip_schemas: Sequence[str] = rules.SYSTEM_SCHEMAS) -> DataFrame:
-    """Total, data and index MB and table count per schema."""
+    """Total, data and index MB and table count per server, database and schema."""
     mb = lambda c: F.round(total(c).cast("double") / MB, 2)
     return (
-        tables.where(~F.col("schema_name").isin(list(skip_schemas)))
-        .groupBy("schema_name")
+        tables.where(not_in(F.col("schema_name"), skip_schemas))
+        .groupBy("server_name", "database_name", "schema_name")
         .agg(
             mb(F.col("table_bytes") + F.col("index_bytes")).alias("total_mb"),
             mb(F.col("table_bytes")).alias("data_mb"),
@@ -258,8 +263,8 @@ def storage_by_schema(tables: DataFrame, skip_schemas: Sequence[str] = rules.SYS
 
 
 def storage_by_file_kind(files: DataFrame, by: str = "database_name") -> DataFrame:
-    """Data and log size and used share per database (or tablespace)."""
-    return files.groupBy(by).agg(
+    """Data and log size and used share per server and database (or tablespace)."""
+    return files.groupBy("server_name", by).agg(
         total(F.when(F.col("file_type") == "ROWS", F.col("size_mb")).otherwise(0)).alias("data_mb"),
         total(F.when(F.col("file_type") == "LOG", F.col("size_mb")).otherwise(0)).alias("log_mb"),
         total(F.col("size_mb")).alias("total_mb"),
@@ -286,7 +291,7 @@ def baseline(waits: DataFrame, counters: DataFrame, queries: DataFrame, as_of: d
         .agg(mean("counter_value")),
         recent(queries)
         .groupBy("server_name", source("query"), F.concat(F.lit("Query_AvgElapsed_"), "database_name").alias("metric_name"))
-        .agg(mean(F.floor(F.col("total_elapsed_ms") / F.nullif(F.col("exec_count"), F.lit(0))))),
+        .agg(mean(truncated_div(F.col("total_elapsed_ms"), F.col("exec_count")))),
     ]
     merged = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return merged.withColumns({"metric_type": F.lit("AVG"), "baseline_date": F.to_date(at(as_of))})
@@ -405,7 +410,7 @@ def connection_summary(sessions: DataFrame, as_of: datetime) -> DataFrame:
 def connections_by_origin(sessions: DataFrame, skip_program_like: str = "%(PZ%)") -> DataFrame:
     """Sessions per user, program, machine and state; parallel workers are left out."""
     return (
-        sessions.where(F.col("login_name").isNotNull() & ~F.col("program_name").like(skip_program_like))
+        sessions.where(F.col("login_name").isNotNull() & not_like(F.col("program_name"), skip_program_like))
         .groupBy("login_name", "program_name", "host_name", "status")
         .agg(F.count("*").alias("session_count"), F.max("query_start").alias("last_start"))
     )
@@ -419,12 +424,15 @@ def state_pivot(df: DataFrame, by: Sequence[str | Column], state: str, states: d
 
 
 def connection_limit(sessions: DataFrame, max_connections: int) -> DataFrame:
-    """Connections in use against the limit."""
-    used = sessions.agg(F.count("*").alias("current_connections"))
+    """Connections of each server at each capture against the limit of a server; ``usage`` is unrounded, for comparisons."""
+    used = sessions.groupBy("server_name", "capture_time").agg(F.count("*").alias("current_connections"))
     pct = F.col("current_connections").cast("double") * 100 / F.lit(max_connections)
     return used.select(
+        "server_name",
+        "capture_time",
         "current_connections",
         F.lit(max_connections).cast("bigint").alias("max_connections"),
+        pct.alias("usage"),
         F.round(pct, 2).alias("usage_pct"),
         band(pct, rules.CONNECTION_BAND, "OK").alias("status"),
     )
@@ -438,27 +446,30 @@ def wait_event_counts(sessions: DataFrame) -> DataFrame:
 
 
 def lock_summary(locks: DataFrame) -> DataFrame:
-    """Lock count per relation, type, mode and state."""
+    """Lock count per server, capture, relation, type, mode and state."""
     return locks.groupBy(
-        "relation_id", "locktype", "lock_mode", F.when(F.col("granted") == 1, "GRANTED").otherwise("WAITING").alias("lock_status")
+        "server_name", "capture_time", "relation_id", "locktype", "lock_mode",
+        F.when(F.col("granted") == 1, "GRANTED").otherwise("WAITING").alias("lock_status"),
     ).agg(F.count("*").alias("lock_count"))
 
 
 def lock_monitor(locks: DataFrame, sessions: DataFrame) -> DataFrame:
-    """Total locks, blocked sessions and the highest blocking session, as one row."""
-    blocked = sessions.where(F.col("blocking_session_id") > 0)
-    return locks.agg(F.count("*").alias("total_locks")).select(
-        "total_locks",
-        blocked.select(F.count("*")).scalar().alias("blocked_sessions"),
-        blocked.select(F.max("blocking_session_id")).scalar().alias("top_blocking_session"),
+    """Total locks, blocked sessions and the highest blocking session, one row per server and capture."""
+    key = ["server_name", "capture_time"]
+    blocked = sessions.where(F.col("blocking_session_id") > 0).groupBy(*key).agg(
+        F.count("*").alias("blocked_sessions"), F.max("blocking_session_id").alias("top_blocking_session")
     )
+    totals = locks.groupBy(*key).agg(F.count("*").alias("total_locks"))
+    return totals.join(blocked, key, "left").withColumn("blocked_sessions", F.coalesce("blocked_sessions", F.lit(0).cast("bigint")))
 
 
 def lock_details(locks: DataFrame, sessions: DataFrame) -> DataFrame:
     """One line of text per lock of a blocked session (the monitor's details, a row each)."""
-    blocked = sessions.where(F.col("blocking_session_id") > 0).select(F.col("session_id").alias("pid"), "blocking_session_id")
+    key = ["server_name", "capture_time"]
+    blocked = sessions.where(F.col("blocking_session_id") > 0).select(*key, F.col("session_id").alias("pid"), "blocking_session_id")
     where = F.coalesce(F.concat(F.lit(" on relation "), F.col("relation_id").cast("string")), F.lit(""))
-    return locks.join(blocked, "pid").select(
+    return locks.join(blocked, [*key, "pid"]).select(
+        *key,
         "pid",
         F.concat(
             F.col("pid").cast("string"), F.lit(" blocked by "), F.col("blocking_session_id").cast("string"), where
@@ -507,43 +518,45 @@ def mark_processed(archive: DataFrame, as_of: datetime) -> DataFrame:
 
 
 def job_summary(history: DataFrame) -> DataFrame:
-    """Runs per server, job and day with outcomes, mean duration and the last run."""
-    status = F.col("run_status")
-    last = F.max_by(F.struct("run_status", "run_time"), F.struct("run_time", "run_id"))
-    return (
-        history.groupBy("server_name", "job_name", F.to_date("run_time").alias("run_date"))
-        .agg(
-            F.count("*").alias("total_runs"),
-            count_if(status == 1).alias("succeeded_runs"),
-            count_if(status == 0).alias("failed_runs"),
-            count_if(status == 3).alias("canceled_runs"),
-            _mean("duration_s").alias("avg_duration_s"),
-            last.alias("last"),
-        )
-        .withColumns(
-            {
-                "last_run_status": first_match(
-                    [(F.col("last.run_status") == code, label) for code, label in rules.JOB_STATUS.items()], "Unknown"
-                ),
-                "last_run_time": F.col("last.run_time"),
-            }
-        )
-        .drop("last")
-    )
+    """Runs per server, job and day with outcomes, mean duration and the last run.
 
-
-def duplicate_savings(duplicates: DataFrame, by: str = "table_name") -> DataFrame:
+    The buffers hold numbers only: the last run is the largest (time, run id), its status comes back by a join.
+    """
+    status = F.col("run_status")
+    key = ["server_name", "job_name", "run_date"]
+    runs = history.withColumn("run_date", F.to_date("run_time"))
+    out = runs.groupBy(*key).agg(
+        F.count("*").alias("total_runs"),
+        count_if(status == 1).alias("succeeded_runs"),
+        count_if(status == 0).alias("failed_runs"),
+        count_if(status == 3).alias("canceled_runs"),
+        _mean("duration_s").alias("avg_duration_s"),
+        F.max("run_time").alias("last_run_time"),
+    )
+    newest = out.select(*key, F.col("last_run_time").alias("run_time"))
+    ended = runs.join(newest, [*key, "run_time"]).groupBy(*key).agg(F.max_by("run_status", "run_id").alias("last_status"))
+    label = first_match([(F.col("last_status") == code, text) for code, text in rules.JOB_STATUS.items()], "Unknown")
+    return out.join(ended, key).withColumn("last_run_status", label).drop("last_status")
+
+
+def duplicate_savings(duplicates: DataFrame, by: Sequence[str] = ("server_name", "database_name")) -> DataFrame:
     """Space to gain per group; an index found redundant in two ways counts once."""
-    once = duplicates.groupBy(by, "index2_name").agg(
-        F.max("savings_kb").alias("savings_kb"), F.max("recommendation").alias("recommendation")
+    index = ["server_name", "database_name", "schema_name", "table_name", "index2_name"]
+    once = duplicates.groupBy(*index).agg(
+        F.max("savings_kb").alias("savings_kb"), F.max((F.col("recommendation") == "DROP Index2").cast("int")).alias("drop_it")
     )
-    return once.groupBy(by).agg(
+    return once.groupBy(*by).agg(
         total(F.col("savings_kb")).alias("total_savings_kb"),
         F.count("*").alias("redundant_indexes"),
-        count_if(F.col("recommendation") == "DROP Index2").alias("actionable"),
+        count_if(F.col("drop_it") == 1).alias("actionable"),
     )
 
 
+def open_duplicates(found: DataFrame, as_of: datetime, days: int = 30) -> DataFrame:
+    """Recorded redundant indexes of the last days that nobody has dealt with (``detected``, ``is_resolved``)."""
+    return found.where((F.col("is_resolved") == 0) & (F.col("detected") >= before(as_of, days=days)))
+
+
 def alert_history(audit: DataFrame) -> DataFrame:
     """Alert occurrences per server, day, alert and detail."""
     return (
@@ -631,7 +644,7 @@ def period_kpis(orders: DataFrame, as_of: datetime) -> DataFrame:
 
 def index_usage_ratio(usage: DataFrame) -> DataFrame:
     """Share of seeks among reads and the last access, per index."""
-    summed = usage.groupBy("table_name", "index_name").agg(
+    summed = usage.groupBy("server_name", "database_name", "schema_name", "table_name", "index_name").agg(
         F.max("user_seeks").alias("user_seeks"),
         F.max("user_scans").alias("user_scans"),
         F.max("user_updates").alias("user_updates"),

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspan.functions import rules
-from fleetspan.functions.expr import any_like, at, before, first_match, total
+from fleetspan.functions.expr import any_like, at, before, first_match, not_in, total, truncated_div
+from fleetspan.operators.grouping import join_groups
 
 MB = 1024 * 1024
 
@@ -51,46 +54,46 @@ def capture_sessions(
     raw: DataFrame,
     as_of: datetime,
     server: str | None = None,
-    text_len: int = 500,
     own_session: int | None = None,
 ) -> DataFrame:
-    """Session rows; the capturing session and rows without a user are left out."""
+    """Session rows with their whole text; the capturing session and rows without a user are left out."""
     kept = raw.where(F.col("login_name").isNotNull())
     if own_session is not None:
         kept = kept.where(F.col("session_id") != own_session)
-    return stamp(kept.withColumn("query_text", F.substring("query_text", 1, text_len)), as_of, server)
+    return stamp(kept, as_of, server)
 
 
 def capture_connection_counts(raw: DataFrame, as_of: datetime) -> DataFrame:
-    counted = raw.groupBy("login_name", F.col("status").alias("command")).agg(F.count("*").alias("connections"))
+    counted = raw.groupBy("server_name", "login_name", F.col("status").alias("command")).agg(F.count("*").alias("connections"))
     return stamp(counted, as_of)
 
 
 def capture_database_sizes(
-    files: DataFrame, databases: DataFrame, as_of: datetime, server: str | None = None, skip: Sequence[str] = ()
+    files: DataFrame, databases: DataFrame, as_of: datetime, skip: Sequence[str] = ()
 ) -> DataFrame:
-    """Data, log, used and free MB per online, writable database.
+    """Data, log, used and free MB per online, writable database of each server.
 
     Files are summed per database before the join, so the join carries one row per database.
     """
-    per_db = files.groupBy("database_name").agg(
+    key = ["server_name", "database_name"]
+    per_db = files.groupBy(*key).agg(
         total(F.when(F.col("file_type") == "ROWS", F.col("size_mb")).otherwise(0)).alias("data_mb"),
         total(F.when(F.col("file_type") == "LOG", F.col("size_mb")).otherwise(0)).alias("log_mb"),
         total(F.col("used_mb")).alias("used_mb"),
         total(F.col("size_mb") - F.col("used_mb")).alias("free_mb"),
     )
     usable = databases.where(
-        (F.col("state_desc") == "ONLINE") & (F.col("is_read_only") == 0) & ~F.col("database_name").isin(list(skip))
-    ).select("database_name")
-    sized = per_db.join(usable, "database_name", "left_semi")
-    return stamp(sized.withColumn("total_mb", F.col("data_mb") + F.col("log_mb")), as_of, server)
+        (F.col("state_desc") == "ONLINE") & (F.col("is_read_only") == 0) & not_in(F.col("database_name"), skip)
+    ).select(*key)
+    sized = per_db.join(usable, key, "left_semi")
+    return stamp(sized.withColumn("total_mb", F.col("data_mb") + F.col("log_mb")), as_of)
 
 
 def capture_tablespace_sizes(files: DataFrame, free: DataFrame, as_of: datetime) -> DataFrame:
-    """Total, used and free MB per tablespace, each side summed before the join; used = total - free."""
-    allocated = files.groupBy("tablespace_name").agg(total(F.col("size_mb")).alias("total_mb"))
-    spare = free.groupBy("tablespace_name").agg(total(F.col("free_mb")).alias("free_mb"))
-    joined = allocated.join(spare, "tablespace_name", "left").withColumn(
+    """Total, used and free MB per server and tablespace, each side summed before the join; used = total - free."""
+    allocated = files.groupBy("server_name", "tablespace_name").agg(total(F.col("size_mb")).alias("total_mb"))
+    spare = free.groupBy("server_name", "tablespace_name").agg(total(F.col("free_mb")).alias("free_mb"))
+    joined = allocated.join(spare, ["server_name", "tablespace_name"], "left").withColumn(
         "free_mb", F.coalesce("free_mb", F.lit(0).cast("bigint"))
     )
     used = F.col("total_mb") - F.col("free_mb")
@@ -107,7 +110,9 @@ def capture_table_sizes(tables: DataFrame, as_of: datetime, skip_schemas: Sequen
     mb = lambda c: F.round(c.cast("double") / MB, 2)
     both = F.col("table_bytes") + F.col("index_bytes")
     return stamp(
-        tables.where(~F.col("schema_name").isin(list(skip_schemas))).select(
+        tables.where(not_in(F.col("schema_name"), skip_schemas)).select(
+            "server_name",
+            "database_name",
             "schema_name",
             "table_name",
             "table_bytes",
@@ -126,8 +131,8 @@ def capture_table_sizes(tables: DataFrame, as_of: datetime, skip_schemas: Sequen
 def capture_segment_sizes(segments: DataFrame, as_of: datetime, skip_owners: Sequence[str] = ("SYS", "SYSTEM")) -> DataFrame:
     """Variant that sums partitioned tables per owner, table and tablespace."""
     summed = (
-        segments.where(~F.col("owner").isin(list(skip_owners)))
-        .groupBy("owner", "table_name", "tablespace_name")
+        segments.where(not_in(F.col("owner"), skip_owners))
+        .groupBy("server_name", "owner", "table_name", "tablespace_name")
         .agg(
             F.round(total(F.col("bytes")).cast("double") / MB, 2).alias("size_mb"),
             total(F.col("num_rows")).alias("num_rows"),
@@ -140,7 +145,7 @@ def capture_index_stats(indexes: DataFrame, as_of: datetime) -> DataFrame:
     """Usage and shape of every index at one instant."""
     return stamp(
         indexes.select(
-            "table_name", "index_name", "is_unique", "used_pages", "user_seeks", "user_scans", "user_lookups", "user_updates"
+            "server_name", "database_name", "schema_name", "table_name", "index_name", "is_unique", "used_pages", "user_seeks", "user_scans", "user_lookups", "user_updates"
         ),
         as_of,
     )
@@ -153,38 +158,62 @@ def capture_query_stats(
     top: int = 100,
     min_elapsed: int = 1000,
     min_calls: int = 0,
-    text_len: int = 1000,
     key: Sequence[str] = ("query_hash",),
 ) -> DataFrame:
-    """The heaviest statements by total elapsed time, with per-execution averages."""
-    runs = F.nullif(F.col("exec_count"), F.lit(0))
+    """Each server's ``top`` heaviest statements by total elapsed time, whole texts, with per-execution averages.
+
+    ``top`` is a length per server, so a quiet server keeps its statements beside a busy one. Spark takes the first
+    rows of each server in every task before the shuffle.
+    """
+    named = raw if server is None else raw.withColumn("server_name", F.lit(server))
+    order = W.partitionBy("server_name").orderBy(F.desc("total_elapsed_ms"), *key)
     heavy = (
-        raw.where((F.col("total_elapsed_ms") >= min_elapsed) & (F.col("exec_count") >= min_calls))
-        .orderBy(F.desc("total_elapsed_ms"), *key)
-        .limit(top)
+        named.where((F.col("total_elapsed_ms") >= min_elapsed) & (F.col("exec_count") >= min_calls))
+        .withColumn("place", F.row_number().over(order))
+        .where(F.col("place") <= top)
+        .drop("place")
     )
     return stamp(
         heavy.withColumns(
             {
-                "query_text": F.substring("query_text", 1, text_len),
-                "avg_elapsed_ms": F.floor(F.col("total_elapsed_ms") / runs),
-                "avg_logical_reads": F.floor(F.col("logical_reads") / runs),
+                "avg_elapsed_ms": truncated_div(F.col("total_elapsed_ms"), F.col("exec_count")),
+                "avg_logical_reads": truncated_div(F.col("logical_reads"), F.col("exec_count")),
             }
         ),
         as_of,
-        server,
     )
 
 
 def upsert_latest(stored: DataFrame, batch: DataFrame, keys: Sequence[str], time_col: str = "capture_time") -> DataFrame:
     """Insert new keys and replace known ones: the newest row of every key.
 
-    ``max_by`` is combined on the map side, so a hot key shrinks to one row per task before the shuffle.
+    The aggregate holds the time only, combined on the map side, so a hot key shrinks to one row per
+    task before the shuffle. Its rows are joined back; of several rows with the newest time the
+    largest by its other columns stays.
     """
     both = stored.unionByName(batch)
-    rest = [c for c in both.columns if c not in keys]
-    newest = F.max_by(F.struct(*rest), F.struct(F.col(time_col), *[c for c in rest if c != time_col]))
-    return both.groupBy(*keys).agg(newest.alias("r")).select(*keys, *[F.col(f"r.{c}").alias(c) for c in rest])
+    rest = [c for c in both.columns if c not in keys and c != time_col]
+    newest = join_groups(both, both.groupBy(*keys).agg(F.max(time_col).alias(time_col)), [*keys, time_col], "left_semi")
+    several = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in rest])
+    return newest.withColumn("place", F.row_number().over(several)).where("place = 1").drop("place").select(*keys, time_col, *rest)
+
+
+def upsert_store(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], buckets: int = 64, time_col: str = "capture_time") -> None:
+    """Upsert into a table stored by a hash of its keys; only the folders that the batch touches are written again.
+
+    ``buckets`` is chosen once per store. A repeated batch changes nothing.
+    """
+    placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+    touched = [r[BUCKET] for r in placed.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
+    try:
+        stored = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).select(placed.columns)
+    except AnalysisException:
+        stored = placed.limit(0)
+    merged = upsert_latest(stored, placed, [BUCKET, *keys], time_col).checkpoint()
+    merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
+
+
+BUCKET = "key_bucket"
 
 
 def capture_slow_queries(log: DataFrame, as_of: datetime, hours_back: int) -> DataFrame:
@@ -195,17 +224,31 @@ def capture_slow_queries(log: DataFrame, as_of: datetime, hours_back: int) -> Da
 def capture_status_variables(
     variables: DataFrame, as_of: datetime, prefix: str | None = None, names: Sequence[str] | None = None
 ) -> DataFrame:
-    """Named key/value metrics; size-like names also in GB."""
+    """Key/value metrics by prefix or by name (the standard list unless told otherwise); size-like names also in GB."""
     kept = variables
     if prefix is not None:
         kept = kept.where(F.col("variable_name").startswith(prefix))
-    if names is not None:
-        kept = kept.where(F.col("variable_name").isin(list(names)))
+    if names is not None or prefix is None:
+        kept = kept.where(F.col("variable_name").isin(list(rules.STATUS_VARIABLES if names is None else names)))
     value = F.col("variable_value").cast("double")
     parsed = F.when(F.col("variable_name").ilike("%buffer_pool_size%"), F.round(value / 1024 / 1024 / 1024, 2)).otherwise(value)
     return stamp(kept.withColumn("parsed_value", parsed), as_of)
 
 
+def capture_channels(raw: DataFrame, as_of: datetime) -> DataFrame:
+    """Channel positions: states, seconds behind and events read, as of now."""
+    return raw.select("channel_name", "source_host", "io_state", "sql_state", "seconds_behind", "events_read", "last_error").withColumn(
+        "recorded_at", at(as_of)
+    )
+
+
+def capture_database_sync(raw: DataFrame, as_of: datetime) -> DataFrame:
+    """Synchronisation state per group, replica and database, with whether it is in step."""
+    return raw.select(
+        "server_name", "ag_name", "replica_name", "database_name", "capture_time", "sync_health", "redo_queue_mb", "send_queue_mb", "last_commit_time"
+    ).withColumns({"is_synchronized": F.when(F.col("sync_health") == "Healthy", 1).otherwise(0), "recorded_at": at(as_of)})
+
+
 def buffer_pool_mb(variables: DataFrame) -> DataFrame:
     """Bytes held by the buffer pool in MB."""
     value = F.col("variable_value").cast("double")
@@ -252,7 +295,7 @@ def capture_contention(raw: DataFrame, as_of: datetime, names: Sequence[str] = r
 def append_audit_events(events: DataFrame, skip_logins: Sequence[str] = rules.SERVICE_LOGINS) -> DataFrame:
     """Login events in one shape: unknown origin filled in, service accounts left out, success flag set."""
     unknown = F.lit("Unknown")
-    return events.where(~F.col("login_name").isin(list(skip_logins))).withColumns(
+    return events.where(not_in(F.col("login_name"), skip_logins)).withColumns(
         {
             "host_name": F.coalesce("host_name", unknown),
             "program_name": F.coalesce("program_name", unknown),

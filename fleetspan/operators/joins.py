@@ -5,21 +5,27 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from fleetspan.functions.expr import at, before, first_match, ordered_names, ratio, seconds_between, total, type_text
-from fleetspan.operators.grouping import join_groups
+from fleetspan.functions.expr import at, before, first_match, ordered_names, ratio, seconds_between, total, truncated_div, type_text
+from fleetspan.operators.grouping import join_groups, latest_snapshot
 from fleetspan.operators.rows import status_band
 from fleetspan.session import ensure_checkpoint_dir
 
 
+SNAPSHOT = ["server_name", "capture_time"]
+
+
 def blocking_pairs(sessions: DataFrame, min_wait_ms: int = 0, how: str = "inner", text_len: int = 100) -> DataFrame:
     """Blocked sessions with their blocker. ``left`` keeps rows whose blocker is gone.
 
-    Session ids are unique, so every blocked row meets at most one blocker row; a
-    blocker that holds up a large share of the sessions is split by the adaptive skew join.
+    A session id means something only on its server at one capture, so every blocked row meets at
+    most one blocker row; a blocker that holds up a large share of the sessions is split by the
+    adaptive skew join.
     """
     w = sessions.where((F.col("blocking_session_id") > 0) & (F.col("wait_time_ms") >= min_wait_ms)).select(
+        *SNAPSHOT,
         F.col("session_id").alias("blocked_session"),
         F.col("blocking_session_id").alias("blocking_session"),
         F.col("login_name").alias("blocked_login"),
@@ -30,16 +36,19 @@ def blocking_pairs(sessions: DataFrame, min_wait_ms: int = 0, how: str = "inner"
         F.substring("query_text", 1, text_len).alias("blocked_query"),
     )
     b = sessions.select(
+        *SNAPSHOT,
         F.col("session_id").alias("blocking_session"),
         F.col("login_name").alias("blocker_login"),
         F.col("status").alias("blocker_status"),
         F.col("program_name").alias("blocker_program"),
         F.substring("query_text", 1, text_len).alias("blocker_query"),
     )
-    return w.join(b, "blocking_session", how)
+    return w.join(b, [*SNAPSHOT, "blocking_session"], how)
 
 
-LOCK_RESOURCE = ["locktype", "database_id", "relation_id", "page_id"]
+LOCK_RESOURCE = [
+    *SNAPSHOT, "locktype", "database_id", "relation_id", "page_id", "tuple_id", "virtualxid", "transactionid", "classid", "objid", "objsubid",
+]
 
 
 def _per_resource(locks: DataFrame, resource: list[str]) -> DataFrame:
@@ -90,34 +99,38 @@ def lock_waits(locks: DataFrame, sessions: DataFrame, as_of: datetime, resource:
         )
     )
     blocked = sessions.select(
+        *SNAPSHOT,
         F.col("session_id").alias("blocked_pid"),
         F.col("login_name").alias("blocked_user"),
         F.col("query_text").alias("blocked_query"),
         F.col("query_start").alias("blocked_since"),
     )
     blocking = sessions.select(
+        *SNAPSHOT,
         F.col("session_id").alias("blocking_pid"),
         F.col("login_name").alias("blocking_user"),
         F.col("query_text").alias("blocking_query"),
     )
     return (
-        matched.join(blocked, "blocked_pid")
-        .join(blocking, "blocking_pid")
+        matched.join(blocked, [*SNAPSHOT, "blocked_pid"])
+        .join(blocking, [*SNAPSHOT, "blocking_pid"])
         .withColumn("wait_s", seconds_between(F.col("blocked_since"), at(as_of)))
     )
 
 
 def _resolve_roots(edges: DataFrame) -> DataFrame:
-    """(session_id, root, hops, resolved) for edges (session_id, blocker) by pointer doubling.
+    """(server, capture, session_id, root, hops, resolved) for edges (..., session_id, blocker) by pointer doubling.
 
     A round joins every unresolved pointer with the pointer of its target, which
-    doubles the distance covered: a chain of n sessions takes log2(n) rounds. Rows
-    still unresolved once the distance exceeds the number of edges lead into a cycle.
+    doubles the distance covered: a chain of n sessions takes log2(n) rounds. Only the rows that
+    moved are written again. Rows still unresolved once the distance exceeds the number of edges
+    lead into a cycle.
     """
-    known = edges.select(F.col("session_id").alias("target"), F.lit(True).alias("target_blocked"))
+    known = edges.select(*SNAPSHOT, F.col("session_id").alias("blocker"), F.lit(True).alias("target_blocked"))
     pointers = (
-        edges.join(known, edges["blocker"] == known["target"], "left")
+        edges.join(known, [*SNAPSHOT, "blocker"], "left")
         .select(
+            *SNAPSHOT,
             "session_id",
             F.col("blocker").alias("root"),
             F.lit(1).cast("bigint").alias("hops"),
@@ -126,53 +139,55 @@ def _resolve_roots(edges: DataFrame) -> DataFrame:
         .checkpoint()
     )
     limit = pointers.count()
+    done, open_ = pointers.where("resolved"), pointers.where(~F.col("resolved"))
     reach = 1
-    while reach <= limit and not pointers.where(~F.col("resolved")).isEmpty():
-        nxt = pointers.select(
+    while reach <= limit and not open_.isEmpty():
+        nxt = done.unionByName(open_).select(
+            *SNAPSHOT,
             F.col("session_id").alias("root"),
             F.col("root").alias("next_root"),
             F.col("hops").alias("next_hops"),
             F.col("resolved").alias("next_resolved"),
         )
         moved = (
-            pointers.where(~F.col("resolved"))
-            .join(nxt, "root")
+            open_.join(nxt, [*SNAPSHOT, "root"])
             .select(
+                *SNAPSHOT,
                 "session_id",
                 F.col("next_root").alias("root"),
                 (F.col("hops") + F.col("next_hops")).alias("hops"),
                 F.col("next_resolved").alias("resolved"),
             )
+            .checkpoint()
         )
-        pointers = pointers.where("resolved").unionByName(moved).checkpoint()
+        done, open_ = done.unionByName(moved.where("resolved")), moved.where(~F.col("resolved"))
         reach *= 2
-    return pointers
+    return done.unionByName(open_)
 
 
 def _edges(sessions: DataFrame) -> DataFrame:
     return sessions.where(F.col("blocking_session_id") > 0).select(
-        "session_id", F.col("blocking_session_id").alias("blocker")
+        *SNAPSHOT, "session_id", F.col("blocking_session_id").alias("blocker")
     )
 
 
 def blocking_chains(sessions: DataFrame) -> DataFrame:
-    """One row per blocked session: head of its chain, hops to it, indented id.
+    """One row per blocked session: head of its chain and hops to it.
 
     Sessions that block each other in a circle have no head: ``chain_state`` is CYCLE.
     """
     ensure_checkpoint_dir(sessions.sparkSession)
     roots = _resolve_roots(_edges(sessions))
     info = sessions.select(
-        "session_id", F.col("blocking_session_id").alias("blocked_by"), "login_name", "status", "wait_type", "wait_time_ms",
+        *SNAPSHOT, "session_id", F.col("blocking_session_id").alias("blocked_by"), "login_name", "status", "wait_type", "wait_time_ms",
         F.substring("query_text", 1, 150).alias("current_query"),
     )
-    level = F.when(F.col("resolved"), F.col("hops"))
-    return roots.join(info, "session_id").select(
+    return roots.join(info, [*SNAPSHOT, "session_id"]).select(
+        *SNAPSHOT,
         F.when(F.col("resolved"), F.col("root")).alias("root_blocker"),
         "session_id",
         "blocked_by",
-        level.alias("level"),
-        F.concat(F.repeat(F.lit("  "), F.coalesce(level, F.lit(0)).cast("int")), F.col("session_id").cast("string")).alias("chain"),
+        F.when(F.col("resolved"), F.col("hops")).alias("level"),
         F.when(F.col("resolved"), "CHAIN").otherwise("CYCLE").alias("chain_state"),
         "login_name",
         "status",
@@ -182,72 +197,69 @@ def blocking_chains(sessions: DataFrame) -> DataFrame:
     )
 
 
-def blocking_walk(sessions: DataFrame) -> DataFrame:
-    """For each blocked session, every blocked session on the way to the head, level by level.
+def blocking_walk(sessions: DataFrame, origins: DataFrame) -> DataFrame:
+    """For each chosen session, every blocked session on the way to the head, level by level.
 
-    Level 0 is the session itself. The walk is extended by jumps of 1, 2, 4, ...
-    hops; sessions that lead into a cycle keep their level 0 row only.
+    ``origins``: server_name, capture_time, session_id of the sessions to explain. Level 0 is the
+    session itself. The walk is extended by jumps of 1, 2, 4, ... hops until it finds nothing new; a
+    walk that runs into a circle lists each session of it once and has no head.
     """
     ensure_checkpoint_dir(sessions.sparkSession)
-    edges = _edges(sessions)
-    roots = _resolve_roots(edges)
-    open_ended = roots.where("resolved").select("session_id", "root")
-    blocked_ids = open_ended.select(F.col("session_id").alias("target"))
-    jumps = (
-        edges.join(open_ended.select("session_id"), "session_id", "left_semi")
-        .join(blocked_ids, F.col("blocker") == F.col("target"), "left_semi")
-        .select("session_id", F.col("blocker").alias("target"))
+    edges = _edges(sessions).checkpoint()
+    at_start = [*SNAPSHOT, "origin"]
+    walk = (
+        edges.join(origins.select(*SNAPSHOT, "session_id").distinct(), [*SNAPSHOT, "session_id"], "left_semi")
+        .select(*SNAPSHOT, F.col("session_id").alias("origin"), "session_id", F.lit(0).cast("bigint").alias("level"))
         .checkpoint()
     )
-    walk = roots.select(F.col("session_id").alias("origin"), "session_id", F.lit(0).cast("bigint").alias("level"))
-    distance = 1
-    while not jumps.isEmpty():
-        further = walk.join(jumps, "session_id").select(
-            "origin", F.col("target").alias("session_id"), (F.col("level") + distance).alias("level")
+    still_blocked = edges.select(*SNAPSHOT, F.col("session_id").alias("blocker"))
+    jumps = edges.join(still_blocked, [*SNAPSHOT, "blocker"], "left_semi").select(*SNAPSHOT, "session_id", F.col("blocker").alias("target"))
+    distance, found = 1, walk.count()
+    while found:
+        further = walk.join(jumps, [*SNAPSHOT, "session_id"]).select(
+            *at_start, F.col("target").alias("session_id"), (F.col("level") + distance).alias("level")
         )
-        walk = walk.unionByName(further).checkpoint()
-        nxt = jumps.select(F.col("session_id").alias("target"), F.col("target").alias("next_target"))
-        jumps = jumps.join(nxt, "target").select("session_id", F.col("next_target").alias("target")).checkpoint()
+        walk = walk.unionByName(further).groupBy(*at_start, "session_id").agg(F.min("level").alias("level")).checkpoint()
+        before_, found = found, walk.count()
+        if found == before_:
+            break
+        nxt = jumps.select(*SNAPSHOT, F.col("session_id").alias("target"), F.col("target").alias("next_target"))
+        jumps = jumps.join(nxt, [*SNAPSHOT, "target"]).select(*SNAPSHOT, "session_id", F.col("next_target").alias("target")).checkpoint()
         distance *= 2
-    heads = roots.select(F.col("session_id").alias("origin"), F.when(F.col("resolved"), F.col("root")).alias("root_blocker"))
-    blockers = edges.select("session_id", F.col("blocker").alias("blocked_by"))
-    return (
-        walk.join(heads, "origin")
-        .join(blockers, "session_id")
-        .select(
-            "root_blocker",
-            "origin",
-            "session_id",
-            "blocked_by",
-            "level",
-            F.concat(F.repeat(F.lit("  "), F.col("level").cast("int")), F.col("session_id").cast("string")).alias("chain"),
-        )
+    steps = walk.join(edges.withColumnRenamed("blocker", "blocked_by"), [*SNAPSHOT, "session_id"])
+    heads = steps.join(still_blocked.withColumnRenamed("blocker", "blocked_by"), [*SNAPSHOT, "blocked_by"], "left_anti").select(
+        *at_start, F.col("blocked_by").alias("root_blocker")
     )
+    return steps.join(heads, at_start, "left").select(*SNAPSHOT, "root_blocker", "origin", "session_id", "blocked_by", "level")
 
 
-def session_sql(sessions: DataFrame, statements: DataFrame, n: int = 20) -> DataFrame:
-    """Longest-waiting sessions with their statement text.
+def session_sql(sessions: DataFrame, statements: DataFrame, n: int = 20, text_len: int = 100) -> DataFrame:
+    """Per server and capture the ``n`` longest-waiting sessions with their statement text.
 
-    The top rows are taken before the join: the statement id is unique, so the join cannot change them.
+    The top rows are taken before the join: the statement id is unique on its server, so the join cannot change them.
     """
-    top = sessions.orderBy(F.desc("wait_time_ms"), "session_id").limit(n)
-    texts = statements.select("sql_id", F.substring("sql_text", 1, 100).alias("sql_text"))
-    return top.select("session_id", "login_name", "program_name", "status", "wait_time_ms", "sql_id").join(
-        texts, "sql_id", "left"
+    order = W.partitionBy(*SNAPSHOT).orderBy(F.desc("wait_time_ms"), "session_id")
+    top = sessions.withColumn("wait_rank", F.row_number().over(order)).where(F.col("wait_rank") <= n)
+    texts = statements.select("server_name", "sql_id", F.substring("sql_text", 1, text_len).alias("sql_text"))
+    return top.select(*SNAPSHOT, "session_id", "login_name", "program_name", "status", "wait_time_ms", "sql_id", "wait_rank").join(
+        texts, ["server_name", "sql_id"], "left"
     )
 
 
+TABLESPACE = ["server_name", "tablespace_name"]
+
+
 def space_usage(files: DataFrame, free: DataFrame, platform: str = "inclusive") -> DataFrame:
-    """Allocated, used and free MB per tablespace with a verdict; both sides are summed before the join."""
-    allocated = files.groupBy("tablespace_name").agg(total(F.col("size_mb")).alias("total_mb"))
-    spare = free.groupBy("tablespace_name").agg(total(F.col("free_mb")).alias("free_mb"))
-    joined = allocated.join(spare, "tablespace_name", "left").withColumn(
+    """Allocated, used and free MB per server and tablespace with a verdict; both sides are summed before the join."""
+    allocated = files.groupBy(*TABLESPACE).agg(total(F.col("size_mb")).alias("total_mb"))
+    spare = free.groupBy(*TABLESPACE).agg(total(F.col("free_mb")).alias("free_mb"))
+    joined = allocated.join(spare, TABLESPACE, "left").withColumn(
         "free_mb", F.coalesce("free_mb", F.lit(0).cast("bigint"))
     )
     used = F.col("total_mb") - F.col("free_mb")
     raw = used.cast("double") / F.nullif(F.col("total_mb"), F.lit(0)) * 100
     return joined.select(
-        "tablespace_name",
+        *TABLESPACE,
         "total_mb",
         used.alias("used_mb"),
         "free_mb",
@@ -258,11 +270,11 @@ def space_usage(files: DataFrame, free: DataFrame, platform: str = "inclusive")
 
 def temp_usage(temp_files: DataFrame, used_segments: DataFrame) -> DataFrame:
     """Allocated against used temporary space; no segment means nothing used."""
-    allocated = temp_files.groupBy("tablespace_name").agg(total(F.col("size_mb")).alias("allocated_mb"))
-    taken = used_segments.groupBy("tablespace_name").agg(total(F.col("used_mb")).alias("used_mb"))
+    allocated = temp_files.groupBy(*TABLESPACE).agg(total(F.col("size_mb")).alias("allocated_mb"))
+    taken = used_segments.groupBy(*TABLESPACE).agg(total(F.col("used_mb")).alias("used_mb"))
     used = F.coalesce("used_mb", F.lit(0).cast("bigint"))
-    return allocated.join(taken, "tablespace_name", "left").select(
-        "tablespace_name",
+    return allocated.join(taken, TABLESPACE, "left").select(
+        *TABLESPACE,
         "allocated_mb",
         used.alias("used_mb"),
         (F.col("allocated_mb") - used).alias("free_mb"),
@@ -272,14 +284,14 @@ def temp_usage(temp_files: DataFrame, used_segments: DataFrame) -> DataFrame:
 
 def undo_usage(files: DataFrame, tablespaces: DataFrame, used_segments: DataFrame) -> DataFrame:
     """Undo space used and whether retention stays below its target."""
-    sized = files.groupBy("tablespace_name").agg(total(F.col("size_mb")).alias("total_mb"))
-    taken = used_segments.groupBy("tablespace_name").agg(total(F.col("used_mb")).alias("used_mb"))
+    sized = files.groupBy(*TABLESPACE).agg(total(F.col("size_mb")).alias("total_mb"))
+    taken = used_segments.groupBy(*TABLESPACE).agg(total(F.col("used_mb")).alias("used_mb"))
     used = F.coalesce("used_mb", F.lit(0).cast("bigint"))
     return (
-        sized.join(tablespaces.where(F.col("contents") == "UNDO"), "tablespace_name")
-        .join(taken, "tablespace_name", "left")
+        sized.join(tablespaces.where(F.col("contents") == "UNDO"), TABLESPACE)
+        .join(taken, TABLESPACE, "left")
         .select(
-            "tablespace_name",
+            *TABLESPACE,
             "total_mb",
             used.alias("used_mb"),
             ratio(used, F.col("total_mb"), 100).alias("used_pct"),
@@ -290,6 +302,9 @@ def undo_usage(files: DataFrame, tablespaces: DataFrame, used_segments: DataFram
     )
 
 
+TABLE = ["server_name", "database_name", "schema_name", "table_name"]
+
+
 def _verdict(drop_label: str):
     return first_match(
         [(F.col("is_primary_key") == 1, "Keep Index2 (PK)"), (F.col("is_unique") == 1, "Keep Index2 (Unique)")], drop_label
@@ -298,7 +313,7 @@ def _verdict(drop_label: str):
 
 def _sized(indexes: DataFrame) -> DataFrame:
     return indexes.select(
-        "table_name", "index_id", "index_name", "is_unique", "is_primary_key", (F.col("used_pages") * 8).alias("size_kb")
+        *TABLE, "index_id", "index_name", "is_unique", "is_primary_key", (F.col("used_pages") * 8).alias("size_kb")
     )
 
 
@@ -306,34 +321,33 @@ def _redundant(members: DataFrame, group: list[str], drop_label: str) -> DataFra
     """Pair each member of a group with the group's first non-key index.
 
     A group of n alike indexes has n(n-1)/2 pairs but only n-1 redundant members:
-    one row each, naming the index that stays and the size of the group.
+    one row each, naming the index that stays and the size of the group. The aggregate holds numbers
+    only; the name of the index that stays is joined afterwards.
     """
     plain = (F.col("is_primary_key") == 0) & (F.col("is_unique") == 0)
-    first = members.groupBy(*group).agg(
-        F.min(F.when(plain, F.struct("index_id", "index_name", "size_kb"))).alias("first"),
-        F.count("*").alias("group_size"),
+    first = members.groupBy(*group).agg(F.min(F.when(plain, F.col("index_id"))).alias("first_id"), F.count("*").alias("group_size"))
+    first = first.where(F.col("first_id").isNotNull() & (F.col("group_size") > 1))
+    found = join_groups(members, first, group).where(F.col("index_id") > F.col("first_id"))
+    return found.withColumns({"recommendation": _verdict(drop_label)}).withColumnsRenamed(
+        {"index_name": "index2_name", "size_kb": "index2_size_kb"}
     )
-    first = first.where(F.col("first").isNotNull() & (F.col("group_size") > 1))
-    return (
-        join_groups(members, first, group)
-        .where(F.col("index_id") > F.col("first.index_id"))
-        .select(
-            *members.columns,
-            F.col("first.index_name").alias("index1_name"),
-            F.col("first.size_kb").alias("index1_size_kb"),
-            "group_size",
-            _verdict(drop_label).alias("recommendation"),
-        )
-        .withColumnsRenamed({"index_name": "index2_name", "size_kb": "index2_size_kb"})
+
+
+def _named(found: DataFrame, sized: DataFrame) -> DataFrame:
+    """Name and size of the index that stays (``first_id``)."""
+    stays = sized.select(
+        *TABLE, F.col("index_id").alias("first_id"), F.col("index_name").alias("index1_name"), F.col("size_kb").alias("index1_size_kb")
     )
+    return found.join(stays, [*TABLE, "first_id"])
 
 
 def duplicate_index_columns(index_columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """Indexes that share a column at the same position with an earlier index of the table."""
-    members = index_columns.join(_sized(indexes), ["table_name", "index_id"])
-    found = _redundant(members, ["table_name", "key_ordinal", "column_name"], "Consider Dropping")
+    sized = _sized(indexes)
+    members = index_columns.join(sized, [*TABLE, "index_id"])
+    found = _named(_redundant(members, [*TABLE, "key_ordinal", "column_name"], "Consider Dropping"), sized)
     return found.select(
-        "table_name", "key_ordinal", "column_name", "index1_name", "index2_name", "index1_size_kb", "index2_size_kb",
+        *TABLE, "key_ordinal", "column_name", "index1_name", "index2_name", "index1_size_kb", "index2_size_kb",
         "group_size", "recommendation",
     )
 
@@ -345,10 +359,10 @@ def shared_columns(first, second):
 
 def key_lists(index_columns: DataFrame, indexes: DataFrame) -> DataFrame:
     """Each index with its ordered key columns (a handful per index, so the list is bounded)."""
-    lists = index_columns.groupBy("table_name", "index_id").agg(
+    lists = index_columns.groupBy(*TABLE, "index_id").agg(
         ordered_names(F.col("key_ordinal"), F.col("column_name")).alias("key_columns")
     )
-    return lists.join(_sized(indexes), ["table_name", "index_id"])
+    return lists.join(_sized(indexes), [*TABLE, "index_id"])
 
 
 def duplicate_indexes(index_columns: DataFrame, indexes: DataFrame, min_kb: int = 100) -> DataFrame:
@@ -357,68 +371,60 @@ def duplicate_indexes(index_columns: DataFrame, indexes: DataFrame, min_kb: int
     Every index contributes each prefix of its key list once. One aggregate per
     (table, list) then knows the first index with exactly that list and the first
     wider index starting with it, and one join back finds both kinds of redundancy:
-    a row per redundant index and kind, never a row per pair.
+    a row per redundant index and kind, never a row per pair. The aggregate holds numbers only;
+    names and lists of the indexes that stay are joined afterwards.
     """
     keyed = key_lists(index_columns, indexes)
     plain = (F.col("is_primary_key") == 0) & (F.col("is_unique") == 0)
     prefixes = F.transform(F.sequence(F.lit(1), F.size("key_columns")), lambda n: F.slice("key_columns", F.lit(1), n))
     whole = F.size("prefix") == F.size("key_columns")
-    known = F.struct("index_id", "index_name", "size_kb", "key_columns")
     groups = (
         keyed.select("*", F.explode(prefixes).alias("prefix"))
-        .groupBy("table_name", "prefix")
+        .groupBy(*TABLE, "prefix")
         .agg(
-            F.min(F.when(whole & plain, known)).alias("first"),
+            F.min(F.when(whole & plain, F.col("index_id"))).alias("exact_id"),
             F.count(F.when(whole, 1)).alias("alike"),
-            F.min(F.when(~whole & plain, known)).alias("wide"),
+            F.min(F.when(~whole & plain, F.col("index_id"))).alias("wide_id"),
             F.count(F.when(~whole & plain, 1)).alias("covering"),
         )
         .where((F.col("alike") > 1) | ((F.col("alike") > 0) & (F.col("covering") > 0)))
         .withColumnRenamed("prefix", "key_columns")
     )
 
-    def match(kind: str, other: str, size, hit):
-        return F.when(
-            hit,
-            F.struct(
-                F.lit(kind).alias("match_kind"),
-                F.col(f"{other}.index_name").alias("index1_name"),
-                F.col(f"{other}.key_columns").alias("index1_list"),
-                F.col(f"{other}.size_kb").alias("index1_size_kb"),
-                size.alias("group_size"),
-            ),
-        )
+    def match(kind: str, first_id: str, size, hit):
+        return F.when(hit, F.struct(F.lit(kind).alias("match_kind"), F.col(first_id).alias("first_id"), size.alias("group_size")))
 
     found = F.array_compact(
         F.array(
-            match("EXACT", "first", F.col("alike"), F.col("index_id") > F.col("first.index_id")),
-            match("LEFT PREFIX", "wide", F.col("covering") + 1, F.col("wide").isNotNull()),
+            match("EXACT", "exact_id", F.col("alike"), F.col("index_id") > F.col("exact_id")),
+            match("LEFT PREFIX", "wide_id", F.col("covering") + 1, F.col("wide_id").isNotNull()),
         )
     )
-    return (
-        join_groups(keyed.where(F.col("size_kb") >= min_kb), groups, ["table_name", "key_columns"])
-        .select(
-            "table_name",
-            F.col("index_name").alias("index2_name"),
-            F.col("size_kb").alias("index2_size_kb"),
-            "key_columns",
-            _verdict("DROP Index2").alias("recommendation"),
-            F.inline(found),
-        )
-        .select(
-            "table_name",
-            "match_kind",
-            "index1_name",
-            "index2_name",
-            F.array_join("index1_list", ", ").alias("index1_columns"),
-            F.array_join("key_columns", ", ").alias("index2_columns"),
-            shared_columns(F.col("index1_list"), F.col("key_columns")).alias("shared_columns"),
-            "index1_size_kb",
-            "index2_size_kb",
-            F.col("index2_size_kb").alias("savings_kb"),
-            "group_size",
-            "recommendation",
-        )
+    redundant = join_groups(keyed.where(F.col("size_kb") >= min_kb), groups, [*TABLE, "key_columns"]).select(
+        *TABLE,
+        F.col("index_name").alias("index2_name"),
+        F.col("size_kb").alias("index2_size_kb"),
+        "key_columns",
+        _verdict("DROP Index2").alias("recommendation"),
+        F.inline(found),
+    )
+    stays = keyed.select(
+        *TABLE, F.col("index_id").alias("first_id"), F.col("index_name").alias("index1_name"),
+        F.col("size_kb").alias("index1_size_kb"), F.col("key_columns").alias("index1_list"),
+    )
+    return redundant.join(stays, [*TABLE, "first_id"]).select(
+        *TABLE,
+        "match_kind",
+        "index1_name",
+        "index2_name",
+        F.array_join("index1_list", ", ").alias("index1_columns"),
+        F.array_join("key_columns", ", ").alias("index2_columns"),
+        shared_columns(F.col("index1_list"), F.col("key_columns")).alias("shared_columns"),
+        "index1_size_kb",
+        "index2_size_kb",
+        F.col("index2_size_kb").alias("savings_kb"),
+        "group_size",
+        "recommendation",
     )
 
 
@@ -510,17 +516,25 @@ def server_overview(
 def server_summary(
     inventory: DataFrame, sessions: DataFrame, audit: DataFrame, sizes: DataFrame, replicas: DataFrame, as_of: datetime
 ) -> DataFrame:
-    """Variant with fleet-wide scalars next to each server; missing values are 0."""
-    failures = audit.where((F.col("event_type") == "FAILED_LOGIN") & (F.col("login_time") >= before(as_of, hours=24)))
-    zero = F.lit(0).cast("bigint")
+    """Variant with each server's own figures: connections at its newest capture, failed logins of the day, largest
+    database at its newest size, and the largest lag among the newest rows of its replicas; missing values are 0."""
+    connections = latest_snapshot(sessions, ["server_name"]).groupBy("server_name").agg(F.count("*").alias("current_connections"))
+    failures = (
+        audit.where((F.col("event_type") == "FAILED_LOGIN") & (F.col("login_time") >= before(as_of, hours=24)))
+        .groupBy("server_name")
+        .agg(F.count("*").alias("failed_logins_24h"))
+    )
+    largest = latest_snapshot(sizes, ["server_name", "database_name"]).groupBy("server_name").agg(F.max("total_mb").alias("largest_db_mb"))
     lag = F.max(F.col("sent_lsn") - F.col("replay_lsn"))
-    return inventory.select(
-        "*",
-        F.coalesce(sessions.select(F.count("*")).scalar(), zero).alias("current_connections"),
-        F.coalesce(failures.select(F.count("*")).scalar(), zero).alias("failed_logins_24h"),
-        F.coalesce(sizes.select(F.max("total_mb")).scalar(), zero).alias("largest_db_mb"),
-        F.coalesce(replicas.select(F.floor(lag / 1024 / 1024)).scalar(), zero).alias("max_replication_lag_mb"),
+    lags = latest_snapshot(replicas, ["server_name", "ag_name", "replica_name"]).groupBy("server_name").agg(
+        truncated_div(lag, F.lit(1024 * 1024)).alias("max_replication_lag_mb")
     )
+    out = inventory
+    for part, name in (
+        (connections, "current_connections"), (failures, "failed_logins_24h"), (largest, "largest_db_mb"), (lags, "max_replication_lag_mb"),
+    ):
+        out = out.join(part, "server_name", "left").withColumn(name, F.coalesce(name, F.lit(0).cast("bigint")))
+    return out
 
 
 def new_principals(current: DataFrame, known: DataFrame, keys: list[str], action: str = "CREATED") -> DataFrame:
@@ -576,15 +590,20 @@ def permissions(grants: DataFrame, principals: DataFrame, class_id: int = 100) -
 
 
 def failover_pairs(replicas: DataFrame) -> DataFrame:
-    """Current primary and one secondary per group (the first by name); groups lacking either are left out."""
+    """Current primary and one secondary per group (the first by name); groups lacking either are left out.
+
+    Only the newest state of each replica counts; a replica is never paired with itself.
+    """
     role = F.col("replica_role")
+    now = latest_snapshot(replicas, ["ag_name", "replica_name"])
+    primaries = now.where(role == "PRIMARY").groupBy("ag_name").agg(F.min("replica_name").alias("new_primary"))
     return (
-        replicas.groupBy("ag_name")
-        .agg(
-            F.min(F.when(role == "SECONDARY", F.col("replica_name"))).alias("old_primary"),
-            F.min(F.when(role == "PRIMARY", F.col("replica_name"))).alias("new_primary"),
-        )
-        .where(F.col("old_primary").isNotNull() & F.col("new_primary").isNotNull())
+        now.where(role == "SECONDARY")
+        .join(primaries, "ag_name")
+        .where(F.col("replica_name") != F.col("new_primary"))
+        .groupBy("ag_name", "new_primary")
+        .agg(F.min("replica_name").alias("old_primary"))
+        .select("ag_name", "old_primary", "new_primary")
     )
 
 
@@ -696,12 +715,9 @@ def employee_activity(people: DataFrame, vacation: DataFrame, sick: DataFrame, a
 
 
 def tempdb_by_session(sessions: DataFrame, task_space: DataFrame) -> DataFrame:
-    """Temporary-space allocations per user session; sessions without any keep NULL and sort last."""
-    spent = task_space.groupBy("session_id").agg(
+    """Temporary-space allocations per user session; sessions without any keep NULL."""
+    key = [*SNAPSHOT, "session_id"]
+    spent = task_space.groupBy(*key).agg(
         total(F.col("allocated_pages")).alias("allocated_pages"), total(F.col("deallocated_pages")).alias("deallocated_pages")
     )
-    return (
-        sessions.select("session_id", "login_name", "host_name", "query_text")
-        .join(spent, "session_id", "left")
-        .orderBy(F.desc_nulls_last("allocated_pages"), "session_id")
-    )
+    return sessions.select(*key, "login_name", "host_name", "query_text").join(spent, key, "left")

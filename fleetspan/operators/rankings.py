@@ -6,10 +6,11 @@ from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspan.functions.expr import before, format_bytes, ratio, total
-from fleetspan.operators.grouping import join_groups
+from fleetspan.operators.grouping import join_groups, latest_snapshot
 from fleetspan.operators.rows import wait_category
 
 
@@ -49,14 +50,6 @@ def share_per_snapshot(history: DataFrame) -> DataFrame:
     return share_of_total(history, "wait_time_ms", by=["server_name", "capture_time"], name="wait_pct")
 
 
-def latest_snapshot(history: DataFrame, by: Sequence[str] = ("server_name",), time_col: str = "capture_time") -> DataFrame:
-    """Rows of the newest capture per key (``by=()``: newest of all); ties are kept."""
-    if not by:
-        return history.where(F.col(time_col) == history.select(F.max(time_col)).scalar())
-    newest = history.groupBy(*by).agg(F.max(time_col).alias(time_col))
-    return join_groups(history, newest, [*by, time_col], "left_semi")
-
-
 def current_waits(history: DataFrame) -> DataFrame:
     """Newest wait snapshot per server with shares and categories."""
     newest = latest_snapshot(history).where(F.col("wait_time_ms") > 0)
@@ -136,7 +129,7 @@ def largest_databases(sizes: DataFrame, n: int = 10) -> DataFrame:
 
 def index_listing(columns: DataFrame, n: int = 50) -> DataFrame:
     """Index columns in table and key order."""
-    return columns.orderBy("table_name", "index_id", "key_ordinal").limit(n)
+    return columns.orderBy("server_name", "database_name", "schema_name", "table_name", "index_id", "key_ordinal").limit(n)
 
 
 def recent_wait_totals(history: DataFrame, as_of: datetime, days: int = 7, n: int = 10) -> DataFrame:

@@ -20,11 +20,14 @@ from fleetspan.functions.expr import (
     decode,
     first_match,
     format_bytes,
+    not_in,
+    not_like,
     ordered_names,
     ratio,
     seconds_between,
+    truncated_div,
 )
-from fleetspan.operators.grouping import join_groups
+from fleetspan.operators.grouping import join_groups, latest_snapshot
 from fleetspan.operators.ingest import healthy
 
 
@@ -47,7 +50,7 @@ def wait_category(col: Column, profile: str = "history") -> Column:
 
 
 def exclude_benign(df: DataFrame, col: str, names: Sequence[str] = rules.BENIGN_WAITS) -> DataFrame:
-    return df.where(~F.col(col).isin(list(names)))
+    return df.where(not_in(F.col(col), names))
 
 
 def connection_detail(sessions: DataFrame, as_of: datetime) -> DataFrame:
@@ -85,11 +88,13 @@ def long_running(sessions: DataFrame, as_of: datetime, seconds: int = 30) -> Dat
 
 
 def active_sessions(sessions: DataFrame, as_of: datetime, text_len: int = 100, idle_state: str = "idle") -> DataFrame:
-    """Session listing: idle rows last, longest duration first, unknown durations at the end."""
+    """Session listing of every server; sort it by (idle_rank, duration_s descending) when it is cut to a length."""
     idle_last = F.when(F.col("status") == idle_state, 1).otherwise(0)
     duration = seconds_between(F.col("query_start"), at(as_of))
     return (
         sessions.select(
+            "server_name",
+            "capture_time",
             "session_id",
             "login_name",
             "host_name",
@@ -103,7 +108,6 @@ def active_sessions(sessions: DataFrame, as_of: datetime, text_len: int = 100, i
             F.substring("query_text", 1, text_len).alias("current_query"),
             idle_last.alias("idle_rank"),
         )
-        .orderBy("idle_rank", F.desc_nulls_last("duration_s"), "session_id")
     )
 
 
@@ -122,7 +126,7 @@ def invalid_objects(
     skip_owners: Sequence[str] = rules.SYSTEM_OWNERS_OBJECTS,
 ) -> DataFrame:
     return objects.where(
-        (F.col("status") != "VALID") & F.col("object_type").isin(list(types)) & ~F.col("owner").isin(list(skip_owners))
+        (F.col("status") != "VALID") & F.col("object_type").isin(list(types)) & not_in(F.col("owner"), skip_owners)
     ).select(
         "owner",
         "object_type",
@@ -249,7 +253,7 @@ def maintenance_plan(
 
 def index_usage_status(indexes: DataFrame, profile: str = "detail", skip_like: str | None = "%pkey%") -> DataFrame:
     """UNUSED / LOW USAGE / ACTIVE from scan counts; the limit and labels depend on the report."""
-    kept = indexes if skip_like is None else indexes.where(~F.col("index_name").like(skip_like))
+    kept = indexes if skip_like is None else indexes.where(not_like(F.col("index_name"), skip_like))
     return kept.select(
         "table_name",
         "index_name",
@@ -262,11 +266,12 @@ def index_usage_status(indexes: DataFrame, profile: str = "detail", skip_like: s
 def index_read_verdict(indexes: DataFrame, index_columns: DataFrame) -> DataFrame:
     """Verdict over seeks, scans and lookups together, with the key columns in order."""
     no_seeks = F.col("user_seeks") == 0
-    keys = index_columns.groupBy("table_name", "index_id").agg(
+    index = ["server_name", "database_name", "schema_name", "table_name", "index_id"]
+    keys = index_columns.groupBy(*index).agg(
         F.array_join(ordered_names(F.col("key_ordinal"), F.col("column_name")), ", ").alias("indexed_columns")
     )
-    return indexes.join(keys, ["table_name", "index_id"], "left").select(
-        "table_name",
+    return indexes.join(keys, index, "left").select(
+        *index[:-1],
         "index_name",
         "indexed_columns",
         "user_seeks",
@@ -288,7 +293,7 @@ def index_read_verdict(indexes: DataFrame, index_columns: DataFrame) -> DataFram
 def index_review(indexes: DataFrame) -> DataFrame:
     """Drop when unused and over 10 MB, review when below 100 scans and over 5 MB; keys are left out."""
     size_mb = F.floor(F.col("used_pages") * 8 / 1024)
-    return indexes.where((F.col("is_primary_key") == 0) & ~F.col("index_name").like("%fkey%")).select(
+    return indexes.where((F.col("is_primary_key") == 0) & not_like(F.col("index_name"), "%fkey%")).select(
         "table_name",
         "index_name",
         "user_scans",
@@ -306,15 +311,16 @@ def index_review(indexes: DataFrame) -> DataFrame:
 def index_selectivity(index_stats: DataFrame, table_sizes: DataFrame, as_of: datetime) -> DataFrame:
     """UNUSED without cardinality, LOW SELECTIVITY below 1 % of the table's rows in the last day."""
     day = before(as_of, days=1)
+    table = ["server_name", "database_name", "schema_name", "table_name"]
     rows = (
-        table_sizes.where(F.col("capture_time") >= day).groupBy("table_name").agg(F.max("n_rows").alias("table_rows"))
+        table_sizes.where(F.col("capture_time") >= day).groupBy(*table).agg(F.max("n_rows").alias("table_rows"))
     )
     share = F.col("cardinality").cast("double") / F.nullif(F.col("table_rows"), F.lit(0))
     recent = index_stats.where((F.col("capture_time") >= day) & (F.col("non_unique") == 1))
     return (
-        join_groups(recent, rows, ["table_name"])
+        join_groups(recent, rows, table)
         .select(
-            "table_name",
+            *table,
             "index_name",
             "cardinality",
             "table_rows",
@@ -414,7 +420,7 @@ def cache_hit_ratio(io: DataFrame, n: int = 25) -> DataFrame:
 def row_chaining(tables: DataFrame, min_rows: int = 10000, skip_owners: Sequence[str] = ("SYS", "SYSTEM")) -> DataFrame:
     pct = ratio(F.col("chained_rows"), F.col("n_live"), 100)
     return tables.where(
-        ~F.col("schema_name").isin(list(skip_owners)) & (F.col("chained_rows") > 0) & (F.col("n_live") > min_rows)
+        not_in(F.col("schema_name"), skip_owners) & (F.col("chained_rows") > 0) & (F.col("n_live") > min_rows)
     ).select(
         "schema_name",
         "table_name",
@@ -478,12 +484,17 @@ def file_capacity_risk(files: DataFrame) -> DataFrame:
     )
 
 
+MOST_SETTINGS = 10_000
+
+
 def settings_drift(current: DataFrame, recommended: DataFrame) -> DataFrame:
     """Settings of every server that differ from, or lack, the recommendation.
 
-    ``recommended`` is the fixed list of settings, so the servers x settings grid
-    is built by exploding that list on the one row kept per server.
+    ``recommended`` is a fixed list of at most ``MOST_SETTINGS`` settings, which is checked, so the servers x settings
+    grid is built by exploding that list on the one row kept per server.
     """
+    if recommended.limit(MOST_SETTINGS + 1).count() > MOST_SETTINGS:
+        raise ValueError(f"more than {MOST_SETTINGS} recommended settings")
     wanted = recommended.agg(F.collect_list(F.struct("setting_name", "recommended")).alias("w")).select("w").scalar()
     grid = (
         current.select("server_name")
@@ -504,9 +515,10 @@ def settings_drift(current: DataFrame, recommended: DataFrame) -> DataFrame:
 
 
 def replication_lag(replicas: DataFrame) -> DataFrame:
-    """Byte lag with its verdict."""
+    """Byte lag of every replica's newest state with its verdict."""
     lag = F.col("sent_lsn") - F.col("replay_lsn")
-    return replicas.select(
+    return latest_snapshot(replicas, ["server_name", "ag_name", "replica_name"]).select(
+        "server_name",
         "ag_name",
         "replica_name",
         "capture_time",
@@ -539,7 +551,7 @@ def replica_health(replicas: DataFrame, as_of: datetime, hours: int = 24) -> Dat
             [(F.col("redo_queue_mb") > 100, "HIGH LAG"), (F.col("send_queue_mb") > 50, "SEND LAG")], "OK"
         ).alias("lag_status"),
         F.when(ok, "HEALTHY").otherwise("UNHEALTHY").alias("health_status"),
-        F.when((F.col("replica_role") == "PRIMARY") & ~ok, "ACTION REQUIRED").otherwise("").alias("action_required"),
+        F.when((F.col("replica_role") == "PRIMARY") & ~F.coalesce(ok, F.lit(False)), "ACTION REQUIRED").otherwise("").alias("action_required"),
     )
 
 
@@ -558,8 +570,8 @@ def sync_lag_minutes(syncs: DataFrame, as_of: datetime, hours: int = 24) -> Data
 def query_issue(stats: DataFrame, profile: str = "reads_first", n: int = 50) -> DataFrame:
     """Heaviest statements with the first issue that applies; the order of tests depends on the platform."""
     runs = F.nullif(F.col("exec_count"), F.lit(0))
-    avg_reads = F.floor(F.col("logical_reads") / runs)
-    avg_ms = F.floor(F.col("total_elapsed_ms") / runs)
+    avg_reads = truncated_div(F.col("logical_reads"), F.col("exec_count"))
+    avg_ms = truncated_div(F.col("total_elapsed_ms"), F.col("exec_count"))
     checks = {
         "reads_first": [
             (avg_reads > 100000, "High Reads"),
@@ -593,7 +605,7 @@ def object_wait_time(stats: DataFrame, n: int = 30, skip_schemas: Sequence[str]
     """Picoseconds of wait as seconds, and seconds per lock."""
     seconds = F.col("wait_ps").cast("double") / 1e12
     return (
-        stats.where(~F.col("schema_name").isin(list(skip_schemas)))
+        stats.where(not_in(F.col("schema_name"), skip_schemas))
         .select(
             "schema_name",
             "table_name",

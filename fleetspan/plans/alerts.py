@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fleetspan.functions import rules
 from fleetspan.functions.expr import at, before, boundary_diff, fill_template, seconds_between
 from fleetspan.operators import aggregates, joins
+from fleetspan.operators.grouping import latest_snapshot
 
 
 def alert_configuration(spark: SparkSession) -> DataFrame:
@@ -27,9 +28,10 @@ def _check(df: DataFrame, name: str, value: Column, message: Column) -> DataFram
 def run_checks(sessions: DataFrame, audit: DataFrame, backups: DataFrame, jobs: DataFrame, as_of: datetime) -> DataFrame:
     """(alert_name, current_value, detail), one row per check.
 
-    The backup check takes the newest full backup of every database first and then
-    reports the database waiting longest.
+    Sessions count as of the newest capture of their server. The backup check takes the newest full
+    backup of every database of every server first and then reports the one waiting longest.
     """
+    sessions = latest_snapshot(sessions)
     now = at(as_of)
     n = F.col("n")
     text = n.cast("string")
@@ -37,15 +39,17 @@ def run_checks(sessions: DataFrame, audit: DataFrame, backups: DataFrame, jobs:
     running = sessions.where((F.col("status") != "idle") & (F.col("query_start") < before(as_of, minutes=5))).agg(
         F.max(seconds_between(F.col("query_start"), now)).alias("n")
     )
-    blocked = sessions.where(F.col("blocking_session_id") > 0).agg(F.countDistinct("session_id").alias("n"))
+    blocked = sessions.where(F.col("blocking_session_id") > 0).agg(F.count("*").alias("n"))
     failures = audit.where(
         (F.col("event_type") == "FAILED_LOGIN") & (F.col("login_time") > before(as_of, hours=1))
     ).agg(F.count("*").alias("n"))
     newest = (
-        backups.where(F.col("backup_type") == "D").groupBy("database_name").agg(F.max("backup_finish").alias("last_finish"))
+        backups.where(F.col("backup_type") == "D")
+        .groupBy("server_name", "database_name")
+        .agg(F.max("backup_finish").alias("last_finish"))
     )
     overdue = newest.withColumn("hours", boundary_diff("hour", F.col("last_finish"), now)).agg(
-        F.max(F.struct("hours", "database_name")).alias("worst")
+        F.max(F.struct("hours", F.concat_ws("/", "server_name", "database_name").alias("name"))).alias("worst")
     )
     failed_jobs = jobs.where(
         (F.col("run_status") == 0) & (F.col("run_time") >= F.to_date(before(as_of, days=1)).cast("timestamp_ntz"))
@@ -60,7 +64,7 @@ def run_checks(sessions: DataFrame, audit: DataFrame, backups: DataFrame, jobs:
             "Database Full Backup Overdue",
             F.col("worst.hours"),
             F.concat(
-                F.lit("Database "), F.col("worst.database_name"), F.lit(": "), F.col("worst.hours").cast("string"),
+                F.lit("Database "), F.col("worst.name"), F.lit(": "), F.col("worst.hours").cast("string"),
                 F.lit(" hours since backup"),
             ),
         ),
@@ -107,14 +111,19 @@ def record_triggers(state: DataFrame, triggered: DataFrame, as_of: datetime) ->
 def check_limits(
     sessions: DataFrame, max_connections: int, audit: DataFrame, replicas: DataFrame, as_of: datetime
 ) -> DataFrame:
-    """Variant with built-in limits: connections over 80/95 %, five failures in an hour, lag over 100 MiB."""
-    limit = aggregates.connection_limit(sessions, max_connections)
-    connections = limit.where(F.col("usage_pct") > 80).select(
+    """Variant with built-in limits: connections of a server over 80/95 % of its limit, five failures in an hour, lag over 100 MiB.
+
+    Connections count at each server's newest capture, one alert per server; the unrounded share is
+    compared. Lag counts at the newest state of each replica.
+    """
+    limit = aggregates.connection_limit(latest_snapshot(sessions), max_connections)
+    connections = limit.where(F.col("usage") > 80).select(
         F.lit("Connection Limit").alias("alert_name"),
         F.concat(
-            F.lit("Current: "), F.col("current_connections").cast("string"), F.lit(", Max: "), F.col("max_connections").cast("string")
+            F.col("server_name"), F.lit(": Current: "), F.col("current_connections").cast("string"), F.lit(", Max: "),
+            F.col("max_connections").cast("string"),
         ).alias("alert_message"),
-        F.when(F.col("usage_pct") > 95, "CRITICAL").otherwise("WARNING").alias("severity"),
+        F.when(F.col("usage") > 95, "CRITICAL").otherwise("WARNING").alias("severity"),
     )
     failures = (
         audit.where((F.col("event_type") == "FAILED_LOGIN") & (F.col("login_time") >= before(as_of, hours=1)))
@@ -127,7 +136,8 @@ def check_limits(
         )
     )
     lag = (
-        replicas.agg(F.max(F.col("sent_lsn") - F.col("replay_lsn")).alias("lag"))
+        latest_snapshot(replicas, ["server_name", "ag_name", "replica_name"])
+        .agg(F.max(F.col("sent_lsn") - F.col("replay_lsn")).alias("lag"))
         .where(F.col("lag") > 104857600)
         .select(
             F.lit("Replication Lag").alias("alert_name"),
@@ -139,13 +149,13 @@ def check_limits(
 
 
 def blocking_alert(sessions: DataFrame, threshold_s: int = 30) -> DataFrame:
-    """One JSON document per session blocked beyond the threshold, or a single OK row.
+    """One JSON document per session blocked beyond the threshold at its server's newest capture, or a single OK row.
 
     A document per row instead of one array over all rows: the alert may cover any number of sessions.
     """
-    pairs = joins.blocking_pairs(sessions, min_wait_ms=threshold_s * 1000 + 1, text_len=200)
+    pairs = joins.blocking_pairs(latest_snapshot(sessions), min_wait_ms=threshold_s * 1000 + 1, text_len=200)
     fields = [
-        "blocked_session", "blocking_session", "blocker_login", "blocker_program", "blocker_query", "wait_time_ms", "wait_type"
+        "server_name", "blocked_session", "blocking_session", "blocker_login", "blocker_program", "blocker_query", "wait_time_ms", "wait_type"
     ]
     found = pairs.select(
         F.lit("ALERT_TRIGGERED").alias("status"), F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("details")

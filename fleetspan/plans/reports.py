@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from fleetspan.functions.expr import before, count_if
 from fleetspan.operators import aggregates, joins, rankings, rows
+from fleetspan.operators.grouping import latest_snapshot
+from fleetspan.session import ensure_checkpoint_dir
 
 
 def union_sections(sections: list[DataFrame]) -> DataFrame:
@@ -38,7 +40,7 @@ def section(df: DataFrame, number: int, title: str, item: Column, metric: str, v
 
 
 def numbered(df: DataFrame, n: int, order: list[Column]) -> DataFrame:
-    """The first n rows with their rank. The window only ever sees the n rows that are kept."""
+    """The first n rows with their rank; n is a report length, and the one task that ranks sees n rows only."""
     top = df.orderBy(*order).limit(n)
     return top.withColumn("row_no", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(*order)).cast("bigint"))
 
@@ -71,11 +73,15 @@ class FleetTelemetry:
     counters: DataFrame
 
 
-def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
-    """Health check of the whole fleet. Listings keep their report length; summaries keep every row.
+def health_report(t: FleetTelemetry, as_of: datetime, hours: int = 24) -> DataFrame:
+    """Health check of the whole fleet now. Listings keep their report length; summaries keep every row.
 
-    ``row_no`` ranks the rows of a listing and is 0 elsewhere.
+    Sessions, locks, counters and replicas count as of their newest capture, waits and statements
+    over the last ``hours``. An input that several sections need is read once: its newest or recent rows,
+    or its totals, are written to the shared folder and the sections read those. ``row_no`` ranks the rows of a
+    listing and is 0 elsewhere.
     """
+    ensure_checkpoint_dir(t.sessions.sparkSession)
     none = F.lit(None).cast("string")
     c = F.col
 
@@ -94,37 +100,52 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
     def summary(df: DataFrame, *args) -> DataFrame:
         return section(df, *args).withColumn("row_no", F.lit(0).cast("bigint"))
 
-    recent_backups = t.backups.where(c("backup_start") > before(as_of, days=1))
+    recent = lambda df: df.where(c("capture_time") >= before(as_of, hours=hours))
+    sessions = latest_snapshot(t.sessions).checkpoint()
+    statements = recent(t.query_stats).checkpoint()
+    tables = t.tables.checkpoint()
+    indexes = t.indexes.checkpoint()
+    databases = t.databases.checkpoint()
+    backups = (
+        t.backups.groupBy("server_name", "database_name", "backup_type")
+        .agg(
+            F.max("backup_finish").alias("backup_finish"),
+            count_if(c("backup_start") > before(as_of, days=1)).alias("day"),
+            count_if(c("backup_finish") > before(as_of, days=7)).alias("week"),
+        )
+        .checkpoint()
+    )
     # Several counters of one input come out of a single pass over it.
     overview = [
-        _counters(t.databases, {"Databases": count_if(c("state_desc") == "ONLINE")}),
+        _counters(databases, {"Databases": count_if(c("state_desc") == "ONLINE")}),
         _counters(
-            t.sessions,
+            sessions,
             {"Active Sessions": count_if(c("status") == "running"), "Blocked Requests": count_if(c("blocking_session_id") > 0)},
         ),
-        _counters(recent_backups, {"Backups (24h)": F.count("*")}),
+        _counters(backups, {"Backups (24h)": F.coalesce(F.sum("day"), F.lit(0))}),
     ]
-    totals = aggregates.backup_totals(t.backups, as_of)
-    backup_state = aggregates.database_backup_status(t.databases, t.backups, as_of)
-    pairs = joins.blocking_pairs(t.sessions, how="left")
-    waits = t.waits.groupBy("wait_type").agg(F.sum("wait_time_ms").cast("bigint").alias("wait_time_ms"))
+    week = lambda kind: F.coalesce(F.sum(F.when(c("backup_type") == kind, c("week"))), F.lit(0))
+    totals = backups.agg(week("D").alias("full_backups"), week("I").alias("incr_backups"))
+    backup_state = aggregates.database_backup_status(databases, backups, as_of)
+    pairs = joins.blocking_pairs(sessions, how="left")
+    waits = recent(t.waits).groupBy("wait_type").agg(F.sum("wait_time_ms").cast("bigint").alias("wait_time_ms"))
     space = joins.space_usage(t.files, t.free, "strict")
     errors = rows.recent_errors(t.errors, as_of, hours=24, n=20)
     lag = rows.replication_lag(t.replicas)
-    indexes = rows.index_usage_status(t.indexes, "health")
+    used = rows.index_usage_status(indexes.withColumn("index_name", _path(*joins.TABLE, "index_name")), "health")
     parts = [
         *[summary(df, 1, "OVERVIEW", c("name"), "count", c("n"), none) for df in overview],
         summary(
-            rows.databases_not_online(t.databases), 2, "DATABASE STATUS", c("database_name"), "recovery_model",
+            rows.databases_not_online(databases), 2, "DATABASE STATUS", c("database_name"), "recovery_model",
             c("recovery_model"), c("state_desc"),
         ),
         summary(
-            backup_state.where(c("backup_status") != "OK"), 3, "BACKUP STATUS", c("database_name"), "hours_since_backup",
+            backup_state.where(c("backup_status") != "OK"), 3, "BACKUP STATUS", _path("server_name", "database_name"), "hours_since_backup",
             c("hours_since_backup"), c("backup_status"),
         ),
         listing(
-            t.sessions.where(c("status") != "idle"), [F.desc("wait_time_ms"), F.asc("session_id")], 20,
-            4, "ACTIVE SESSIONS", c("session_id"), "wait_time_ms", c("wait_time_ms"), c("status"),
+            sessions.where(c("status") != "idle"), [F.desc("wait_time_ms"), F.asc("server_name"), F.asc("session_id")], 20,
+            4, "ACTIVE SESSIONS", _path("server_name", "session_id"), "wait_time_ms", c("wait_time_ms"), c("status"),
         ),
         listing(
             rankings.share_of_total(waits, "wait_time_ms").withColumn("category", rows.wait_category(c("wait_type"))),
@@ -132,16 +153,16 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
             5, "TOP WAITS", c("wait_type"), "wait_time_ms", c("wait_time_ms"), c("category"),
         ),
         listing(
-            pairs, [F.desc("wait_time_ms"), F.asc("blocked_session")], 10,
-            6, "BLOCKING", c("blocked_session"), "blocking_session", c("blocking_session"), c("blocked_status"),
+            pairs, [F.desc("wait_time_ms"), F.asc("server_name"), F.asc("blocked_session")], 10,
+            6, "BLOCKING", _path("server_name", "blocked_session"), "blocking_session", c("blocking_session"), c("blocked_status"),
         ),
-        summary(space, 7, "TABLESPACE USAGE", c("tablespace_name"), "used_mb", c("used_mb"), c("alert_status")),
+        summary(space, 7, "TABLESPACE USAGE", _path("server_name", "tablespace_name"), "used_mb", c("used_mb"), c("alert_status")),
         listing(
-            rows.scan_heavy_indexes(t.indexes, min_mb=1), [F.desc("user_scans"), F.asc("index_name")], 10,
+            rows.scan_heavy_indexes(indexes.withColumn("index_name", _path(*joins.TABLE, "index_name")), min_mb=1), [F.desc("user_scans"), F.asc("index_name")], 10,
             8, "LARGE TABLE SCANS", c("index_name"), "user_scans", c("user_scans"), c("recommendation"),
         ),
         listing(
-            indexes, [F.asc_nulls_first("user_scans"), F.desc("size_kb"), F.asc("index_name")], 20,
+            used, [F.asc_nulls_first("user_scans"), F.desc("size_kb"), F.asc("index_name")], 20,
             9, "UNUSED INDEXES", c("index_name"), "size_kb", c("size_kb"), c("status"),
         ),
         listing(
@@ -153,21 +174,21 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
             11, "RECENT ERRORS", c("log_id"), "severity", c("severity"), c("priority"),
         ),
         summary(
-            aggregates.connection_summary(t.sessions, as_of), 12, "CONNECTIONS", c("status"), "connections", c("connections"), none
+            aggregates.connection_summary(sessions, as_of), 12, "CONNECTIONS", c("status"), "connections", c("connections"), none
         ),
         listing(
-            lag, [F.desc("lag_bytes"), F.asc("capture_time")], 10,
+            lag, [F.desc("lag_bytes"), F.asc("capture_time"), F.asc("server_name"), F.asc("replica_name")], 10,
             13, "REPLICATION LAG", c("replica_name"), "lag_bytes", c("lag_bytes"), c("status"),
         ),
         listing(
-            rankings.largest_tables(t.tables, n=20), [F.desc("total_mb"), F.asc("schema_name"), F.asc("table_name")], 20,
+            rankings.largest_tables(tables, n=20), [F.desc("total_mb"), F.asc("schema_name"), F.asc("table_name")], 20,
             14, "LARGEST TABLES", c("table_name"), "table_rows", c("table_rows"), none,
         ),
         summary(
             rows.invalid_objects(t.objects), 15, "INVALID OBJECTS", c("object_name"), "object_type", c("object_type"), c("status")
         ),
         summary(
-            rows.long_running(t.sessions, as_of, seconds=300), 16, "LONG RUNNING QUERIES", c("session_id"), "duration_s",
+            rows.long_running(sessions, as_of, seconds=300), 16, "LONG RUNNING QUERIES", c("session_id"), "duration_s",
             c("duration_s"), c("status"),
         ),
         listing(
@@ -182,31 +203,32 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
         ),
         summary(_stacked(totals, ["full_backups", "incr_backups"]), 21, "BACKUP TOTALS", c("name"), "count", c("n"), none),
         listing(
-            rankings.top_queries(t.query_stats, "logical_reads", 10, min_calls=10), _heaviest("logical_reads"), 10,
+            rankings.top_queries(statements, "logical_reads", 10, min_calls=10), _heaviest("logical_reads"), 10,
             22, "TOP SQL BY READS", c("query_hash"), "logical_reads", c("logical_reads"), none,
         ),
         listing(
-            rankings.top_queries(t.query_stats, "total_elapsed_ms", 20), _heaviest("total_elapsed_ms"), 20,
+            rankings.top_queries(statements, "total_elapsed_ms", 20), _heaviest("total_elapsed_ms"), 20,
             23, "SLOW QUERIES", c("query_hash"), "total_elapsed_ms", c("total_elapsed_ms"), none,
         ),
         summary(
-            aggregates.wait_event_counts(t.sessions), 24, "WAIT EVENTS", F.concat_ws(":", "wait_event_type", "wait_type"),
+            aggregates.wait_event_counts(sessions), 24, "WAIT EVENTS", F.concat_ws(":", "wait_event_type", "wait_type"),
             "wait_count", c("wait_count"), none,
         ),
         listing(
-            rows.table_bloat(t.tables), [F.desc("n_dead"), F.asc("schema_name"), F.asc("table_name")], 20,
+            rows.table_bloat(tables), [F.desc("n_dead"), F.asc("schema_name"), F.asc("table_name")], 20,
             25, "TABLE BLOAT", c("table_name"), "n_dead", c("n_dead"), c("status"),
         ),
         listing(
-            rows.cache_hit_ratio(t.tables, n=10), [F.asc_nulls_last("cache_hit_ratio"), F.asc("schema_name"), F.asc("table_name")], 10,
+            rows.cache_hit_ratio(tables, n=10), [F.asc_nulls_last("cache_hit_ratio"), F.asc("schema_name"), F.asc("table_name")], 10,
             26, "CACHE HIT RATIO", c("table_name"), "blks_read", c("blks_read"), none,
         ),
         summary(
-            aggregates.storage_by_schema(t.tables), 27, "STORAGE BY SCHEMA", c("schema_name"), "table_count", c("table_count"), none
+            aggregates.storage_by_schema(tables), 27, "STORAGE BY SCHEMA", _path("server_name", "database_name", "schema_name"), "table_count", c("table_count"), none
         ),
         listing(
-            aggregates.lock_summary(t.locks),
-            [F.desc("lock_count"), F.asc_nulls_first("relation_id"), F.asc("lock_mode"), F.asc("lock_status")], 20,
+            aggregates.lock_summary(latest_snapshot(t.locks)),
+            [F.desc("lock_count"), F.asc("server_name"), F.asc_nulls_first("relation_id"), F.asc("locktype"), F.asc("lock_mode"), F.asc("lock_status")],
+            20,
             28, "TABLE LOCKS", F.coalesce(c("relation_id").cast("string"), F.lit("-")), "lock_count", c("lock_count"), c("lock_status"),
         ),
         summary(t.channels, 29, "REPLICATION CHANNELS", c("channel_name"), "seconds_behind", c("seconds_behind"), c("io_state")),
@@ -218,6 +240,10 @@ def health_report(t: FleetTelemetry, as_of: datetime) -> DataFrame:
     return union_sections(parts)
 
 
+def _path(*names: str) -> Column:
+    return F.concat_ws("/", *names)
+
+
 def _stacked(one_row: DataFrame, names: list[str]) -> DataFrame:
     """(name, n) rows out of the columns of a one-row frame."""
     pairs = [F.struct(F.lit(name).alias("name"), F.col(f"`{name}`").cast("bigint").alias("n")) for name in names]
@@ -279,7 +305,7 @@ def weekly_lines(t: FleetTelemetry, as_of: datetime) -> DataFrame:
         )
         return [heading, body]
 
-    connections = t.sessions.agg(F.count("*").alias("n"))
+    connections = latest_snapshot(t.sessions).agg(F.count("*").alias("n"))
     waits = (
         t.waits.where(c("capture_time") >= before(as_of, hours=24))
         .groupBy("wait_type")

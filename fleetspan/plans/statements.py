@@ -11,7 +11,9 @@ TEMPLATES = {
     "analyze_table": ("ANALYZE TABLE %s.%s;", ["schema_name", "table_name"]),
     "gather_stats": ("BEGIN DBMS_STATS.GATHER_TABLE_STATS('%s', '%s'); END;", ["schema_name", "table_name"]),
     "update_statistics": ("UPDATE STATISTICS %s.%s WITH FULLSCAN;", ["schema_name", "table_name"]),
-    "drop_duplicate": ("DROP INDEX [%s] ON [dbo].[%s];", ["index2_name", "table_name"]),
+    "drop_duplicate": ("USE [%s]; DROP INDEX [%s] ON [%s].[%s];", ["database_name", "index2_name", "schema_name", "table_name"]),
+    "drop_unused": ("USE [%s]; DROP INDEX [%s] ON [%s].[%s];", ["database_name", "index_name", "schema_name", "table_name"]),
+    "create_index": ("CREATE INDEX [%s] ON [%s].[%s] (%s);", ["index_name", "schema_name", "table_name", "index_columns"]),
 }
 
 
@@ -19,4 +21,5 @@ def maintenance_statements(df: DataFrame, template: str, min_rows: int | None =
     """The rows' names put into the template, largest tables kept when a row floor is given."""
     text, columns = TEMPLATES[template]
     kept = df if min_rows is None else df.where(F.col("n_live") > min_rows)
-    return kept.select(*columns, F.format_string(text, *columns).alias("statement"))
+    where = [c for c in ("server_name",) if c in df.columns]  # the server to run it on
+    return kept.select(*where, *columns, F.format_string(text, *columns).alias("statement"))

@@ -10,7 +10,7 @@ from fleetspan.functions.rules import BASELINE_COUNTERS
 from fleetspan.operators import aggregates as agg
 from fleetspan.operators import joins
 from fleetspan.registry import Entry, with_views
-from fleetspan.registry.joins import SQL_DUPLICATES
+from fleetspan.registry.joins import SQL_DUPLICATES, TBL, same_table
 from fleetspan.registry.rows import NOW, SQL_WAIT_CATEGORY, classified, names, sql_classified
 from fleetspan.sources.views import AS_OF
 
@@ -19,7 +19,7 @@ PREVIOUS_DAY = AS_OF - timedelta(hours=12)
 
 
 def limits(t):
-    return t.file_space.groupBy("database_name").agg((F.sum("max_size_mb") * 3).cast("bigint").alias("max_mb"))
+    return t.file_space.groupBy("server_name", "database_name").agg((F.sum("max_size_mb") * 3).cast("bigint").alias("max_mb"))
 
 
 def base(t):
@@ -90,11 +90,20 @@ SQL_EXHAUST_BAND = (
 )
 
 
+def recorded_duplicates(t):
+    """Redundant indexes as recorded: when they were found, and every fourth already dealt with."""
+    marks = t.index_catalog.select(
+        *joins.TABLE, F.col("index_name").alias("index2_name"), F.col("last_used").alias("detected"),
+        (F.col("index_id") % 4 == 0).cast("int").alias("is_resolved"),
+    )
+    return joins.duplicate_indexes(t.index_columns, t.index_catalog).join(marks, [*joins.TABLE, "index2_name"])
+
+
 def sql_backup(profile: str) -> str:
     high, low = {"history": (24, 12), "weekly": (48, 24)}[profile]
     return f"""
         SELECT server_name, database_name, backup_type, max(backup_start) AS last_start, max(backup_finish) AS last_finish,
-               max(backup_size_mb) AS last_size_mb, CAST(date_diff('hour', max(backup_finish), {NOW}) AS BIGINT) AS hours_since_backup,
+               arg_max(backup_size_mb, backup_finish) AS last_size_mb, CAST(date_diff('hour', max(backup_finish), {NOW}) AS BIGINT) AS hours_since_backup,
                CASE WHEN max(backup_finish) IS NULL THEN 'NO BACKUP' WHEN date_diff('hour', max(backup_finish), {NOW}) > {high} THEN 'OVERDUE'
                     WHEN date_diff('hour', max(backup_finish), {NOW}) > {low} THEN 'WARNING' ELSE 'OK' END AS backup_status
         FROM backup_history GROUP BY 1, 2, 3"""
@@ -135,13 +144,14 @@ ENTRIES = {
     ),
     "a03_database_backup_status": Entry(
         lambda t: agg.database_backup_status(
-            t.database_size_history.select("database_name"), t.backup_history.where(F.col("backup_size_mb") > 100), AS_OF
+            t.database_size_history.select("server_name", "database_name"), t.backup_history, AS_OF
         ),
-        with_views(f"""WITH d AS (SELECT DISTINCT database_name FROM database_size_history),
-        b AS (SELECT database_name, max(backup_finish) AS last_finish FROM backup_history WHERE backup_type = 'D' AND backup_size_mb > 100 GROUP BY 1)
-        SELECT d.database_name, b.last_finish, CAST(date_diff('hour', b.last_finish, {NOW}) AS BIGINT) AS hours_since_backup,
-               CASE WHEN b.last_finish IS NULL THEN 'NO BACKUP' WHEN date_diff('hour', b.last_finish, {NOW}) > 24 THEN 'OVERDUE' ELSE 'OK' END AS backup_status
-        FROM d LEFT JOIN b ON d.database_name = b.database_name"""),
+        with_views(f"""
+        SELECT d.server_name, d.database_name, max(b.backup_finish) AS last_finish, CAST(date_diff('hour', max(b.backup_finish), {NOW}) AS BIGINT) AS hours_since_backup,
+               CASE WHEN count(b.backup_id) = 0 THEN 'NO BACKUP' WHEN date_diff('hour', max(b.backup_finish), {NOW}) > 24 THEN 'OVERDUE' ELSE 'OK' END AS backup_status
+        FROM (SELECT DISTINCT server_name, database_name FROM database_size_history) d
+        LEFT JOIN backup_history b ON b.database_name = d.database_name AND b.server_name = d.server_name AND b.backup_type = 'D'
+        GROUP BY d.server_name, d.database_name"""),
     ),
     "a04_backup_chain": Entry(
         lambda t: agg.backup_chain(t.backup_history, AS_OF),
@@ -198,7 +208,7 @@ ENTRIES = {
     "a09_growth_projection": Entry(
         lambda t: agg.growth_projection(t.database_size_history, AS_OF, limits=limits(t)),
         with_views(f"""WITH {sql_growth()},
-        m AS (SELECT database_name, CAST(sum(max_size_mb) * 3 AS BIGINT) AS max_mb FROM file_space GROUP BY 1)
+        m AS (SELECT server_name, database_name, CAST(sum(max_size_mb) * 3 AS BIGINT) AS max_mb FROM file_space GROUP BY 1, 2)
         SELECT d.server_name, d.database_name, d.current_mb, d.daily_growth_mb, d.days_to_double,
                DATE '2024-01-31' + CAST(d.days_to_double AS INT) AS projected_date,
                CASE WHEN m.max_mb IS NOT NULL AND daily_growth_mb > 0 THEN CAST(floor(greatest(m.max_mb - d.current_mb, 0) / d.daily_growth_mb) AS BIGINT) END AS days_to_exhaustion,
@@ -206,7 +216,7 @@ ENTRIES = {
                {SQL_EXHAUST_BAND} AS status,
                CASE WHEN daily_growth_mb > 1024 THEN printf('%.2f', CAST(round(CAST(daily_growth_mb / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB/day'
                     ELSE printf('%.2f', CAST(round(CAST(daily_growth_mb AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' MB/day' END AS growth_text
-        FROM d LEFT JOIN m ON d.database_name = m.database_name"""),
+        FROM d LEFT JOIN m ON d.database_name = m.database_name AND d.server_name = m.server_name"""),
     ),
     "a10_days_to_double": Entry(
         lambda t: agg.days_to_double(t.database_size_history, AS_OF),
@@ -227,25 +237,25 @@ ENTRIES = {
     "a12_storage_by_schema": Entry(
         lambda t: agg.storage_by_schema(t.table_stats),
         with_views("""
-        SELECT schema_name, CAST(round(CAST(CAST(sum(table_bytes + index_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb,
+        SELECT server_name, database_name, schema_name, CAST(round(CAST(CAST(sum(table_bytes + index_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb,
                CAST(round(CAST(CAST(sum(table_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(sum(index_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
-               CAST(count(*) AS BIGINT) AS table_count FROM table_stats GROUP BY 1"""),
+               CAST(count(*) AS BIGINT) AS table_count FROM table_stats GROUP BY 1, 2, 3"""),
     ),
     "a12_storage_by_database": Entry(
         lambda t: agg.storage_by_file_kind(t.file_space),
         with_views("""
-        SELECT database_name, CAST(sum(CASE WHEN file_type = 'ROWS' THEN size_mb ELSE 0 END) AS BIGINT) AS data_mb,
+        SELECT server_name, database_name, CAST(sum(CASE WHEN file_type = 'ROWS' THEN size_mb ELSE 0 END) AS BIGINT) AS data_mb,
                CAST(sum(CASE WHEN file_type = 'LOG' THEN size_mb ELSE 0 END) AS BIGINT) AS log_mb, CAST(sum(size_mb) AS BIGINT) AS total_mb,
                CAST(round(CAST(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct, CAST(count(*) AS BIGINT) AS file_count
-        FROM file_space GROUP BY 1"""),
+        FROM file_space GROUP BY 1, 2"""),
     ),
     "a12_storage_by_tablespace": Entry(
         lambda t: agg.storage_by_file_kind(t.file_space, by="tablespace_name"),
         with_views("""
-        SELECT tablespace_name, CAST(sum(CASE WHEN file_type = 'ROWS' THEN size_mb ELSE 0 END) AS BIGINT) AS data_mb,
+        SELECT server_name, tablespace_name, CAST(sum(CASE WHEN file_type = 'ROWS' THEN size_mb ELSE 0 END) AS BIGINT) AS data_mb,
                CAST(sum(CASE WHEN file_type = 'LOG' THEN size_mb ELSE 0 END) AS BIGINT) AS log_mb, CAST(sum(size_mb) AS BIGINT) AS total_mb,
                CAST(round(CAST(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct, CAST(count(*) AS BIGINT) AS file_count
-        FROM file_space GROUP BY 1"""),
+        FROM file_space GROUP BY 1, 2"""),
     ),
     "a13_baseline": Entry(
         base,
@@ -363,12 +373,12 @@ ENTRIES = {
                {sql_count("status = 'suspended'")} AS waiting, CAST(count(*) AS BIGINT) AS total FROM session_requests GROUP BY 1"""),
     ),
     "a20_connection_limit": Entry(
-        lambda t: agg.connection_limit(t.session_requests, 1800),
+        lambda t: agg.connection_limit(t.session_requests, 300).drop("usage"),
         with_views("""
-        SELECT CAST(count(*) AS BIGINT) AS current_connections, CAST(1800 AS BIGINT) AS max_connections,
-               CAST(round(CAST(CAST(count(*) AS DOUBLE) * 100 / 1800 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS usage_pct,
-               CASE WHEN CAST(count(*) AS DOUBLE) * 100 / 1800 > 90 THEN 'CRITICAL' WHEN CAST(count(*) AS DOUBLE) * 100 / 1800 > 75 THEN 'WARNING' ELSE 'OK' END AS status
-        FROM session_requests"""),
+        SELECT server_name, capture_time, CAST(count(*) AS BIGINT) AS current_connections, CAST(300 AS BIGINT) AS max_connections,
+               CAST(round(CAST(CAST(count(*) AS DOUBLE) * 100 / 300 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS usage_pct,
+               CASE WHEN CAST(count(*) AS DOUBLE) * 100 / 300 > 90 THEN 'CRITICAL' WHEN CAST(count(*) AS DOUBLE) * 100 / 300 > 75 THEN 'WARNING' ELSE 'OK' END AS status
+        FROM session_requests GROUP BY 1, 2"""),
     ),
     "a21_wait_event_counts": Entry(
         lambda t: agg.wait_event_counts(t.session_requests),
@@ -378,20 +388,23 @@ ENTRIES = {
     "a22_lock_summary": Entry(
         lambda t: agg.lock_summary(t.lock_table),
         with_views("""
-        SELECT relation_id, locktype, lock_mode, CASE WHEN granted = 1 THEN 'GRANTED' ELSE 'WAITING' END AS lock_status, CAST(count(*) AS BIGINT) AS lock_count
-        FROM lock_table GROUP BY 1, 2, 3, 4"""),
+        SELECT server_name, capture_time, relation_id, locktype, lock_mode, CASE WHEN granted = 1 THEN 'GRANTED' ELSE 'WAITING' END AS lock_status, CAST(count(*) AS BIGINT) AS lock_count
+        FROM lock_table GROUP BY 1, 2, 3, 4, 5, 6"""),
     ),
     "a22_lock_monitor": Entry(
         lambda t: agg.lock_monitor(t.lock_table, t.session_requests),
         with_views("""
-        SELECT CAST(count(*) AS BIGINT) AS total_locks, (SELECT CAST(count(*) AS BIGINT) FROM session_requests WHERE blocking_session_id > 0) AS blocked_sessions,
-               (SELECT max(blocking_session_id) FROM session_requests WHERE blocking_session_id > 0) AS top_blocking_session FROM lock_table"""),
+        SELECT l.server_name, l.capture_time, l.n AS total_locks, coalesce(s.n, 0) AS blocked_sessions, s.top AS top_blocking_session
+        FROM (SELECT server_name, capture_time, CAST(count(*) AS BIGINT) AS n FROM lock_table GROUP BY 1, 2) l
+        LEFT JOIN (SELECT server_name, capture_time, CAST(count(*) AS BIGINT) AS n, max(blocking_session_id) AS top FROM session_requests
+                   WHERE blocking_session_id > 0 GROUP BY 1, 2) s ON s.server_name = l.server_name AND s.capture_time = l.capture_time"""),
     ),
     "a22_lock_details": Entry(
         lambda t: agg.lock_details(t.lock_table, t.session_requests),
         with_views("""
-        SELECT l.pid, l.pid || ' blocked by ' || s.blocking_session_id || coalesce(' on relation ' || CAST(l.relation_id AS VARCHAR), '') AS detail
-        FROM lock_table l JOIN session_requests s ON s.session_id = l.pid WHERE s.blocking_session_id > 0"""),
+        SELECT l.server_name, l.capture_time, l.pid, l.pid || ' blocked by ' || s.blocking_session_id || coalesce(' on relation ' || CAST(l.relation_id AS VARCHAR), '') AS detail
+        FROM lock_table l JOIN session_requests s ON s.session_id = l.pid AND s.server_name = l.server_name
+          AND s.capture_time = l.capture_time WHERE s.blocking_session_id > 0"""),
     ),
     "a23_archive_rate": Entry(
         lambda t: agg.archive_rate(
@@ -435,9 +448,19 @@ ENTRIES = {
     "a26_duplicate_savings": Entry(
         lambda t: agg.duplicate_savings(joins.duplicate_indexes(t.index_columns, t.index_catalog)),
         with_views(f"""WITH {SQL_DUPLICATES},
-        once AS (SELECT table_name, index2_name, max(savings_kb) AS savings_kb, max(recommendation) AS recommendation FROM dup GROUP BY 1, 2)
-        SELECT table_name, CAST(sum(savings_kb) AS BIGINT) AS total_savings_kb, CAST(count(*) AS BIGINT) AS redundant_indexes,
-               {sql_count("recommendation = 'DROP Index2'")} AS actionable FROM once GROUP BY 1"""),
+        once AS (SELECT {TBL}, index2_name, max(savings_kb) AS savings_kb, max(recommendation) AS recommendation FROM dup GROUP BY 1, 2, 3, 4, 5)
+        SELECT server_name, database_name, CAST(sum(savings_kb) AS BIGINT) AS total_savings_kb, CAST(count(*) AS BIGINT) AS redundant_indexes,
+               {sql_count("recommendation = 'DROP Index2'")} AS actionable FROM once GROUP BY 1, 2"""),
+    ),
+    "a26_open_duplicate_savings": Entry(
+        lambda t: agg.duplicate_savings(agg.open_duplicates(recorded_duplicates(t), AS_OF)),
+        with_views(f"""WITH {SQL_DUPLICATES},
+        seen AS (SELECT d.*, c.last_used AS detected, CAST(c.index_id % 4 = 0 AS INT) AS is_resolved
+                 FROM dup d JOIN index_catalog c ON {same_table('c', 'd')} AND c.index_name = d.index2_name),
+        once AS (SELECT {TBL}, index2_name, max(savings_kb) AS savings_kb, max(recommendation) AS recommendation FROM seen
+                 WHERE is_resolved = 0 AND detected >= {NOW} - INTERVAL '30' DAY GROUP BY 1, 2, 3, 4, 5)
+        SELECT server_name, database_name, CAST(sum(savings_kb) AS BIGINT) AS total_savings_kb, CAST(count(*) AS BIGINT) AS redundant_indexes,
+               {sql_count("recommendation = 'DROP Index2'")} AS actionable FROM once GROUP BY 1, 2"""),
     ),
     "a27_alert_history": Entry(
         lambda t: agg.alert_history(alert_audit(t)),
@@ -475,8 +498,8 @@ ENTRIES = {
     "a31_index_usage_ratio": Entry(
         lambda t: agg.index_usage_ratio(t.index_catalog),
         with_views("""
-        SELECT table_name, index_name, max(user_seeks) AS user_seeks, max(user_scans) AS user_scans, max(user_updates) AS user_updates, max(last_used) AS last_access,
+        SELECT server_name, database_name, schema_name, table_name, index_name, max(user_seeks) AS user_seeks, max(user_scans) AS user_scans, max(user_updates) AS user_updates, max(last_used) AS last_access,
                coalesce(CAST(round(CAST(CAST(max(user_seeks) AS DOUBLE) / nullif(max(user_seeks) + max(user_scans), 0) AS DECIMAL(38, 10)), 4) AS DOUBLE), 0.0) AS usage_ratio
-        FROM index_catalog GROUP BY 1, 2"""),
+        FROM index_catalog GROUP BY 1, 2, 3, 4, 5"""),
     ),
 }

@@ -9,7 +9,7 @@ from fleetspan.operators import joins
 from fleetspan.plans import alerts, dictionary, reports, statements
 from fleetspan.registry import Entry, with_views
 from fleetspan.registry.aggregates import SQL_EXHAUST_BAND, sql_backup, sql_growth
-from fleetspan.registry.joins import SQL_DUPLICATES, free_extents
+from fleetspan.registry.joins import SQL_DUPLICATES, SQL_SESSIONS_NOW, free_extents
 from fleetspan.registry.rows import NOW, SQL_WAIT_CATEGORY, classified, names, sql_classified
 from fleetspan.sources.views import AS_OF
 
@@ -41,7 +41,7 @@ def triggered(t):
 
 def _parsed_blocking(t):
     """The alert's documents read back into columns."""
-    schema = "blocked_session bigint, blocking_session bigint, blocker_login string, wait_time_ms bigint, wait_type string"
+    schema = "server_name string, blocked_session bigint, blocking_session bigint, blocker_login string, wait_time_ms bigint, wait_type string"
     doc = F.from_json("details", schema)
     return alerts.blocking_alert(t.session_requests, threshold_s=5).select("status", doc.alias("d")).select("status", "d.*")
 
@@ -51,15 +51,16 @@ def documented(t):
 
 
 SQL_CHECKS = f"""checks AS (
-        SELECT 'Long Running Query' AS alert_name, CAST(max(date_diff('second', query_start, {NOW})) AS BIGINT) AS v FROM session_requests
+        SELECT 'Long Running Query' AS alert_name, CAST(max(date_diff('second', query_start, {NOW})) AS BIGINT) AS v FROM {SQL_SESSIONS_NOW} q
         WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '5' MINUTE
-        UNION ALL SELECT 'Blocking Chain', CAST(count(DISTINCT session_id) AS BIGINT) FROM session_requests WHERE blocking_session_id > 0
+        UNION ALL SELECT 'Blocking Chain', CAST(count(*) AS BIGINT) FROM {SQL_SESSIONS_NOW} q WHERE blocking_session_id > 0
         UNION ALL SELECT 'Failed Logins', CAST(count(*) AS BIGINT) FROM login_audit WHERE event_type = 'FAILED_LOGIN' AND login_time > {NOW} - INTERVAL '1' HOUR
         UNION ALL SELECT 'Database Full Backup Overdue', CAST(max(h) AS BIGINT) FROM (SELECT date_diff('hour', max(backup_finish), {NOW}) AS h FROM backup_history
-                  WHERE backup_type = 'D' GROUP BY database_name) b
+                  WHERE backup_type = 'D' GROUP BY server_name, database_name) b
         UNION ALL SELECT 'Job Failed', CAST(count(*) AS BIGINT) FROM job_history WHERE run_status = 0 AND run_time >= TIMESTAMP '2024-01-30 00:00:00'),
-    worst AS (SELECT database_name FROM (SELECT database_name, date_diff('hour', max(backup_finish), {NOW}) AS h FROM backup_history
-              WHERE backup_type = 'D' GROUP BY 1) b ORDER BY h DESC, database_name DESC LIMIT 1),
+    worst AS (SELECT server_name || '/' || database_name AS database_name FROM (SELECT server_name, database_name,
+              date_diff('hour', max(backup_finish), {NOW}) AS h FROM backup_history
+              WHERE backup_type = 'D' GROUP BY 1, 2) b ORDER BY h DESC, 1 DESC LIMIT 1),
     config(alert_name, alert_type, threshold_value, message) AS (VALUES {", ".join(
         "('%s', '%s', CAST(%d AS BIGINT), '%s')" % a for a in rules.ALERTS)}),
     hits AS (SELECT c.alert_name, k.alert_type, c.v AS current_value, k.threshold_value,
@@ -84,34 +85,40 @@ def _top(no, title, item, metric, value, status, source, order, n):
 
 
 SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
-    bs AS (SELECT d.database_name, CAST(date_diff('hour', b.f, {NOW}) AS BIGINT) AS h,
+    sess AS {SQL_SESSIONS_NOW},
+    lk AS (SELECT l.* FROM lock_table l WHERE l.capture_time = (SELECT max(x.capture_time) FROM lock_table x WHERE x.server_name = l.server_name)),
+    bs AS (SELECT d.server_name || '/' || d.database_name AS database_name, CAST(date_diff('hour', b.f, {NOW}) AS BIGINT) AS h,
                   CASE WHEN b.f IS NULL THEN 'NO BACKUP' WHEN date_diff('hour', b.f, {NOW}) > 24 THEN 'OVERDUE' ELSE 'OK' END AS s
-           FROM (SELECT DISTINCT database_name FROM database_catalog) d
-           LEFT JOIN (SELECT database_name, max(backup_finish) AS f FROM backup_history WHERE backup_type = 'D' GROUP BY 1) b ON b.database_name = d.database_name),
-    al AS (SELECT tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb FROM file_space GROUP BY 1),
-    fr AS (SELECT tablespace_name, CAST(sum(size_mb - used_mb) AS BIGINT) AS free_mb FROM file_space WHERE used_mb > 700 GROUP BY 1),
-    sp AS (SELECT al.tablespace_name, total_mb - coalesce(free_mb, 0) AS used_mb, CAST(total_mb - coalesce(free_mb, 0) AS DOUBLE) / total_mb * 100 AS p
-           FROM al LEFT JOIN fr ON al.tablespace_name = fr.tablespace_name),
-    wt AS (SELECT wait_type, CAST(sum(wait_time_ms) AS BIGINT) AS wait_time_ms FROM wait_stats_history GROUP BY 1)
+           FROM (SELECT DISTINCT server_name, database_name FROM database_catalog) d
+           LEFT JOIN (SELECT server_name, database_name, max(backup_finish) AS f FROM backup_history WHERE backup_type = 'D' GROUP BY 1, 2) b
+             ON b.database_name = d.database_name AND b.server_name = d.server_name),
+    sp AS (SELECT server_name || '/' || tablespace_name AS tablespace_name, sum(least(used_mb, size_mb)) AS used_mb,
+                  CAST(sum(least(used_mb, size_mb)) AS DOUBLE) / sum(size_mb) * 100 AS p FROM file_space GROUP BY server_name, tablespace_name),
+    ix AS (SELECT * REPLACE (server_name || '/' || database_name || '/' || schema_name || '/' || table_name || '/' || index_name AS index_name) FROM index_catalog),
+    lag AS (SELECT r.* FROM replica_lag r WHERE r.capture_time = (SELECT max(x.capture_time) FROM replica_lag x
+            WHERE x.server_name = r.server_name AND x.ag_name = r.ag_name AND x.replica_name = r.replica_name)),
+    st AS (SELECT * FROM query_stats_snapshot WHERE capture_time >= {NOW} - INTERVAL '24' HOUR),
+    wt AS (SELECT wait_type, CAST(sum(wait_time_ms) AS BIGINT) AS wait_time_ms FROM wait_stats_history
+           WHERE capture_time >= {NOW} - INTERVAL '24' HOUR GROUP BY 1)
     """ + "\n    UNION ALL ".join([
     _sec(1, "OVERVIEW", "'Databases'", "count", "count(*)", "NULL", "FROM database_catalog WHERE state_desc = 'ONLINE'"),
-    _sec(1, "OVERVIEW", "'Active Sessions'", "count", "count(*)", "NULL", "FROM session_requests WHERE status = 'running'"),
-    _sec(1, "OVERVIEW", "'Blocked Requests'", "count", "count(*)", "NULL", "FROM session_requests WHERE blocking_session_id > 0"),
+    _sec(1, "OVERVIEW", "'Active Sessions'", "count", "count(*)", "NULL", "FROM sess WHERE status = 'running'"),
+    _sec(1, "OVERVIEW", "'Blocked Requests'", "count", "count(*)", "NULL", "FROM sess WHERE blocking_session_id > 0"),
     _sec(1, "OVERVIEW", "'Backups (24h)'", "count", "count(*)", "NULL", f"FROM backup_history WHERE backup_start > {NOW} - INTERVAL '1' DAY"),
     _sec(2, "DATABASE STATUS", "database_name", "recovery_model", "recovery_model", "state_desc", "FROM database_catalog WHERE state_desc <> 'ONLINE'"),
     _sec(3, "BACKUP STATUS", "database_name", "hours_since_backup", "h", "s", "FROM bs WHERE s <> 'OK'"),
-    _top(4, "ACTIVE SESSIONS", "session_id", "wait_time_ms", "wait_time_ms", "status", "session_requests WHERE status <> 'idle'",
-         "wait_time_ms DESC, session_id", 20),
+    _top(4, "ACTIVE SESSIONS", "server_name || '/' || session_id", "wait_time_ms", "wait_time_ms", "status", "sess WHERE status <> 'idle'",
+         "wait_time_ms DESC, server_name, session_id", 20),
     _top(5, "TOP WAITS", "wait_type", "wait_time_ms", "wait_time_ms", SQL_WAIT_CATEGORY["history"], "wt", "wait_time_ms DESC, wait_type", 15),
-    _top(6, "BLOCKING", "session_id", "blocking_session", "blocking_session_id", "status", "session_requests WHERE blocking_session_id > 0",
-         "wait_time_ms DESC, session_id", 10),
+    _top(6, "BLOCKING", "server_name || '/' || session_id", "blocking_session", "blocking_session_id", "status", "sess WHERE blocking_session_id > 0",
+         "wait_time_ms DESC, server_name, session_id", 10),
     _sec(7, "TABLESPACE USAGE", "tablespace_name", "used_mb", "used_mb",
          "CASE WHEN p > 90 THEN 'CRITICAL' WHEN p > 80 THEN 'WARNING' ELSE 'OK' END", "FROM sp"),
     _top(8, "LARGE TABLE SCANS", "index_name", "user_scans", "user_scans",
          "CASE WHEN user_scans > user_seeks * 10 THEN 'SCAN HEAVY' ELSE 'OK' END",
-         "index_catalog WHERE floor(used_pages * 8 / 1024) > 1", "user_scans DESC, index_name", 10),
+         "ix WHERE floor(used_pages * 8 / 1024) > 1", "user_scans DESC, index_name", 10),
     _top(9, "UNUSED INDEXES", "index_name", "size_kb", "used_pages * 8",
-         "CASE WHEN user_scans = 0 THEN 'UNUSED' WHEN user_scans < 10 THEN 'LOW USAGE' ELSE 'ACTIVE' END", "index_catalog",
+         "CASE WHEN user_scans = 0 THEN 'UNUSED' WHEN user_scans < 10 THEN 'LOW USAGE' ELSE 'ACTIVE' END", "ix",
          "user_scans, used_pages DESC, index_name", 20),
     _top(10, "JOB RUNS", "job_name", "run_id", "run_id",
          "CASE run_status WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry' WHEN 3 THEN 'Canceled' ELSE 'Unknown' END",
@@ -119,17 +126,17 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
     _top(11, "RECENT ERRORS", "log_id", "severity", "severity",
          "CASE WHEN severity >= 20 THEN 'CRITICAL' WHEN severity >= 17 THEN 'HIGH' ELSE 'MEDIUM' END",
          f"errs WHERE log_date >= {NOW} - INTERVAL '24' HOUR", "log_date DESC, severity DESC, log_id", 20),
-    _sec(12, "CONNECTIONS", "status", "connections", "count(*)", "NULL", "FROM session_requests GROUP BY session_requests.status"),
+    _sec(12, "CONNECTIONS", "status", "connections", "count(*)", "NULL", "FROM sess GROUP BY sess.status"),
     _top(13, "REPLICATION LAG", "replica_name", "lag_bytes", "sent_lsn - replay_lsn",
          "CASE WHEN sent_lsn - replay_lsn > 1073741824 THEN 'CRITICAL' WHEN sent_lsn - replay_lsn > 104857600 THEN 'WARNING' ELSE 'OK' END",
-         "replica_lag", "sent_lsn - replay_lsn DESC, capture_time", 10),
+         "lag", "sent_lsn - replay_lsn DESC, capture_time, server_name, replica_name", 10),
     _top(14, "LARGEST TABLES", "table_name", "table_rows", "n_live", "NULL",
          "(SELECT * FROM table_stats ORDER BY table_bytes + index_bytes DESC, schema_name, table_name LIMIT 20) q",
          "CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) DESC, schema_name, table_name", 20),
     _sec(15, "INVALID OBJECTS", "object_name", "object_type", "object_type", "status",
          f"FROM object_catalog WHERE status <> 'VALID' AND object_type IN ({names(rules.CHECKED_OBJECT_TYPES)}) AND owner NOT IN ({names(rules.SYSTEM_OWNERS_OBJECTS)})"),
     _sec(16, "LONG RUNNING QUERIES", "session_id", "duration_s", f"date_diff('second', query_start, {NOW})", "status",
-         f"FROM session_requests WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '300' SECOND"),
+         f"FROM sess WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '300' SECOND"),
     _top(17, "MISSING INDEXES", "index_handle", "user_seeks", "user_seeks", "NULL",
          "(SELECT g.index_handle, s.user_seeks, CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS imp FROM missing_index_stats s "
          "JOIN missing_index_groups g ON s.group_handle = g.group_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50) q",
@@ -141,21 +148,22 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
     *[_sec(21, "BACKUP TOTALS", f"'{n}'", "count", "count(*)", "NULL",
            f"FROM backup_history WHERE backup_type = '{k}' AND backup_finish > {NOW} - INTERVAL '7' DAY")
       for n, k in (("full_backups", "D"), ("incr_backups", "I"))],
-    _top(22, "TOP SQL BY READS", "query_hash", "logical_reads", "logical_reads", "NULL", "query_stats_snapshot WHERE exec_count > 10",
+    _top(22, "TOP SQL BY READS", "query_hash", "logical_reads", "logical_reads", "NULL", "st WHERE exec_count > 10",
          "logical_reads DESC, server_name, database_name, query_hash, exec_count, total_elapsed_ms", 10),
-    _top(23, "SLOW QUERIES", "query_hash", "total_elapsed_ms", "total_elapsed_ms", "NULL", "query_stats_snapshot",
+    _top(23, "SLOW QUERIES", "query_hash", "total_elapsed_ms", "total_elapsed_ms", "NULL", "st",
          "total_elapsed_ms DESC, server_name, database_name, query_hash, exec_count, logical_reads", 20),
     _sec(24, "WAIT EVENTS", "status || ':' || wait_type", "wait_count", "count(*)", "NULL",
-         "FROM session_requests WHERE wait_type IS NOT NULL GROUP BY session_requests.status, wait_type"),
+         "FROM sess WHERE wait_type IS NOT NULL GROUP BY sess.status, wait_type"),
     _top(25, "TABLE BLOAT", "table_name", "n_dead", "n_dead",
          "CASE WHEN n_dead > 0 AND table_bytes > 0 AND CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 > 20 THEN 'CLEANUP NEEDED' ELSE 'OK' END",
          "table_stats", "n_dead DESC, schema_name, table_name", 20),
     _top(26, "CACHE HIT RATIO", "table_name", "blks_read", "blks_read", "NULL", "table_stats WHERE blks_read > 0",
          "CAST(round(CAST(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) NULLS LAST, schema_name, table_name", 10),
-    _sec(27, "STORAGE BY SCHEMA", "schema_name", "table_count", "count(*)", "NULL", "FROM table_stats GROUP BY schema_name"),
+    _sec(27, "STORAGE BY SCHEMA", "server_name || '/' || database_name || '/' || schema_name", "table_count", "count(*)", "NULL",
+         "FROM table_stats GROUP BY server_name, database_name, schema_name"),
     _top(28, "TABLE LOCKS", "coalesce(CAST(relation_id AS VARCHAR), '-')", "lock_count", "n", "lock_status",
-         "(SELECT relation_id, lock_mode, CASE WHEN granted = 1 THEN 'GRANTED' ELSE 'WAITING' END AS lock_status, count(*) AS n FROM lock_table GROUP BY 1, 2, 3) q",
-         "n DESC, relation_id NULLS FIRST, lock_mode, lock_status", 20),
+         "(SELECT server_name, relation_id, locktype, lock_mode, CASE WHEN granted = 1 THEN 'GRANTED' ELSE 'WAITING' END AS lock_status, count(*) AS n FROM lk GROUP BY 1, 2, 3, 4, 5) q",
+         "n DESC, server_name, relation_id NULLS FIRST, locktype, lock_mode, lock_status", 20),
     _sec(29, "REPLICATION CHANNELS", "channel_name", "seconds_behind", "seconds_behind", "io_state", "FROM replication_channel"),
     _sec(30, "COUNTERS", "server_name || '/' || counter_name", "counter_value", "counter_value", "NULL",
          "FROM perf_counters p WHERE capture_time = (SELECT max(capture_time) FROM perf_counters x WHERE x.server_name = p.server_name)"),
@@ -164,7 +172,8 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
 SQL_WEEKLY = f"""WITH {sql_growth()}, b AS ({sql_backup('weekly')})
     SELECT CAST(1 AS BIGINT) AS section_no, 'TOP WAIT EVENTS' AS section, wait_type AS item, 'total_wait_ms' AS metric,
            CAST(CAST(sum(wait_time_ms) AS BIGINT) AS VARCHAR) AS value, CAST(NULL AS VARCHAR) AS status
-    FROM wait_stats_history WHERE capture_time >= {NOW} - INTERVAL '7' DAY GROUP BY wait_type
+    FROM (SELECT wait_type, sum(wait_time_ms) AS wait_time_ms FROM wait_stats_history WHERE capture_time >= {NOW} - INTERVAL '7' DAY GROUP BY wait_type
+          ORDER BY 2 DESC, 1 LIMIT 10) w GROUP BY wait_type
     UNION ALL SELECT 2, 'BACKUP STATUS', server_name || '/' || database_name || '/' || backup_type, 'hours_since_backup',
            CAST(hours_since_backup AS VARCHAR), backup_status FROM b
     UNION ALL SELECT 3, 'FAILED LOGINS', login_name || '@' || host_name, 'failed_attempts', CAST(count(*) AS VARCHAR), NULL
@@ -177,10 +186,11 @@ SQL_WEEKLY = f"""WITH {sql_growth()}, b AS ({sql_backup('weekly')})
 
 SQL_WEEKLY_LINES = f"""
     SELECT CAST(1 AS BIGINT) AS section_no, '=== SERVER OVERVIEW ===' AS report_section, '' AS report_line
-    UNION ALL SELECT 1, 'Current Connections: ', CAST(count(*) AS VARCHAR) FROM session_requests
+    UNION ALL SELECT 1, 'Current Connections: ', CAST(count(*) AS VARCHAR) FROM {SQL_SESSIONS_NOW} q
     UNION ALL SELECT 2, '=== TOP WAITS (Last 24h) ===', ''
     UNION ALL SELECT 2, wait_type, 'Count: ' || CAST(sum(waiting_tasks) AS BIGINT) || ', Total: ' || CAST(sum(wait_time_ms) AS BIGINT) || 'ms'
-    FROM wait_stats_history WHERE capture_time >= {NOW} - INTERVAL '24' HOUR GROUP BY wait_type
+    FROM (SELECT wait_type, sum(waiting_tasks) AS waiting_tasks, sum(wait_time_ms) AS wait_time_ms FROM wait_stats_history
+          WHERE capture_time >= {NOW} - INTERVAL '24' HOUR GROUP BY wait_type ORDER BY 3 DESC, 1 LIMIT 10) w GROUP BY wait_type
     UNION ALL SELECT 3, '=== DATABASE SIZES ===', ''
     UNION ALL SELECT 3, database_name, printf('%.2f', CAST(round(CAST(CAST(total_mb AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB' FROM database_size_history
     WHERE capture_time = (SELECT max(capture_time) FROM database_size_history)
@@ -210,22 +220,23 @@ ENTRIES = {
         FROM config k LEFT JOIN hits h ON h.alert_name = k.alert_name"""),
     ),
     "c01_check_limits": Entry(
-        lambda t: alerts.check_limits(t.session_requests, 1600, t.login_audit, t.replica_lag, AS_OF),
+        lambda t: alerts.check_limits(t.session_requests, 270, t.login_audit, t.replica_lag, AS_OF),
         with_views(f"""
-        SELECT 'Connection Limit' AS alert_name, 'Current: ' || n || ', Max: 1600' AS alert_message,
-               CASE WHEN n * 100.0 / 1600 > 95 THEN 'CRITICAL' ELSE 'WARNING' END AS severity
-        FROM (SELECT count(*) AS n FROM session_requests) s WHERE n * 100.0 / 1600 > 80
+        SELECT 'Connection Limit' AS alert_name, server_name || ': Current: ' || n || ', Max: 270' AS alert_message,
+               CASE WHEN n * 100.0 / 270 > 95 THEN 'CRITICAL' ELSE 'WARNING' END AS severity
+        FROM (SELECT server_name, count(*) AS n FROM {SQL_SESSIONS_NOW} q GROUP BY 1) s WHERE n * 100.0 / 270 > 80
         UNION ALL SELECT 'Failed Logins', n || ' failed login attempts in last hour', 'WARNING' FROM (SELECT count(*) AS n FROM login_audit
             WHERE event_type = 'FAILED_LOGIN' AND login_time >= {NOW} - INTERVAL '1' HOUR) f WHERE n >= 5
         UNION ALL SELECT 'Replication Lag', 'Replication lag exceeds 100MB on one or more standbys', 'WARNING'
-        FROM (SELECT max(sent_lsn - replay_lsn) AS lag FROM replica_lag) r WHERE lag > 104857600"""),
+        FROM (SELECT max(sent_lsn - replay_lsn) AS lag FROM replica_lag r WHERE capture_time = (SELECT max(capture_time) FROM replica_lag x
+              WHERE x.server_name = r.server_name AND x.ag_name = r.ag_name AND x.replica_name = r.replica_name)) r WHERE lag > 104857600"""),
     ),
     "c02_blocking_alert": Entry(
         _parsed_blocking,
-        with_views("""
-        SELECT 'ALERT_TRIGGERED' AS status, w.session_id AS blocked_session, b.session_id AS blocking_session, b.login_name AS blocker_login,
+        with_views(f"""WITH sess AS {SQL_SESSIONS_NOW}
+        SELECT 'ALERT_TRIGGERED' AS status, w.server_name, w.session_id AS blocked_session, b.session_id AS blocking_session, b.login_name AS blocker_login,
                w.wait_time_ms, w.wait_type
-        FROM session_requests w JOIN session_requests b ON w.blocking_session_id = b.session_id
+        FROM sess w JOIN sess b ON w.blocking_session_id = b.session_id AND w.server_name = b.server_name
         WHERE w.blocking_session_id > 0 AND w.wait_time_ms > 5000"""),
     ),
     "c03_health_report": Entry(lambda t: reports.health_report(fleet(t), AS_OF), with_views(SQL_HEALTH)),
@@ -260,22 +271,51 @@ ENTRIES = {
     ),
     "c06_analyze_statements": Entry(
         lambda t: statements.maintenance_statements(t.table_stats, "analyze"),
-        with_views("SELECT schema_name, table_name, 'ANALYZE VERBOSE ' || schema_name || '.' || table_name || ';' AS statement FROM table_stats"),
+        with_views("SELECT server_name, schema_name, table_name, 'ANALYZE VERBOSE ' || schema_name || '.' || table_name || ';' AS statement FROM table_stats"),
     ),
     "c06_gather_stats_statements": Entry(
         lambda t: statements.maintenance_statements(t.table_stats, "gather_stats", min_rows=10000),
-        with_views("""SELECT schema_name, table_name, 'BEGIN DBMS_STATS.GATHER_TABLE_STATS(''' || schema_name || ''', ''' || table_name || '''); END;' AS statement
+        with_views("""SELECT server_name, schema_name, table_name, 'BEGIN DBMS_STATS.GATHER_TABLE_STATS(''' || schema_name || ''', ''' || table_name || '''); END;' AS statement
         FROM table_stats WHERE n_live > 10000"""),
     ),
+    "c06_update_statistics_statements": Entry(
+        lambda t: statements.maintenance_statements(t.table_stats, "update_statistics", min_rows=1000),
+        with_views("""SELECT server_name, schema_name, table_name, 'UPDATE STATISTICS ' || schema_name || '.' || table_name || ' WITH FULLSCAN;' AS statement
+        FROM table_stats WHERE n_live > 1000"""),
+    ),
+    "c06_analyze_table_statements": Entry(
+        lambda t: statements.maintenance_statements(t.table_stats, "analyze_table"),
+        with_views("""SELECT server_name, schema_name, table_name, 'ANALYZE TABLE ' || schema_name || '.' || table_name || ';' AS statement FROM table_stats"""),
+    ),
+    "c06_drop_unused_statements": Entry(
+        lambda t: statements.maintenance_statements(
+            t.index_catalog.where("user_seeks = 0 AND user_scans = 0 AND is_unique = 0 AND is_primary_key = 0"), "drop_unused"
+        ),
+        with_views("""SELECT server_name, database_name, index_name, schema_name, table_name,
+               'USE [' || database_name || ']; DROP INDEX [' || index_name || '] ON [' || schema_name || '].[' || table_name || '];' AS statement
+        FROM index_catalog WHERE user_seeks = 0 AND user_scans = 0 AND is_unique = 0 AND is_primary_key = 0"""),
+    ),
+    "c06_create_index_statements": Entry(
+        lambda t: statements.maintenance_statements(
+            joins.missing_indexes(t.missing_index_details, t.missing_index_groups, t.missing_index_stats), "create_index"
+        ),
+        with_views("""SELECT 'IX_' || d.table_name || '_' || replace(replace(d.equality_columns, '[', ''), ']', '') AS index_name, d.schema_name, d.table_name,
+               d.equality_columns || coalesce(', ' || d.inequality_columns, '') AS index_columns,
+               'CREATE INDEX [IX_' || d.table_name || '_' || replace(replace(d.equality_columns, '[', ''), ']', '') || '] ON [' || d.schema_name || '].['
+                   || d.table_name || '] (' || d.equality_columns || coalesce(', ' || d.inequality_columns, '') || ');' AS statement
+        FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle
+        JOIN missing_index_details d ON d.index_handle = g.index_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50"""),
+    ),
     "c06_drop_duplicate_statements": Entry(
         lambda t: statements.maintenance_statements(
             joins.duplicate_indexes(t.index_columns, t.index_catalog).where(F.col("recommendation") == "DROP Index2").select(
-                "table_name", "index2_name"
+                *joins.TABLE, "index2_name"
             ).distinct(),
             "drop_duplicate",
         ),
         with_views(f"""WITH {SQL_DUPLICATES}
-        SELECT DISTINCT index2_name, table_name, 'DROP INDEX [' || index2_name || '] ON [dbo].[' || table_name || '];' AS statement
+        SELECT DISTINCT server_name, database_name, index2_name, schema_name, table_name,
+               'USE [' || database_name || ']; DROP INDEX [' || index2_name || '] ON [' || schema_name || '].[' || table_name || '];' AS statement
         FROM dup WHERE recommendation = 'DROP Index2'"""),
     ),
     "u01_union_sections": Entry(

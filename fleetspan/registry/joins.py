@@ -24,14 +24,14 @@ def inventory(t):
 
 
 def free_extents(t):
-    """Free space per file; tablespaces that are full have no extent."""
-    return t.file_space.where(F.col("used_mb") > 700).select(
-        "tablespace_name", (F.col("size_mb") - F.col("used_mb")).alias("free_mb")
+    """Free space per file; files that are full have no extent."""
+    return t.file_space.where(F.col("size_mb") > F.col("used_mb")).select(
+        "server_name", "tablespace_name", (F.col("size_mb") - F.col("used_mb")).alias("free_mb")
     )
 
 
 def used_segments(t):
-    return t.file_space.where(F.col("file_type") == "ROWS").select("tablespace_name", "used_mb")
+    return t.file_space.where(F.col("file_type") == "ROWS").select("server_name", "tablespace_name", "used_mb")
 
 
 def snapshot(df, n):
@@ -98,26 +98,37 @@ def people_parts(t):
     return people, vacation, sick, activity
 
 
-SQL_KEYED = """sized AS (SELECT table_name, index_id, index_name, is_unique, is_primary_key, used_pages * 8 AS size_kb FROM index_catalog),
-    keyed AS (SELECT c.table_name, c.index_id, s.index_name, s.is_unique, s.is_primary_key, s.size_kb,
+TBL = "server_name, database_name, schema_name, table_name"
+
+
+def same_table(a: str, b: str) -> str:
+    return " AND ".join(f"{a}.{c} = {b}.{c}" for c in TBL.split(", "))
+
+
+def of(alias: str) -> str:
+    return ", ".join(f"{alias}.{c}" for c in TBL.split(", "))
+
+
+SQL_KEYED = f"""sized AS (SELECT {TBL}, index_id, index_name, is_unique, is_primary_key, used_pages * 8 AS size_kb FROM index_catalog),
+    keyed AS (SELECT {of('c')}, c.index_id, s.index_name, s.is_unique, s.is_primary_key, s.size_kb,
                      list(c.column_name ORDER BY c.key_ordinal) AS cols
-              FROM index_columns c JOIN sized s ON c.table_name = s.table_name AND c.index_id = s.index_id
-              GROUP BY 1, 2, 3, 4, 5, 6)"""
+              FROM index_columns c JOIN sized s ON {same_table('c', 's')} AND c.index_id = s.index_id
+              GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9)"""
 SQL_DUPLICATES = f"""{SQL_KEYED},
     plain AS (SELECT * FROM keyed WHERE is_unique = 0 AND is_primary_key = 0),
-    grp AS (SELECT table_name, cols, CAST(count(*) AS BIGINT) AS group_size, min(CASE WHEN is_unique = 0 AND is_primary_key = 0 THEN index_id END) AS first_id
-            FROM keyed GROUP BY 1, 2),
-    exact AS (SELECT k.table_name, 'EXACT' AS match_kind, f.index_name AS index1_name, k.index_name AS index2_name, f.cols AS cols1, k.cols AS cols2,
+    grp AS (SELECT {TBL}, cols, CAST(count(*) AS BIGINT) AS group_size, min(CASE WHEN is_unique = 0 AND is_primary_key = 0 THEN index_id END) AS first_id
+            FROM keyed GROUP BY 1, 2, 3, 4, 5),
+    exact AS (SELECT {of('k')}, 'EXACT' AS match_kind, f.index_name AS index1_name, k.index_name AS index2_name, f.cols AS cols1, k.cols AS cols2,
                      f.size_kb AS index1_size_kb, k.size_kb AS index2_size_kb, g.group_size, k.is_primary_key, k.is_unique
-              FROM keyed k JOIN grp g ON k.table_name = g.table_name AND k.cols = g.cols
-              JOIN keyed f ON f.table_name = g.table_name AND f.index_id = g.first_id WHERE k.index_id > g.first_id),
-    wide AS (SELECT k.table_name, k.index_id, min(p.index_id) AS wide_id, CAST(count(*) + 1 AS BIGINT) AS group_size FROM keyed k
-             JOIN plain p ON p.table_name = k.table_name AND len(p.cols) > len(k.cols) AND p.cols[1:len(k.cols)] = k.cols GROUP BY 1, 2),
-    pre AS (SELECT k.table_name, 'LEFT PREFIX' AS match_kind, f.index_name AS index1_name, k.index_name AS index2_name, f.cols AS cols1, k.cols AS cols2,
+              FROM keyed k JOIN grp g ON {same_table('k', 'g')} AND k.cols = g.cols
+              JOIN keyed f ON {same_table('f', 'g')} AND f.index_id = g.first_id WHERE k.index_id > g.first_id),
+    wide AS (SELECT {of('k')}, k.index_id, min(p.index_id) AS wide_id, CAST(count(*) + 1 AS BIGINT) AS group_size FROM keyed k
+             JOIN plain p ON {same_table('p', 'k')} AND len(p.cols) > len(k.cols) AND p.cols[1:len(k.cols)] = k.cols GROUP BY 1, 2, 3, 4, 5),
+    pre AS (SELECT {of('k')}, 'LEFT PREFIX' AS match_kind, f.index_name AS index1_name, k.index_name AS index2_name, f.cols AS cols1, k.cols AS cols2,
                    f.size_kb AS index1_size_kb, k.size_kb AS index2_size_kb, w.group_size, k.is_primary_key, k.is_unique
-            FROM keyed k JOIN wide w ON k.table_name = w.table_name AND k.index_id = w.index_id
-            JOIN keyed f ON f.table_name = w.table_name AND f.index_id = w.wide_id),
-    dup AS (SELECT table_name, match_kind, index1_name, index2_name, array_to_string(cols1, ', ') AS index1_columns,
+            FROM keyed k JOIN wide w ON {same_table('k', 'w')} AND k.index_id = w.index_id
+            JOIN keyed f ON {same_table('f', 'w')} AND f.index_id = w.wide_id),
+    dup AS (SELECT {TBL}, match_kind, index1_name, index2_name, array_to_string(cols1, ', ') AS index1_columns,
                    array_to_string(cols2, ', ') AS index2_columns,
                    array_to_string(list_distinct(cols2), ', ') AS any_shared, cols1, cols2,
                    index1_size_kb, index2_size_kb, index2_size_kb AS savings_kb, group_size,
@@ -131,11 +142,18 @@ SQL_BACKUP_STATUS = f"""status AS (SELECT server_name, database_name, backup_typ
         FROM backup_history GROUP BY 1, 2, 3)"""
 
 SQL_PAIR = """
-        SELECT w.session_id AS blocked_session, w.blocking_session_id AS blocking_session, w.login_name AS blocked_login, w.status AS blocked_status,
+        SELECT w.server_name, w.capture_time,
+               w.session_id AS blocked_session, w.blocking_session_id AS blocking_session, w.login_name AS blocked_login, w.status AS blocked_status,
                w.program_name AS blocked_program, w.wait_type, w.wait_time_ms, left(w.query_text, 100) AS blocked_query,
                b.login_name AS blocker_login, b.status AS blocker_status, b.program_name AS blocker_program, left(b.query_text, 100) AS blocker_query
-        FROM session_requests w {how} JOIN session_requests b ON w.blocking_session_id = b.session_id
+        FROM session_requests w {how} JOIN session_requests b
+          ON w.blocking_session_id = b.session_id AND w.server_name = b.server_name AND w.capture_time = b.capture_time
         WHERE w.blocking_session_id > 0 AND w.wait_time_ms >= {floor}"""
+#: The sessions of each server's newest capture.
+SQL_SESSIONS_NOW = """(SELECT s.* FROM session_requests s
+        WHERE s.capture_time = (SELECT max(x.capture_time) FROM session_requests x WHERE x.server_name = s.server_name))"""
+LOCK_KEY = joins.LOCK_RESOURCE
+SQL_SAME_LOCK = " AND ".join(f"o.{c} IS NOT DISTINCT FROM w.{c}" for c in LOCK_KEY)
 
 ENTRIES = {
     "j01_blocking_pairs": Entry(lambda t: joins.blocking_pairs(t.session_requests), with_views(SQL_PAIR.format(how="", floor=0))),
@@ -146,110 +164,113 @@ ENTRIES = {
     "j02_lock_waits": Entry(
         lambda t: joins.lock_waits(t.lock_table, t.session_requests, AS_OF),
         with_views(f"""WITH hits AS (
-            SELECT w.locktype, w.database_id, w.relation_id, w.page_id, w.pid, count(*) AS blockers, min(o.pid) AS lo, max(o.pid) AS hi
-            FROM lock_table w JOIN lock_table o ON o.locktype = w.locktype AND o.database_id IS NOT DISTINCT FROM w.database_id
-             AND o.relation_id IS NOT DISTINCT FROM w.relation_id AND o.page_id IS NOT DISTINCT FROM w.page_id AND o.pid <> w.pid
-            WHERE w.granted = 0 GROUP BY 1, 2, 3, 4, 5)
-        SELECT h.locktype, h.database_id, h.relation_id, h.page_id, h.pid AS blocked_pid, CAST(h.blockers AS BIGINT) AS blockers,
+            SELECT {", ".join("w." + c for c in LOCK_KEY)}, w.pid, count(*) AS blockers, min(o.pid) AS lo, max(o.pid) AS hi
+            FROM lock_table w JOIN lock_table o ON {SQL_SAME_LOCK} AND o.pid <> w.pid
+            WHERE w.granted = 0 GROUP BY ALL)
+        SELECT {", ".join("h." + c for c in LOCK_KEY)}, h.pid AS blocked_pid, CAST(h.blockers AS BIGINT) AS blockers,
                CASE WHEN h.lo < h.pid THEN h.lo ELSE h.hi END AS blocking_pid, a.login_name AS blocked_user, a.query_text AS blocked_query,
                a.query_start AS blocked_since, b.login_name AS blocking_user, b.query_text AS blocking_query,
                CAST(date_diff('second', a.query_start, {NOW}) AS BIGINT) AS wait_s
-        FROM hits h JOIN session_requests a ON a.session_id = h.pid
-        JOIN session_requests b ON b.session_id = CASE WHEN h.lo < h.pid THEN h.lo ELSE h.hi END"""),
+        FROM hits h JOIN session_requests a ON a.session_id = h.pid AND a.server_name = h.server_name AND a.capture_time = h.capture_time
+        JOIN session_requests b ON b.session_id = CASE WHEN h.lo < h.pid THEN h.lo ELSE h.hi END
+         AND b.server_name = h.server_name AND b.capture_time = h.capture_time"""),
     ),
     "j02_lock_queue": Entry(
         lambda t: joins.lock_queue(t.lock_table),
-        with_views("""WITH q AS (SELECT locktype, database_id, relation_id, page_id, pid, granted,
+        with_views(f"""WITH q AS (SELECT {", ".join(LOCK_KEY)}, pid, granted,
             count(*) OVER w AS lock_rows, sum(1 - granted) OVER w AS waiters, min(pid) OVER w AS min_pid, max(pid) OVER w AS max_pid
-            FROM lock_table WINDOW w AS (PARTITION BY locktype, database_id, relation_id, page_id))
-        SELECT locktype, database_id, relation_id, page_id, pid, granted, CAST(lock_rows AS BIGINT) AS lock_rows,
+            FROM lock_table WINDOW w AS (PARTITION BY {", ".join(LOCK_KEY)}))
+        SELECT {", ".join(LOCK_KEY)}, pid, granted, CAST(lock_rows AS BIGINT) AS lock_rows,
                CAST(waiters AS BIGINT) AS waiters, min_pid, max_pid FROM q WHERE waiters > 0 AND min_pid <> max_pid"""),
     ),
     "j03_blocking_chains": Entry(
         lambda t: joins.blocking_chains(t.session_requests),
-        "WITH RECURSIVE " + with_views("""WITH down(root_blocker, session_id, level) AS (
-            SELECT e.blocking_session_id, e.session_id, CAST(1 AS BIGINT) FROM session_requests e
-            WHERE e.blocking_session_id > 0 AND e.blocking_session_id NOT IN (SELECT session_id FROM session_requests WHERE blocking_session_id > 0)
+        "WITH RECURSIVE " + with_views("""WITH e AS (SELECT * FROM session_requests WHERE blocking_session_id > 0),
+        down(server_name, capture_time, root_blocker, session_id, level) AS (
+            SELECT e.server_name, e.capture_time, e.blocking_session_id, e.session_id, CAST(1 AS BIGINT) FROM e
+            WHERE NOT EXISTS (SELECT 1 FROM e x WHERE x.session_id = e.blocking_session_id AND x.server_name = e.server_name AND x.capture_time = e.capture_time)
             UNION ALL
-            SELECT d.root_blocker, e.session_id, d.level + 1 FROM session_requests e JOIN down d ON e.blocking_session_id = d.session_id)
-        SELECT d.root_blocker, d.session_id, s.blocking_session_id AS blocked_by, d.level, repeat('  ', CAST(d.level AS INT)) || d.session_id AS chain,
+            SELECT d.server_name, d.capture_time, d.root_blocker, e.session_id, d.level + 1 FROM e JOIN down d
+             ON e.blocking_session_id = d.session_id AND e.server_name = d.server_name AND e.capture_time = d.capture_time)
+        SELECT d.server_name, d.capture_time, d.root_blocker, d.session_id, s.blocking_session_id AS blocked_by, d.level,
                'CHAIN' AS chain_state, s.login_name, s.status, s.wait_type, s.wait_time_ms, left(s.query_text, 150) AS current_query
-        FROM down d JOIN session_requests s ON s.session_id = d.session_id""")[5:],
+        FROM down d JOIN e s ON s.session_id = d.session_id AND s.server_name = d.server_name AND s.capture_time = d.capture_time""")[5:],
     ),
     "j03_blocking_walk": Entry(
-        lambda t: joins.blocking_walk(t.session_requests),
-        "WITH RECURSIVE " + with_views("""WITH e AS (SELECT session_id, blocking_session_id AS b FROM session_requests WHERE blocking_session_id > 0),
-        up(origin, session_id, b, level) AS (
-            SELECT session_id, session_id, b, CAST(0 AS BIGINT) FROM e
-            UNION ALL SELECT u.origin, e.session_id, e.b, u.level + 1 FROM up u JOIN e ON e.session_id = u.b),
-        head AS (SELECT origin, arg_max(b, level) AS root_blocker FROM up GROUP BY origin)
-        SELECT h.root_blocker, u.origin, u.session_id, u.b AS blocked_by, u.level, repeat('  ', CAST(u.level AS INT)) || u.session_id AS chain
-        FROM up u JOIN head h ON h.origin = u.origin""")[5:],
+        lambda t: joins.blocking_walk(t.session_requests, t.session_requests.where(F.col("wait_time_ms") >= 9000)),
+        "WITH RECURSIVE " + with_views("""WITH e AS (SELECT server_name, capture_time, session_id, blocking_session_id AS b, wait_time_ms FROM session_requests WHERE blocking_session_id > 0),
+        up(server_name, capture_time, origin, session_id, b, level) AS (
+            SELECT server_name, capture_time, session_id, session_id, b, CAST(0 AS BIGINT) FROM e WHERE wait_time_ms >= 9000
+            UNION ALL SELECT u.server_name, u.capture_time, u.origin, e.session_id, e.b, u.level + 1 FROM up u JOIN e
+             ON e.session_id = u.b AND e.server_name = u.server_name AND e.capture_time = u.capture_time),
+        head AS (SELECT server_name, capture_time, origin, arg_max(b, level) AS root_blocker FROM up GROUP BY 1, 2, 3)
+        SELECT u.server_name, u.capture_time, h.root_blocker, u.origin, u.session_id, u.b AS blocked_by, u.level
+        FROM up u JOIN head h ON h.origin = u.origin AND h.server_name = u.server_name AND h.capture_time = u.capture_time""")[5:],
     ),
     "j04_session_sql": Entry(
         lambda t: joins.session_sql(
             t.session_requests.withColumn("sql_id", F.col("session_id") - 51),
-            t.query_stats_snapshot.groupBy(F.col("query_hash").alias("sql_id")).agg(F.min("query_text").alias("sql_text")),
+            t.query_stats_snapshot.groupBy("server_name", F.col("query_hash").alias("sql_id")).agg(F.min("query_text").alias("sql_text")),
         ),
-        with_views("""WITH q AS (SELECT query_hash AS sql_id, left(min(query_text), 100) AS sql_text FROM query_stats_snapshot GROUP BY 1)
-        SELECT s.session_id, s.login_name, s.program_name, s.status, s.wait_time_ms, s.session_id - 51 AS sql_id, q.sql_text
-        FROM session_requests s LEFT JOIN q ON q.sql_id = s.session_id - 51 ORDER BY s.wait_time_ms DESC, s.session_id LIMIT 20"""),
+        with_views("""WITH q AS (SELECT server_name, query_hash AS sql_id, left(min(query_text), 100) AS sql_text FROM query_stats_snapshot GROUP BY 1, 2),
+        r AS (SELECT *, row_number() OVER (PARTITION BY server_name, capture_time ORDER BY wait_time_ms DESC, session_id) AS wait_rank FROM session_requests)
+        SELECT s.server_name, s.capture_time, s.session_id, s.login_name, s.program_name, s.status, s.wait_time_ms, s.session_id - 51 AS sql_id,
+               s.wait_rank, q.sql_text
+        FROM r s LEFT JOIN q ON q.sql_id = s.session_id - 51 AND q.server_name = s.server_name WHERE s.wait_rank <= 20"""),
     ),
     "j05_space_usage": Entry(
         lambda t: joins.space_usage(t.file_space, free_extents(t)),
-        with_views("""WITH a AS (SELECT tablespace_name, sum(size_mb) AS total_mb FROM file_space GROUP BY 1),
-        f AS (SELECT tablespace_name, sum(size_mb - used_mb) AS free_mb FROM file_space WHERE used_mb > 700 GROUP BY 1),
-        j AS (SELECT a.tablespace_name, CAST(a.total_mb AS BIGINT) AS total_mb, CAST(coalesce(f.free_mb, 0) AS BIGINT) AS free_mb
-              FROM a LEFT JOIN f ON a.tablespace_name = f.tablespace_name)
-        SELECT tablespace_name, total_mb, total_mb - free_mb AS used_mb, free_mb,
+        with_views("""WITH j AS (SELECT server_name, tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb,
+                   CAST(sum(CASE WHEN size_mb > used_mb THEN size_mb - used_mb ELSE 0 END) AS BIGINT) AS free_mb FROM file_space GROUP BY 1, 2)
+        SELECT server_name, tablespace_name, total_mb, total_mb - free_mb AS used_mb, free_mb,
                CAST(round(CAST(CAST(total_mb - free_mb AS DOUBLE) / total_mb * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct,
                CASE WHEN CAST(total_mb - free_mb AS DOUBLE) / total_mb * 100 >= 90 THEN 'CRITICAL'
                     WHEN CAST(total_mb - free_mb AS DOUBLE) / total_mb * 100 >= 80 THEN 'WARNING' ELSE 'OK' END AS alert_status FROM j"""),
     ),
     "j05_temp_usage": Entry(
-        lambda t: joins.temp_usage(t.file_space, t.file_space.where(F.col("used_mb") > 1500).select("tablespace_name", "used_mb")),
-        with_views("""WITH a AS (SELECT tablespace_name, CAST(sum(size_mb) AS BIGINT) AS allocated_mb FROM file_space GROUP BY 1),
-        u AS (SELECT tablespace_name, CAST(sum(used_mb) AS BIGINT) AS used_mb FROM file_space WHERE used_mb > 1500 GROUP BY 1)
-        SELECT a.tablespace_name, a.allocated_mb, coalesce(u.used_mb, 0) AS used_mb, a.allocated_mb - coalesce(u.used_mb, 0) AS free_mb,
-               CAST(round(CAST(CAST(coalesce(u.used_mb, 0) AS DOUBLE) * 100 / a.allocated_mb AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct
-        FROM a LEFT JOIN u ON a.tablespace_name = u.tablespace_name"""),
+        lambda t: joins.temp_usage(t.file_space, t.file_space.where(F.col("used_mb") > 0).select("server_name", "tablespace_name", "used_mb")),
+        with_views("""
+        SELECT server_name, tablespace_name, CAST(sum(size_mb) AS BIGINT) AS allocated_mb, CAST(sum(used_mb) AS BIGINT) AS used_mb,
+               CAST(sum(size_mb) - sum(used_mb) AS BIGINT) AS free_mb,
+               CAST(round(CAST(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct
+        FROM file_space GROUP BY 1, 2"""),
     ),
     "j06_undo_usage": Entry(
         lambda t: joins.undo_usage(t.file_space, t.undo_tablespaces, used_segments(t)),
-        with_views("""WITH a AS (SELECT tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb FROM file_space GROUP BY 1),
-        u AS (SELECT tablespace_name, CAST(sum(used_mb) AS BIGINT) AS used_mb FROM file_space WHERE file_type = 'ROWS' GROUP BY 1)
-        SELECT a.tablespace_name, a.total_mb, coalesce(u.used_mb, 0) AS used_mb,
-               CAST(round(CAST(CAST(coalesce(u.used_mb, 0) AS DOUBLE) * 100 / a.total_mb AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct, t.undo_retention, t.tuned_retention,
+        with_views("""WITH a AS (SELECT server_name, tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb,
+            CAST(sum(CASE WHEN file_type = 'ROWS' THEN used_mb ELSE 0 END) AS BIGINT) AS used_mb FROM file_space GROUP BY 1, 2)
+        SELECT a.server_name, a.tablespace_name, a.total_mb, a.used_mb,
+               CAST(round(CAST(CAST(a.used_mb AS DOUBLE) * 100 / a.total_mb AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_pct, t.undo_retention, t.tuned_retention,
                CASE WHEN t.tuned_retention < t.undo_retention THEN 'BELOW TARGET' ELSE 'OK' END AS retention_status
-        FROM a JOIN undo_tablespaces t ON a.tablespace_name = t.tablespace_name LEFT JOIN u ON a.tablespace_name = u.tablespace_name
-        WHERE t.contents = 'UNDO'"""),
+        FROM a JOIN undo_tablespaces t ON a.tablespace_name = t.tablespace_name AND a.server_name = t.server_name WHERE t.contents = 'UNDO'"""),
     ),
     "j07_duplicate_index_columns": Entry(
         lambda t: joins.duplicate_index_columns(t.index_columns, t.index_catalog),
-        with_views("""WITH m AS (SELECT c.table_name, c.index_id, c.key_ordinal, c.column_name, s.index_name, s.is_unique, s.is_primary_key, s.used_pages * 8 AS size_kb
-            FROM index_columns c JOIN index_catalog s ON c.table_name = s.table_name AND c.index_id = s.index_id),
-        g AS (SELECT table_name, key_ordinal, column_name, CAST(count(*) AS BIGINT) AS group_size,
-                     min(CASE WHEN is_unique = 0 AND is_primary_key = 0 THEN index_id END) AS first_id FROM m GROUP BY 1, 2, 3)
-        SELECT m.table_name, m.key_ordinal, m.column_name, f.index_name AS index1_name, m.index_name AS index2_name,
+        with_views(f"""WITH m AS (SELECT {of('c')}, c.index_id, c.key_ordinal, c.column_name, s.index_name, s.is_unique, s.is_primary_key, s.used_pages * 8 AS size_kb
+            FROM index_columns c JOIN index_catalog s ON {same_table('c', 's')} AND c.index_id = s.index_id),
+        g AS (SELECT {TBL}, key_ordinal, column_name, CAST(count(*) AS BIGINT) AS group_size,
+                     min(CASE WHEN is_unique = 0 AND is_primary_key = 0 THEN index_id END) AS first_id FROM m GROUP BY 1, 2, 3, 4, 5, 6)
+        SELECT {of('m')}, m.key_ordinal, m.column_name, f.index_name AS index1_name, m.index_name AS index2_name,
                f.used_pages * 8 AS index1_size_kb, m.size_kb AS index2_size_kb, g.group_size,
                CASE WHEN m.is_primary_key = 1 THEN 'Keep Index2 (PK)' WHEN m.is_unique = 1 THEN 'Keep Index2 (Unique)' ELSE 'Consider Dropping' END AS recommendation
-        FROM m JOIN g ON m.table_name = g.table_name AND m.key_ordinal = g.key_ordinal AND m.column_name = g.column_name
-        JOIN index_catalog f ON f.table_name = g.table_name AND f.index_id = g.first_id WHERE m.index_id > g.first_id"""),
+        FROM m JOIN g ON {same_table('m', 'g')} AND m.key_ordinal = g.key_ordinal AND m.column_name = g.column_name
+        JOIN index_catalog f ON {same_table('f', 'g')} AND f.index_id = g.first_id WHERE m.index_id > g.first_id"""),
     ),
     "j08_duplicate_indexes": Entry(
         lambda t: joins.duplicate_indexes(t.index_columns, t.index_catalog).drop("shared_columns"),
         with_views(f"""WITH {SQL_DUPLICATES}
-        SELECT table_name, match_kind, index1_name, index2_name, index1_columns, index2_columns, index1_size_kb, index2_size_kb, savings_kb,
+        SELECT {TBL}, match_kind, index1_name, index2_name, index1_columns, index2_columns, index1_size_kb, index2_size_kb, savings_kb,
                group_size, recommendation FROM dup"""),
     ),
     "u02_shared_columns": Entry(
         lambda t: joins.duplicate_indexes(t.index_columns, t.index_catalog, min_kb=0).select(
-            "table_name", "match_kind", "index1_name", "index2_name", "shared_columns"
+            *joins.TABLE, "match_kind", "index1_name", "index2_name", "shared_columns"
         ),
         with_views(f"""WITH {SQL_DUPLICATES.replace('index2_size_kb >= 100', 'index2_size_kb >= 0')},
-        flat AS (SELECT table_name, match_kind, index1_name, index2_name, cols2, unnest(cols1) AS c, generate_subscripts(cols1, 1) AS pos FROM dup),
-        firsts AS (SELECT table_name, match_kind, index1_name, index2_name, c, min(pos) AS pos FROM flat WHERE list_contains(cols2, c) GROUP BY 1, 2, 3, 4, 5)
-        SELECT table_name, match_kind, index1_name, index2_name, string_agg(c, ', ' ORDER BY pos) AS shared_columns FROM firsts GROUP BY 1, 2, 3, 4"""),
+        flat AS (SELECT {TBL}, match_kind, index1_name, index2_name, cols2, unnest(cols1) AS c, generate_subscripts(cols1, 1) AS pos FROM dup),
+        firsts AS (SELECT {TBL}, match_kind, index1_name, index2_name, c, min(pos) AS pos FROM flat WHERE list_contains(cols2, c) GROUP BY ALL)
+        SELECT {TBL}, match_kind, index1_name, index2_name, string_agg(c, ', ' ORDER BY pos) AS shared_columns FROM firsts
+        GROUP BY {TBL}, match_kind, index1_name, index2_name"""),
     ),
     "j09_missing_indexes": Entry(
         lambda t: joins.missing_indexes(t.missing_index_details, t.missing_index_groups, t.missing_index_stats),
@@ -297,11 +318,17 @@ ENTRIES = {
     ),
     "j11_server_summary": Entry(
         lambda t: joins.server_summary(inventory(t), t.session_requests, t.login_audit, t.database_size_history, t.replica_lag, AS_OF),
-        with_views(f"""WITH {SQL_SERVERS}
-        SELECT server_name, environment, is_active, (SELECT CAST(count(*) AS BIGINT) FROM session_requests) AS current_connections,
-               (SELECT CAST(count(*) AS BIGINT) FROM login_audit WHERE event_type = 'FAILED_LOGIN' AND login_time >= {NOW} - INTERVAL '24' HOUR) AS failed_logins_24h,
-               (SELECT max(total_mb) FROM database_size_history) AS largest_db_mb,
-               (SELECT CAST(floor(max(sent_lsn - replay_lsn) / 1048576) AS BIGINT) FROM replica_lag) AS max_replication_lag_mb FROM inventory"""),
+        with_views(f"""WITH {SQL_SERVERS},
+        c AS (SELECT server_name, count(*) AS n FROM {SQL_SESSIONS_NOW} q GROUP BY 1),
+        f AS (SELECT server_name, count(*) AS n FROM login_audit WHERE event_type = 'FAILED_LOGIN' AND login_time >= {NOW} - INTERVAL '24' HOUR GROUP BY 1),
+        d AS (SELECT server_name, max(mb) AS n FROM (SELECT server_name, database_name, arg_max(total_mb, capture_time) AS mb FROM database_size_history GROUP BY 1, 2) x GROUP BY 1),
+        l AS (SELECT server_name, max(sent_lsn - replay_lsn) AS n FROM replica_lag r
+              WHERE capture_time = (SELECT max(capture_time) FROM replica_lag x WHERE x.server_name = r.server_name AND x.ag_name = r.ag_name AND x.replica_name = r.replica_name)
+              GROUP BY 1)
+        SELECT i.server_name, environment, is_active, CAST(coalesce(c.n, 0) AS BIGINT) AS current_connections, CAST(coalesce(f.n, 0) AS BIGINT) AS failed_logins_24h,
+               CAST(coalesce(d.n, 0) AS BIGINT) AS largest_db_mb, CAST(trunc(coalesce(l.n, 0) / 1048576) AS BIGINT) AS max_replication_lag_mb
+        FROM inventory i LEFT JOIN c ON c.server_name = i.server_name LEFT JOIN f ON f.server_name = i.server_name
+        LEFT JOIN d ON d.server_name = i.server_name LEFT JOIN l ON l.server_name = i.server_name"""),
     ),
     "j13_new_principals": Entry(
         lambda t: joins.new_principals(snapshot(t.principals, 1), snapshot(t.principals, 0), ["login_name"]),
@@ -356,9 +383,11 @@ ENTRIES = {
     ),
     "j18_failover_pairs": Entry(
         lambda t: joins.failover_pairs(t.replica_lag),
-        with_views("""
-        SELECT ag_name, min(CASE WHEN replica_role = 'SECONDARY' THEN replica_name END) AS old_primary,
-               min(CASE WHEN replica_role = 'PRIMARY' THEN replica_name END) AS new_primary FROM replica_lag GROUP BY ag_name"""),
+        with_views("""WITH now AS (SELECT * FROM replica_lag r WHERE capture_time = (SELECT max(capture_time) FROM replica_lag x
+            WHERE x.ag_name = r.ag_name AND x.replica_name = r.replica_name)),
+        p AS (SELECT ag_name, min(replica_name) AS new_primary FROM now WHERE replica_role = 'PRIMARY' GROUP BY 1)
+        SELECT p.ag_name, min(n.replica_name) AS old_primary, p.new_primary FROM p JOIN now n ON n.ag_name = p.ag_name
+        WHERE n.replica_role = 'SECONDARY' AND n.replica_name <> p.new_primary GROUP BY 1, 3"""),
     ),
     "j19_replication_channels": Entry(
         lambda t: joins.replication_channels(
@@ -411,7 +440,9 @@ ENTRIES = {
     "j25_tempdb_by_session": Entry(
         lambda t: joins.tempdb_by_session(t.session_requests, t.task_space),
         with_views("""
-        SELECT s.session_id, s.login_name, s.host_name, s.query_text, t.allocated_pages, t.deallocated_pages
-        FROM session_requests s LEFT JOIN task_space t ON t.session_id = s.session_id"""),
+        SELECT s.server_name, s.capture_time, s.session_id, s.login_name, s.host_name, s.query_text, t.allocated_pages, t.deallocated_pages
+        FROM session_requests s LEFT JOIN (SELECT server_name, capture_time, session_id, CAST(sum(allocated_pages) AS BIGINT) AS allocated_pages,
+                 CAST(sum(deallocated_pages) AS BIGINT) AS deallocated_pages FROM task_space GROUP BY 1, 2, 3) t
+          ON t.session_id = s.session_id AND t.server_name = s.server_name AND t.capture_time = s.capture_time"""),
     ),
 }

@@ -118,7 +118,7 @@ ENTRIES = {
     ),
     "t04_index_listing": Entry(
         lambda t: rankings.index_listing(t.index_columns),
-        with_views("SELECT * FROM index_columns ORDER BY table_name, index_id, key_ordinal LIMIT 50"),
+        with_views("SELECT * FROM index_columns ORDER BY server_name, database_name, schema_name, table_name, index_id, key_ordinal LIMIT 50"),
     ),
     "t04_recent_wait_totals": Entry(
         lambda t: rankings.recent_wait_totals(t.wait_stats_history, AS_OF),

@@ -186,7 +186,7 @@ ENTRIES = {
     "p06_active_sessions": Entry(
         lambda t: rows.active_sessions(t.session_requests, AS_OF),
         with_views(f"""
-        SELECT session_id, login_name, host_name, program_name, status, wait_type, wait_time_ms, blocking_session_id AS blocked_by,
+        SELECT server_name, capture_time, session_id, login_name, host_name, program_name, status, wait_type, wait_time_ms, blocking_session_id AS blocked_by,
                CAST(date_diff('second', query_start, {NOW}) AS BIGINT) AS duration_s,
                CASE WHEN status = 'idle' THEN CAST(date_diff('second', query_start, {NOW}) AS BIGINT) END AS idle_s,
                left(query_text, 100) AS current_query, CASE WHEN status = 'idle' THEN 1 ELSE 0 END AS idle_rank
@@ -291,11 +291,13 @@ ENTRIES = {
     "p16_index_read_verdict": Entry(
         lambda t: rows.index_read_verdict(t.index_catalog, t.index_columns),
         with_views("""
-        SELECT i.table_name, i.index_name, k.indexed_columns, user_seeks, user_scans, user_lookups, user_updates, is_primary_key, is_unique,
+        SELECT i.server_name, i.database_name, i.schema_name, i.table_name, i.index_name, k.indexed_columns, user_seeks, user_scans, user_lookups, user_updates, is_primary_key, is_unique,
                CASE WHEN user_seeks = 0 AND user_scans = 0 AND user_lookups = 0 THEN 'UNUSED - DROP CANDIDATE'
                     WHEN user_seeks = 0 AND user_scans < 10 THEN 'RARELY USED' ELSE 'IN USE' END AS recommendation
-        FROM index_catalog i LEFT JOIN (SELECT table_name, index_id, string_agg(column_name, ', ' ORDER BY key_ordinal) AS indexed_columns
-             FROM index_columns GROUP BY 1, 2) k ON k.table_name = i.table_name AND k.index_id = i.index_id"""),
+        FROM index_catalog i LEFT JOIN (SELECT server_name, database_name, schema_name, table_name, index_id,
+             string_agg(column_name, ', ' ORDER BY key_ordinal) AS indexed_columns FROM index_columns GROUP BY 1, 2, 3, 4, 5) k
+             ON k.server_name = i.server_name AND k.database_name = i.database_name AND k.schema_name = i.schema_name
+             AND k.table_name = i.table_name AND k.index_id = i.index_id"""),
     ),
     "p17_index_review": Entry(
         lambda t: rows.index_review(t.index_catalog.withColumn("used_pages", F.col("used_pages") * 2)),
@@ -308,18 +310,22 @@ ENTRIES = {
     "p18_index_selectivity": Entry(
         lambda t: rows.index_selectivity(
             t.index_catalog.select(
-                "table_name", "index_name", (F.col("user_seeks") % 40).alias("cardinality"),
+                "server_name", "database_name", "schema_name", "table_name", "index_name", (F.col("user_seeks") % 40).alias("cardinality"),
                 (1 - F.col("is_unique")).alias("non_unique"), F.col("last_used").alias("capture_time"),
             ),
-            t.index_catalog.select("table_name", (F.col("used_pages") * 20).alias("n_rows"), F.col("last_used").alias("capture_time")),
+            t.index_catalog.select(
+                "server_name", "database_name", "schema_name", "table_name", (F.col("used_pages") * 20).alias("n_rows"),
+                F.col("last_used").alias("capture_time"),
+            ),
             AS_OF,
         ),
         with_views(f"""
-        SELECT i.table_name, i.index_name, i.user_seeks % 40 AS cardinality, s.table_rows,
+        SELECT i.server_name, i.database_name, i.schema_name, i.table_name, i.index_name, i.user_seeks % 40 AS cardinality, s.table_rows,
                CASE WHEN i.user_seeks % 40 = 0 THEN 'UNUSED'
                     WHEN s.table_rows > 0 AND CAST(i.user_seeks % 40 AS DOUBLE) / s.table_rows < 0.01 THEN 'LOW SELECTIVITY' ELSE 'OK' END AS status
-        FROM index_catalog i JOIN (SELECT table_name, max(used_pages * 20) AS table_rows FROM index_catalog
-             WHERE last_used >= {NOW} - INTERVAL '1' DAY GROUP BY table_name) s ON i.table_name = s.table_name
+        FROM index_catalog i JOIN (SELECT server_name, database_name, schema_name, table_name, max(used_pages * 20) AS table_rows FROM index_catalog
+             WHERE last_used >= {NOW} - INTERVAL '1' DAY GROUP BY 1, 2, 3, 4) s ON i.table_name = s.table_name AND i.server_name = s.server_name
+             AND i.database_name = s.database_name AND i.schema_name = s.schema_name
         WHERE i.last_used >= {NOW} - INTERVAL '1' DAY AND i.is_unique = 0"""),
     ),
     "p19_scan_heavy_tables": Entry(
@@ -439,10 +445,11 @@ ENTRIES = {
     "p28_replication_lag": Entry(
         lambda t: rows.replication_lag(t.replica_lag),
         with_views(f"""
-        SELECT ag_name, replica_name, capture_time, sent_lsn, replay_lsn, sent_lsn - replay_lsn AS lag_bytes,
+        SELECT server_name, ag_name, replica_name, capture_time, sent_lsn, replay_lsn, sent_lsn - replay_lsn AS lag_bytes,
                {sql_bytes('(sent_lsn - replay_lsn)')} AS lag_size,
-               {sql_band('sent_lsn - replay_lsn', rules.REPLICATION_LAG_BYTES, 'OK')} AS status
-        FROM replica_lag"""),
+               CASE WHEN sent_lsn - replay_lsn > 1073741824 THEN 'CRITICAL' WHEN sent_lsn - replay_lsn > 104857600 THEN 'WARNING' ELSE 'OK' END AS status
+        FROM replica_lag r WHERE capture_time = (SELECT max(capture_time) FROM replica_lag x
+            WHERE x.server_name = r.server_name AND x.ag_name = r.ag_name AND x.replica_name = r.replica_name)"""),
     ),
     "p28_recent_channel_lag": Entry(
         lambda t: rows.recent_channel_lag(channels(t), AS_OF, hours=12),

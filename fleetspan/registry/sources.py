@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from fleetspan.functions.rules import CONTENTION_WAITS
 from fleetspan.operators import ingest
 from fleetspan.registry import Entry, with_views
-from fleetspan.session import scratch_path
+from fleetspan.session import ensure_checkpoint_dir, scratch_path
 from fleetspan.sources import landing
 from fleetspan.sources.views import AS_OF
 
@@ -21,7 +21,7 @@ def _names(values) -> str:
 
 
 def _free(t):
-    return t.file_space.select("tablespace_name", (F.col("size_mb") - F.col("used_mb")).alias("free_mb"))
+    return t.file_space.select("server_name", "tablespace_name", (F.col("size_mb") - F.col("used_mb")).alias("free_mb"))
 
 
 def _variables(t):
@@ -41,12 +41,14 @@ def _slow_log(t):
 
 
 def _upsert(t):
-    stats = t.query_stats_snapshot.select("query_hash", "capture_time", "exec_count", "total_elapsed_ms")
+    stats = t.query_stats_snapshot.select("server_name", "query_hash", "capture_time", "exec_count", "total_elapsed_ms")
     cut = AS_OF - timedelta(hours=2, minutes=30)
     literal = F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz")
-    return ingest.upsert_latest(
-        stats.where(F.col("capture_time") < literal), stats.where(F.col("capture_time") >= literal), ["query_hash"]
-    )
+    ensure_checkpoint_dir(t.spark)
+    path = scratch_path(t.spark, "query-store")
+    for batch in (stats.where(F.col("capture_time") < literal), stats.where(F.col("capture_time") >= literal)):
+        ingest.upsert_store(t.spark, path, batch, ["server_name", "query_hash"], buckets=8)
+    return t.spark.read.parquet(path).drop(ingest.BUCKET)
 
 
 def _history_round_trip(t):
@@ -119,43 +121,42 @@ ENTRIES = {
             t.session_requests.select("session_id", "login_name", "program_name", "status", "query_start", "query_text"),
             AS_OF,
             server="srv0",
-            text_len=9,
             own_session=51,
         ),
         with_views(f"""
-        SELECT session_id, login_name, program_name, status, query_start, left(query_text, 9) AS query_text,
+        SELECT session_id, login_name, program_name, status, query_start, query_text,
                'srv0' AS server_name, {NOW} AS capture_time
         FROM session_requests WHERE login_name IS NOT NULL AND session_id <> 51"""),
     ),
     "s04_capture_connection_counts": Entry(
         lambda t: ingest.capture_connection_counts(t.session_requests, AS_OF),
         with_views(f"""
-        SELECT login_name, status AS command, CAST(count(*) AS BIGINT) AS connections, {NOW} AS capture_time
-        FROM session_requests GROUP BY login_name, status"""),
+        SELECT server_name, login_name, status AS command, CAST(count(*) AS BIGINT) AS connections, {NOW} AS capture_time
+        FROM session_requests GROUP BY server_name, login_name, status"""),
     ),
     "s05_capture_database_sizes": Entry(
-        lambda t: ingest.capture_database_sizes(t.file_space, t.database_catalog, AS_OF, server="srv0"),
+        lambda t: ingest.capture_database_sizes(t.file_space, t.database_catalog, AS_OF),
         with_views(f"""
-        SELECT f.database_name,
+        SELECT f.server_name, f.database_name,
                CAST(sum(CASE WHEN f.file_type = 'ROWS' THEN f.size_mb ELSE 0 END) AS BIGINT) AS data_mb,
                CAST(sum(CASE WHEN f.file_type = 'LOG' THEN f.size_mb ELSE 0 END) AS BIGINT) AS log_mb,
                CAST(sum(f.used_mb) AS BIGINT) AS used_mb, CAST(sum(f.size_mb - f.used_mb) AS BIGINT) AS free_mb,
-               CAST(sum(f.size_mb) AS BIGINT) AS total_mb, 'srv0' AS server_name, {NOW} AS capture_time
-        FROM file_space f JOIN database_catalog d ON f.database_name = d.database_name
-        WHERE d.state_desc = 'ONLINE' AND d.is_read_only = 0 GROUP BY f.database_name"""),
+               CAST(sum(f.size_mb) AS BIGINT) AS total_mb, {NOW} AS capture_time
+        FROM file_space f WHERE EXISTS (SELECT 1 FROM database_catalog d WHERE f.database_name = d.database_name AND f.server_name = d.server_name
+            AND d.state_desc = 'ONLINE' AND d.is_read_only = 0) GROUP BY f.server_name, f.database_name"""),
     ),
     "s05_capture_tablespace_sizes": Entry(
         lambda t: ingest.capture_tablespace_sizes(t.file_space, _free(t), AS_OF),
         with_views(f"""
-        SELECT tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb, CAST(sum(used_mb) AS BIGINT) AS used_mb,
+        SELECT server_name, tablespace_name, CAST(sum(size_mb) AS BIGINT) AS total_mb, CAST(sum(used_mb) AS BIGINT) AS used_mb,
                CAST(sum(size_mb - used_mb) AS BIGINT) AS free_mb,
                CAST(round(CAST(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS pct_used, {NOW} AS capture_time
-        FROM file_space GROUP BY tablespace_name"""),
+        FROM file_space GROUP BY server_name, tablespace_name"""),
     ),
     "s06_capture_table_sizes": Entry(
         lambda t: ingest.capture_table_sizes(t.table_stats, AS_OF, skip_schemas=["schema3"]),
         with_views(f"""
-        SELECT schema_name, table_name, table_bytes, index_bytes, table_bytes + index_bytes AS total_bytes,
+        SELECT server_name, database_name, schema_name, table_name, table_bytes, index_bytes, table_bytes + index_bytes AS total_bytes,
                CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS table_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
                CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb, n_live, n_dead, {NOW} AS capture_time
         FROM table_stats WHERE schema_name <> 'schema3'"""),
@@ -163,6 +164,7 @@ ENTRIES = {
     "s06_capture_segment_sizes": Entry(
         lambda t: ingest.capture_segment_sizes(
             t.table_stats.select(
+                "server_name",
                 F.col("schema_name").alias("owner"),
                 F.concat(F.lit("seg"), F.floor(F.col("n_live") / 1000)).alias("table_name"),
                 F.lit("USERS").alias("tablespace_name"),
@@ -172,35 +174,34 @@ ENTRIES = {
             AS_OF,
         ),
         with_views(f"""
-        SELECT schema_name AS owner, 'seg' || CAST(floor(n_live / 1000) AS BIGINT) AS table_name, 'USERS' AS tablespace_name,
+        SELECT server_name, schema_name AS owner, 'seg' || CAST(floor(n_live / 1000) AS BIGINT) AS table_name, 'USERS' AS tablespace_name,
                CAST(round(CAST(CAST(sum(table_bytes) AS DOUBLE) / 1048576 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS size_mb, CAST(sum(n_live) AS BIGINT) AS num_rows,
                {NOW} AS capture_time
-        FROM table_stats GROUP BY 1, 2, 3"""),
+        FROM table_stats GROUP BY 1, 2, 3, 4"""),
     ),
     "s07_capture_index_stats": Entry(
         lambda t: ingest.capture_index_stats(t.index_catalog, AS_OF),
         with_views(f"""
-        SELECT table_name, index_name, is_unique, used_pages, user_seeks, user_scans, user_lookups, user_updates,
+        SELECT server_name, database_name, schema_name, table_name, index_name, is_unique, used_pages, user_seeks, user_scans, user_lookups, user_updates,
                {NOW} AS capture_time FROM index_catalog"""),
     ),
     "s08_capture_query_stats": Entry(
         lambda t: ingest.capture_query_stats(
-            t.query_stats_snapshot.drop("capture_time"), AS_OF, min_calls=10, text_len=8,
-            key=["server_name", "database_name", "query_hash", "exec_count", "logical_reads"],
+            t.query_stats_snapshot.drop("capture_time"), AS_OF, min_calls=10,
+            key=["database_name", "query_hash", "exec_count", "logical_reads"],
         ),
         with_views(f"""
-        SELECT server_name, database_name, query_hash, left(query_text, 8) AS query_text, exec_count, total_elapsed_ms, logical_reads,
-               CAST(floor(total_elapsed_ms / nullif(exec_count, 0)) AS BIGINT) AS avg_elapsed_ms,
-               CAST(floor(logical_reads / nullif(exec_count, 0)) AS BIGINT) AS avg_logical_reads, {NOW} AS capture_time
-        FROM query_stats_snapshot WHERE total_elapsed_ms >= 1000 AND exec_count >= 10
-        ORDER BY total_elapsed_ms DESC, server_name, database_name, query_hash, exec_count, logical_reads LIMIT 100"""),
+        SELECT server_name, database_name, query_hash, query_text, exec_count, total_elapsed_ms, logical_reads,
+               total_elapsed_ms // nullif(exec_count, 0) AS avg_elapsed_ms, logical_reads // nullif(exec_count, 0) AS avg_logical_reads, {NOW} AS capture_time
+        FROM (SELECT *, row_number() OVER (PARTITION BY server_name ORDER BY total_elapsed_ms DESC, database_name, query_hash, exec_count, logical_reads) AS place
+              FROM query_stats_snapshot WHERE total_elapsed_ms >= 1000 AND exec_count >= 10) x WHERE place <= 100"""),
     ),
     "s08_upsert_query_stats": Entry(
         _upsert,
         with_views("""
-        SELECT query_hash, capture_time, exec_count, total_elapsed_ms FROM (
-            SELECT query_hash, capture_time, exec_count, total_elapsed_ms,
-                   row_number() OVER (PARTITION BY query_hash ORDER BY capture_time DESC, exec_count DESC, total_elapsed_ms DESC) AS rn
+        SELECT server_name, query_hash, capture_time, exec_count, total_elapsed_ms FROM (
+            SELECT server_name, query_hash, capture_time, exec_count, total_elapsed_ms,
+                   row_number() OVER (PARTITION BY server_name, query_hash ORDER BY capture_time DESC, exec_count DESC, total_elapsed_ms DESC) AS rn
             FROM query_stats_snapshot) x WHERE rn = 1"""),
     ),
     "s09_capture_slow_queries": Entry(
@@ -216,6 +217,27 @@ ENTRIES = {
                CAST(counter_value AS VARCHAR) AS variable_value, CAST(counter_value AS DOUBLE) AS parsed_value, {NOW} AS capture_time
         FROM perf_counters WHERE counter_name LIKE 'Page%'"""),
     ),
+    "s10_capture_named_variables": Entry(
+        lambda t: ingest.capture_status_variables(
+            _variables(t), AS_OF, names=["Innodb_page_splits_sec", "Innodb_batch_requests_sec", "Innodb_buffer_pool_size"]
+        ),
+        with_views(f"""
+        SELECT server_name, 'Innodb_' || regexp_replace(lower(counter_name), '[ /]', '_', 'g') AS variable_name,
+               CAST(counter_value AS VARCHAR) AS variable_value, CAST(counter_value AS DOUBLE) AS parsed_value, {NOW} AS capture_time
+        FROM perf_counters WHERE counter_name IN ('Page Splits/sec', 'Batch Requests/sec')"""),
+    ),
+    "s10_capture_sizes_in_gb": Entry(
+        lambda t: ingest.capture_status_variables(
+            t.file_space.select(
+                "server_name", F.lit("innodb_buffer_pool_size").alias("variable_name"), (F.col("size_mb") * 1048576).cast("string").alias("variable_value")
+            ),
+            AS_OF,
+            prefix="innodb",
+        ),
+        with_views(f"""
+        SELECT server_name, 'innodb_buffer_pool_size' AS variable_name, CAST(size_mb * 1048576 AS VARCHAR) AS variable_value,
+               CAST(round(CAST(CAST(size_mb AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS parsed_value, {NOW} AS capture_time FROM file_space"""),
+    ),
     "s10_buffer_pool": Entry(
         lambda t: ingest.buffer_pool_mb(
             t.perf_counters.where(F.col("counter_name") == "Page Life Expectancy").select(
@@ -236,6 +258,17 @@ ENTRIES = {
         SELECT ag_name, replica_name, capture_time, sent_lsn, replay_lsn, sent_lsn - replay_lsn AS lag_bytes, {NOW} AS recorded_at
         FROM replica_lag"""),
     ),
+    "s11_capture_channels": Entry(
+        lambda t: ingest.capture_channels(t.replication_channel, AS_OF),
+        with_views(f"""
+        SELECT channel_name, source_host, io_state, sql_state, seconds_behind, events_read, last_error, {NOW} AS recorded_at FROM replication_channel"""),
+    ),
+    "s11_capture_database_sync": Entry(
+        lambda t: ingest.capture_database_sync(t.replica_lag, AS_OF),
+        with_views(f"""
+        SELECT server_name, ag_name, replica_name, database_name, capture_time, sync_health, redo_queue_mb, send_queue_mb, last_commit_time,
+               CASE WHEN sync_health = 'Healthy' THEN 1 ELSE 0 END AS is_synchronized, {NOW} AS recorded_at FROM replica_lag"""),
+    ),
     "s11_capture_replica_groups": Entry(
         lambda t: ingest.capture_replica_groups(
             t.replica_lag.select("ag_name").distinct(),

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import datetime, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,6 +25,26 @@ def append_history(df: DataFrame, path: str, time_col: str = "capture_time") ->
     dated.hint("rebalance", F.col(DATE_COL)).write.mode("append").partitionBy(DATE_COL).parquet(path)
 
 
+def append_new(spark: SparkSession, df: DataFrame, path: str, keys: Sequence[str], time_col: str = "capture_time") -> None:
+    """Append the rows whose natural key (``keys``) is not stored yet, one per key; a repeated append changes nothing.
+
+    Only the date folders that the rows fall into are read for the comparison, so late rows are stored
+    like any others. Rows that share a key are expected to be the same row delivered twice.
+    """
+    fresh = df.withColumn(DATE_COL, F.to_date(time_col)).dropDuplicates(list(keys)).checkpoint()
+    days = [r[DATE_COL] for r in fresh.select(DATE_COL).distinct().collect()]  # the days of one batch
+    try:
+        known = spark.read.parquet(path).where(F.col(DATE_COL).isin([d for d in days if d is not None]) | F.col(DATE_COL).isNull())
+        known = known.select(*[F.col(k).alias(f"known_{k}") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & F.col(k).eqNullSafe(F.col(f"known_{k}"))
+        fresh = fresh.join(known, same, "left_anti")
+    except AnalysisException:
+        pass  # nothing is stored yet
+    fresh.hint("rebalance", F.col(DATE_COL)).write.mode("append").partitionBy(DATE_COL).parquet(path)
+
+
 def read_history(
     spark: SparkSession,
     path: str,
@@ -74,8 +96,8 @@ def purge_history(
     fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for status in fs.listStatus(root):
         name = status.getPath().getName()
-        if not name.startswith(f"{DATE_COL}="):
-            continue
+        if not name.startswith(f"{DATE_COL}=") or name.endswith("__HIVE_DEFAULT_PARTITION__"):
+            continue  # rows without a time have no age: they stay
         day = datetime.strptime(name.split("=", 1)[1], "%Y-%m-%d").date()
         if day < cutoff.date() or (day == cutoff.date() and edge_is_gone):
             fs.delete(status.getPath(), True)

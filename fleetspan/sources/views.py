@@ -89,10 +89,13 @@ SELECT concat('srv', l_suppkey % 3) AS server_name, concat('db', l_suppkey % 12)
 FROM {lineitem} GROUP BY 1, 2, 3, 4, 5
 """
 
+# Three servers, each with two captures an hour apart; session ids repeat across servers and captures.
 VIEWS["session_requests"] = """
-SELECT c_custkey + 51 AS session_id,
-       CASE WHEN c_custkey = 0 OR c_custkey % 4 = 0 THEN 0
-            ELSE 51 + CAST(floor(c_custkey / 3) AS BIGINT) END AS blocking_session_id,
+SELECT concat('srv', c_custkey % 3) AS server_name,
+       TIMESTAMP '2024-01-31 00:00:00' - (CAST(floor(c_custkey / 3) AS BIGINT) % 2) * INTERVAL '1' HOUR AS capture_time,
+       CAST(floor(c_custkey / 6) AS BIGINT) + 51 AS session_id,
+       CASE WHEN CAST(floor(c_custkey / 6) AS BIGINT) % 4 = 0 THEN 0
+            ELSE 51 + CAST(floor(c_custkey / 18) AS BIGINT) END AS blocking_session_id,
        concat('login', c_custkey % 20) AS login_name,
        concat('app', c_custkey % 7) AS program_name,
        concat('host', c_custkey % 9) AS host_name,
@@ -105,16 +108,23 @@ SELECT c_custkey + 51 AS session_id,
 FROM {customer}
 """
 
-# A table holds up to 40 indexes, so the number of tables grows with the data.
+# A table holds up to 40 indexes, so the number of tables grows with the data. Table names repeat
+# across servers, databases and schemas, index ids and names across tables.
 VIEWS["index_columns"] = """
-SELECT concat('t', CAST(floor(l_orderkey / 40) AS BIGINT)) AS table_name, l_orderkey AS index_id,
+SELECT concat('srv', CAST(floor(l_orderkey / 40) AS BIGINT) % 3) AS server_name,
+       concat('db', CAST(floor(l_orderkey / 120) AS BIGINT) % 4) AS database_name,
+       concat('schema', CAST(floor(l_orderkey / 480) AS BIGINT) % 2) AS schema_name,
+       concat('t', CAST(floor(l_orderkey / 960) AS BIGINT)) AS table_name, l_orderkey % 40 + 1 AS index_id,
        CAST(l_linenumber AS BIGINT) AS key_ordinal, concat('c', min(l_partkey % 5)) AS column_name
-FROM {lineitem} GROUP BY 1, 2, 3
+FROM {lineitem} GROUP BY 1, 2, 3, 4, 5, 6
 """
 
 VIEWS["index_catalog"] = """
-SELECT concat('db', l_orderkey % 12) AS database_name, concat('t', CAST(floor(l_orderkey / 40) AS BIGINT)) AS table_name,
-       l_orderkey AS index_id, concat('ix', l_orderkey) AS index_name,
+SELECT concat('srv', CAST(floor(l_orderkey / 40) AS BIGINT) % 3) AS server_name,
+       concat('db', CAST(floor(l_orderkey / 120) AS BIGINT) % 4) AS database_name,
+       concat('schema', CAST(floor(l_orderkey / 480) AS BIGINT) % 2) AS schema_name,
+       concat('t', CAST(floor(l_orderkey / 960) AS BIGINT)) AS table_name,
+       l_orderkey % 40 + 1 AS index_id, concat('ix', l_orderkey % 40 + 1) AS index_name,
        CASE WHEN l_orderkey % 70 = 0 THEN 1 ELSE 0 END AS is_unique,
        CASE WHEN l_orderkey % 110 = 0 THEN 1 ELSE 0 END AS is_primary_key,
        CAST(sum(CAST(l_quantity AS BIGINT)) * 4 AS BIGINT) AS used_pages,
@@ -128,7 +138,8 @@ FROM {lineitem} GROUP BY l_orderkey
 """
 
 VIEWS["table_stats"] = """
-SELECT concat('schema', p_partkey % 4) AS schema_name, concat('t', p_partkey) AS table_name,
+SELECT concat('srv', p_partkey % 3) AS server_name, concat('db', CAST(floor(p_partkey / 3) AS BIGINT) % 4) AS database_name,
+       concat('schema', p_partkey % 4) AS schema_name, concat('t', p_partkey) AS table_name,
        CAST(floor(p_retailprice * p_size) AS BIGINT) AS n_live,
        CAST(floor(p_retailprice * (p_partkey % 13)) AS BIGINT) * CASE WHEN p_partkey % 7 = 0 THEN 10 ELSE 1 END AS n_dead,
        CAST(p_size * 8192 AS BIGINT) * 50 AS table_bytes,
@@ -140,8 +151,8 @@ FROM {part}
 """
 
 VIEWS["file_space"] = """
-SELECT concat('db', s_suppkey % 12) AS database_name, concat('ts', CAST(floor(s_suppkey / 4) AS BIGINT)) AS tablespace_name,
-       concat('file', s_suppkey) AS file_name, CASE WHEN s_suppkey % 4 = 0 THEN 'LOG' ELSE 'ROWS' END AS file_type,
+SELECT concat('srv', CAST(floor(s_suppkey / 4) AS BIGINT) % 3) AS server_name, concat('db', s_suppkey % 12) AS database_name,
+       concat('ts', CAST(floor(s_suppkey / 12) AS BIGINT)) AS tablespace_name, concat('file', s_suppkey) AS file_name, CASE WHEN s_suppkey % 4 = 0 THEN 'LOG' ELSE 'ROWS' END AS file_type,
        CAST(1024 + (s_suppkey * 37) % 4096 AS BIGINT) AS size_mb,
        CAST(floor(((1024 + (s_suppkey * 37) % 4096) * (s_suppkey % 100)) / 100) AS BIGINT) AS used_mb,
        CAST(CASE WHEN s_suppkey % 10 = 0 THEN -1 ELSE 8192 END AS BIGINT) AS max_size_mb
@@ -149,16 +160,16 @@ FROM {supplier}
 """
 
 VIEWS["database_catalog"] = """
-SELECT concat('db', s_suppkey % 12) AS database_name,
+SELECT concat('srv', CAST(floor(s_suppkey / 4) AS BIGINT) % 3) AS server_name, concat('db', s_suppkey % 12) AS database_name,
        CASE s_suppkey % 12 WHEN 7 THEN 'RESTORING' WHEN 10 THEN 'OFFLINE' ELSE 'ONLINE' END AS state_desc,
        CASE s_suppkey % 3 WHEN 0 THEN 'FULL' WHEN 1 THEN 'SIMPLE' ELSE 'BULK_LOGGED' END AS recovery_model,
        CASE WHEN s_suppkey % 12 = 5 THEN 1 ELSE 0 END AS is_read_only,
        CAST(count(*) AS BIGINT) AS file_count
-FROM {supplier} GROUP BY 1, 2, 3, 4
+FROM {supplier} GROUP BY 1, 2, 3, 4, 5
 """
 
 VIEWS["replica_lag"] = """
-SELECT concat('ag', user_id % 3) AS ag_name, concat('replica', user_id % 9) AS replica_name,
+SELECT concat('srv', user_id % 5) AS server_name, concat('ag', user_id % 3) AS ag_name, concat('replica', user_id % 9) AS replica_name,
        concat('db', user_id % 12) AS database_name,
        CASE WHEN user_id % 9 < 3 THEN 'PRIMARY' ELSE 'SECONDARY' END AS replica_role, ts AS capture_time,
        CAST(round(value * 10) AS BIGINT) AS redo_queue_mb, CAST(round(value) AS BIGINT) AS send_queue_mb,
@@ -266,9 +277,18 @@ FROM {part}
 """
 
 VIEWS["lock_table"] = """
-SELECT c_custkey + 51 AS pid, 'relation' AS locktype, CAST(c_nationkey AS BIGINT) AS database_id,
-       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 40 END AS relation_id,
-       CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 5 END AS page_id,
+SELECT concat('srv', c_custkey % 3) AS server_name,
+       TIMESTAMP '2024-01-31 00:00:00' - (CAST(floor(c_custkey / 3) AS BIGINT) % 2) * INTERVAL '1' HOUR AS capture_time,
+       CAST(floor(c_custkey / 6) AS BIGINT) + 51 AS pid, CASE WHEN c_custkey % 5 = 0 THEN 'tuple' ELSE 'relation' END AS locktype,
+       CAST(c_nationkey % 8 AS BIGINT) AS database_id,
+       CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_custkey % 4 END AS relation_id,
+       CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE c_custkey % 3 END AS page_id,
+       CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 2 END AS tuple_id,
+       CASE WHEN c_nationkey % 9 = 0 THEN concat(c_nationkey % 2, '/1') END AS virtualxid,
+       CASE WHEN c_nationkey % 7 = 0 THEN CAST(c_nationkey % 2 AS BIGINT) END AS transactionid,
+       CASE WHEN c_nationkey % 11 = 0 THEN CAST(c_nationkey AS BIGINT) END AS classid,
+       CASE WHEN c_nationkey % 11 = 0 THEN CAST(c_nationkey % 3 AS BIGINT) END AS objid,
+       CASE WHEN c_nationkey % 11 = 0 THEN CAST(0 AS BIGINT) END AS objsubid,
        CASE c_mktsegment WHEN 'MACHINERY' THEN 0 ELSE 1 END AS granted,
        CASE c_custkey % 3 WHEN 0 THEN 'ExclusiveLock' ELSE 'AccessShareLock' END AS lock_mode
 FROM {customer}
@@ -348,10 +368,13 @@ SELECT l_partkey + 1000000 AS group_handle, CAST(count(*) AS BIGINT) * 4 AS user
 FROM {lineitem} GROUP BY l_partkey
 """
 
+# Tasks belong to every second session: half the sessions have none, the others two.
 VIEWS["task_space"] = """
-SELECT c_custkey + 51 AS session_id, CAST(floor(abs(c_acctbal) / 10) AS BIGINT) AS allocated_pages,
+SELECT concat('srv', c_custkey % 3) AS server_name,
+       TIMESTAMP '2024-01-31 00:00:00' - (CAST(floor(c_custkey / 3) AS BIGINT) % 2) * INTERVAL '1' HOUR AS capture_time,
+       CAST(floor(c_custkey / 12) AS BIGINT) * 2 + 51 AS session_id, CAST(floor(abs(c_acctbal) / 10) AS BIGINT) AS allocated_pages,
        CAST(floor(abs(c_acctbal) / 20) AS BIGINT) AS deallocated_pages
-FROM {customer} WHERE c_mktsegment <> 'HOUSEHOLD'
+FROM {customer}
 """
 
 VIEWS["redo_log"] = """
@@ -362,10 +385,11 @@ FROM {supplier}
 """
 
 VIEWS["undo_tablespaces"] = """
-SELECT concat('ts', CAST(floor(s_suppkey / 4) AS BIGINT)) AS tablespace_name,
-       CASE WHEN CAST(floor(s_suppkey / 4) AS BIGINT) % 3 = 0 THEN 'UNDO' ELSE 'PERMANENT' END AS contents,
+SELECT concat('srv', CAST(floor(s_suppkey / 4) AS BIGINT) % 3) AS server_name,
+       concat('ts', CAST(floor(s_suppkey / 12) AS BIGINT)) AS tablespace_name,
+       CASE WHEN CAST(floor(s_suppkey / 12) AS BIGINT) % 3 = 0 THEN 'UNDO' ELSE 'PERMANENT' END AS contents,
        CAST(900 AS BIGINT) AS undo_retention, CAST(min(s_suppkey % 50) AS BIGINT) * 60 AS tuned_retention
-FROM {supplier} GROUP BY 1, 2
+FROM {supplier} GROUP BY 1, 2, 3
 """
 
 

@@ -7,63 +7,52 @@ from the checkpoint.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import datetime
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType, TimestampType
+from pyspark.sql.types import StructType
 
 from fleetspan.operators import joins, rows
-
-# Python workers get this module's processor class itself, so they need no copy of the package on their path.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
-
-@contextmanager
-def rocksdb_state(spark: SparkSession):
-    """Run queries with the state store that custom stateful processing needs."""
-    previous = spark.conf.get(STATE_STORE, None)
-    spark.conf.set(STATE_STORE, ROCKSDB)
-    try:
-        yield
-    finally:
-        if previous is None:
-            spark.conf.unset(STATE_STORE)
-        else:
-            spark.conf.set(STATE_STORE, previous)
+from fleetspan.session import ensure_checkpoint_dir
+from fleetspan.sources.landing import append_new
 
 
 def snapshot_stream(
-    spark: SparkSession, path: str, schema: StructType, glob: str | None = None, files_per_batch: int | None = None
+    spark: SparkSession,
+    path: str,
+    schema: StructType,
+    glob: str | None = None,
+    files_per_batch: int | None = None,
+    bytes_per_batch: int = 8 << 30,
 ) -> DataFrame:
-    """Landed parquet files as a stream, oldest first."""
+    """Landed parquet files as a stream, oldest first, in batches of at most so many files or bytes.
+
+    A backlog is worked off in bounded batches, so a failure repeats one of them, not everything.
+    """
     reader = spark.readStream.schema(schema)
     if glob is not None:
         reader = reader.option("pathGlobFilter", glob)
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    else:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 
 @contextmanager
-def state_width(spark: SparkSession, partitions: int | None):
+def state_width(spark: SparkSession, partitions: int):
     """Number of state partitions for queries started inside.
 
-    A query keeps the width of its first start for good. The default is one
-    partition per core the application holds, whatever batch jobs use.
+    A query keeps the width of its first start for good, whatever cluster it starts on, so the number is
+    always given: choose it for the state the query will hold at its largest.
     """
     key = "spark.sql.shuffle.partitions"
     previous = spark.conf.get(key)
-    spark.conf.set(key, str(partitions or spark.sparkContext.defaultParallelism))
+    spark.conf.set(key, str(partitions))
     try:
         yield
     finally:
@@ -71,7 +60,7 @@ def state_width(spark: SparkSession, partitions: int | None):
 
 
 def run_append(
-    stream: DataFrame, path: str, checkpoint: str, partition_by: str | None = None, state_partitions: int | None = None
+    stream: DataFrame, path: str, checkpoint: str, state_partitions: int, partition_by: str | None = None
 ) -> None:
     """Process what has landed, append to parquet, stop."""
     writer = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
@@ -85,8 +74,8 @@ def run_batches(
     stream: DataFrame,
     handle: Callable[[DataFrame, int], None],
     checkpoint: str,
+    state_partitions: int,
     mode: str = "append",
-    state_partitions: int | None = None,
 ) -> None:
     """Process what has landed batch by batch with a function, stop."""
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(handle)
@@ -99,18 +88,20 @@ def _event_time(col: str):
     return F.col(col).cast("timestamp")
 
 
-def ingest(raw: DataFrame, capture: Callable[[DataFrame], DataFrame], keys: list[str], time_col: str, delay: str) -> DataFrame:
-    """Capture as a stream: normalise, then drop rows already seen under the same natural key.
+def ingest_batches(
+    path: str, capture: Callable[[DataFrame], DataFrame], keys: list[str], time_col: str
+) -> Callable[[DataFrame, int], None]:
+    """Batch handler for a capture: normalise, then append what is not stored yet under the same natural key.
 
-    The dedup state is bounded by the delay.
+    Rows are compared with the stored history itself, in the date folders that the batch touches. There is no
+    watermark: however late a server delivers, its rows are kept, and a repeated batch adds nothing.
     """
-    captured = capture(raw).withColumn("event_time", _event_time(time_col))
-    return (
-        captured.withWatermark("event_time", delay)
-        .dropDuplicatesWithinWatermark(keys)
-        .withColumn("capture_date", F.to_date(time_col))
-        .drop("event_time")
-    )
+
+    def handle(df: DataFrame, batch_id: int) -> None:
+        ensure_checkpoint_dir(df.sparkSession)
+        append_new(df.sparkSession, capture(df), path, keys, time_col)
+
+    return handle
 
 
 def wait_windows(samples: DataFrame, width: str = "15 minutes", delay: str = "10 minutes") -> DataFrame:
@@ -162,92 +153,56 @@ def failed_login_windows(
     )
 
 
-CHANGE_SCHEMA = StructType(
-    [
-        StructField("server_name", StringType()),
-        StructField("principal", StringType()),
-        StructField("change_time", TimestampType()),
-        StructField("action_type", StringType()),
-    ]
-)
-_LAST_SEEN = StructType([StructField("micros", LongType())])
+_MEMBERS = "server_name string, principal string, snapshot_time timestamp_ntz, compared boolean"
 
 
-class MembershipTracker(StatefulProcessor):
-    """State of one (server, principal): when it was last seen in a snapshot.
+def membership_batches(path: str, complete: bool = False) -> Callable[[DataFrame, int], None]:
+    """Batch handler: ADDED / REMOVED per (server, principal) from full snapshots (server_name, principal, snapshot_time).
 
-    First sight emits ADDED. Missing from the next snapshot emits REMOVED at that
-    snapshot's time, either when a later sighting shows the gap or when the
-    watermark passes it (event-time timer).
+    Each snapshot is compared with the one before it of the same server, so a server that misses a day or
+    delivers late changes nothing for itself or others. A server's newest snapshot may still be arriving, in
+    several files: it waits until a newer one lands, or until a call with ``complete``. Rows of a snapshot older than
+    the last one compared go to ``path``/late. ``path``/changes holds the result, ``path``/state per batch the last
+    compared and the waiting snapshots; a repeated batch replaces its own folders. A server's first
+    snapshot adds all its principals.
     """
 
-    def __init__(self, interval_ms: int):
-        self.interval_ms = interval_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("last_seen", _LAST_SEEN)
-
-    def _rows(self, key, changes) -> pd.DataFrame:
-        times = pd.to_datetime([ms for ms, _ in changes], unit="ms")
-        return pd.DataFrame(
-            {
-                "server_name": [key[0]] * len(changes),
-                "principal": [key[1]] * len(changes),
-                "change_time": times,
-                "action_type": [action for _, action in changes],
-            }
+    def handle(df: DataFrame, batch_id: int) -> None:
+        spark = df.sparkSession
+        ensure_checkpoint_dir(spark)
+        before = spark.read.schema(_MEMBERS).parquet(f"{path}/state/batch_id={batch_id - 1}") if batch_id else spark.createDataFrame([], _MEMBERS)
+        landed = df.select("server_name", "principal", F.col("snapshot_time").cast("timestamp_ntz")).withColumn("compared", F.lit(False))
+        done = before.where("compared").select("server_name", F.col("snapshot_time").alias("done_time")).distinct()
+        fresh = landed.join(done, "server_name", "left")
+        behind = F.coalesce(F.col("snapshot_time") <= F.col("done_time"), F.lit(False))
+        fresh.where(behind).select("server_name", "principal", "snapshot_time").write.mode("overwrite").parquet(f"{path}/late/batch_id={batch_id}")
+        rows_ = before.unionByName(fresh.where(~behind).drop("done_time")).distinct().checkpoint()
+        times = rows_.select("server_name", "snapshot_time", "compared").distinct()
+        order = W.partitionBy("server_name").orderBy("snapshot_time")
+        times = times.select(
+            "server_name", "snapshot_time", "compared",
+            F.lag("snapshot_time").over(order).alias("prev_time"), F.lead("snapshot_time").over(order).alias("next_time"),
+        ).checkpoint()
+        ready = times.where(~F.col("compared")) if complete else times.where(~F.col("compared") & F.col("next_time").isNotNull())
+        now = rows_.select("server_name", "principal", "snapshot_time")
+        steps = ready.select("server_name", "snapshot_time", "prev_time")
+        at_prev = now.withColumnRenamed("snapshot_time", "prev_time")
+        added = now.join(steps, ["server_name", "snapshot_time"]).join(at_prev, ["server_name", "prev_time", "principal"], "left_anti")
+        gone = at_prev.join(steps, ["server_name", "prev_time"]).join(now, ["server_name", "snapshot_time", "principal"], "left_anti")
+        change = ["server_name", "principal", F.col("snapshot_time").alias("change_time")]
+        changes = added.select(*change, F.lit("ADDED").alias("action_type")).unionByName(
+            gone.select(*change, F.lit("REMOVED").alias("action_type"))
         )
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        last = self.seen.get()[0] if self.seen.exists() else None
-        first_timer = last
-        moments = sorted({int(ms) for batch in rows for ms in batch["snapshot_ms"]})
-        changes = []
-        for ms in moments:
-            if last is not None and ms <= last:
-                continue
-            if last is not None and ms - last > self.interval_ms:
-                changes.append((last + self.interval_ms, "REMOVED"))
-                last = None
-            if last is None:
-                changes.append((ms, "ADDED"))
-            last = ms
-        if last is not None and last != first_timer:
-            if first_timer is not None:
-                self.handle.deleteTimer(first_timer + self.interval_ms)
-            self.seen.update((last,))
-            self.handle.registerTimer(last + self.interval_ms)
-        if changes:
-            yield self._rows(key, changes)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        last = self.seen.get()[0] if self.seen.exists() else None
-        if last is not None and last + self.interval_ms <= expiredTimerInfo.getExpiryTimeInMs():
-            self.seen.clear()
-            yield self._rows(key, [(last + self.interval_ms, "REMOVED")])
-
-    def close(self) -> None:
-        pass
-
-
-def membership_changes(snapshots: DataFrame, interval_ms: int, delay: str = "0 seconds") -> DataFrame:
-    """ADDED / REMOVED per (server, principal) from a stream of full snapshots.
-
-    ``snapshots``: server_name, principal, snapshot_time. One key holds one
-    timestamp of state, whatever the length of the history.
-    """
-    timed = snapshots.withColumn("event_time", _event_time("snapshot_time")).withColumn(
-        "snapshot_ms", F.unix_millis("event_time")
-    )
-    return (
-        timed.withWatermark("event_time", delay)
-        .groupBy("server_name", "principal")
-        .transformWithStateInPandas(
-            MembershipTracker(interval_ms), outputStructType=CHANGE_SCHEMA, outputMode="Append", timeMode="EventTime"
+        changes.write.mode("overwrite").parquet(f"{path}/changes/batch_id={batch_id}")
+        last = times.where("compared").unionByName(ready).groupBy("server_name").agg(F.max("snapshot_time").alias("last_time"))
+        kept = rows_.drop("compared").join(last, "server_name", "left").where(
+            F.col("last_time").isNull() | (F.col("snapshot_time") >= F.col("last_time"))
         )
-        .withColumn("change_time", F.col("change_time").cast("timestamp_ntz"))
-    )
+        kept.select(
+            "server_name", "principal", "snapshot_time", F.coalesce(F.col("snapshot_time") == F.col("last_time"), F.lit(False)).alias("compared")
+        ).write.mode("overwrite").parquet(f"{path}/state/batch_id={batch_id}")
+
+    return handle
 
 
 def alert_state(alerts: DataFrame) -> DataFrame:
@@ -258,22 +213,39 @@ def alert_state(alerts: DataFrame) -> DataFrame:
 
 
 def replace_table(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler that keeps only the newest complete result. Repeating a batch is harmless."""
+    """Batch handler that writes the newest complete result as a version of its own; see ``read_newest``.
+
+    A reader never meets a half-written table, and repeating a batch is harmless.
+    """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
 
     return handle
 
 
-def blocking_batches(path: str, min_wait_ms: int = 30000) -> Callable[[DataFrame, int], None]:
-    """Batch handler that finds blocked sessions in each landed session snapshot.
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table written by ``replace_table``."""
+    versions = spark.read.parquet(path)
+    return versions.where(F.col("version") == versions.select(F.max("version")).scalar()).drop("version")
+
+
+def blocking_batches(path: str, landed: Callable[[], DataFrame], min_wait_ms: int = 30000) -> Callable[[DataFrame, int], None]:
+    """Batch handler that finds blocked sessions in every snapshot of which rows have landed.
 
-    Each batch owns a folder, so a repeated batch replaces its own rows.
+    A snapshot may arrive in several batches, so the snapshots that a batch names are read whole from what
+    has landed so far, and their result replaces an earlier one. One folder per snapshot.
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        joins.blocking_pairs(df, min_wait_ms=min_wait_ms).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        ensure_checkpoint_dir(df.sparkSession)
+        named = df.select(*joins.SNAPSHOT).distinct().checkpoint()
+        whole = landed().join(named, joins.SNAPSHOT, "left_semi")
+        pairs = joins.blocking_pairs(whole, min_wait_ms=min_wait_ms)
+        snapshot = F.concat_ws("_", "server_name", F.date_format("capture_time", "yyyyMMddHHmmss"))
+        pairs.withColumn("snapshot", snapshot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "snapshot"
+        ).parquet(path)
 
     return handle
 

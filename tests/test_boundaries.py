@@ -80,6 +80,9 @@ def test_ratio_and_division(spark):
         truncated_div(F.lit(7), F.lit(2)).alias("half"), truncated_div(F.lit(7), F.lit(0)).alias("none"),
     ).first()
     assert (row.zero, row.third, row.half, row.none) == (None, 33.33, 3, None)
+    big = 9007199254740993
+    row = spark.range(1).select(truncated_div(F.lit(-7), F.lit(2)).alias("minus"), truncated_div(F.lit(big), F.lit(1)).alias("big")).first()
+    assert (row.minus, row.big) == (-3, big)
 
 
 def test_text_formats(spark):
@@ -176,9 +179,50 @@ def test_backup_status_edges(spark):
     )
     out = {r.database_name: r.backup_status for r in aggregates.backup_status(backups, NOW).collect()}
     assert out == {"a": "OK", "b": "WARNING", "c": "WARNING", "d": "OVERDUE", "e": "NO BACKUP"}
-    names = spark.createDataFrame([("a",), ("zz",), ("tempdb",)], "database_name string")
-    health = {r.database_name: r.backup_status for r in aggregates.database_backup_status(names, backups, NOW).collect()}
-    assert health == {"a": "OK", "zz": "NO BACKUP"}
+    server = backups.first().server_name
+    names = spark.createDataFrame(
+        [(server, "a"), (server, "zz"), (server, "tempdb"), ("other", "a"), (server, None)], "server_name string, database_name string"
+    )
+    health = {(r.server_name, r.database_name): r.backup_status for r in aggregates.database_backup_status(names, backups, NOW).collect()}
+    assert health == {(server, "a"): "OK", (server, "zz"): "NO BACKUP", ("other", "a"): "NO BACKUP", (server, None): "NO BACKUP"}
+
+
+def test_last_size_is_the_newest_backups(spark):
+    backups = spark.createDataFrame(
+        [("s", "db", "D", ago(hours=9), ago(hours=9), 500), ("s", "db", "D", ago(hours=2), ago(hours=2), 7)],
+        "server_name string, database_name string, backup_type string, backup_start timestamp_ntz, backup_finish timestamp_ntz, backup_size_mb long",
+    )
+    assert aggregates.backup_status(backups, NOW).first().last_size_mb == 7
+
+
+def test_unhealthy_primary_without_a_state(spark):
+    row = spark.createDataFrame(
+        [("ag", "r", "PRIMARY", ago(hours=1), None, "Healthy", "Online", 1, 1)],
+        "ag_name string, replica_name string, replica_role string, capture_time timestamp_ntz, operational_state string, sync_health string, "
+        "recovery_health string, redo_queue_mb long, send_queue_mb long",
+    )
+    out = rows.replica_health(row, NOW).first()
+    assert (out.health_status, out.action_required) == ("UNHEALTHY", "ACTION REQUIRED")
+
+
+def test_quiet_server_keeps_its_statements(spark):
+    raw = spark.createDataFrame(
+        [("busy", i, "x" * 2000, 10, 10**6 + i, 1) for i in range(150)] + [("quiet", 1, "y", 10, 1000, 1)],
+        "server_name string, query_hash long, query_text string, exec_count long, total_elapsed_ms long, logical_reads long",
+    )
+    out = ingest.capture_query_stats(raw, NOW).collect()
+    assert sum(r.server_name == "busy" for r in out) == 100 and sum(r.server_name == "quiet" for r in out) == 1
+    assert max(len(r.query_text) for r in out) == 2000
+
+
+def test_a_missing_name_is_kept(spark):
+    events = spark.createDataFrame(
+        [(None, None, None, None, "FAILED_LOGIN"), ("sa", "h", "p", "i", "LOGIN")],
+        "login_name string, host_name string, program_name string, ip_address string, event_type string",
+    )
+    assert [r.login_name for r in ingest.append_audit_events(events, ["sa"]).collect()] == [None]
+    waits = spark.createDataFrame([(None,), ("CXPACKET",)], "wait_type string")
+    assert [r.wait_type for r in rows.exclude_benign(waits, "wait_type", ["CXPACKET"]).collect()] == [None]
 
 
 def test_overview_takes_the_worst_backup_by_rank(spark):

@@ -3,14 +3,16 @@
 import random
 from datetime import datetime
 
+from pyspark.sql import functions as F
+
 from fleetspan.operators import joins
 
 NOW = datetime(2024, 1, 31)
 
 
-def sessions(spark, edges):
+def sessions(spark, edges, server="srv0"):
     return spark.createDataFrame([(s, b) for s, b in edges], "session_id long, blocking_session_id long").selectExpr(
-        "*", "'login' login_name", "'app' program_name", "'running' status", "cast(null as string) wait_type", "5L wait_time_ms",
+        "*", f"'{server}' server_name", "timestamp_ntz'2024-01-31 00:00:00' capture_time", "'login' login_name", "'app' program_name", "'running' status", "cast(null as string) wait_type", "5L wait_time_ms",
         "'select 1' query_text", "timestamp_ntz'2024-01-30 23:00:00' query_start",
     )
 
@@ -55,22 +57,36 @@ def test_random_forests(spark):
     check_chains(spark, edges)
 
 
-def test_walk_lists_every_step(spark):
+def test_walk_lists_every_step_and_a_circle_once(spark):
     edges = [(1, 0), (2, 1), (3, 2), (4, 3), (5, 4), (6, 2), (7, 8), (8, 7), (9, 7)]
-    got = {(r.origin, r.level, r.session_id, r.root_blocker) for r in joins.blocking_walk(sessions(spark, edges)).collect()}
+    people = sessions(spark, edges)
+    chosen = {2, 5, 7, 9}
+    origins = people.where(people.session_id.isin(chosen))
+    got = {(r.origin, r.level, r.session_id, r.root_blocker) for r in joins.blocking_walk(people, origins).collect()}
     want = set()
-    for s, b in edges:
-        if b > 0:
-            path, root = walk(edges, s)
-            steps = path if root is not None else [s]
-            want |= {(s, level, node, root) for level, node in enumerate(steps)}
+    for s in chosen:
+        path, root = walk(edges, s)
+        want |= {(s, level, node, root) for level, node in enumerate(path)}
     assert got == want
 
 
+def test_equal_servers_do_not_mix(spark):
+    edges = [(1, 0), (2, 1), (3, 2), (4, 2), (5, 9), (6, 7), (7, 6), (8, 3)]
+    one = sessions(spark, edges)
+    three = one.unionByName(sessions(spark, edges, "srv1")).unionByName(sessions(spark, edges, "srv2"))
+    rows = lambda df: sorted(tuple(r[c] for c in ("session_id", "root_blocker", "level", "chain_state")) for r in df.collect())
+    chains = joins.blocking_chains(three)
+    alone = rows(joins.blocking_chains(one))
+    assert chains.count() == 3 * len(alone)
+    for server in ("srv0", "srv1", "srv2"):
+        assert rows(chains.where(chains.server_name == server)) == alone
+    assert joins.blocking_pairs(three).count() == 3 * joins.blocking_pairs(one).count()
+
+
 def test_no_blocking_at_all(spark):
     quiet = sessions(spark, [(1, 0), (2, 0)])
     assert joins.blocking_chains(quiet).count() == 0
-    assert joins.blocking_walk(quiet).count() == 0
+    assert joins.blocking_walk(quiet, quiet).count() == 0
 
 
 def test_lock_waits_and_queue_match_pairs(spark):
@@ -81,7 +97,10 @@ def test_lock_waits_and_queue_match_pairs(spark):
         r = resources[0] if rng.random() < 0.4 else rng.choice(resources)  # one resource is hot
         locks.append((*r, rng.randint(1, 25), rng.randint(0, 1)))
     locks.append(("alone", 1, 1, 1, 99, 0))
-    df = spark.createDataFrame(locks, "locktype string, database_id long, relation_id long, page_id long, pid long, granted int")
+    df = spark.createDataFrame(locks, "locktype string, database_id long, relation_id long, page_id long, pid long, granted int").selectExpr(
+        "*", "'srv0' server_name", "timestamp_ntz'2024-01-31 00:00:00' capture_time", "cast(null as string) virtualxid",
+        *[f"cast(null as bigint) {c}" for c in ("tuple_id", "transactionid", "classid", "objid", "objsubid")],
+    )
     people = sessions(spark, [(i, 0) for i in range(1, 100)])
 
     pairs = {}
@@ -109,9 +128,12 @@ def test_lock_waits_and_queue_match_pairs(spark):
 def _indexes(spark, defs):
     cols = [(t, i, n, c) for t, i, _, _, names in defs for n, c in enumerate(names, 1)]
     catalog = [(t, i, f"ix{i}", u, p, 20 + i) for t, i, u, p, _ in defs]
+    place = ["*", "'srv0' server_name", "'db1' database_name", "'dbo' schema_name"]
     return (
-        spark.createDataFrame(cols, "table_name string, index_id long, key_ordinal long, column_name string"),
-        spark.createDataFrame(catalog, "table_name string, index_id long, index_name string, is_unique int, is_primary_key int, used_pages long"),
+        spark.createDataFrame(cols, "table_name string, index_id long, key_ordinal long, column_name string").selectExpr(*place),
+        spark.createDataFrame(
+            catalog, "table_name string, index_id long, index_name string, is_unique int, is_primary_key int, used_pages long"
+        ).selectExpr(*place),
     )
 
 
@@ -147,6 +169,26 @@ def test_duplicate_columns_against_pairs(spark):
     }
 
 
+def test_same_table_name_in_two_databases_is_no_duplicate(spark):
+    cols, catalog = _indexes(spark, [("t", 1, 0, 0, ["a"]), ("t", 2, 0, 0, ["a", "b"])])
+    second = lambda df, n: df.where(f"index_id = {n}").withColumn("database_name", F.lit(f"db{n}"))
+    cols = second(cols, 1).unionByName(second(cols, 2))
+    catalog = second(catalog, 1).unionByName(second(catalog, 2))
+    assert joins.duplicate_indexes(cols, catalog, min_kb=0).count() == 0
+    assert joins.duplicate_index_columns(cols, catalog).count() == 0
+
+
+def test_failover_pairs_take_the_newest_state(spark):
+    rows = [
+        ("ag", "r1", "PRIMARY", 1), ("ag", "r2", "SECONDARY", 1), ("ag", "r1", "SECONDARY", 2), ("ag", "r2", "PRIMARY", 2),
+        ("solo", "r1", "PRIMARY", 1), ("solo", "r1", "SECONDARY", 0),
+    ]
+    df = spark.createDataFrame(rows, "ag_name string, replica_name string, replica_role string, h int").selectExpr(
+        "*", "timestamp_ntz'2024-01-31 00:00:00' + make_interval(0, 0, 0, 0, h) capture_time"
+    )
+    assert [tuple(r) for r in joins.failover_pairs(df).collect()] == [("ag", "r1", "r2")]
+
+
 def test_membership_differences_rebuild_the_snapshot(spark):
     old = spark.createDataFrame([(f"l{i}",) for i in range(0, 30)], "login_name string")
     new = spark.createDataFrame([(f"l{i}",) for i in range(12, 45)], "login_name string")

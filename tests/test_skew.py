@@ -54,6 +54,8 @@ def test_hot_blocker_is_split(split_small, tmp_path):
     spark = split_small
     n = F.col("id")
     spark.range(1, 200001, 1, 8).select(
+        F.lit("srv0").alias("server_name"),
+        F.lit("2024-01-01 00:00:00").cast("timestamp_ntz").alias("capture_time"),
         n.alias("session_id"),
         F.when(n == 1, 0).when(n % 3 == 0, 1).otherwise(n - 1).cast("bigint").alias("blocking_session_id"),
         F.lit("l").alias("login_name"), F.lit("p").alias("program_name"), F.lit("running").alias("status"),

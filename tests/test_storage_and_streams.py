@@ -14,7 +14,7 @@ from fleetspan.sources import landing
 from fleetspan.streaming import jobs
 
 NOW = datetime(2024, 1, 31, 12)
-DAY_MS = 24 * 3600 * 1000
+STATE = 4
 
 
 def history(spark, hours):
@@ -74,24 +74,52 @@ def land(df, folder, name):
 
 def drain(spark, stream, tmp_path, label, **kw):
     out, progress = str(tmp_path / label), str(tmp_path / f"{label}-progress")
-    jobs.run_append(stream, out, progress, **kw)
+    jobs.run_append(stream, out, progress, STATE, **kw)
     return spark.read.parquet(out)
 
 
-def test_ingest_drops_redelivered_rows_and_continues(spark, tmp_path):
+def test_ingest_keeps_late_rows_and_drops_redelivered_ones(spark, tmp_path):
     source = tmp_path / "landed"
     source.mkdir()
+    out, progress = str(tmp_path / "ingest"), str(tmp_path / "progress")
     first = history(spark, [5, 4, 3])
-    land(first, source, "f1")
     schema = first.schema
-    read = lambda: jobs.ingest(
-        jobs.snapshot_stream(spark, f"{source}/*", schema, files_per_batch=1),
-        lambda raw: raw.where("wait_time_ms > 0"), ["server_name", "capture_time", "wait_type"], "capture_time", "1 day",
-    )
-    assert drain(spark, read(), tmp_path, "ingest", partition_by="capture_date").count() == 3
+    capture = lambda raw: raw.where("wait_time_ms > 0")
+
+    def run():
+        stream = jobs.snapshot_stream(spark, f"{source}/*", schema, files_per_batch=1)
+        jobs.run_batches(stream, jobs.ingest_batches(out, capture, ["server_name", "capture_time", "wait_type"], "capture_time"), progress, STATE)
+        return sorted(r.wait_time_ms for r in spark.read.parquet(out).collect())
+
+    land(first, source, "f1")
+    assert run() == [3, 4, 5]
     land(history(spark, [3, 2, 1, 0]), source, "f2")  # hour 3 again, hour 0 has no wait
-    out = drain(spark, read(), tmp_path, "ingest", partition_by="capture_date")
-    assert sorted(r.wait_time_ms for r in out.collect()) == [1, 2, 3, 4, 5]
+    land(history(spark, [90, 1]), source, "f3")  # a server that was silent for days
+    assert run() == [1, 2, 3, 4, 5, 90]
+
+
+def test_append_new_is_repeatable(spark, tmp_path):
+    path = str(tmp_path / "h")
+    rows = history(spark, [1, 2, 3]).unionByName(spark.createDataFrame([("srv9", None, "w", 7)], history(spark, [1]).schema))
+    for _ in range(2):
+        landing.append_new(spark, rows, path, ["server_name", "capture_time", "wait_type"])
+    assert spark.read.parquet(path).count() == 4
+    assert landing.purge_history(spark, path, NOW, retention_days=1) == 0  # rows without a time stay
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_upsert_store_rewrites_touched_folders_only(spark, tmp_path):
+    path = str(tmp_path / "s")
+    schema = "query_hash long, capture_time timestamp_ntz, n long"
+    day = lambda d: datetime(2024, 1, d)
+    ingest.upsert_store(spark, path, spark.createDataFrame([(i, day(1), i) for i in range(40)], schema), ["query_hash"], buckets=8)
+    before = {f: os.path.getmtime(os.path.join(path, f)) for f in os.listdir(path) if f.startswith(ingest.BUCKET)}
+    for _ in range(2):
+        ingest.upsert_store(spark, path, spark.createDataFrame([(3, day(2), 300), (99, day(1), 9)], schema), ["query_hash"], buckets=8)
+    out = {r.query_hash: r.n for r in spark.read.parquet(path).collect()}
+    assert out == {**{i: i for i in range(40)}, 3: 300, 99: 9}
+    same = [f for f, t in before.items() if os.path.getmtime(os.path.join(path, f)) == t]
+    assert len(same) >= len(before) - 2
 
 
 def test_wait_windows_drop_late_rows(spark, tmp_path):
@@ -116,25 +144,64 @@ def test_wait_windows_drop_late_rows(spark, tmp_path):
     ]
 
 
-def test_membership_over_daily_files(spark, tmp_path):
+def test_membership_compares_a_server_with_its_own_last_snapshot(spark, tmp_path):
     source = tmp_path / "landed"
     source.mkdir()
     day = lambda d: datetime(2024, 1, d)
-    present = {1: "ab", 2: "abc", 3: "bc", 4: "abc", 5: "c", 6: "c", 7: "c"}
     schema = "server_name string, principal string, snapshot_time timestamp_ntz"
-    for d, names in present.items():
-        land(spark.createDataFrame([("s", n, day(d)) for n in names], schema), source, f"f{d}")
+    files = [
+        [("s", n, day(1)) for n in "ab"] + [("late", "x", day(1))],
+        [("s", "a", day(2))],  # the rest of this snapshot comes in the next file
+        [("s", n, day(2)) for n in "bc"],
+        [("s", n, day(4)) for n in "bc"],  # no snapshot on day 3
+        [("late", n, day(2)) for n in "xy"],  # a late server
+        [("s", "c", day(5)), ("s", "a", day(1))],  # and a row of a snapshot that was compared long ago
+    ]
+    out, progress = str(tmp_path / "m"), str(tmp_path / "mp")
+    empty = spark.createDataFrame([], schema).schema
+    for i, data in enumerate(files):
+        land(spark.createDataFrame(data, schema), source, f"f{i}")
         time.sleep(0.05)
-    stream = jobs.snapshot_stream(spark, f"{source}/*", spark.createDataFrame([], schema).schema, files_per_batch=1)
-    with jobs.rocksdb_state(spark):
-        out = drain(spark, jobs.membership_changes(stream, DAY_MS), tmp_path, "members").collect()
-    got = sorted((r.change_time, r.principal, r.action_type) for r in out)
-    assert got == sorted(
-        [
-            (day(1), "a", "ADDED"), (day(1), "b", "ADDED"), (day(2), "c", "ADDED"), (day(3), "a", "REMOVED"),
-            (day(4), "a", "ADDED"), (day(5), "a", "REMOVED"), (day(5), "b", "REMOVED"),
-        ]
+    stream = jobs.snapshot_stream(spark, f"{source}/*", empty, files_per_batch=1)
+    jobs.run_batches(stream, jobs.membership_batches(out), progress, STATE)
+    read = lambda: sorted((r.server_name, r.change_time, r.principal, r.action_type) for r in spark.read.parquet(f"{out}/changes").collect())
+    settled = [
+        ("late", day(1), "x", "ADDED"), ("s", day(1), "a", "ADDED"), ("s", day(1), "b", "ADDED"), ("s", day(2), "c", "ADDED"),
+        ("s", day(4), "a", "REMOVED"),
+    ]
+    assert read() == settled  # the newest snapshot of each server waits
+    assert [r.principal for r in spark.read.parquet(f"{out}/late").collect()] == ["a"]
+    land(spark.createDataFrame([("s", "c", day(6))], schema), source, "f9")
+    jobs.run_batches(
+        jobs.snapshot_stream(spark, f"{source}/*", empty, files_per_batch=1), jobs.membership_batches(out, complete=True), progress, STATE
+    )
+    assert read() == sorted([*settled, ("late", day(2), "y", "ADDED"), ("s", day(5), "b", "REMOVED")])
+
+
+def test_blocking_pairs_across_batches(spark, tmp_path):
+    source = tmp_path / "landed"
+    source.mkdir()
+    schema = (
+        "server_name string, capture_time timestamp_ntz, session_id long, blocking_session_id long, login_name string, status string, "
+        "program_name string, wait_type string, wait_time_ms long, query_text string"
     )
+    row = lambda i, b: ("s", NOW, i, b, "l", "running", "p", None, 9, "q")
+    land(spark.createDataFrame([row(1, 2)], schema), source, "f1")
+    time.sleep(0.05)
+    land(spark.createDataFrame([row(2, 0)], schema), source, "f2")
+    out = str(tmp_path / "b")
+    stream = jobs.snapshot_stream(spark, f"{source}/*", spark.createDataFrame([], schema).schema, files_per_batch=1)
+    handle = jobs.blocking_batches(out, lambda: spark.read.parquet(f"{source}/*"), min_wait_ms=1)
+    jobs.run_batches(stream, handle, str(tmp_path / "bp"), STATE)
+    assert [(r.blocked_session, r.blocking_session) for r in spark.read.parquet(out).collect()] == [(1, 2)]
+
+
+def test_newest_version_is_read(spark, tmp_path):
+    path = str(tmp_path / "v")
+    write = jobs.replace_table(path)
+    for i, n in enumerate((3, 5)):
+        write(spark.range(n), i)
+    assert jobs.read_newest(spark, path).count() == 5
 
 
 def test_driver_contract_from_another_folder(tmp_path):
