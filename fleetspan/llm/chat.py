@@ -45,9 +45,10 @@ def _flat(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _starts(data: np.ndarray, control: bytes) -> np.ndarray:
     """Where ``control`` begins in ``data``."""
-    hits = np.ones(max(0, len(data) - len(control) + 1), bool)
+    n = max(0, len(data) - len(control) + 1)
+    hits = np.ones(n, bool)
     for i, byte in enumerate(control):
-        hits &= data[i : len(data) - len(control) + 1 + i] == byte
+        hits &= data[i : i + n] == byte
     return np.flatnonzero(hits)
 
 
