@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import tempfile
 import time
 
 from pyspark.sql import SparkSession
@@ -41,6 +42,9 @@ HEADLINE = [
     "t01_top_queries",
     "c01_check_alerts",
     "c03_health_report",
+    "s01_history_round_trip",
+    "r01_stream_ingest",
+    "r04_stream_membership_changes",
 ]
 
 
@@ -55,6 +59,7 @@ def main() -> None:
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", cpus)
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))  # one machine: its own folder is the shared one
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

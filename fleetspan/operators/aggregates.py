@@ -70,7 +70,11 @@ def backup_status(
     keys: Sequence[str] = ("server_name", "database_name", "backup_type"),
 ) -> DataFrame:
     """Newest backup per key, hours since (boundaries crossed), verdict. Never finished counts as NO BACKUP."""
-    newest = backups.groupBy(*keys).agg(
+    # Of several backups that end at the newest time the largest counts.
+    ended = backups.groupBy(*keys, "backup_finish").agg(
+        F.max("backup_start").alias("backup_start"), F.max("backup_size_mb").alias("backup_size_mb")
+    )
+    newest = ended.groupBy(*keys).agg(
         F.max("backup_start").alias("last_start"),
         F.max("backup_finish").alias("last_finish"),
         F.max_by("backup_size_mb", "backup_finish").alias("last_size_mb"),

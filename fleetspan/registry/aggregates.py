@@ -103,7 +103,7 @@ def sql_backup(profile: str) -> str:
     high, low = {"history": (24, 12), "weekly": (48, 24)}[profile]
     return f"""
         SELECT server_name, database_name, backup_type, max(backup_start) AS last_start, max(backup_finish) AS last_finish,
-               arg_max(backup_size_mb, backup_finish) AS last_size_mb, CAST(date_diff('hour', max(backup_finish), {NOW}) AS BIGINT) AS hours_since_backup,
+               arg_max(backup_size_mb, (backup_finish, backup_size_mb)) AS last_size_mb, CAST(date_diff('hour', max(backup_finish), {NOW}) AS BIGINT) AS hours_since_backup,
                CASE WHEN max(backup_finish) IS NULL THEN 'NO BACKUP' WHEN date_diff('hour', max(backup_finish), {NOW}) > {high} THEN 'OVERDUE'
                     WHEN date_diff('hour', max(backup_finish), {NOW}) > {low} THEN 'WARNING' ELSE 'OK' END AS backup_status
         FROM backup_history GROUP BY 1, 2, 3"""
