@@ -10,11 +10,14 @@
    portions and are compared there one after the other.
 4. A star can miss a link between two members that are both too far from the centre, or reach one
    of them only. So after components are formed, each bucket that still holds more than one
-   component gets further stars from members outside its largest component, until each of those
-   has been a centre or the bucket is one component. Nothing is capped; most buckets end at step 3.
+   component gets further stars, around members outside its largest component, until each of those
+   has been a centre or the bucket is one component. Here members meet their centres as signatures,
+   in salted portions, and only pairs whose estimated similarity comes within five standard
+   deviations of the threshold become candidates for step 3. Nothing is capped: members that do not
+   fit one round's number of centres are centres of the next.
 
-With 30 bands of 4 rows two texts of similarity 0.85 share no bucket with probability
-(1 - 0.85^4)^30 < 1e-9, of similarity 0.8 with 2e-7.
+With 40 bands of 6 rows two texts of similarity 0.85 share no bucket with probability
+(1 - 0.85^6)^40 < 1e-8, of similarity 0.8 with 6e-6.
 """
 
 from __future__ import annotations
@@ -27,13 +30,16 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetspan.llm.common import small_enough
 from fleetspan.llm.components import connected_components
 from fleetspan.session import ensure_checkpoint_dir
 
-BANDS = 30
-ROWS = 4
+BANDS = 40
+ROWS = 6
 PORTION = 256  # members compared with one copy of their centre's text
-CENTRES = 16  # further centres per bucket and round
+CENTRES = 256  # further centres per bucket and round
+SIGNED_PORTION = 4096  # signatures compared with one copy of a bucket's centres
+DEVIATIONS = 5.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -88,20 +94,22 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for texts without words), keys (one per band)."""
-    schema = "doc_id long, n_shingles long, set_key string, keys array<long>"
+    """doc_id, n_shingles, set_key (null for texts without words), keys (one per band), marks (a byte per bin)."""
+    schema = "doc_id long, n_shingles long, set_key string, keys array<long>, marks binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, set_keys, keys = [], [], []
+            sizes, set_keys, keys, marks = [], [], [], []
             for text in batch.column(1):
                 found = shingle_set(text.as_py(), width)
                 sizes.append(found.size)
                 set_keys.append(xxhash.xxh128_hexdigest(found.tobytes()) if found.size else None)
-                keys.append(band_keys(signature(found, bands * rows), bands, rows) if found.size else [])
+                sig = signature(found, bands * rows) if found.size else None
+                keys.append([] if sig is None else band_keys(sig, bands, rows))
+                marks.append(None if sig is None else (sig & np.uint64(0xFF)).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.string()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "keys"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(set_keys, pa.string()), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())],
+                names=["doc_id", "n_shingles", "set_key", "keys", "marks"],
             )
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
@@ -114,8 +122,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
         F.col("member").alias("id"), "centre", F.pmod(F.xxhash64("member"), F.col("portions")).alias("portion"), F.lit(1).alias("role")
     )
     centres = sizes.select(F.col("centre").alias("id"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"))
+    wanted = members.unionByName(centres).checkpoint()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    there = members.unionByName(centres).join(texts, "id")
+    ids = wanted.select("id").distinct()
+    if small_enough(ids, F.lit(0)):  # then only the texts that are needed are shuffled
+        texts = texts.join(F.broadcast(ids), "id", "left_semi")
+    there = wanted.join(texts, "id")
     there = there.repartition("centre", "portion").sortWithinPartitions("centre", "portion", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,50 +165,107 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int = BAND
     ensure_checkpoint_dir(docs.sparkSession)
     signed = sign(docs, width, bands, rows).checkpoint()
     able = signed.where("doc_id IS NOT NULL AND set_key IS NOT NULL")
-    # Texts with the same set: one stands for all. An id with several texts stands for itself.
-    sets = able.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    several = sets.where("copies > 1").select("set_key", "rep")
-    edges = able.join(several, "set_key").where("doc_id <> rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    reps = able.join(sets.select("set_key", F.col("rep").alias("doc_id")), ["set_key", "doc_id"])
+    # Texts with the same set: the one with the smallest id stands for all.
+    sets = able.groupBy("set_key").agg(F.min("doc_id").alias("rep")).checkpoint()
+    reps = able.join(sets, "set_key").where("doc_id = rep").select("doc_id", "n_shingles", "keys", "marks")
     members = reps.select("doc_id", F.explode("keys").alias("key"))  # the band is mixed into its keys
-    shared = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1")
+    shared = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").checkpoint()
+    if small_enough(shared, F.lit(0)):
+        shared = F.broadcast(shared)
     members = members.join(shared, "key").select("key", "doc_id", "centre").checkpoint()
     pairs = members.where("doc_id <> centre").select("centre", F.col("doc_id").alias("member")).distinct()
-    edges = edges.unionByName(confirm(pairs, docs, width, percent)).checkpoint()
+    edges = confirm(pairs, docs, width, percent)
+    # An id on several rows is one node, whatever sets its texts have.
+    several = able.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    edges = edges.unionByName(able.join(several, "doc_id").join(sets, "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     groups = connected_components(edges)
-    edges, groups = _further_stars(members, edges, groups, docs, width, percent)
-    out = signed.select("doc_id", "n_shingles").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    groups = _further_stars(members, reps.select("doc_id", "n_shingles", "marks"), groups, docs, width, percent)
+    named = sets.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
+    out = out.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _further_stars(members: DataFrame, edges: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int):
-    """Stars from members outside a bucket's largest component until no bucket has one to try."""
+def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """``groups`` after stars from members outside a bucket's largest component, until no bucket has one to try."""
     tried = members.select("key", F.col("centre").alias("doc_id")).distinct()
+    turn = 0
     while True:
         named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
             "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
         )
-        open_ = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-        left = named.join(open_.select("key"), "key")
-        parts = left.groupBy("key", "component").agg(F.count("*").alias("n"))
-        main = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top")).select("key", F.col("top.component").alias("main"))
-        left = left.join(main, "key").checkpoint()
-        fresh = left.where("component <> main").join(tried, ["key", "doc_id"], "left_anti").select("key", "doc_id", "component")
+        parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
+        buckets = parts.groupBy("key").agg(
+            F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("components")
+        )
+        buckets = buckets.where("components > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / SIGNED_PORTION).alias("portions"))
+        left = named.join(buckets, "key").checkpoint()
+        fresh = left.where("component <> main").join(tried, ["key", "doc_id"], "left_anti")
         # Up to CENTRES per bucket, one per hash slot, found by aggregation and not by sorting the bucket.
-        rank = F.struct(F.xxhash64("doc_id", "key").alias("h"), F.col("doc_id"), F.col("component"))
-        slot = F.pmod(F.xxhash64("doc_id"), F.lit(CENTRES))
-        picked = fresh.groupBy("key", slot.alias("slot")).agg(F.min(rank).alias("c")).select(
-            "key", F.col("c.doc_id").alias("centre"), F.col("c.component").alias("of")
-        ).checkpoint()
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(CENTRES))
+        picked = fresh.groupBy("key", "portions", slot.alias("slot")).agg(F.min(F.struct("doc_id", "component")).alias("c"))
+        picked = picked.select("key", "portions", "c.doc_id", "c.component").checkpoint()
         if picked.isEmpty():
-            return edges, groups
-        tried = tried.unionByName(picked.select("key", F.col("centre").alias("doc_id"))).checkpoint()
-        pairs = left.join(picked, "key").where("component <> of").select("centre", F.col("doc_id").alias("member"))
-        more = confirm(pairs.distinct(), docs, width, percent).checkpoint()
-        if not more.isEmpty():
-            edges = edges.unionByName(more)
-            groups = connected_components(edges)
+            return groups
+        tried = tried.unionByName(picked.select("key", "doc_id")).checkpoint()
+        open_ = left.join(picked.select("key").distinct(), "key", "left_semi")
+        rows = open_.select("key", F.pmod(F.xxhash64("doc_id"), F.col("portions")).alias("portion"), F.lit(1).alias("role"), "doc_id", "component")
+        rows = rows.unionByName(
+            picked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "doc_id", "component")
+        )
+        pairs = alike(rows.join(signatures, "doc_id"), percent).distinct()
+        more = confirm(pairs, docs, width, percent)
+        # Components that a new link joins become one; the rest of the graph is not touched again.
+        name = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
+        more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
+            F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")
+        )
+        joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("into"))
+        moved = groups.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+        alone = joined.select(F.col("component").alias("node"), F.col("into").alias("component")).join(groups.select("node"), "node", "left_anti")
+        groups = moved.unionByName(alone).checkpoint()
+        turn += 1
+
+
+def alike(rows: DataFrame, percent: int) -> DataFrame:
+    """(centre, member) of the same key and portion, in different components, whose signatures may belong to a link.
+
+    ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, marks. A bin agrees by
+    chance with probability 1/256, which only adds candidates. Signatures of small sets have
+    fewer independent bins; the margin widens with it.
+    """
+    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "marks")
+    rows = rows.repartition("key", "portion").sortWithinPartitions("key", "portion", "role")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, centres, table = None, [], None
+        for batch in batches:
+            key, portion, role, doc, comp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (portion[1:] != portion[:-1]) | (role[1:] != role[:-1])) + 1
+            out_a, out_b = [], []
+            for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
+                here = (key[at], portion[at])
+                if here != place:
+                    place, centres, table = here, [], None
+                if role[at] == 0:
+                    centres.append((doc[at:end], comp[at:end], size[at:end], marks[at:end].copy()))
+                    table = None
+                    continue
+                if table is None:
+                    table = [np.concatenate(c) for c in zip(*centres, strict=True)] if centres else ()
+                if not table:
+                    continue
+                names, comps, sizes, theirs = table
+                for i in range(at, end):
+                    same = (theirs == marks[i]).mean(axis=1)
+                    spread = DEVIATIONS * np.sqrt(0.25 * 0.64 / np.minimum(np.minimum(sizes, size[i]), marks.shape[1]))
+                    hit = (comps != comp[i]) & (same >= percent / 100 - spread)
+                    out_a += names[hit].tolist()
+                    out_b += [doc[i]] * int(hit.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["centre", "member"])
+
+    return rows.mapInArrow(run, "centre long, member long")
 
 
 def first_of_each_group(docs: DataFrame, width: int, percent: int) -> DataFrame:
