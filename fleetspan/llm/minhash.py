@@ -13,8 +13,9 @@
    component gets further stars, around members outside its largest component, until each of those
    has been a centre or the bucket is one component. Here members meet their centres as signatures,
    in salted portions, and only pairs whose estimated similarity comes within five standard
-   deviations of the threshold become candidates for step 3. Nothing is capped: members that do not
-   fit one round's number of centres are centres of the next.
+   deviations of the threshold become candidates for step 3, each in the first bucket that it shares.
+   The first rounds try few centres, as each star joins components and leaves fewer members to try. Nothing is
+   capped: members that do not fit one round's number of centres are centres of the next.
 
 With 40 bands of 6 rows two texts of similarity 0.85 share no bucket with probability
 (1 - 0.85^6)^40 < 1e-8, of similarity 0.8 with 6e-6.
@@ -37,7 +38,7 @@ from fleetspan.session import ensure_checkpoint_dir
 BANDS = 40
 ROWS = 6
 PORTION = 256  # members compared with one copy of their centre's text
-CENTRES = 256  # further centres per bucket and round
+CENTRES = (1, 4, 16, 64, 256)  # further centres per bucket, by round; the last number for all later ones
 SIGNED_PORTION = 4096  # signatures compared with one copy of a bucket's centres
 DEVIATIONS = 5.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,10 +71,11 @@ def signature(found: np.ndarray, bins: int) -> np.ndarray:
     out = np.zeros(bins, np.uint64)
     full = np.zeros(bins, bool)
     with np.errstate(over="ignore"):
-        order = np.sort(_mixed(found * _MIX))[::-1]
-        at = (order >> np.uint64(20)) % np.uint64(bins)
-        out[at] = order  # the last one written, the smallest, stays
+        hashes = _mixed(found * _MIX)
+        at = ((hashes >> np.uint64(20)) % np.uint64(bins)).astype(np.int64)
         full[at] = True
+        out[full] = np.iinfo(np.uint64).max
+        np.minimum.at(out, at, hashes)
         empty = np.flatnonzero(~full)
         step = np.uint64(0)
         while empty.size:
@@ -168,31 +170,31 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int = BAND
     # Texts with the same set: the one with the smallest id stands for all.
     sets = able.groupBy("set_key").agg(F.min("doc_id").alias("rep")).checkpoint()
     reps = able.join(sets, "set_key").where("doc_id = rep").select("doc_id", "n_shingles", "keys", "marks")
-    members = reps.select("doc_id", F.explode("keys").alias("key"))  # the band is mixed into its keys
+    members = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))  # the band is mixed into its keys
     shared = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").checkpoint()
     if small_enough(shared, F.lit(0)):
         shared = F.broadcast(shared)
-    members = members.join(shared, "key").select("key", "doc_id", "centre").checkpoint()
+    members = members.join(shared, "key").select("band", "key", "doc_id", "centre").checkpoint()
     pairs = members.where("doc_id <> centre").select("centre", F.col("doc_id").alias("member")).distinct()
     edges = confirm(pairs, docs, width, percent)
     # An id on several rows is one node, whatever sets its texts have.
     several = able.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     edges = edges.unionByName(able.join(several, "doc_id").join(sets, "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     groups = connected_components(edges)
-    groups = _further_stars(members, reps.select("doc_id", "n_shingles", "marks"), groups, docs, width, percent)
+    groups = _further_stars(members, reps.select("doc_id", "n_shingles", "marks"), groups, docs, width, percent, bands)
     named = sets.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     out = out.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int, bands: int) -> DataFrame:
     """``groups`` after stars from members outside a bucket's largest component, until no bucket has one to try."""
     tried = members.select("key", F.col("centre").alias("doc_id")).distinct()
     turn = 0
     while True:
         named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
+            "band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
         )
         parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
         buckets = parts.groupBy("key").agg(
@@ -201,19 +203,19 @@ def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame,
         buckets = buckets.where("components > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / SIGNED_PORTION).alias("portions"))
         left = named.join(buckets, "key").checkpoint()
         fresh = left.where("component <> main").join(tried, ["key", "doc_id"], "left_anti")
-        # Up to CENTRES per bucket, one per hash slot, found by aggregation and not by sorting the bucket.
-        slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(CENTRES))
-        picked = fresh.groupBy("key", "portions", slot.alias("slot")).agg(F.min(F.struct("doc_id", "component")).alias("c"))
-        picked = picked.select("key", "portions", "c.doc_id", "c.component").checkpoint()
+        # Up to CENTRES per bucket and round, one per hash slot, found by aggregation and not by sorting the bucket.
+        slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
+        picked = fresh.groupBy("band", "key", "portions", slot.alias("slot")).agg(F.min(F.struct("doc_id", "component")).alias("c"))
+        picked = picked.select("band", "key", "portions", "c.doc_id", "c.component").checkpoint()
         if picked.isEmpty():
             return groups
         tried = tried.unionByName(picked.select("key", "doc_id")).checkpoint()
         open_ = left.join(picked.select("key").distinct(), "key", "left_semi")
-        rows = open_.select("key", F.pmod(F.xxhash64("doc_id"), F.col("portions")).alias("portion"), F.lit(1).alias("role"), "doc_id", "component")
+        rows = open_.select("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("portions")).alias("portion"), F.lit(1).alias("role"), "doc_id", "component")
         rows = rows.unionByName(
-            picked.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "doc_id", "component")
+            picked.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "doc_id", "component")
         )
-        pairs = alike(rows.join(signatures, "doc_id"), percent).distinct()
+        pairs = alike(rows.join(signatures, "doc_id"), percent, bands).distinct()
         more = confirm(pairs, docs, width, percent)
         # Components that a new link joins become one; the rest of the graph is not touched again.
         name = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
@@ -227,21 +229,24 @@ def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame,
         turn += 1
 
 
-def alike(rows: DataFrame, percent: int) -> DataFrame:
+def alike(rows: DataFrame, percent: int, bands: int) -> DataFrame:
     """(centre, member) of the same key and portion, in different components, whose signatures may belong to a link.
 
-    ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, marks. A bin agrees by
+    ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, band, marks. A bin agrees by
     chance with probability 1/256, which only adds candidates. Signatures of small sets have
-    fewer independent bins; the margin widens with it.
+    fewer independent bins; the margin widens with it. A pair counts in the first band it shares: if that
+    bucket holds one component only, so are the two in one.
     """
-    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "marks")
+    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "band", "marks")
     rows = rows.repartition("key", "portion").sortWithinPartitions("key", "portion", "role")
 
+    deviation = percent / 100 * (1 - percent / 100)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, centres, table = None, [], None
         for batch in batches:
-            key, portion, role, doc, comp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
-            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            key, portion, role, doc, comp, size, band = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
+            marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (portion[1:] != portion[:-1]) | (role[1:] != role[:-1])) + 1
             out_a, out_b = [], []
             for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
@@ -258,11 +263,13 @@ def alike(rows: DataFrame, percent: int) -> DataFrame:
                     continue
                 names, comps, sizes, theirs = table
                 for i in range(at, end):
-                    same = (theirs == marks[i]).mean(axis=1)
-                    spread = DEVIATIONS * np.sqrt(0.25 * 0.64 / np.minimum(np.minimum(sizes, size[i]), marks.shape[1]))
-                    hit = (comps != comp[i]) & (same >= percent / 100 - spread)
-                    out_a += names[hit].tolist()
-                    out_b += [doc[i]] * int(hit.sum())
+                    equal = theirs == marks[i]
+                    spread = DEVIATIONS * np.sqrt(deviation / np.minimum(np.minimum(sizes, size[i]), marks.shape[1]))
+                    hit = np.flatnonzero((comps != comp[i]) & (equal.mean(axis=1) >= percent / 100 - spread))
+                    if hit.size:
+                        hit = hit[equal[hit].reshape(len(hit), bands, -1).all(axis=2).argmax(axis=1) == band[i]]
+                        out_a += names[hit].tolist()
+                        out_b += [doc[i]] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["centre", "member"])
 
     return rows.mapInArrow(run, "centre long, member long")
@@ -277,10 +284,11 @@ def first_of_each_group(docs: DataFrame, width: int, percent: int) -> DataFrame:
     ids = near_duplicates(docs, width, percent).where("doc_id IS NOT NULL").groupBy("doc_id").agg(
         F.bool_or("kept").alias("kept"), F.count("*").alias("n")
     ).where("kept").select("doc_id", "n").checkpoint()
+    light = F.broadcast if small_enough(ids, F.lit(0)) else lambda df: df  # if so, no text is shuffled
     d = docs.alias("d")
     same = F.col("d.doc_id") == F.col("k.doc_id")
-    single = d.join(ids.where("n = 1").alias("k"), same, "left_semi")
+    single = d.join(light(ids.where("n = 1")).alias("k"), same, "left_semi")
     order = Window.partitionBy("d.doc_id").orderBy(F.col("d.text").asc_nulls_last(), F.hash(*[F.col(f"d.`{c}`") for c in docs.columns]))
-    repeated = d.join(ids.where("n > 1").alias("k"), same, "left_semi")
+    repeated = d.join(light(ids.where("n > 1")).alias("k"), same, "left_semi")
     repeated = repeated.select(F.struct("d.*").alias("row"), F.row_number().over(order).alias("place")).where("place = 1").select("row.*")
     return single.unionByName(repeated).unionByName(docs.where("doc_id IS NULL"))

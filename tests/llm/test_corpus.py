@@ -86,7 +86,7 @@ def test_chain_through_a_dense_group(spark):
 
 
 def test_few_centres_per_round_lose_nothing(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "CENTRES", 1)
+    monkeypatch.setattr(minhash, "CENTRES", (1,))
     monkeypatch.setattr(minhash, "PORTION", 3)
     monkeypatch.setattr(minhash, "SIGNED_PORTION", 4)
     rows = near_copies(5, groups=3, size=14)
