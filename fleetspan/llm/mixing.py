@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import isqrt
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,7 @@ from fleetspan.session import ensure_checkpoint_dir
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 32_768
-SLICE_ROWS = 20_000
+SHARDS_PER_TASK = 64
 WEIGHTS = (1.0, 2.0, 3.0)
 MOST_PASSES = 3
 MOST_SOURCES = 1_000_000  # the table of sources is held by the driver and by each task
@@ -103,10 +104,11 @@ def pack(sizes: DataFrame) -> DataFrame:
     """doc_id, source, size, slice, row (number in the slice), offset of the first word in the source.
 
     Rows of a source follow each other by (slice, doc_id, size), where a slice is a hash of the id:
-    running sums within slices, and over the slices' totals, so that a large source is many tasks.
+    running sums within slices, and over the slices' totals, so that a large source is many tasks. There
+    are as many slices as a slice has rows, about the root of the table's, so neither list grows long.
     Rows equal in all three take neighbouring places and are interchangeable.
     """
-    slices = max(1, -(-sizes.count() // SLICE_ROWS))
+    slices = max(1, isqrt(sizes.count()))
     rows = sizes.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
     totals = rows.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     earlier = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,7 +170,8 @@ def slots(spark: SparkSession, plan: Plan, seed: int = 0) -> DataFrame:
                         block[here] = permuted(index[here], int(blocks[source]), _seed(seed, "pass", source, int(p)))
                     yield pd.DataFrame({"shard": shard, "source_no": np.int32(source), "pass_no": turn.astype(np.int32), "block": block})
 
-    return drawn.mapInPandas(place, names)
+    tasks = max(-(-shards // SHARDS_PER_TASK), min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return drawn.repartition(tasks, "shard").mapInPandas(place, names)
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WEIGHTS, share: float = 1.0, most: int = MOST_PASSES, seed: int = 0) -> tuple[DataFrame, DataFrame, Plan]:
@@ -206,7 +209,8 @@ def mixture(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WE
     """
     drawn, spans, plan = mix(docs, block_words, weights, share, most, seed)
     times = drawn.groupBy("source_no", "block").agg(F.count("*").alias("times"))
-    taken = spans.join(times, ["source_no", "block"], "left").groupBy("source_no", "slice", "row", "doc_id", "size").agg(
+    # The slots come out of a few shard numbers, so Spark would take them for a small table and broadcast them.
+    taken = spans.join(times.hint("merge"), ["source_no", "block"], "left").groupBy("source_no", "slice", "row", "doc_id", "size").agg(
         F.sum(F.col("n_words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken")
     )
     rows = [(i, int(size), float(target)) for i, (size, target) in enumerate(zip(plan.sizes, plan.targets, strict=True))]
