@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetspan.llm.common import BROADCAST_BYTES, alnum_words, small_enough, windows_of
+from fleetspan.session import ensure_checkpoint_dir
 
 WIDTH = 10
 _GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # between words of a text in its own case
@@ -105,7 +106,10 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadca
 
 def clean_documents(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> DataFrame:
     """The rows of ``docs`` without any hit, all columns as they were; null texts stay."""
-    bad = find_hits(docs, items, width).where(F.size("hit_words") > 0).select("doc_id", "text_key")
+    ensure_checkpoint_dir(docs.sparkSession)
+    bad = find_hits(docs, items, width).where(F.size("hit_words") > 0).select("doc_id", "text_key").checkpoint()
+    if small_enough(bad, F.lit(0)):  # then no text is shuffled
+        bad = F.broadcast(bad)
     d, b = docs.alias("d"), bad.alias("b")
     return d.join(b, F.col("d.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("d.text") == F.col("b.text_key")), "left_anti")
 
