@@ -181,14 +181,14 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int = BAND
     several = able.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     edges = edges.unionByName(able.join(several, "doc_id").join(sets, "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
     groups = connected_components(edges)
-    groups = _further_stars(members, reps.select("doc_id", "n_shingles", "marks"), groups, docs, width, percent, bands)
+    groups = _further_stars(members, reps.select("doc_id", "n_shingles", "marks", "keys"), groups, docs, width, percent)
     named = sets.join(groups, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("set_key")).alias("set_key"))
     out = out.join(named, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int, bands: int) -> DataFrame:
+def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``groups`` after stars from members outside a bucket's largest component, until no bucket has one to try."""
     tried = members.select("key", F.col("centre").alias("doc_id")).distinct()
     turn = 0
@@ -215,7 +215,8 @@ def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame,
         rows = rows.unionByName(
             picked.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "doc_id", "component")
         )
-        pairs = alike(rows.join(signatures, "doc_id"), percent, bands).distinct()
+        signed = rows.join(signatures, "doc_id").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
+        pairs = alike(signed, percent).distinct()
         more = confirm(pairs, docs, width, percent)
         # Components that a new link joins become one; the rest of the graph is not touched again.
         name = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
@@ -229,16 +230,17 @@ def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame,
         turn += 1
 
 
-def alike(rows: DataFrame, percent: int, bands: int) -> DataFrame:
+def alike(rows: DataFrame, percent: int) -> DataFrame:
     """(centre, member) of the same key and portion, in different components, whose signatures may belong to a link.
 
-    ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, band, marks. A bin agrees by
-    chance with probability 1/256, which only adds candidates. Signatures of small sets have
-    fewer independent bins; the margin widens with it. A pair counts in the first band it shares: if that
-    bucket holds one component only, so are the two in one.
+    ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, band, marks, earlier (whole
+    keys of the bands before this one). A bin agrees by chance with probability 1/256, which only adds
+    candidates, as marks do not tell which buckets are shared. Signatures of small sets have fewer
+    independent bins; the margin widens with it. A pair counts in the first band whose whole keys agree: if
+    that bucket holds one component only, so are the two in one.
     """
-    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "band", "marks")
-    rows = rows.repartition("key", "portion").sortWithinPartitions("key", "portion", "role")
+    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "band", "marks", "earlier")
+    rows = rows.repartition("key", "portion").sortWithinPartitions("key", "band", "portion", "role")
 
     deviation = percent / 100 * (1 - percent / 100)
 
@@ -247,27 +249,29 @@ def alike(rows: DataFrame, percent: int, bands: int) -> DataFrame:
         for batch in batches:
             key, portion, role, doc, comp, size, band = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
             marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (portion[1:] != portion[:-1]) | (role[1:] != role[:-1])) + 1
+            keys, ends = batch.column(8).values.to_numpy(), batch.column(8).offsets.to_numpy()
+            cuts = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (portion[1:] != portion[:-1]) | (role[1:] != role[:-1])) + 1
             out_a, out_b = [], []
             for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                here = (key[at], portion[at])
+                here = (key[at], band[at], portion[at])
+                earlier = keys[ends[at] : ends[end]].reshape(end - at, band[at])
                 if here != place:
                     place, centres, table = here, [], None
                 if role[at] == 0:
-                    centres.append((doc[at:end], comp[at:end], size[at:end], marks[at:end].copy()))
+                    centres.append((doc[at:end], comp[at:end], size[at:end], marks[at:end].copy(), earlier.copy()))
                     table = None
                     continue
                 if table is None:
                     table = [np.concatenate(c) for c in zip(*centres, strict=True)] if centres else ()
                 if not table:
                     continue
-                names, comps, sizes, theirs = table
+                names, comps, sizes, theirs, theirs_earlier = table
                 for i in range(at, end):
                     equal = theirs == marks[i]
                     spread = DEVIATIONS * np.sqrt(deviation / np.minimum(np.minimum(sizes, size[i]), marks.shape[1]))
                     hit = np.flatnonzero((comps != comp[i]) & (equal.mean(axis=1) >= percent / 100 - spread))
                     if hit.size:
-                        hit = hit[equal[hit].reshape(len(hit), bands, -1).all(axis=2).argmax(axis=1) == band[i]]
+                        hit = hit[~(theirs_earlier[hit] == earlier[i - at]).any(axis=1)]
                         out_a += names[hit].tolist()
                         out_b += [doc[i]] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["centre", "member"])

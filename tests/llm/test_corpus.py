@@ -94,6 +94,16 @@ def test_few_centres_per_round_lose_nothing(spark, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in got.collect()} == set(brute_components(rows, 3, 85).items())
 
 
+def test_bytes_that_agree_by_chance_lose_no_link(spark, monkeypatch):
+    words = prose(5, 200).split()
+    texts = {1: prose(6, 200), 2: " ".join(words), 3: " ".join([*words[:-1], "zz"])}  # 2 and 3 are a link, 1 is their centre
+    signed = [(1, 198, "a", [11, 50], bytearray(b"\7\7\7\7")), (2, 198, "b", [12, 50], bytearray(b"\1\1\2\2")), (3, 198, "c", [13, 50], bytearray(b"\1\1\2\2"))]
+    schema = "doc_id long, n_shingles long, set_key string, keys array<long>, marks binary"
+    monkeypatch.setattr(minhash, "sign", lambda *_: spark.createDataFrame(signed, schema))  # band 0: same bytes, other keys
+    got = minhash.near_duplicates(documents(spark, list(texts.items())), 3, 85, bands=2, rows=2)
+    assert rows_of(got, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 2)]
+
+
 def test_first_of_each_group(spark):
     rows = near_copies(2, groups=4, size=4) + [(700, None), (701, ""), (None, "x y z"), (702, "b b b"), (702, "a a a"), (702, "a a a")]
     docs = documents(spark, rows)
