@@ -103,7 +103,7 @@ _HEX_CLASS = bytes(ord("x") if chr(b) in "0123456789abcdef" else ord("-") for b
 
 
 def find_secrets(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, int, int]]:
-    """All spans, sorted by start, then kind; guessed ones only where no base span lies."""
+    """All spans, sorted by start, then kind; guessed ones unless one base span holds the whole value."""
     raw = text.encode("utf-8", "surrogatepass")
     low = raw.lower()
     spans = base_spans(text, raw, low)
@@ -111,7 +111,7 @@ def find_secrets(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, i
         taken = [(a, b) for a, b, _ in spans]
         for m in CONTEXT.finditer(text):
             a, b = m.span(1)
-            if not any(x < b and a < y for x, y in taken) and guess_cost(m[1]) >= least_cost:
+            if not any(x <= a and b <= y for x, y in taken) and guess_cost(m[1]) >= least_cost:
                 spans.append((a, b, 3))
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
