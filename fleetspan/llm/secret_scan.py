@@ -25,12 +25,14 @@ HEX = re.compile(r"[0-9a-f]+")
 ASSIGN_LEAST, ACCESS_LEAST, HEX_LEAST = 8, 16, 32
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-# Wider contexts, whose values are judged by cost.
-CONTEXT = re.compile(
-    r"""\b(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credentials?|private[_-]?key)["'`]?"""
-    r"""[ \t]{0,8}(?:[:=]>?)[ \t]{0,8}["'`]?([^\s"'`,;<>\[\](){}]{6,})""",
-    re.I | re.A,
+# Wider contexts, whose values are judged by cost: a name that holds a keyword, a separator, a value.
+ASSIGNED = re.compile(r"""(?<![A-Za-z0-9_.-])([A-Za-z0-9_.-]++)["'`]?[ \t]{0,8}[:=]>?[ \t]{0,8}["'`]?""")
+KEYWORD = re.compile(  # long ones anywhere in a name, but not in words like secretary; short ones as a part of it (dbPass, DB_PASS)
+    r"""(?i:password|passwd|passphrase|pwd|credential|(?:api|access|private)[_.-]?key|secret(?!ar|ion|ive|ly)|token(?!i[sz]))"""
+    r"""|(?:(?<![A-Za-z])(?i:pass|passcode)|(?<=[a-z])Pass(?:[Cc]ode)?|(?<=[a-z])PASS)(?:(?![A-Za-z])|(?<=[a-z])(?=[A-Z]))"""
+    r"""|(?:(?<![A-Za-z])(?i:o?auth)|(?<=[a-z])(?:O?Auth|AUTH))(?!(?i:or|en))"""
 )
+VALUE = re.compile(r"""[^\s"'`,;<>\[\](){}]{6,}""")
 CONTEXT_HINTS = (b"pass", b"pwd", b"secret", b"token", b"key", b"auth", b"credential")
 LEAST_COST = 8.0  # log10 of guesses
 
@@ -109,10 +111,15 @@ def find_secrets(text: str, least_cost: float = LEAST_COST) -> list[tuple[int, i
     spans = base_spans(text, raw, low)
     if any(h in low for h in CONTEXT_HINTS):
         taken = [(a, b) for a, b, _ in spans]
-        for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
-            if not any(x <= a and b <= y for x, y in taken) and guess_cost(m[1]) >= least_cost:
+        done = 0
+        for m in ASSIGNED.finditer(text):
+            value = VALUE.match(text, m.end()) if m.end() >= done and KEYWORD.search(m[1]) else None
+            if not value:
+                continue
+            a, b = value.span()
+            if not any(x <= a and b <= y for x, y in taken) and guess_cost(value[0]) >= least_cost:
                 spans.append((a, b, 3))
+                done = b
     return sorted(spans, key=lambda s: (s[0], s[2], s[1]))
 
 
