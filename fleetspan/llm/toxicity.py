@@ -52,7 +52,9 @@ def held_out(doc_id: Column) -> Column:
 
 
 def edits_allowed(term: str) -> int:
-    return 0 if len(term) < 5 or term.endswith("*") else 1 if len(term) < 8 else 2
+    if term.endswith("*"):
+        return 0 if len(term) < 6 else 1
+    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
 
 class LexiconAutomaton:
@@ -109,22 +111,27 @@ class LexiconAutomaton:
         return self._closed(out)
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The nearest term and its distance; of equally near ones the first in order."""
-        states, stem = self.start, None
+        """The nearest term or stem and its distance; of equally near ones terms first, then the first in order.
+
+        A stem is met by a word longer than the stem, or than the misspelled stem.
+        """
+        states, best = self.start, None
         for c in word:
-            if stem is None and self.stem:
-                stem = next(((self.stem[n], 0) for n, e in states if e == 0 and n in self.stem), None)
+            if self.stem:
+                near = [(e, True, self.stem[n]) for n, e in states if n in self.stem and e <= edits_allowed(self.stem[n])]
+                best = min([*near, best] if best else near, default=None)
             known = self.steps.setdefault(states, {})
             after = known.get(c)
             if after is None:
                 after = known[c] = self._step(states, c)
-            if not after:
-                return stem
             states = after
-        found = [(e, self.term[n]) for n, e in states if self.term[n] is not None and e <= edits_allowed(self.term[n])]
-        if not found or min(found)[0] and word in self.ordinary:
-            return stem
-        return min(found)[::-1]
+            if not states:
+                break
+        near = [(e, False, self.term[n]) for n, e in states if self.term[n] is not None and e <= edits_allowed(self.term[n])]
+        best = min([*near, best] if best else near, default=None)
+        if best is None or best[0] and word in self.ordinary:
+            return None
+        return best[2], best[0]
 
 
 def document_features(text: str | None, terms: dict[str, float], automaton: LexiconAutomaton, cache: dict) -> tuple[float, ...]:
@@ -215,8 +222,8 @@ def learn_terms(texts: DataFrame) -> dict[str, float]:
     terms: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (-r["g"], r["word"].endswith("*"), -len(r["word"]), r["word"])):
         bare = r["word"].removesuffix("*")
-        covered = any(bare.startswith(t[:-1]) for t in terms if t.endswith("*"))
-        if not covered and not (bare != r["word"] and any(t.startswith(bare) for t in terms)):
+        # Words stay beside a stem, as their misspellings are only near the whole word.
+        if bare == r["word"] or not any(t.startswith(bare) or t.endswith("*") and bare.startswith(t[:-1]) for t in terms):
             terms[r["word"]] = log((r["a"] / bad) / ((r["b"] + 0.5) / good))
     return terms
 

@@ -311,6 +311,22 @@ def test_toxic_documents_are_found_and_clean_ones_left(spark):
     assert kept.count() == got.where("predicted = 0").count()
 
 
+def test_misspellings_of_terms_that_also_occur_inflected(spark):
+    rng, rows = random.Random(3), []
+    for i in range(300):
+        body = prose(i, 30, 300).split()
+        for _ in range(2 if i % 3 == 0 else 0):
+            body.insert(rng.randrange(len(body)), rng.choice(["idiot", "idiots", "idiotic", "scum"]))
+        rows.append((i, " ".join(body), int(i % 3 == 0)))
+    terms = toxicity.learn_terms(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert "idio*" in terms and "idiot" in terms
+    automaton = toxicity.LexiconAutomaton(terms)
+    assert [automaton.match(w) for w in ("idjot", "iddiot", "idjotic", "scumm")] == [("idiot", 1), ("idiot", 1), ("idiotic", 1), ("scum", 1)]
+    assert automaton.match("idiocy") == ("idio*", 0)
+    assert toxicity.LexiconAutomaton({"moron*": 1.0}).match("morronically") == ("moron*", 1)
+    assert toxicity.LexiconAutomaton({"moron*": 1.0}, frozenset({"morronically"})).match("morronically") is None
+
+
 def test_quotation_weighs_less():
     terms = {"worthless": 4.0}
     automaton = toxicity.LexiconAutomaton(terms)
