@@ -7,9 +7,10 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetspan.llm import chat, decontamination, fingerprint, licenses, minhash, mixing, secret_scan, token_counts, toxicity, urls
+from fleetspan.llm import chat, collocations, decontamination, fingerprint, licenses, minhash, mixing, resampling, secret_scan, token_counts
+from fleetspan.llm import token_files, toxicity, urls
 from fleetspan.llm.common import table
-from fleetspan.session import configure
+from fleetspan.session import configure, scratch_path
 
 _WORDS = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -170,6 +171,60 @@ def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def _token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs, folder = table(spark, sf_dir, "documents"), scratch_path(spark, "token-files")
+    return token_files.read_documents(token_files.write_token_files(docs, public_tokenizers.path(TOKENIZER), folder))
+
+
+def _resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# The checksum of a word byte by byte, over the usual table for the reflected polynomial 0xEDB88320.
+SQL_RESAMPLING = f"""
+WITH crc(t) AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+       lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))),
+d AS (SELECT doc_id, {sql_words("text")} AS w FROM documents),
+dw AS (SELECT doc_id, unnest(w) AS word FROM d), bw AS (SELECT unnest({sql_words("text")}) AS word FROM benchmark),
+codes AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw) x),
+bucket AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(1, len(h) // 2 + 1), lambda i: CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT))),
+       lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 10000 AS b FROM codes, crc),
+s AS (SELECT b, count(*) AS n FROM dw JOIN bucket USING (word) GROUP BY b), t AS (SELECT b, count(*) AS n FROM bw JOIN bucket USING (word) GROUP BY b),
+size AS (SELECT (SELECT coalesce(sum(n), 0)::DOUBLE FROM s) AS ss, (SELECT coalesce(sum(n), 0)::DOUBLE FROM t) AS tt),
+gain AS (SELECT r.b, floor(1000 * ln((coalesce(t.n, 0) + 1.0::DOUBLE) * (ss + 10000) / ((coalesce(s.n, 0) + 1.0::DOUBLE) * (tt + 10000))))::BIGINT AS g
+       FROM range(10000) r(b) LEFT JOIN s ON s.b = r.b LEFT JOIN t ON t.b = r.b, size),
+weighed AS (SELECT doc_id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM dw JOIN bucket USING (word) JOIN gain USING (b) GROUP BY doc_id),
+scored AS (SELECT d.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0)
+       + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || d.doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM d LEFT JOIN weighed ON weighed.doc_id = d.doc_id),
+placed AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM scored WHERE n_features >= 20)
+SELECT scored.doc_id, scored.n_features, scored.weight, scored.score, CASE WHEN place <= (SELECT count(*) FROM placed) * 10 // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed ON placed.doc_id = scored.doc_id"""
+
+
+def _collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+SQL_COLLOCATIONS = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(unnest(regexp_split_to_array({_LOWER.format("text")}, '[.,;:!?
+-]')), '[^ 	]+') AS w FROM documents),
+f AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS a
+      FROM p, unnest(range(1, 6)) x(k), unnest(range(1, len(w) - k + 2)) y(i) GROUP BY lang, k, phrase),
+total AS (SELECT lang, sum(a) AS n FROM f WHERE k = 1 GROUP BY lang),
+often AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE a >= 100),
+inner_ AS (SELECT DISTINCT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, a
+      FROM often, unnest(range(2, k)) x(m), unnest(range(1, k - m + 2)) y(i) WHERE k > 2),
+open_ AS (SELECT * FROM often o WHERE k > 1 AND NOT EXISTS (SELECT 1 FROM inner_ c WHERE c.lang = o.lang AND c.phrase = o.phrase AND 100 * c.a >= 100 * o.a)),
+cut AS (SELECT o.lang, o.phrase, o.a, j, l.a AS l, r.a AS r, n, 1000 * o.a::HUGEINT * n // (l.a::HUGEINT * r.a) AS score
+      FROM open_ o, unnest(range(1, o.k)) x(j), often l, often r, total t
+      WHERE l.lang = o.lang AND l.phrase = array_to_string(o.w[1:j], ' ') AND r.lang = o.lang AND r.phrase = array_to_string(o.w[j + 1:], ' ') AND t.lang = o.lang),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) x WHERE rank <= 2000"""
+
+
 QUERIES: dict[str, Query] = {
     "op1_license_scan": Query(_licenses, _sql_licenses()),
     "op2_chat_formatting": Query(_chat, SQL_CHAT),
@@ -181,4 +236,7 @@ QUERIES: dict[str, Query] = {
     "op8_secret_scan": Query(_secrets),
     "op9_token_counts": Query(_tokens),
     "op10_url_filter": Query(_urls, SQL_URLS),
+    "op11_token_files": Query(_token_files),
+    "op12_importance_resampling": Query(_resampling, SQL_RESAMPLING),
+    "op13_phrase_collocations": Query(_collocations, SQL_COLLOCATIONS),
 }
