@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -40,3 +41,13 @@ def latest_snapshot(history: DataFrame, by: Sequence[str] = ("server_name",), ti
         return history.where(F.col(time_col) == history.select(F.max(time_col)).scalar())
     newest = history.groupBy(*by).agg(F.max(time_col).alias(time_col))
     return join_groups(history, newest, [*by, time_col], "left_semi")
+
+
+def newest_per_key(df: DataFrame, keys: Sequence[str], time_col: str) -> DataFrame:
+    """The newest row of every key; of several the largest by the other columns.
+
+    Spark keeps one row per key in every task before the shuffle, so a key with very many rows is no large group.
+    """
+    rest = [c for c in df.columns if c not in keys and c != time_col]
+    order = W.partitionBy(*keys).orderBy(F.desc(time_col), *[F.desc(c) for c in rest])
+    return df.withColumn("place", F.row_number().over(order)).where("place = 1").drop("place").select(*keys, time_col, *rest)

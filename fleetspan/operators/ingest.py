@@ -5,14 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from fleetspan.functions import rules
 from fleetspan.functions.expr import any_like, at, before, first_match, not_in, total, truncated_div
-from fleetspan.operators.grouping import join_groups
+from fleetspan.operators.grouping import newest_per_key
 
 MB = 1024 * 1024
 
@@ -185,35 +184,8 @@ def capture_query_stats(
 
 
 def upsert_latest(stored: DataFrame, batch: DataFrame, keys: Sequence[str], time_col: str = "capture_time") -> DataFrame:
-    """Insert new keys and replace known ones: the newest row of every key.
-
-    The aggregate holds the time only, combined on the map side, so a hot key shrinks to one row per
-    task before the shuffle. Its rows are joined back; of several rows with the newest time the
-    largest by its other columns stays.
-    """
-    both = stored.unionByName(batch)
-    rest = [c for c in both.columns if c not in keys and c != time_col]
-    newest = join_groups(both, both.groupBy(*keys).agg(F.max(time_col).alias(time_col)), [*keys, time_col], "left_semi")
-    several = W.partitionBy(*keys).orderBy(*[F.desc(c) for c in rest])
-    return newest.withColumn("place", F.row_number().over(several)).where("place = 1").drop("place").select(*keys, time_col, *rest)
-
-
-def upsert_store(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], buckets: int = 64, time_col: str = "capture_time") -> None:
-    """Upsert into a table stored by a hash of its keys; only the folders that the batch touches are written again.
-
-    ``buckets`` is chosen once per store. A repeated batch changes nothing.
-    """
-    placed = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-    touched = [r[BUCKET] for r in placed.select(BUCKET).distinct().collect()]  # at most ``buckets`` numbers
-    try:
-        stored = spark.read.parquet(path).where(F.col(BUCKET).isin(touched)).select(placed.columns)
-    except AnalysisException:
-        stored = placed.limit(0)
-    merged = upsert_latest(stored, placed, [BUCKET, *keys], time_col).checkpoint()
-    merged.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
-
-
-BUCKET = "key_bucket"
+    """Insert new keys and replace known ones: the newest row of every key, of several the largest by its other columns."""
+    return newest_per_key(stored.unionByName(batch), list(keys), time_col)
 
 
 def capture_slow_queries(log: DataFrame, as_of: datetime, hours_back: int) -> DataFrame:

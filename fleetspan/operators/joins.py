@@ -119,7 +119,9 @@ def lock_waits(locks: DataFrame, sessions: DataFrame, as_of: datetime, resource:
 
 
 def _resolve_roots(edges: DataFrame) -> DataFrame:
-    """(server, capture, session_id, root, hops, resolved) for edges (..., session_id, blocker) by pointer doubling.
+    """(server, capture, session_id, root, hops, low, resolved) for edges (..., session_id, blocker) by pointer doubling.
+
+    ``low`` is the smallest blocked session of the way covered, the start included.
 
     A round joins every unresolved pointer with the pointer of its target, which
     doubles the distance covered: a chain of n sessions takes log2(n) rounds. Only the rows that
@@ -134,6 +136,7 @@ def _resolve_roots(edges: DataFrame) -> DataFrame:
             "session_id",
             F.col("blocker").alias("root"),
             F.lit(1).cast("bigint").alias("hops"),
+            F.col("session_id").alias("low"),
             F.col("target_blocked").isNull().alias("resolved"),
         )
         .checkpoint()
@@ -147,6 +150,7 @@ def _resolve_roots(edges: DataFrame) -> DataFrame:
             F.col("session_id").alias("root"),
             F.col("root").alias("next_root"),
             F.col("hops").alias("next_hops"),
+            F.col("low").alias("next_low"),
             F.col("resolved").alias("next_resolved"),
         )
         moved = (
@@ -156,6 +160,7 @@ def _resolve_roots(edges: DataFrame) -> DataFrame:
                 "session_id",
                 F.col("next_root").alias("root"),
                 (F.col("hops") + F.col("next_hops")).alias("hops"),
+                F.least("low", "next_low").alias("low"),
                 F.col("next_resolved").alias("resolved"),
             )
             .checkpoint()
@@ -233,6 +238,68 @@ def blocking_walk(sessions: DataFrame, origins: DataFrame) -> DataFrame:
     return steps.join(heads, at_start, "left").select(*SNAPSHOT, "root_blocker", "origin", "session_id", "blocked_by", "level")
 
 
+def _with_paths(edges: DataFrame) -> DataFrame:
+    """``edges`` of a forest with path: the sessions from the one before the head down to session_id, and the head.
+
+    Path segments are composed by doubling, so a chain of n sessions takes log2(n) joins. All paths
+    together are as long as the sum of all levels, which is the size of the result.
+    """
+    blocked = edges.select(*SNAPSHOT, F.col("session_id").alias("blocker"), F.lit(True).alias("further"))
+    ways = edges.join(blocked, [*SNAPSHOT, "blocker"], "left").select(
+        *SNAPSHOT, "session_id", F.col("blocker").alias("head"), F.array("session_id").alias("path"), F.col("further").isNull().alias("resolved")
+    ).checkpoint()
+    done, open_ = ways.where("resolved"), ways.where("NOT resolved")
+    while not open_.isEmpty():
+        nxt = done.unionByName(open_).select(
+            *SNAPSHOT, F.col("session_id").alias("head"), F.col("head").alias("next_head"), F.col("path").alias("above"), F.col("resolved").alias("next_resolved")
+        )
+        moved = open_.join(nxt, [*SNAPSHOT, "head"]).select(
+            *SNAPSHOT, "session_id", F.col("next_head").alias("head"), F.concat("above", "path").alias("path"), F.col("next_resolved").alias("resolved")
+        ).checkpoint()
+        done, open_ = done.unionByName(moved.where("resolved")), moved.where("NOT resolved")
+    return done
+
+
+def blocking_paths(sessions: DataFrame) -> DataFrame:
+    """One row per blocked session with the way from the head of its chain, and the circle it hangs on if there is no head.
+
+    ``path`` reads from the head to the session, ``chain`` is the indented session number of a listing. A circle
+    has no head: it is named by its smallest member (``cycle_id``), which the listing starts with, at level
+    0, so that every deadlock is one group; ``in_cycle`` tells its members from those that wait for them.
+    """
+    ensure_checkpoint_dir(sessions.sparkSession)
+    edges = _edges(sessions).checkpoint()
+    roots = _resolve_roots(edges)
+    # After as many hops as there are edges, an unresolved pointer stands on its circle, and every member is pointed at.
+    circling = roots.where("NOT resolved").checkpoint()
+    members = circling.select(*SNAPSHOT, F.col("root").alias("session_id")).distinct()
+    named = circling.join(members, [*SNAPSHOT, "session_id"], "left_semi").select(
+        *SNAPSHOT, F.col("session_id").alias("root"), F.col("low").alias("cycle_id")
+    )
+    cycles = circling.join(named, [*SNAPSHOT, "root"]).select(*SNAPSHOT, "session_id", "cycle_id").join(
+        members.withColumn("in_cycle", F.lit(True)), [*SNAPSHOT, "session_id"], "left"
+    ).checkpoint()
+    # Without the edge out of its smallest member a circle is a chain that starts there.
+    first = cycles.where("session_id = cycle_id").select(*SNAPSHOT, "session_id")
+    forest = edges.join(first, [*SNAPSHOT, "session_id"], "left_anti")
+    ways = _with_paths(forest).unionByName(
+        first.select(*SNAPSHOT, "session_id", F.col("session_id").alias("head"), F.array().cast("array<bigint>").alias("path"), F.lit(True).alias("resolved"))
+    )
+    out = edges.withColumnRenamed("blocker", "blocked_by").join(ways.drop("resolved"), [*SNAPSHOT, "session_id"]).join(cycles, [*SNAPSHOT, "session_id"], "left")
+    level = F.size("path").cast("bigint")
+    return out.select(
+        *SNAPSHOT,
+        "session_id",
+        "blocked_by",
+        F.when(F.col("cycle_id").isNull(), F.col("head")).alias("root_blocker"),
+        "cycle_id",
+        F.coalesce("in_cycle", F.lit(False)).alias("in_cycle"),
+        level.alias("level"),
+        F.array_join(F.concat(F.array("head"), "path").cast("array<string>"), " > ").alias("path"),
+        F.concat(F.repeat(F.lit("  "), level.cast("int")), F.col("session_id").cast("string")).alias("chain"),
+    )
+
+
 def session_sql(sessions: DataFrame, statements: DataFrame, n: int = 20, text_len: int = 100) -> DataFrame:
     """Per server and capture the ``n`` longest-waiting sessions with their statement text.
 
@@ -428,6 +495,66 @@ def duplicate_indexes(index_columns: DataFrame, indexes: DataFrame, min_kb: int
     )
 
 
+def column_sets(index_columns: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Each index with its columns as a set, the first index of the table that has the same set, and how many have it."""
+    keyed = key_lists(index_columns, indexes).withColumn("column_set", F.array_sort(F.array_distinct("key_columns")))
+    group = [*TABLE, "column_set"]
+    classes = keyed.groupBy(*group).agg(F.min("index_id").alias("set_id"), F.count("*").alias("set_size"), total(F.col("size_kb")).alias("set_kb"))
+    return join_groups(keyed, classes, group).select(
+        *TABLE, "index_id", "index_name", "is_unique", "is_primary_key", "size_kb", F.array_join("key_columns", ", ").alias("key_columns"), "column_set",
+        "set_id", "set_size", "set_kb",
+    )
+
+
+def overlapping_indexes(index_columns: DataFrame, indexes: DataFrame, percent: int = 50) -> DataFrame:
+    """Pairs of different column sets of a table that share at least ``percent`` of the columns of both together.
+
+    Indexes with the same columns in any order are one set, represented by the first (``column_sets`` lists the
+    members), so copies make no pairs. A pair that shares enough has a common column among the rarest
+    |set| - ceil(percent * |set|) + 1 of either set, so sets meet on those only: a column that every
+    index has brings nobody together unless it is all they have. Sizes too far apart are ruled out before the columns
+    are compared.
+    """
+    members = column_sets(index_columns, indexes)
+    sets = members.where("index_id = set_id").select(*TABLE, "set_id", "column_set", "set_size", "set_kb")
+    tokens = sets.select(*TABLE, "set_id", F.explode("column_set").alias("column_name"))
+    column = [*TABLE, "column_name"]
+    ranked = join_groups(tokens, tokens.groupBy(*column).agg(F.count("*").alias("used")), column)
+    # The columns of one index are few, so the list is bounded.
+    listed = ranked.groupBy(*TABLE, "set_id").agg(F.array_sort(F.collect_list(F.struct("used", "column_name"))).alias("rare_first"))
+    length = F.size("rare_first")
+    kept = length - F.ceil(length * percent / 100).cast("int") + 1
+    prefix = listed.join(sets, [*TABLE, "set_id"]).select(
+        *TABLE, "set_id", "column_set", F.explode(F.slice("rare_first", F.lit(1), kept)).alias("token")
+    ).select(*TABLE, F.col("token.column_name").alias("column_name"), "set_id", "column_set")
+    one = prefix.withColumnsRenamed({"set_id": "set1_id", "column_set": "set1"})
+    two = prefix.withColumnsRenamed({"set_id": "set2_id", "column_set": "set2"})
+    small, large = F.least(F.size("set1"), F.size("set2")), F.greatest(F.size("set1"), F.size("set2"))
+    shared = F.array_intersect("set1", "set2")
+    both = F.size("set1") + F.size("set2") - F.size(shared)
+    pairs = one.join(two, column).where((F.col("set1_id") < F.col("set2_id")) & (small * 100 >= large * percent) & (F.size(shared) * 100 >= both * percent))
+    # A pair meets on each rare column it shares; it counts on the first of them by name.
+    rare = lambda side: prefix.groupBy(*TABLE, "set_id").agg(F.collect_list("column_name").alias(f"rare{side}")).withColumnRenamed("set_id", f"set{side}_id")
+    pairs = pairs.join(rare(1), [*TABLE, "set1_id"]).join(rare(2), [*TABLE, "set2_id"])
+    pairs = pairs.where(F.col("column_name") == F.array_min(F.array_intersect("rare1", "rare2")))
+    side = lambda n: members.where("index_id = set_id").select(
+        *TABLE, F.col("set_id").alias(f"set{n}_id"), F.col("index_name").alias(f"index{n}_name"), F.col("set_size").alias(f"set{n}_indexes"), F.col("set_kb").alias(f"set{n}_kb")
+    )
+    return pairs.join(side(1), [*TABLE, "set1_id"]).join(side(2), [*TABLE, "set2_id"]).select(
+        *TABLE,
+        "index1_name",
+        "index2_name",
+        F.array_join("set1", ", ").alias("columns1"),
+        F.array_join("set2", ", ").alias("columns2"),
+        F.array_join(shared, ", ").alias("shared_columns"),
+        ratio(F.size(shared), both, 100).alias("overlap_pct"),
+        "set1_indexes",
+        "set2_indexes",
+        "set1_kb",
+        "set2_kb",
+    )
+
+
 def missing_indexes(
     details: DataFrame, groups: DataFrame, stats: DataFrame, min_impact: int = 10, min_seeks: int = 50, n: int | None = None
 ) -> DataFrame:

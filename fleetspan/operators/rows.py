@@ -31,6 +31,12 @@ from fleetspan.operators.grouping import join_groups, latest_snapshot
 from fleetspan.operators.ingest import healthy
 
 
+# What a row is identified by across a fleet.
+CAPTURE = ["server_name", "capture_time"]
+DATABASE = ["server_name", "database_name"]
+TABLE = ["server_name", "database_name", "schema_name", "table_name"]
+
+
 def status_band(value: Column, platform: str = "inclusive") -> Column:
     """Space usage verdict; some platforms include the threshold and some do not. NULL is OK."""
     return band(value, rules.SPACE_BAND[platform], "OK")
@@ -57,6 +63,7 @@ def connection_detail(sessions: DataFrame, as_of: datetime) -> DataFrame:
     """Long Running / Idle in Transaction (both over five minutes) / Idle / Active."""
     old = F.col("query_start") < before(as_of, minutes=5)
     return sessions.select(
+        *CAPTURE,
         "session_id",
         "login_name",
         "program_name",
@@ -78,6 +85,7 @@ def connection_detail(sessions: DataFrame, as_of: datetime) -> DataFrame:
 def long_running(sessions: DataFrame, as_of: datetime, seconds: int = 30) -> DataFrame:
     """Sessions that are not idle and started before ``as_of - seconds``."""
     return sessions.where((F.col("status") != "idle") & (F.col("query_start") < before(as_of, seconds=seconds))).select(
+        *CAPTURE,
         "session_id",
         "login_name",
         "program_name",
@@ -177,8 +185,8 @@ def autogrowth_events(trace: DataFrame, as_of: datetime, days: int = 7) -> DataF
     return trace.where(
         F.col("event_class").isin(list(rules.TRACE_EVENTS)) & (F.col("start_time") >= before(as_of, days=days + 1)) & recent
     ).select(
+        *DATABASE,
         "event_id",
-        "database_name",
         decode(F.col("file_type_code"), rules.FILE_TYPES).alias("file_type"),
         "start_time",
         decode(F.col("event_class"), rules.TRACE_EVENTS).alias("event_type"),
@@ -205,14 +213,14 @@ def job_runs(history: DataFrame, as_of: datetime, hours: int = 24, whole_job_onl
 
 def databases_not_online(databases: DataFrame) -> DataFrame:
     return databases.where(F.col("state_desc") != "ONLINE").select(
-        "database_name", "state_desc", "recovery_model", "is_read_only"
+        *DATABASE, "state_desc", "recovery_model", "is_read_only"
     )
 
 
 def recovery_model_counts(databases: DataFrame) -> DataFrame:
-    """Database count, and how many use each recovery model."""
+    """Database count of each server, and how many use each recovery model."""
     model = F.col("recovery_model")
-    return databases.agg(
+    return databases.groupBy("server_name").agg(
         F.count("*").alias("databases"),
         count_if(model == "FULL").alias("full_recovery"),
         count_if(model == "SIMPLE").alias("simple_recovery"),
@@ -223,7 +231,7 @@ def recovery_model_counts(databases: DataFrame) -> DataFrame:
 def fragmentation_action(indexes: DataFrame, min_pages: int = 1000) -> DataFrame:
     """REBUILD / REORGANIZE / OK for fragmented indexes above the page floor."""
     return indexes.where((F.col("frag_pct") > 0) & (F.col("used_pages") > min_pages)).select(
-        "table_name",
+        *TABLE,
         "index_name",
         "frag_pct",
         "used_pages",
@@ -237,15 +245,14 @@ def maintenance_plan(
     """One planned operation per index in the fragmentation range. Nothing is executed."""
     operation = F.when(F.col("frag_pct") >= rebuild_at, "REBUILD").otherwise("REORGANIZE")
     return indexes.where((F.col("used_pages") > min_pages) & F.col("frag_pct").between(min_frag, max_frag)).select(
-        "database_name",
-        "table_name",
+        *TABLE,
         "index_name",
         operation.alias("operation_type"),
         F.col("frag_pct").alias("frag_before"),
         F.col("used_pages").alias("pages_before"),
         at(as_of).alias("operation_start"),
         F.concat(
-            F.lit("ALTER INDEX ["), "index_name", F.lit("] ON ["), "database_name", F.lit("].[dbo].["), "table_name",
+            F.lit("ALTER INDEX ["), "index_name", F.lit("] ON ["), "database_name", F.lit("].["), "schema_name", F.lit("].["), "table_name",
             F.lit("] "), operation, F.lit(";"),
         ).alias("statement"),
     )
@@ -255,7 +262,7 @@ def index_usage_status(indexes: DataFrame, profile: str = "detail", skip_like: s
     """UNUSED / LOW USAGE / ACTIVE from scan counts; the limit and labels depend on the report."""
     kept = indexes if skip_like is None else indexes.where(not_like(F.col("index_name"), skip_like))
     return kept.select(
-        "table_name",
+        *TABLE,
         "index_name",
         "user_scans",
         (F.col("used_pages") * 8).alias("size_kb"),
@@ -294,7 +301,7 @@ def index_review(indexes: DataFrame) -> DataFrame:
     """Drop when unused and over 10 MB, review when below 100 scans and over 5 MB; keys are left out."""
     size_mb = F.floor(F.col("used_pages") * 8 / 1024)
     return indexes.where((F.col("is_primary_key") == 0) & not_like(F.col("index_name"), "%fkey%")).select(
-        "table_name",
+        *TABLE,
         "index_name",
         "user_scans",
         size_mb.alias("index_size_mb"),
@@ -344,7 +351,7 @@ def scan_heavy_indexes(indexes: DataFrame, factor: int = 10, min_mb: int = 1000)
     """Scan/seek verdict for indexes of large tables."""
     size_mb = F.floor(F.col("used_pages") * 8 / 1024)
     return indexes.where(size_mb > min_mb).select(
-        "table_name",
+        *TABLE,
         "index_name",
         "user_scans",
         "user_seeks",
@@ -365,8 +372,7 @@ def table_bloat(tables: DataFrame, limit_pct: float = 20) -> DataFrame:
     filled = (free > 0) & (F.col("table_bytes") > 0)
     bloat = free.cast("double") / F.nullif(F.col("table_bytes"), F.lit(0)) * 100
     return tables.select(
-        "schema_name",
-        "table_name",
+        *TABLE,
         "n_live",
         "n_dead",
         _dead_pct().alias("dead_pct"),
@@ -381,8 +387,7 @@ def table_bloat(tables: DataFrame, limit_pct: float = 20) -> DataFrame:
 def vacuum_recommendation(tables: DataFrame, as_of: datetime) -> DataFrame:
     dead = F.col("n_dead")
     return tables.where(dead > 1000).select(
-        "schema_name",
-        "table_name",
+        *TABLE,
         "n_dead",
         "n_live",
         _dead_pct().alias("dead_pct"),
@@ -404,15 +409,14 @@ def cache_hit_ratio(io: DataFrame, n: int = 25) -> DataFrame:
     return (
         io.where(F.col("blks_read") > 0)
         .select(
-            "schema_name",
-            "table_name",
+            *TABLE,
             "blks_hit",
             "blks_read",
             heap.alias("total_blks"),
             ratio(F.col("blks_hit"), heap, 100).alias("cache_hit_ratio"),
             ratio(F.col("idx_blks_hit"), idx, 100).alias("idx_cache_ratio"),
         )
-        .orderBy(F.asc_nulls_last("cache_hit_ratio"), "schema_name", "table_name")
+        .orderBy(F.asc_nulls_last("cache_hit_ratio"), *TABLE)
         .limit(n)
     )
 
@@ -422,8 +426,7 @@ def row_chaining(tables: DataFrame, min_rows: int = 10000, skip_owners: Sequence
     return tables.where(
         not_in(F.col("schema_name"), skip_owners) & (F.col("chained_rows") > 0) & (F.col("n_live") > min_rows)
     ).select(
-        "schema_name",
-        "table_name",
+        *TABLE,
         "n_live",
         "chained_rows",
         pct.alias("chain_pct"),
@@ -436,15 +439,14 @@ def index_bloat(indexes: DataFrame, min_pct: float = 20, min_mb: float = 1) -> D
     live, dead = F.col("n_live"), F.col("n_dead")
     raw = F.when(live > 0, (1 - live.cast("double") / (live + dead + 1)) * 100).otherwise(F.lit(0.0))
     return indexes.where((F.floor(F.col("index_bytes") / (1024 * 1024)) >= min_mb) & (raw >= min_pct)).select(
-        "schema_name", "table_name", "index_bytes", F.round(raw, 2).alias("bloat_pct")
+        *TABLE, "index_bytes", F.round(raw, 2).alias("bloat_pct")
     )
 
 
 def clustering_verdict(indexes: DataFrame) -> DataFrame:
     """Variant on clustering factor: HIGH above 10 % of the table's rows; size from 8 KiB leaf blocks."""
     return indexes.select(
-        "schema_name",
-        "table_name",
+        *TABLE,
         "leaf_blocks",
         "clustering_factor",
         F.round(F.col("leaf_blocks").cast("double") * 8192 / 1024 / 1024, 2).alias("size_mb"),
@@ -457,7 +459,7 @@ def file_usage(files: DataFrame) -> DataFrame:
     mb = lambda c: F.round(c.cast("double") / 128, 2)
     free = F.col("size_pages") - F.col("used_pages")
     return files.select(
-        "database_name",
+        *DATABASE,
         "file_name",
         F.when(F.col("file_type") == "ROWS", "Data").otherwise("Log").alias("file_type"),
         mb(F.col("size_pages")).alias("size_mb"),
@@ -473,7 +475,7 @@ def file_capacity_risk(files: DataFrame) -> DataFrame:
     free = F.col("size_mb") - F.col("used_mb")
     raw = free.cast("double") * 100 / F.nullif(F.col("max_size_mb"), F.lit(0))
     return files.where(F.col("max_size_mb") > 0).select(
-        "database_name",
+        *DATABASE,
         "file_name",
         free.alias("free_mb"),
         "max_size_mb",
@@ -533,7 +535,7 @@ def replication_lag(replicas: DataFrame) -> DataFrame:
 def recent_channel_lag(channels: DataFrame, as_of: datetime, hours: int = 1) -> DataFrame:
     """Seconds-behind rows of the last hours, newest first."""
     return channels.where(F.col("capture_time") >= before(as_of, hours=hours)).select(
-        "capture_time", "replica_name", "seconds_behind"
+        "server_name", "capture_time", "replica_name", "seconds_behind"
     )
 
 
@@ -541,6 +543,7 @@ def replica_health(replicas: DataFrame, as_of: datetime, hours: int = 24) -> Dat
     """Lag verdict, health verdict, and the call to act on an unhealthy primary."""
     ok = healthy()
     return replicas.where(F.col("capture_time") >= before(as_of, hours=hours)).select(
+        "server_name",
         "ag_name",
         "replica_name",
         "replica_role",
@@ -558,6 +561,7 @@ def replica_health(replicas: DataFrame, as_of: datetime, hours: int = 24) -> Dat
 def sync_lag_minutes(syncs: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
     """Minute boundaries crossed since the last commit."""
     return syncs.where(F.col("capture_time") >= before(as_of, hours=hours)).select(
+        "server_name",
         "ag_name",
         "database_name",
         "replica_name",

@@ -207,6 +207,22 @@ ENTRIES = {
         SELECT u.server_name, u.capture_time, h.root_blocker, u.origin, u.session_id, u.b AS blocked_by, u.level
         FROM up u JOIN head h ON h.origin = u.origin AND h.server_name = u.server_name AND h.capture_time = u.capture_time""")[5:],
     ),
+    "j03_blocking_paths": Entry(
+        lambda t: joins.blocking_paths(t.session_requests),
+        with_views("""WITH RECURSIVE e AS (SELECT server_name, capture_time, session_id, blocking_session_id AS b FROM session_requests WHERE blocking_session_id > 0),
+        walk(server_name, capture_time, origin, visited, at) AS (
+            SELECT server_name, capture_time, session_id, [session_id], b FROM e
+            UNION ALL SELECT w.server_name, w.capture_time, w.origin, list_append(w.visited, w.at), e.b FROM walk w
+            JOIN e ON e.server_name = w.server_name AND e.capture_time = w.capture_time AND e.session_id = w.at WHERE NOT list_contains(w.visited, w.at)),
+        ends AS (SELECT w.*, list_contains(visited, at) AS circle FROM walk w
+            WHERE list_contains(visited, at) OR NOT EXISTS (SELECT 1 FROM e WHERE e.server_name = w.server_name AND e.capture_time = w.capture_time AND e.session_id = w.at)),
+        cut AS (SELECT *, CASE WHEN circle THEN list_min(visited[list_position(visited, at):]) END AS cycle_id FROM ends),
+        way AS (SELECT *, CASE WHEN circle THEN visited[:list_position(visited, cycle_id) - 1] ELSE visited END AS steps, CASE WHEN circle THEN cycle_id ELSE at END AS head FROM cut)
+        SELECT way.server_name, way.capture_time, origin AS session_id, e.b AS blocked_by, CASE WHEN NOT circle THEN at END AS root_blocker, cycle_id,
+               circle AND list_contains(visited[list_position(visited, at):], origin) AS in_cycle, CAST(len(steps) AS BIGINT) AS level,
+               array_to_string(list_prepend(head, list_reverse(steps)), ' > ') AS path, repeat('  ', len(steps)) || origin AS chain
+        FROM way JOIN e ON e.server_name = way.server_name AND e.capture_time = way.capture_time AND e.session_id = way.origin"""),
+    ),
     "j04_session_sql": Entry(
         lambda t: joins.session_sql(
             t.session_requests.withColumn("sql_id", F.col("session_id") - 51),

@@ -132,7 +132,7 @@ def contention(t):
 
 def channels(t):
     return t.replica_lag.select(
-        "capture_time", "replica_name", F.floor((F.col("sent_lsn") - F.col("replay_lsn")) / 1000000).alias("seconds_behind")
+        "server_name", "capture_time", "replica_name", F.floor((F.col("sent_lsn") - F.col("replay_lsn")) / 1000000).alias("seconds_behind")
     )
 
 
@@ -170,7 +170,7 @@ ENTRIES = {
     "p04_connection_detail": Entry(
         lambda t: rows.connection_detail(t.session_requests, AS_OF),
         with_views(f"""
-        SELECT session_id, login_name, program_name, status, wait_type, query_start, left(query_text, 200) AS current_query,
+        SELECT server_name, capture_time, session_id, login_name, program_name, status, wait_type, query_start, left(query_text, 200) AS current_query,
                CASE WHEN status = 'running' AND query_start < {NOW} - INTERVAL '5' MINUTE THEN 'Long Running'
                     WHEN status = 'idle in transaction' AND query_start < {NOW} - INTERVAL '5' MINUTE THEN 'Idle in Transaction'
                     WHEN status = 'idle' THEN 'Idle' ELSE 'Active' END AS connection_status
@@ -179,7 +179,7 @@ ENTRIES = {
     "p05_long_running": Entry(
         lambda t: rows.long_running(t.session_requests, AS_OF, seconds=300),
         with_views(f"""
-        SELECT session_id, login_name, program_name, status, CAST(date_diff('second', query_start, {NOW}) AS BIGINT) AS duration_s,
+        SELECT server_name, capture_time, session_id, login_name, program_name, status, CAST(date_diff('second', query_start, {NOW}) AS BIGINT) AS duration_s,
                left(query_text, 100) AS query_preview
         FROM session_requests WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '300' SECOND"""),
     ),
@@ -225,7 +225,7 @@ ENTRIES = {
     "p12_autogrowth_events": Entry(
         lambda t: rows.autogrowth_events(t.trace_events, AS_OF),
         with_views(f"""
-        SELECT event_id, database_name, CASE file_type_code WHEN 0 THEN 'Row Data' WHEN 1 THEN 'Log' END AS file_type, start_time,
+        SELECT server_name, event_id, database_name, CASE file_type_code WHEN 0 THEN 'Row Data' WHEN 1 THEN 'Log' END AS file_type, start_time,
                CASE event_class WHEN 92 THEN 'Autogrowth' WHEN 93 THEN 'Shrink' END AS event_type,
                CASE WHEN event_class = 92 THEN CAST(round(CAST(CAST(changed_pages AS DOUBLE) * 8 / 1024 AS DECIMAL(38, 10)), 4) AS DOUBLE) END AS growth_mb
         FROM trace_events WHERE event_class IN (92, 93) AND date_diff('day', start_time, {NOW}) <= 7"""),
@@ -248,43 +248,43 @@ ENTRIES = {
     ),
     "p14_databases_not_online": Entry(
         lambda t: rows.databases_not_online(t.database_catalog),
-        with_views("""SELECT database_name, state_desc, recovery_model, is_read_only FROM database_catalog WHERE state_desc <> 'ONLINE'"""),
+        with_views("""SELECT server_name, database_name, state_desc, recovery_model, is_read_only FROM database_catalog WHERE state_desc <> 'ONLINE'"""),
     ),
     "p14_recovery_model_counts": Entry(
         lambda t: rows.recovery_model_counts(t.database_catalog),
         with_views("""
-        SELECT CAST(count(*) AS BIGINT) AS databases, CAST(sum(CASE WHEN recovery_model = 'FULL' THEN 1 ELSE 0 END) AS BIGINT) AS full_recovery,
+        SELECT server_name, CAST(count(*) AS BIGINT) AS databases, CAST(sum(CASE WHEN recovery_model = 'FULL' THEN 1 ELSE 0 END) AS BIGINT) AS full_recovery,
                CAST(sum(CASE WHEN recovery_model = 'SIMPLE' THEN 1 ELSE 0 END) AS BIGINT) AS simple_recovery,
                CAST(sum(CASE WHEN recovery_model = 'BULK_LOGGED' THEN 1 ELSE 0 END) AS BIGINT) AS bulk_logged
-        FROM database_catalog"""),
+        FROM database_catalog GROUP BY server_name"""),
     ),
     "p15_fragmentation_action": Entry(
         lambda t: rows.fragmentation_action(t.index_catalog),
         with_views(f"""
-        SELECT table_name, index_name, frag_pct, used_pages,
+        SELECT server_name, database_name, schema_name, table_name, index_name, frag_pct, used_pages,
                {sql_band('frag_pct', rules.FRAGMENTATION, 'OK')} AS recommended_action
         FROM index_catalog WHERE frag_pct > 0 AND used_pages > 1000"""),
     ),
     "p15_maintenance_plan": Entry(
         lambda t: rows.maintenance_plan(t.index_catalog, AS_OF, min_pages=400),
         with_views(f"""
-        SELECT database_name, table_name, index_name, CASE WHEN frag_pct >= 30 THEN 'REBUILD' ELSE 'REORGANIZE' END AS operation_type,
+        SELECT server_name, database_name, schema_name, table_name, index_name, CASE WHEN frag_pct >= 30 THEN 'REBUILD' ELSE 'REORGANIZE' END AS operation_type,
                frag_pct AS frag_before, used_pages AS pages_before, {NOW} AS operation_start,
-               'ALTER INDEX [' || index_name || '] ON [' || database_name || '].[dbo].[' || table_name || '] '
+               'ALTER INDEX [' || index_name || '] ON [' || database_name || '].[' || schema_name || '].[' || table_name || '] '
                    || CASE WHEN frag_pct >= 30 THEN 'REBUILD' ELSE 'REORGANIZE' END || ';' AS statement
         FROM index_catalog WHERE used_pages > 400 AND frag_pct BETWEEN 5 AND 100"""),
     ),
     "p16_index_usage_status": Entry(
         lambda t: rows.index_usage_status(t.index_catalog, "detail"),
         with_views(f"""
-        SELECT table_name, index_name, user_scans, used_pages * 8 AS size_kb,
+        SELECT server_name, database_name, schema_name, table_name, index_name, user_scans, used_pages * 8 AS size_kb,
                {sql_band('user_scans', rules.INDEX_USAGE['detail'], 'ACTIVE')} AS status
         FROM index_catalog WHERE index_name NOT LIKE '%pkey%'"""),
     ),
     "p16_index_usage_health": Entry(
         lambda t: rows.index_usage_status(t.index_catalog, "health"),
         with_views(f"""
-        SELECT table_name, index_name, user_scans, used_pages * 8 AS size_kb,
+        SELECT server_name, database_name, schema_name, table_name, index_name, user_scans, used_pages * 8 AS size_kb,
                {sql_band('user_scans', rules.INDEX_USAGE['health'], 'ACTIVE')} AS status
         FROM index_catalog"""),
     ),
@@ -302,7 +302,7 @@ ENTRIES = {
     "p17_index_review": Entry(
         lambda t: rows.index_review(t.index_catalog.withColumn("used_pages", F.col("used_pages") * 2)),
         with_views("""
-        SELECT table_name, index_name, user_scans, CAST(floor(used_pages * 16 / 1024) AS BIGINT) AS index_size_mb,
+        SELECT server_name, database_name, schema_name, table_name, index_name, user_scans, CAST(floor(used_pages * 16 / 1024) AS BIGINT) AS index_size_mb,
                CASE WHEN user_scans = 0 AND floor(used_pages * 16 / 1024) > 10 THEN 'DROP - Unused and large'
                     WHEN user_scans < 100 AND floor(used_pages * 16 / 1024) > 5 THEN 'Review - Low usage' ELSE 'OK' END AS recommendation
         FROM index_catalog WHERE is_primary_key = 0"""),
@@ -331,24 +331,24 @@ ENTRIES = {
     "p19_scan_heavy_tables": Entry(
         lambda t: rows.scan_heavy_tables(
             t.table_stats.select(
-                "table_name", F.col("blks_hit").alias("seq_scan"), F.col("blks_read").alias("idx_scan"), F.col("n_dead").alias("writes")
+                "server_name", "database_name", "schema_name", "table_name", F.col("blks_hit").alias("seq_scan"), F.col("blks_read").alias("idx_scan"), F.col("n_dead").alias("writes")
             )
         ),
         with_views("""
-        SELECT table_name, blks_hit AS seq_scan, blks_read AS idx_scan, n_dead AS writes FROM table_stats
+        SELECT server_name, database_name, schema_name, table_name, blks_hit AS seq_scan, blks_read AS idx_scan, n_dead AS writes FROM table_stats
         WHERE n_dead > 1000 AND blks_hit > blks_read * 10"""),
     ),
     "p19_scan_heavy_indexes": Entry(
         lambda t: rows.scan_heavy_indexes(t.index_catalog, min_mb=2),
         with_views("""
-        SELECT table_name, index_name, user_scans, user_seeks, CAST(floor(used_pages * 8 / 1024) AS BIGINT) AS table_size_mb,
+        SELECT server_name, database_name, schema_name, table_name, index_name, user_scans, user_seeks, CAST(floor(used_pages * 8 / 1024) AS BIGINT) AS table_size_mb,
                CASE WHEN user_scans > user_seeks * 10 THEN 'SCAN HEAVY' ELSE 'OK' END AS recommendation
         FROM index_catalog WHERE floor(used_pages * 8 / 1024) > 2"""),
     ),
     "p20_table_bloat": Entry(
         lambda t: rows.table_bloat(t.table_stats.withColumn("free_bytes", F.col("n_dead") * 40)),
         with_views(f"""
-        SELECT schema_name, table_name, n_live, n_dead, {SQL_DEAD_PCT} AS dead_pct,
+        SELECT server_name, database_name, schema_name, table_name, n_live, n_dead, {SQL_DEAD_PCT} AS dead_pct,
                {sql_bytes('(table_bytes + index_bytes)')} AS total_size, {sql_bytes('table_bytes')} AS table_size,
                CASE WHEN n_dead > 0 AND table_bytes > 0 THEN CAST(round(CAST(CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) ELSE 0.0 END AS bloat_ratio,
                CASE WHEN n_dead > 0 AND table_bytes > 0 AND CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 > 20 THEN 'CLEANUP NEEDED' ELSE 'OK' END AS status,
@@ -358,7 +358,7 @@ ENTRIES = {
     "p21_vacuum_recommendation": Entry(
         lambda t: rows.vacuum_recommendation(t.table_stats, AS_OF),
         with_views(f"""
-        SELECT schema_name, table_name, n_dead, n_live, {SQL_DEAD_PCT} AS dead_pct, last_autovacuum,
+        SELECT server_name, database_name, schema_name, table_name, n_dead, n_live, {SQL_DEAD_PCT} AS dead_pct, last_autovacuum,
                CASE WHEN n_dead > 10000 AND last_autovacuum < {NOW} - INTERVAL '1' DAY THEN 'AUTOVACUUM NEEDED'
                     WHEN n_dead > 50000 THEN 'MANUAL VACUUM RECOMMENDED' ELSE 'OK' END AS recommendation
         FROM table_stats WHERE n_dead > 1000"""),
@@ -368,15 +368,15 @@ ENTRIES = {
             t.table_stats.withColumns({"idx_blks_hit": F.col("chained_rows"), "idx_blks_read": F.col("blks_read") * 2}), n=25
         ),
         with_views("""
-        SELECT schema_name, table_name, blks_hit, blks_read, blks_hit + blks_read AS total_blks,
+        SELECT server_name, database_name, schema_name, table_name, blks_hit, blks_read, blks_hit + blks_read AS total_blks,
                CAST(round(CAST(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS cache_hit_ratio,
                CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(chained_rows + blks_read * 2, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS idx_cache_ratio
-        FROM table_stats WHERE blks_read > 0 ORDER BY cache_hit_ratio NULLS LAST, schema_name, table_name LIMIT 25"""),
+        FROM table_stats WHERE blks_read > 0 ORDER BY cache_hit_ratio NULLS LAST, server_name, database_name, schema_name, table_name LIMIT 25"""),
     ),
     "p23_row_chaining": Entry(
         lambda t: rows.row_chaining(t.table_stats),
         with_views("""
-        SELECT schema_name, table_name, n_live, chained_rows, CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS chain_pct,
+        SELECT server_name, database_name, schema_name, table_name, n_live, chained_rows, CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS chain_pct,
                CASE WHEN CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) > 10 THEN 'REBUILD NEEDED'
                     WHEN CAST(round(CAST(CAST(chained_rows AS DOUBLE) * 100 / nullif(n_live, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) > 5 THEN 'MONITOR' ELSE 'OK' END AS status
         FROM table_stats WHERE chained_rows > 0 AND n_live > 10000"""),
@@ -384,7 +384,7 @@ ENTRIES = {
     "p24_index_bloat": Entry(
         lambda t: rows.index_bloat(t.table_stats),
         with_views("""
-        SELECT schema_name, table_name, index_bytes,
+        SELECT server_name, database_name, schema_name, table_name, index_bytes,
                CAST(round(CAST(CASE WHEN n_live > 0 THEN (1 - CAST(n_live AS DOUBLE) / (n_live + n_dead + 1)) * 100 ELSE 0.0 END AS DECIMAL(38, 10)), 2) AS DOUBLE) AS bloat_pct
         FROM table_stats WHERE floor(index_bytes / 1048576) >= 1
           AND CASE WHEN n_live > 0 THEN (1 - CAST(n_live AS DOUBLE) / (n_live + n_dead + 1)) * 100 ELSE 0.0 END >= 20"""),
@@ -392,12 +392,12 @@ ENTRIES = {
     "p24_clustering_verdict": Entry(
         lambda t: rows.clustering_verdict(
             t.table_stats.select(
-                "schema_name", "table_name", "n_live", F.floor(F.col("index_bytes") / 8192).alias("leaf_blocks"),
+                "server_name", "database_name", "schema_name", "table_name", "n_live", F.floor(F.col("index_bytes") / 8192).alias("leaf_blocks"),
                 F.floor(F.col("n_dead") / 20).alias("clustering_factor"),
             )
         ),
         with_views("""
-        SELECT schema_name, table_name, CAST(floor(index_bytes / 8192) AS BIGINT) AS leaf_blocks,
+        SELECT server_name, database_name, schema_name, table_name, CAST(floor(index_bytes / 8192) AS BIGINT) AS leaf_blocks,
                CAST(floor(n_dead / 20) AS BIGINT) AS clustering_factor,
                CAST(round(CAST(floor(index_bytes / 8192) * 8192 / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS size_mb,
                CASE WHEN floor(n_dead / 20) > n_live * 0.1 THEN 'HIGH' ELSE 'OK' END AS recommendation
@@ -408,7 +408,7 @@ ENTRIES = {
             t.file_space.withColumns({"size_pages": F.col("size_mb") * 128 + 7, "used_pages": F.col("used_mb") * 128 + 3})
         ),
         with_views("""
-        SELECT database_name, file_name, CASE WHEN file_type = 'ROWS' THEN 'Data' ELSE 'Log' END AS file_type,
+        SELECT server_name, database_name, file_name, CASE WHEN file_type = 'ROWS' THEN 'Data' ELSE 'Log' END AS file_type,
                CAST(round(CAST(CAST(size_mb * 128 + 7 AS DOUBLE) / 128 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS size_mb, CAST(round(CAST(CAST(used_mb * 128 + 3 AS DOUBLE) / 128 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_mb,
                CAST(round(CAST(CAST((size_mb - used_mb) * 128 + 4 AS DOUBLE) / 128 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_mb,
                CAST(round(CAST(CAST((size_mb - used_mb) * 128 + 4 AS DOUBLE) * 100 / (size_mb * 128 + 7) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_pct,

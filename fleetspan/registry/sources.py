@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from fleetspan.functions.rules import CONTENTION_WAITS
 from fleetspan.operators import ingest
 from fleetspan.registry import Entry, with_views
-from fleetspan.session import ensure_checkpoint_dir, scratch_path
+from fleetspan.session import scratch_path
 from fleetspan.sources import landing
+from fleetspan.sources.versioned import VersionedTable
 from fleetspan.sources.views import AS_OF
 
 NOW = "TIMESTAMP '2024-01-31 00:00:00'"
@@ -44,11 +45,10 @@ def _upsert(t):
     stats = t.query_stats_snapshot.select("server_name", "query_hash", "capture_time", "exec_count", "total_elapsed_ms")
     cut = AS_OF - timedelta(hours=2, minutes=30)
     literal = F.lit(cut.isoformat(sep=" ")).cast("timestamp_ntz")
-    ensure_checkpoint_dir(t.spark)
-    path = scratch_path(t.spark, "query-store")
+    store = VersionedTable(t.spark, scratch_path(t.spark, "query-store"))
     for batch in (stats.where(F.col("capture_time") < literal), stats.where(F.col("capture_time") >= literal)):
-        ingest.upsert_store(t.spark, path, batch, ["server_name", "query_hash"], buckets=8)
-    return t.spark.read.parquet(path).drop(ingest.BUCKET)
+        store.upsert(batch, ["server_name", "query_hash"], buckets=8, time_col="capture_time")
+    return store.read()
 
 
 def _history_round_trip(t):

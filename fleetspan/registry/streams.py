@@ -8,8 +8,10 @@ from fleetspan.registry import Entry, with_views
 from fleetspan.registry.joins import SQL_PAIR
 from fleetspan.registry.rows import sql_classified
 from fleetspan.session import scratch_path
+from fleetspan.sources.landing import DATE_COL
+from fleetspan.sources.versioned import VersionedTable
 from fleetspan.sources.views import AS_OF, VIEWS, zone_free
-from fleetspan.streaming import jobs
+from fleetspan.streaming import jobs, membership
 
 STATE_PARTITIONS = 8  # enough for the state of the test tables
 
@@ -64,14 +66,35 @@ def _ingest(t):
     return t.spark.read.parquet(out).drop("capture_date")
 
 
-def _membership(t):
-    snapshots = landed(t, "events").select(
+def snapshots_of(t):
+    """Each day's active users of a server as its membership snapshot."""
+    return landed(t, "events").select(
         F.concat(F.lit("srv"), (F.col("user_id") % 5).cast("string")).alias("server_name"),
         F.concat(F.lit("login"), F.col("user_id").cast("string")).alias("principal"),
         F.date_trunc("day", "ts").alias("snapshot_time"),
     )
-    # srv1 delivers nothing on every fifth day: that must not look like removals.
-    snapshots = snapshots.where((F.col("server_name") != "srv1") | (F.dayofmonth("snapshot_time") % 5 != 0))
+
+
+def _unique(t):
+    """The same landed rows delivered twice; purchases are reported four days after they happened."""
+    samples = wait_samples(t)
+    doubled = samples.union(samples)
+    arrival = F.col("capture_time") + F.when(F.col("wait_type") == "CXPACKET", F.expr("INTERVAL 4 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    keys = ["event_id", "server_name", "wait_type"]
+    seen = jobs.ingest_unique(doubled, lambda raw: raw.where((F.col("wait_time_ms") > 0) & (F.col("waiting_tasks") > 0)), keys, "capture_time", "2 DAYS", arrival)
+    out = scratch_path(t.spark, "stream-unique")
+    jobs.run_batches(seen, jobs.unique_batches(out, "capture_time"), scratch_path(t.spark, "unique-progress"), STATE_PARTITIONS)
+    jobs.merge_late(t.spark, out, keys)
+    return VersionedTable(t.spark, f"{out}/history").read().drop(DATE_COL)
+
+
+def _membership_state(t):
+    with membership.rocksdb_state(t.spark):
+        return _drain(t, membership.membership_changes(snapshots_of(t), delay="36 hours"), "membership-state")
+
+
+def _membership(t):
+    snapshots = snapshots_of(t)
     out = scratch_path(t.spark, "membership")
     jobs.run_batches(snapshots, jobs.membership_batches(out, complete=True), scratch_path(t.spark, "membership-progress"), STATE_PARTITIONS)
     return t.spark.read.parquet(f"{out}/changes").drop("batch_id")
@@ -87,18 +110,21 @@ def _alert_state(t):
 
 
 def _blocking(t):
-    out = scratch_path(t.spark, "blocking")
-    jobs.run_batches(
-        view_stream(t, "session_requests", "customer"),
-        jobs.blocking_batches(out, lambda: t.session_requests, min_wait_ms=3000),
-        scratch_path(t.spark, "blocking-progress"),
-        STATE_PARTITIONS,
-    )
-    return t.spark.read.parquet(out).drop("snapshot")
+    return _drain(t, jobs.blocking_stream(view_stream(t, "session_requests", "customer"), min_wait_ms=3000), "blocking")
 
 
+SQL_SNAPSHOTS = """s AS (SELECT DISTINCT 'srv' || (user_id % 5) AS server_name, 'login' || user_id AS principal, date_trunc('day', ts) AS d FROM events),
+        days AS (SELECT server_name, d, lag(d) OVER w AS prev_d, lead(d) OVER w AS next_d FROM (SELECT DISTINCT server_name, d FROM s) x
+                 WINDOW w AS (PARTITION BY server_name ORDER BY d)),
+        changes AS (SELECT s.server_name, s.principal, CAST(s.d AS TIMESTAMP) AS change_time, 'ADDED' AS action_type FROM s JOIN days y ON y.server_name = s.server_name AND y.d = s.d
+        WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.server_name = s.server_name AND p.principal = s.principal AND p.d = y.prev_d)
+        UNION ALL
+        SELECT s.server_name, s.principal, CAST(y.next_d AS TIMESTAMP), 'REMOVED' FROM s JOIN days y ON y.server_name = s.server_name AND y.d = s.d
+        WHERE y.next_d IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s p WHERE p.server_name = s.server_name AND p.principal = s.principal AND p.d = y.next_d))"""
+
 ENTRIES = {
     "r01_stream_ingest": Entry(_ingest, f"WITH {SQL_SAMPLES} SELECT * FROM samples WHERE wait_time_ms > 0"),
+    "r01_stream_unique": Entry(_unique, f"WITH {SQL_SAMPLES} SELECT * FROM samples WHERE wait_time_ms > 0"),
     "r02_stream_wait_windows": Entry(
         lambda t: _drain(t, jobs.wait_windows(wait_samples(t)), "wait-windows"),
         f"""WITH {SQL_SAMPLES},
@@ -116,16 +142,12 @@ ENTRIES = {
           AND window_end <= (SELECT max(login_time) - INTERVAL '10' MINUTE FROM login_audit WHERE event_type = 'FAILED_LOGIN')"""),
     ),
     "r04_stream_membership_changes": Entry(
-        _membership,
-        """WITH s AS (SELECT DISTINCT 'srv' || (user_id % 5) AS server_name, 'login' || user_id AS principal, date_trunc('day', ts) AS d FROM events
-                  WHERE user_id % 5 <> 1 OR day(ts) % 5 <> 0),
-        days AS (SELECT server_name, d, lag(d) OVER w AS prev_d, lead(d) OVER w AS next_d FROM (SELECT DISTINCT server_name, d FROM s) x
-                 WINDOW w AS (PARTITION BY server_name ORDER BY d))
-        SELECT s.server_name, s.principal, CAST(s.d AS TIMESTAMP) AS change_time, 'ADDED' AS action_type FROM s JOIN days y ON y.server_name = s.server_name AND y.d = s.d
-        WHERE NOT EXISTS (SELECT 1 FROM s p WHERE p.server_name = s.server_name AND p.principal = s.principal AND p.d = y.prev_d)
-        UNION ALL
-        SELECT s.server_name, s.principal, CAST(y.next_d AS TIMESTAMP), 'REMOVED' FROM s JOIN days y ON y.server_name = s.server_name AND y.d = s.d
-        WHERE y.next_d IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s p WHERE p.server_name = s.server_name AND p.principal = s.principal AND p.d = y.next_d)""",
+        _membership, f"WITH {SQL_SNAPSHOTS} SELECT * FROM changes"
+    ),
+    "r04_membership_state": Entry(
+        _membership_state,
+        f"""WITH {SQL_SNAPSHOTS}
+        SELECT * FROM changes WHERE change_time <= (SELECT max(d) - INTERVAL '36' HOUR FROM s)""",
     ),
     "r05_stream_alert_state": Entry(
         _alert_state,

@@ -11,14 +11,15 @@ from collections.abc import Callable
 from contextlib import contextmanager
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from fleetspan.operators import joins, rows
 from fleetspan.session import ensure_checkpoint_dir
-from fleetspan.sources.landing import append_new
+from fleetspan.sources.landing import DATE_COL, append_new
+from fleetspan.sources.versioned import VersionedTable
 
 
 def snapshot_stream(
@@ -212,44 +213,102 @@ def alert_state(alerts: DataFrame) -> DataFrame:
     )
 
 
-def replace_table(path: str) -> Callable[[DataFrame, int], None]:
-    """Batch handler that writes the newest complete result as a version of its own; see ``read_newest``.
+def _run_name(df: DataFrame) -> str:
+    """The streaming query a batch belongs to: batch numbers count within it."""
+    return df.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId") or "batch"
 
-    A reader never meets a half-written table, and repeating a batch is harmless.
+
+def replace_table(path: str, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """Batch handler that puts the newest complete result in place of the last; see ``read_newest``.
+
+    A reader never meets a half-written table, repeating a batch is harmless, and versions before the
+    last ``keep`` are removed.
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        table = VersionedTable(df.sparkSession, path)
+        table.replace(df, job=(_run_name(df), batch_id))
+        table.clean(keep)
 
     return handle
 
 
 def read_newest(spark: SparkSession, path: str) -> DataFrame:
     """The newest version of a table written by ``replace_table``."""
-    versions = spark.read.parquet(path)
-    return versions.where(F.col("version") == versions.select(F.max("version")).scalar()).drop("version")
+    return VersionedTable(spark, path).read()
+
+
+def blocking_stream(sessions: DataFrame, delay: str = "10 minutes", min_wait_ms: int = 30000) -> DataFrame:
+    """Blocked sessions with their blocker, out of a stream of session captures in any number of files.
+
+    Blocked rows and possible blockers meet as a stream-to-stream join on (server, capture, session).
+    A capture's rows wait for each other until the watermark, the newest capture less ``delay``, has
+    passed it, so state holds the open captures only and a batch reads nothing but its own files.
+    """
+    timed = sessions.withColumn("capture_time", _event_time("capture_time")).withWatermark("capture_time", delay)
+    pairs = joins.blocking_pairs(timed, min_wait_ms=min_wait_ms)
+    return pairs.withColumn("capture_time", F.col("capture_time").cast("timestamp_ntz"))
 
 
-def blocking_batches(path: str, landed: Callable[[], DataFrame], min_wait_ms: int = 30000) -> Callable[[DataFrame, int], None]:
-    """Batch handler that finds blocked sessions in every snapshot of which rows have landed.
+def ingest_unique(
+    raw: DataFrame, capture: Callable[[DataFrame], DataFrame], keys: list[str], time_col: str, window: str, arrival: Column | None = None
+) -> DataFrame:
+    """A capture as a stream without repeated rows, as far as bounded state can tell.
 
-    A snapshot may arrive in several batches, so the snapshots that a batch names are read whole from what
-    has landed so far, and their result replaces an earlier one. One folder per snapshot.
+    Rows that share the natural key are one row delivered several times. The watermark runs on the time of
+    ``arrival`` (default: when the batch is read), not of capture, so no row is too late to be kept; keys are
+    remembered for ``window`` after their arrival. A row that comes again later than that is older than
+    ``window`` by its capture time: such rows have ``needs_merge`` set and have to be compared with the history.
+    """
+    when = F.current_timestamp() if arrival is None else arrival.cast("timestamp")
+    seen = capture(raw).withColumn("arrived", when).withWatermark("arrived", window).dropDuplicatesWithinWatermark(keys)
+    old = _event_time(time_col) < F.col("arrived") - F.expr(f"INTERVAL {window}")
+    return seen.withColumn("needs_merge", F.coalesce(old, F.lit(True))).drop("arrived")
+
+
+def unique_batches(path: str, time_col: str) -> Callable[[DataFrame, int], None]:
+    """Batch handler for ``ingest_unique``: rows of their own go to the history, others to a side table until ``merge_late``.
+
+    Both are versioned tables; a batch that is repeated after a failure adds nothing.
     """
 
     def handle(df: DataFrame, batch_id: int) -> None:
         ensure_checkpoint_dir(df.sparkSession)
-        named = df.select(*joins.SNAPSHOT).distinct().checkpoint()
-        whole = landed().join(named, joins.SNAPSHOT, "left_semi")
-        pairs = joins.blocking_pairs(whole, min_wait_ms=min_wait_ms)
-        snapshot = F.concat_ws("_", "server_name", F.date_format("capture_time", "yyyyMMddHHmmss"))
-        pairs.withColumn("snapshot", snapshot).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-            "snapshot"
-        ).parquet(path)
+        job = (_run_name(df), batch_id)
+        rows_ = df.withColumn(DATE_COL, F.to_date(time_col)).persist()
+        VersionedTable(df.sparkSession, f"{path}/history").append(rows_.where("NOT needs_merge").drop("needs_merge"), [DATE_COL], job)
+        VersionedTable(df.sparkSession, f"{path}/late").append(rows_.where("needs_merge").drop("needs_merge"), [DATE_COL], job)
+        rows_.unpersist()
 
     return handle
 
 
+def merge_late(spark: SparkSession, path: str, keys: list[str]) -> int:
+    """Move the rows of the side table that the history lacks into it, and empty the side table; returns how many moved.
+
+    Only the days that late rows fall into are compared. If it fails between the two tables, the next run
+    finds the rows stored and adds nothing.
+    """
+    ensure_checkpoint_dir(spark)
+    history, late = VersionedTable(spark, f"{path}/history"), VersionedTable(spark, f"{path}/late")
+    if not late.versions():
+        return 0
+    fresh = late.read().dropDuplicates(keys).checkpoint()
+    days = [r[0] for r in fresh.select(DATE_COL).distinct().collect()]  # days, not rows
+    if not days:
+        return 0
+    stored = history.read().where(F.col(DATE_COL).isin([d for d in days if d is not None]) | F.col(DATE_COL).isNull())
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"known_{k}"))
+    new = fresh.join(stored.select(*[F.col(k).alias(f"known_{k}") for k in keys]), same, "left_anti").checkpoint()
+    moved = new.count()
+    if moved:
+        history.append(new, [DATE_COL])
+    late.replace(fresh.limit(0), [DATE_COL])
+    return moved
+
+
 def classify_log_stream(lines: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
     """Error-log typing and severity on a stream; the batch operator is stateless and used as it is."""
     return rows.classify_log(lines, as_of, days)

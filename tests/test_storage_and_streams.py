@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from fleetspan.operators import ingest
 from fleetspan.sources import landing
-from fleetspan.streaming import jobs
+from fleetspan.sources.versioned import VersionedTable
+from fleetspan.streaming import jobs, membership
 
 NOW = datetime(2024, 1, 31, 12)
 STATE = 4
@@ -108,20 +109,6 @@ def test_append_new_is_repeatable(spark, tmp_path):
     assert spark.read.parquet(path).count() == 4
 
 
-def test_upsert_store_rewrites_touched_folders_only(spark, tmp_path):
-    path = str(tmp_path / "s")
-    schema = "query_hash long, capture_time timestamp_ntz, n long"
-    day = lambda d: datetime(2024, 1, d)
-    ingest.upsert_store(spark, path, spark.createDataFrame([(i, day(1), i) for i in range(40)], schema), ["query_hash"], buckets=8)
-    before = {f: os.path.getmtime(os.path.join(path, f)) for f in os.listdir(path) if f.startswith(ingest.BUCKET)}
-    for _ in range(2):
-        ingest.upsert_store(spark, path, spark.createDataFrame([(3, day(2), 300), (99, day(1), 9)], schema), ["query_hash"], buckets=8)
-    out = {r.query_hash: r.n for r in spark.read.parquet(path).collect()}
-    assert out == {**{i: i for i in range(40)}, 3: 300, 99: 9}
-    same = [f for f, t in before.items() if os.path.getmtime(os.path.join(path, f)) == t]
-    assert len(same) >= len(before) - 2
-
-
 def test_wait_windows_drop_late_rows(spark, tmp_path):
     source = tmp_path / "landed"
     source.mkdir()
@@ -178,22 +165,157 @@ def test_membership_compares_a_server_with_its_own_last_snapshot(spark, tmp_path
     assert read() == sorted([*settled, ("late", day(2), "y", "ADDED"), ("s", day(5), "b", "REMOVED")])
 
 
-def test_blocking_pairs_across_batches(spark, tmp_path):
+SESSIONS = (
+    "server_name string, capture_time timestamp_ntz, session_id long, blocking_session_id long, login_name string, status string, "
+    "program_name string, wait_type string, wait_time_ms long, query_text string"
+)
+
+
+def last_progress(spark, stream, out, checkpoint):
+    """Drain a stream into parquet and return the progress of its batches."""
+    writer = stream.writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with jobs.state_width(spark, STATE):
+        query = writer.start(out)
+        query.awaitTermination()
+    return query.recentProgress
+
+
+def test_blocking_pairs_meet_across_files_and_state_ends(spark, tmp_path):
     source = tmp_path / "landed"
     source.mkdir()
-    schema = (
-        "server_name string, capture_time timestamp_ntz, session_id long, blocking_session_id long, login_name string, status string, "
-        "program_name string, wait_type string, wait_time_ms long, query_text string"
-    )
-    row = lambda i, b: ("s", NOW, i, b, "l", "running", "p", None, 9, "q")
-    land(spark.createDataFrame([row(1, 2)], schema), source, "f1")
-    time.sleep(0.05)
-    land(spark.createDataFrame([row(2, 0)], schema), source, "f2")
+    minute = lambda m: NOW + timedelta(minutes=m)
+    row = lambda m, i, b, server="s": (server, minute(m), i, b, "l", "running", "p", None, 9, "q")
+    files = [
+        [row(0, 1, 2), row(0, 5, 2, "t")],  # the blocker of 1 comes two files later
+        [row(0, 7, 8), row(1, 1, 9)],
+        [row(0, 2, 0), row(1, 9, 1)],
+        [row(0, 8, 0), row(5, 3, 4)],  # the last blocker within the delay; 5 on server t has none
+        *[[row(20 + m, i, i + 1) for i in range(10)] for m in range(0, 200, 20)],
+        [row(0, 4, 0)],  # behind the watermark
+    ]
+    for i, data in enumerate(files):
+        land(spark.createDataFrame(data, SESSIONS), source, f"f{i:02d}")
+        time.sleep(0.02)
+    stream = jobs.snapshot_stream(spark, f"{source}/*", spark.createDataFrame([], SESSIONS).schema, files_per_batch=1)
     out = str(tmp_path / "b")
-    stream = jobs.snapshot_stream(spark, f"{source}/*", spark.createDataFrame([], schema).schema, files_per_batch=1)
-    handle = jobs.blocking_batches(out, lambda: spark.read.parquet(f"{source}/*"), min_wait_ms=1)
-    jobs.run_batches(stream, handle, str(tmp_path / "bp"), STATE)
-    assert [(r.blocked_session, r.blocking_session) for r in spark.read.parquet(out).collect()] == [(1, 2)]
+    progress = last_progress(spark, jobs.blocking_stream(stream, "10 minutes", 1), out, str(tmp_path / "bp"))
+    got = sorted((r.server_name, r.capture_time, r.blocked_session, r.blocking_session) for r in spark.read.parquet(out).collect() if r.capture_time < minute(20))
+    assert got == [("s", minute(0), 1, 2), ("s", minute(0), 7, 8), ("s", minute(1), 1, 9), ("s", minute(1), 9, 1)]
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in progress if p["stateOperators"]]
+    assert max(rows) <= 60  # two captures of ten sessions on both sides, however many captures there were
+    read = [p["numInputRows"] for p in progress if p["numInputRows"]]
+    assert max(read) <= 2 * 10 + 2  # each side reads the batch's own file and nothing else
+
+
+def test_unique_ingest_drops_repeats_and_merges_what_is_older_than_its_memory(spark, tmp_path):
+    source = tmp_path / "landed"
+    source.mkdir()
+    day = lambda d, h=0: datetime(2024, 1, d, h)
+    schema = "server_name string, capture_time timestamp_ntz, n long, delivered timestamp_ntz"
+    files = [
+        [("s", day(1), 1, day(1)), ("s", day(1), 1, day(1)), ("s", None, 9, day(1))],
+        [("s", day(1), 1, day(2)), ("s", day(2), 2, day(2))],  # again within the memory
+        [("s", day(10), 3, day(10))],
+        [("s", day(11), 4, day(11))],
+        [("s", day(1), 1, day(12)), ("t", day(1), 5, day(12)), ("t", day(1), 5, day(12)), ("s", day(12), 6, day(12))],  # long forgotten, and a late server
+    ]
+    empty = spark.createDataFrame([], schema).schema
+    out, keys = str(tmp_path / "u"), ["server_name", "capture_time"]
+
+    def run():
+        stream = jobs.snapshot_stream(spark, f"{source}/*", empty, files_per_batch=1)
+        seen = jobs.ingest_unique(stream, lambda raw: raw.where("n > 0"), keys, "capture_time", "2 DAYS", F.col("delivered"))
+        jobs.run_batches(seen, jobs.unique_batches(out, "capture_time"), str(tmp_path / "up"), STATE)
+
+    for i, data in enumerate(files[:2]):
+        land(spark.createDataFrame(data, schema), source, f"f{i}")
+        time.sleep(0.05)
+    run()
+    for i, data in enumerate(files[2:], 2):
+        land(spark.createDataFrame(data, schema), source, f"f{i}")
+        time.sleep(0.05)
+    run()  # goes on from its checkpoint
+    history, late = VersionedTable(spark, f"{out}/history"), VersionedTable(spark, f"{out}/late")
+    numbers = lambda t: sorted(r.n for r in t.read().collect())
+    assert numbers(history) == [1, 2, 3, 4, 6]
+    assert numbers(late) == [1, 5, 9]
+    assert jobs.merge_late(spark, out, keys) == 2
+    assert numbers(history) == [1, 2, 3, 4, 5, 6, 9] and numbers(late) == []
+    assert jobs.merge_late(spark, out, keys) == 0
+    run()
+    assert numbers(history) == [1, 2, 3, 4, 5, 6, 9]
+
+
+def test_a_repeated_batch_is_not_stored_twice(spark, tmp_path):
+    df = history(spark, [1, 2]).withColumn("needs_merge", F.lit(False))
+    handle = jobs.unique_batches(str(tmp_path / "x"), "capture_time")
+    for batch in (0, 0, 1, 1, 0):
+        handle(df, batch)
+    assert VersionedTable(spark, str(tmp_path / "x/history")).read().count() == 4
+
+
+def membership_state(spark, source, tmp_path, slots=4, **kw):
+    schema = spark.createDataFrame([], "server_name string, principal string, snapshot_time timestamp_ntz").schema
+    stream = jobs.snapshot_stream(spark, f"{source}/*", schema, files_per_batch=1)
+    with membership.rocksdb_state(spark):
+        return last_progress(spark, membership.membership_changes(stream, slots=slots, **kw), str(tmp_path / "m"), str(tmp_path / "mp"))
+
+
+def test_membership_state_closes_snapshots_goes_on_and_stays_small(spark, tmp_path):
+    source = tmp_path / "landed"
+    source.mkdir()
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d - 1)
+    schema = "server_name string, principal string, snapshot_time timestamp_ntz"
+    many = [f"p{i}" for i in range(40)]
+    files = [
+        [("s", n, day(1)) for n in [*many, "a", "b"]] + [("t", "x", day(1)), (None, "x", day(1)), ("t", None, day(1))],
+        [("s", "a", day(2))],  # the rest of this snapshot comes in the next file
+        [("s", n, day(2)) for n in [*many, "b", "c", "c"]],
+        [("t", n, day(2)) for n in "xy"],  # a server that delivers late, within the delay
+        [("s", n, day(4)) for n in [*many, "b", "c"]],  # no snapshot on day 3
+        [("s", "z", day(7)), ("t", "y", day(7))],  # all but one go at once
+    ]
+    def land_all(some, first):
+        for i, data in enumerate(some, first):
+            land(spark.createDataFrame(data, schema), source, f"f{i:02d}")
+            time.sleep(0.05)
+
+    def changes():
+        rows = spark.read.parquet(str(tmp_path / "m")).collect()
+        assert len(rows) == len({(r.server_name, r.principal, r.change_time) for r in rows})
+        return {(r.server_name, r.change_time.day, r.principal, r.action_type) for r in rows if r.principal not in many}, sum(r.principal in many for r in rows)
+
+    land_all(files[:4], 0)
+    membership_state(spark, source, tmp_path, delay="36 hours")
+    assert changes() == (set(), 0)  # nothing is certain yet
+    land_all(files[4:5], 4)
+    membership_state(spark, source, tmp_path, delay="36 hours")  # restarted from its checkpoint
+    settled = {("s", 1, "a", "ADDED"), ("s", 1, "b", "ADDED"), ("t", 1, "x", "ADDED"), ("s", 2, "c", "ADDED"), ("t", 2, "y", "ADDED")}
+    assert changes() == (settled, 40)
+    land_all(files[5:], 5)
+    land_all([[("s", "z", day(9)), ("t", "y", day(9))]], 6)
+    membership_state(spark, source, tmp_path, delay="36 hours")
+    settled |= {("s", 4, "a", "REMOVED"), ("s", 7, "b", "REMOVED"), ("s", 7, "c", "REMOVED"), ("s", 7, "z", "ADDED"), ("t", 7, "x", "REMOVED")}
+    assert changes() == (settled, 80)
+    # A long run of snapshots of the same members: the state is what one of them needs.
+    land_all([[("s", "z", day(d)), ("t", "y", day(d))] for d in range(10, 25)], 10)
+    progress = membership_state(spark, source, tmp_path, delay="36 hours")
+    sizes = [o["numRowsTotal"] for p in progress for o in p["stateOperators"] if "transform" in o["operatorName"].lower()]
+    assert sizes and max(sizes[-3:]) <= max(sizes[:5]) + 8
+    assert changes() == (settled, 80)
+
+
+def test_membership_state_of_a_silent_server_is_dropped(spark, tmp_path):
+    source = tmp_path / "landed"
+    source.mkdir()
+    day = lambda d: datetime(2024, 1, 1) + timedelta(days=d - 1)
+    schema = "server_name string, principal string, snapshot_time timestamp_ntz"
+    for i, data in enumerate([[("s", "a", day(1)), ("t", "b", day(1))], *[[("t", "b", day(d))] for d in range(2, 14)], [("s", "a", day(14)), ("t", "b", day(14))], [("t", "b", day(20))]]):
+        land(spark.createDataFrame(data, schema), source, f"f{i:02d}")
+        time.sleep(0.02)
+    membership_state(spark, source, tmp_path, delay="12 hours", retire_after_days=5, slots=2)
+    got = sorted((r.server_name, r.principal, r.change_time.day, r.action_type) for r in spark.read.parquet(str(tmp_path / "m")).collect())
+    assert got == [("s", "a", 1, "ADDED"), ("s", "a", 14, "ADDED"), ("t", "b", 1, "ADDED")]
 
 
 def test_newest_version_is_read(spark, tmp_path):
