@@ -20,7 +20,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,31 +32,53 @@ from pyspark.sql import functions as F
 LENGTH = 2048  # ids in a sequence
 BATCH_ROWS = 256  # sequences in a record batch
 SHARD_BYTES = 64 << 20  # text in a shard
-CACHE_CHUNKS = 400_000  # chunks whose ids a task remembers; beyond, it starts over
+CACHE_CHUNKS = 1_000_000  # chunks whose ids a task remembers; beyond, it starts over
 CACHE_IDS = 1 << 23
 PIECE_BYTES = 1 << 21  # text encoded at once
 
+# Fixed value: the rule for pieces that ``parted`` follows.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# Kinds of bytes: 0 not to be cut at (white space, apostrophe, non-ASCII), 1 letter, 2 digit, 3 other printable sign.
+_KINDS = np.array(
+    [0 if b <= 0x20 or b >= 0x7F or b == 0x27 else 1 if chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8
+)
+_APART = np.array([[False] * 4, [False, False, True, True], [False, True, True, True], [False, True, True, False]])
 _WHITE = re.compile(rb"[ \t\n\r\x0b\x0c]")
-_END = b" "  # no chunk holds white space, so this key is free for the end of a document
+_END = None  # stands for the end of a document among chunks
 LISTING = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 MANIFEST = "shard int, sequences string, documents string, n_documents long, n_tokens long"
 
 
 def drops_white_space(spec: dict) -> bool:
-    """Whether no token of the tokenizer file reaches across white space, so that chunks between it encode alike."""
-    pre = spec.get("pre_tokenizer") or {}
+    """Whether the file's rules are: lower case, white space dropped, pieces of letters, single digits or other signs.
+
+    Then a text encodes as its chunks do, cut at ASCII white space and where those three meet.
+    """
+    pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer") or {}
     first = (pre.get("pretokenizers") or [pre])[0]
-    normalizers = spec.get("normalizer") or {"normalizers": []}
-    known = {n["type"] for n in normalizers.get("normalizers", [normalizers])} <= {"NFC", "NFD", "NFKC", "NFKD", "Lowercase", "Replace"}
-    splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and r"[^\s" in first["pattern"].get("Regex", "")
-    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or re.search(r"\s", t["content"])) for t in spec["added_tokens"])
-    return bool(known and splits and plain)
+    kinds = {n["type"] for n in norm.get("normalizers", [norm] if norm else [])}
+    splits = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and first["pattern"].get("Regex") == PIECES
+    plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] or re.search(r"\s", t["content"])) for t in spec["added_tokens"])
+    return bool("Lowercase" in kinds and kinds <= {"NFC", "Lowercase", "Replace"} and splits and plain)
+
+
+class _Slots(dict):
+    """Chunk to number; unknown chunks take the next one and are noted."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.new: list[bytes | None] = []
+
+    def __missing__(self, chunk: bytes | None) -> int:
+        self[chunk] = slot = len(self)
+        self.new.append(chunk)
+        return slot
 
 
 class Encoder:
     """Ids of texts as the library gives them, without special tokens of its own; ``end_id`` after each text.
 
-    Where tokens never reach across white space, equal chunks between white space are encoded once.
+    Where the tokenizer's rules allow it, texts are cut into chunks and equal chunks are encoded once.
     """
 
     def __init__(self, path: str, end_id: int):
@@ -67,45 +89,51 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as f:
-            self.chunked = drops_white_space(json.load(f))
+            spec = json.load(f)
+        self.chunked = drops_white_space(spec)
+        self.specials = [t["content"].encode() for t in spec["added_tokens"]]
         self.kind = np.uint16 if max(self.library.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
         self.end_id = end_id
         self._clear()
 
     def _clear(self) -> None:
-        self.slots = {_END: 0}
+        self.slots = _Slots()
+        self.slots[_END]
+        self.slots.new.clear()
         self.ids = np.array([self.end_id], self.kind)
         self.starts, self.sizes = np.zeros(1, np.int64), np.ones(1, np.int64)
 
-    def _learn(self, chunks: list[bytes]) -> None:
-        found = self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in chunks], add_special_tokens=False)
+    def _learn(self) -> None:
+        """Encode the chunks noted as unknown."""
+        found = self.library.encode_batch_fast([c.decode("utf-8", "replace") for c in self.slots.new], add_special_tokens=False)
         ids = [e.ids for e in found]
+        self.slots.new.clear()
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.slots.update(zip(chunks, range(len(self.slots), len(self.slots) + len(chunks)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate([self.ids, *(np.array(i, self.kind) for i in ids)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(ids), self.kind, int(sizes.sum()))])
 
-    def _chunks(self, text: bytes) -> Iterator[list[bytes]]:
+    def _chunks(self, text: bytes) -> Iterator[list[bytes | None]]:
         """The chunks of a text in lists of about ``PIECE_BYTES``."""
         if not self.chunked:
             yield [text] if text else []
             return
+        special = any(s in text for s in self.specials)
         at = 0
         while at < len(text):
             cut = _WHITE.search(text, at + PIECE_BYTES)
             end = cut.start() if cut else len(text)
-            yield text[at:end].split()
+            # Special strings count as they stand, so a text with any is cut at white space only.
+            yield text[at:end].split() if special else parted(text[at:end]).split()
             at = end
 
-    def _look_up(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def _look_up(self, chunks: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the chunks in a row, and the places after each document's end among them."""
         if len(self.slots) > CACHE_CHUNKS or len(self.ids) > CACHE_IDS or not self.chunked:
             self._clear()
-        new = [c for c in dict.fromkeys(chunks) if c not in self.slots]
-        if new:
-            self._learn(new)
-        slots = np.fromiter(map(self.slots.get, chunks, repeat(0)), np.int64, len(chunks))
+        slots = np.fromiter(map(self.slots.__getitem__, chunks), np.int64, len(chunks))
+        if self.slots.new:
+            self._learn()
         sizes = self.sizes[slots]
         ends = np.cumsum(sizes)
         ids = self.ids[np.repeat(self.starts[slots] - (ends - sizes), sizes) + np.arange(sizes.sum())]
@@ -114,18 +142,32 @@ class Encoder:
     def encode(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Ids of the texts in bounded runs, with the places in the run after which a document ends."""
         waiting, size = [], 0
-        for text in texts:
-            for chunks in self._chunks(text or b""):
-                waiting += chunks
-                size += sum(map(len, chunks))
+        for text in (t or b"" for t in texts):
+            for chunks in self._chunks(text):
                 if size >= PIECE_BYTES:
                     yield self._look_up(waiting)
                     waiting, size = [], 0
+                waiting += chunks
+                size += min(len(text), PIECE_BYTES)
             waiting.append(_END)
         if waiting:
             yield self._look_up(waiting)
 
 
+def parted(text: bytes) -> bytes:
+    """The text in ASCII lower case, with blanks where ASCII letters, digits and other signs meet.
+
+    Nothing is put beside an apostrophe, which may open a piece with the letters after it, nor beside a
+    byte of a non-ASCII sign, whose kind it does not tell.
+    """
+    data = np.frombuffer(text.lower(), np.uint8)
+    kind = _KINDS[data]
+    apart = _APART[kind[:-1], kind[1:]] if len(data) else np.empty(0, bool)
+    out = np.full(len(data) + int(apart.sum()), 0x20, np.uint8)
+    out[np.arange(len(data)) + np.concatenate([[0], np.cumsum(apart)])[: len(data)]] = data
+    return out.tobytes()
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
     """The file system of a shared folder, and the path in it."""
     system, path = fs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))
