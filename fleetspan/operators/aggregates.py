@@ -24,6 +24,7 @@ from fleetspan.functions.expr import (
     trunc_ts,
     truncated_div,
 )
+from fleetspan.operators.partials import distinct_connections_exact
 from fleetspan.operators.rows import wait_category
 
 MB = 1024 * 1024
@@ -158,14 +159,14 @@ def size_trend(history: DataFrame) -> DataFrame:
     )
 
 
-def growth_summary(history: DataFrame, as_of: datetime, by: str, value: str, days: int = 7) -> DataFrame:
+def growth_summary(history: DataFrame, as_of: datetime, by: Sequence[str], value: str, days: int = 7) -> DataFrame:
     """Growth of a group's total: sizes are summed per sample first, then compared over the window."""
     per_sample = (
         history.where(F.col("capture_time") >= before(as_of, days=days))
-        .groupBy(by, "capture_time")
+        .groupBy(*by, "capture_time")
         .agg(total(F.col(value)).alias("size_mb"))
     )
-    return per_sample.groupBy(by).agg(
+    return per_sample.groupBy(*by).agg(
         F.min("capture_time").alias("first_sample"),
         F.max("capture_time").alias("last_sample"),
         F.min("size_mb").alias("min_mb"),
@@ -401,21 +402,15 @@ def failed_logins(
 
 
 def connection_summary(sessions: DataFrame, as_of: datetime) -> DataFrame:
-    """Connections, distinct users and applications and longest time per state."""
-    oldest = F.min("query_start")
-    return sessions.groupBy("status").agg(
-        F.count("*").alias("connections"),
-        F.countDistinct("login_name").alias("unique_users"),
-        F.countDistinct("program_name").alias("unique_apps"),
-        (F.unix_timestamp(at(as_of)) - F.unix_timestamp(oldest)).alias("max_duration_s"),
-    )
+    """Connections, distinct users and applications and longest time per server, capture and state."""
+    return distinct_connections_exact(sessions, as_of, ["server_name", "capture_time", "status"])
 
 
 def connections_by_origin(sessions: DataFrame, skip_program_like: str = "%(PZ%)") -> DataFrame:
-    """Sessions per user, program, machine and state; parallel workers are left out."""
+    """Sessions per capture of a server, user, program, machine and state; parallel workers are left out."""
     return (
         sessions.where(F.col("login_name").isNotNull() & not_like(F.col("program_name"), skip_program_like))
-        .groupBy("login_name", "program_name", "host_name", "status")
+        .groupBy("server_name", "capture_time", "login_name", "program_name", "host_name", "status")
         .agg(F.count("*").alias("session_count"), F.max("query_start").alias("last_start"))
     )
 
@@ -443,8 +438,8 @@ def connection_limit(sessions: DataFrame, max_connections: int) -> DataFrame:
 
 
 def wait_event_counts(sessions: DataFrame) -> DataFrame:
-    """Sessions per wait event type and event."""
-    return sessions.where(F.col("wait_type").isNotNull()).groupBy(F.col("status").alias("wait_event_type"), "wait_type").agg(
+    """Sessions per server, capture, wait event type and event."""
+    return sessions.where(F.col("wait_type").isNotNull()).groupBy("server_name", "capture_time", F.col("status").alias("wait_event_type"), "wait_type").agg(
         F.count("*").alias("wait_count")
     )
 
@@ -482,10 +477,10 @@ def lock_details(locks: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def archive_rate(logs: DataFrame, as_of: datetime, hours: int = 24) -> DataFrame:
-    """Archived files and MB per hour."""
+    """Archived files and MB per server and hour."""
     return (
         logs.where(F.col("first_time") > before(as_of, hours=hours))
-        .groupBy(trunc_ts("hour", F.col("first_time")).alias("hour"))
+        .groupBy("server_name", trunc_ts("hour", F.col("first_time")).alias("hour"))
         .agg(F.count("*").alias("archive_logs"), total(F.col("size_mb")).alias("size_mb"))
     )
 
@@ -574,7 +569,7 @@ def doc_summary(columns: DataFrame) -> DataFrame:
     """Column count per table."""
     return (
         columns.where(F.col("object_type") == "COLUMN")
-        .groupBy("database_name", F.concat_ws(".", "schema_name", "object_name").alias("table_name"))
+        .groupBy("server_name", "database_name", F.concat_ws(".", "schema_name", "object_name").alias("table_name"))
         .agg(F.count("*").alias("column_count"))
     )
 

@@ -209,7 +209,7 @@ def capture_status_variables(
 
 def capture_channels(raw: DataFrame, as_of: datetime) -> DataFrame:
     """Channel positions: states, seconds behind and events read, as of now."""
-    return raw.select("channel_name", "source_host", "io_state", "sql_state", "seconds_behind", "events_read", "last_error").withColumn(
+    return raw.select("server_name", "channel_name", "source_host", "io_state", "sql_state", "seconds_behind", "events_read", "last_error").withColumn(
         "recorded_at", at(as_of)
     )
 
@@ -286,8 +286,10 @@ LOG_EVENTS = [
 ]
 
 
-def parse_connection_log(lines: DataFrame, as_of: datetime | None = None, days_back: int | None = None) -> DataFrame:
-    """Connection events out of server log lines: (log_time, username, database, client, event type, pid)."""
+def parse_connection_log(
+    lines: DataFrame, as_of: datetime | None = None, days_back: int | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Connection events out of server log lines or records: (log_time, username, database, client, event type, pid), and the columns to ``keep``."""
     line = F.col("line")
     part = lambda i: F.nullif(F.regexp_extract(line, LOG_PREFIX, i), F.lit(""))
     event = first_match([(line.rlike(pattern), label) for pattern, label in LOG_EVENTS], None)
@@ -298,6 +300,7 @@ def parse_connection_log(lines: DataFrame, as_of: datetime | None = None, days_b
         F.nullif(F.regexp_extract(line, r"host=(\S+)", 1), F.lit("")).alias("client_addr"),
         event.alias("event_type"),
         part(2).try_cast("bigint").alias("process_id"),
+        *keep,
     )
     parsed = parsed.where(F.col("log_time").isNotNull() & F.col("event_type").isNotNull())
     if as_of is not None and days_back is not None:

@@ -558,15 +558,16 @@ def overlapping_indexes(index_columns: DataFrame, indexes: DataFrame, percent: i
 def missing_indexes(
     details: DataFrame, groups: DataFrame, stats: DataFrame, min_impact: int = 10, min_seeks: int = 50, n: int | None = None
 ) -> DataFrame:
-    """Index candidates with expected improvement, name and statement, best first when cut to n."""
+    """Index candidates with expected improvement, name and statement, best first when cut to n. Handles count within a server."""
     bare = lambda c: F.regexp_replace(c, r"[\[\]]", "")
     extra = F.coalesce(F.concat(F.lit(", "), F.col("inequality_columns")), F.lit(""))
     include = F.coalesce(F.concat(F.lit(" INCLUDE ("), F.col("included_columns"), F.lit(")")), F.lit(""))
     useful = stats.where((F.col("avg_user_impact") > min_impact) & (F.col("user_seeks") > min_seeks))
     found = (
-        useful.join(groups, "group_handle")
-        .join(details, "index_handle")
+        useful.join(groups, ["server_name", "group_handle"])
+        .join(details, ["server_name", "index_handle"])
         .select(
+            "server_name",
             "index_handle",
             "database_name",
             "schema_name",
@@ -583,7 +584,7 @@ def missing_indexes(
             ).alias("create_statement"),
         )
     )
-    return found if n is None else found.orderBy(F.desc("improvement"), "index_handle").limit(n)
+    return found if n is None else found.orderBy(F.desc("improvement"), "server_name", "index_handle").limit(n)
 
 
 def unused_index_script(indexes: DataFrame, as_of: datetime, days: int = 30, min_kb: int = 1000) -> DataFrame:
@@ -598,14 +599,13 @@ def unused_index_script(indexes: DataFrame, as_of: datetime, days: int = 30, min
         & (F.col("last_used") < before(as_of, days=days))
         & (size_kb >= min_kb)
     ).select(
-        "database_name",
-        "table_name",
+        *TABLE,
         "index_name",
         size_kb.alias("size_kb"),
         (F.col("user_seeks") + F.col("user_scans")).alias("total_reads"),
         F.concat(
-            F.lit("USE ["), F.col("database_name"), F.lit("]; DROP INDEX ["), F.col("index_name"), F.lit("] ON [dbo].["),
-            F.col("table_name"), F.lit("];"),
+            F.lit("USE ["), F.col("database_name"), F.lit("]; DROP INDEX ["), F.col("index_name"), F.lit("] ON ["),
+            F.col("schema_name"), F.lit("].["), F.col("table_name"), F.lit("];"),
         ).alias("drop_statement"),
     )
 
@@ -684,16 +684,18 @@ def compare_servers(source: DataFrame, target: DataFrame, keys: list[str]) -> Da
 
 
 def role_members(links: DataFrame, roles: DataFrame, principals: DataFrame) -> DataFrame:
-    """Role and member names through the bridge table, with the assignment statement."""
+    """Role and member names of each server through its bridge table, with the assignment statement."""
     members = principals.select(
+        "server_name",
         F.col("principal_id").alias("member_id"),
         F.col("login_name").alias("member_name"),
         F.when(F.col("login_type") == "SQL_LOGIN", "User").otherwise("Group").alias("member_type"),
     )
     return (
-        links.join(roles, "role_id")
-        .join(members, "member_id")
+        links.join(roles, ["server_name", "role_id"])
+        .join(members, ["server_name", "member_id"])
         .select(
+            "server_name",
             "role_name",
             "member_name",
             "member_type",
@@ -705,14 +707,14 @@ def role_members(links: DataFrame, roles: DataFrame, principals: DataFrame) -> D
 
 
 def permissions(grants: DataFrame, principals: DataFrame, class_id: int = 100) -> DataFrame:
-    """Server-level permissions with the names of both sides."""
-    grantee = principals.select(F.col("principal_id").alias("grantee_id"), F.col("login_name").alias("grantee_name"))
-    grantor = principals.select(F.col("principal_id").alias("grantor_id"), F.col("login_name").alias("grantor_name"))
+    """Server-level permissions with the names of both sides; ids count within a server."""
+    grantee = principals.select("server_name", F.col("principal_id").alias("grantee_id"), F.col("login_name").alias("grantee_name"))
+    grantor = principals.select("server_name", F.col("principal_id").alias("grantor_id"), F.col("login_name").alias("grantor_name"))
     return (
         grants.where(F.col("class_id") == class_id)
-        .join(grantee, "grantee_id")
-        .join(grantor, "grantor_id")
-        .select("grant_id", "grantee_name", "grantor_name", "permission_name", "state_desc", F.lit("SERVER").alias("object_type"))
+        .join(grantee, ["server_name", "grantee_id"])
+        .join(grantor, ["server_name", "grantor_id"])
+        .select("server_name", "grant_id", "grantee_name", "grantor_name", "permission_name", "state_desc", F.lit("SERVER").alias("object_type"))
     )
 
 
@@ -735,8 +737,9 @@ def failover_pairs(replicas: DataFrame) -> DataFrame:
 
 
 def replication_channels(config: DataFrame, connection: DataFrame, applier: DataFrame) -> DataFrame:
-    """Channel state, lag and error counts from the three status tables."""
-    return config.join(connection, "channel_name").join(applier, "channel_name")
+    """Channel state, lag and error counts from the three status tables; a channel's name counts on its server."""
+    channel = ["server_name", "channel_name"]
+    return config.join(connection, channel).join(applier, channel)
 
 
 def events_vs_names(events: DataFrame, names: DataFrame, min_waits: int = 100, n: int = 20) -> DataFrame:
@@ -763,7 +766,7 @@ def column_dictionary(
     columns: DataFrame, types: DataFrame, primary_keys: DataFrame, foreign_keys: DataFrame, identities: DataFrame, defaults: DataFrame
 ) -> DataFrame:
     """Column rows with type text, key flags and default."""
-    key = ["database_name", "column_id"]
+    key = ["server_name", "database_name", "column_id"]
     flag = lambda df, name: df.select(*key).distinct().withColumn(name, F.lit(1))
     on = lambda name: F.coalesce(F.col(name), F.lit(0)).alias(name)
     return (
@@ -773,6 +776,7 @@ def column_dictionary(
         .join(flag(identities, "is_identity"), key, "left")
         .join(defaults.select(*key, "default_value"), key, "left")
         .select(
+            "server_name",
             "database_name",
             "schema_name",
             "object_name",

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fleetspan.functions.expr import before, format_bytes, ratio, total
 from fleetspan.operators.grouping import join_groups, latest_snapshot
-from fleetspan.operators.rows import wait_category
+from fleetspan.operators.rows import TABLE, wait_category
 
 
 def _top(df: DataFrame, order: Sequence[Column], n: int | None) -> DataFrame:
@@ -106,10 +106,9 @@ def largest_tables(tables: DataFrame, n: int | None = 20, min_mb: float | None =
     both = F.col("table_bytes") + F.col("index_bytes")
     mb = lambda c: F.round(c.cast("double") / 1024 / 1024, 2)
     sized = tables if min_mb is None else tables.where(both.cast("double") / 1024 / 1024 > min_mb)
-    picked = _top(sized.withColumn("total_bytes", both), [F.desc("total_bytes"), F.asc("schema_name"), F.asc("table_name")], n)
+    picked = _top(sized.withColumn("total_bytes", both), [F.desc("total_bytes"), *[F.asc(c) for c in TABLE]], n)
     return picked.select(
-        "schema_name",
-        "table_name",
+        *TABLE,
         mb(F.col("table_bytes")).alias("data_mb"),
         mb(F.col("index_bytes")).alias("index_mb"),
         mb(F.col("total_bytes")).alias("total_mb"),
@@ -118,9 +117,9 @@ def largest_tables(tables: DataFrame, n: int | None = 20, min_mb: float | None =
 
 
 def largest_databases(sizes: DataFrame, n: int = 10) -> DataFrame:
-    """Sizes at the newest capture, largest first, with readable text."""
+    """Newest size of every database, largest first, with readable text."""
     return (
-        latest_snapshot(sizes, by=())
+        latest_snapshot(sizes, by=["server_name", "database_name"])
         .orderBy(F.desc("total_mb"), "server_name", "database_name")
         .limit(n)
         .select("server_name", "database_name", "total_mb", format_bytes(F.col("total_mb") * 1024 * 1024).alias("size_text"))

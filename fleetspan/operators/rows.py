@@ -136,6 +136,7 @@ def invalid_objects(
     return objects.where(
         (F.col("status") != "VALID") & F.col("object_type").isin(list(types)) & not_in(F.col("owner"), skip_owners)
     ).select(
+        *DATABASE,
         "owner",
         "object_type",
         "object_name",

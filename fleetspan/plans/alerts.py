@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspan.functions import rules
-from fleetspan.functions.expr import at, before, boundary_diff, fill_template, seconds_between
+from fleetspan.functions.expr import at, before, boundary_diff, fill_template, seconds_between, total, truncated_div
 from fleetspan.operators import aggregates, joins
 from fleetspan.operators.grouping import latest_snapshot
 
@@ -21,17 +21,32 @@ def alert_configuration(spark: SparkSession) -> DataFrame:
     return fixed.withColumn("is_enabled", F.lit(1))
 
 
-def _check(df: DataFrame, name: str, value: Column, message: Column) -> DataFrame:
-    return df.select(F.lit(name).alias("alert_name"), value.cast("bigint").alias("current_value"), message.alias("detail"))
+def _check(df: DataFrame, name: str, value: Column, message: Column, *args: Column) -> DataFrame:
+    """``args`` fill the configured message; by default it is filled with the value and the threshold."""
+    given = [*args, None, None][:2]
+    return df.select(
+        F.lit(name).alias("alert_name"), value.cast("bigint").alias("current_value"), message.alias("detail"),
+        *[(F.lit(None) if a is None else a).cast("string").alias(f"arg{i}") for i, a in enumerate(given)],
+    )
+
 
+def _worst(df: DataFrame, value: Column, name: Column) -> DataFrame:
+    """The largest value with its name, as one row; ties by name. None if nothing has a value."""
+    found = df.select(value.cast("bigint").alias("n"), name.alias("name")).where("n IS NOT NULL")
+    return found.agg(F.max(F.struct("n", "name")).alias("w")).select("w.n", "w.name")
 
-def run_checks(sessions: DataFrame, audit: DataFrame, backups: DataFrame, jobs: DataFrame, as_of: datetime) -> DataFrame:
-    """(alert_name, current_value, detail), one row per check.
 
-    Sessions count as of the newest capture of their server. The backup check takes the newest full
-    backup of every database of every server first and then reports the one waiting longest.
+def run_checks(
+    sessions: DataFrame, audit: DataFrame, backups: DataFrame, jobs: DataFrame, waits: DataFrame, errors: DataFrame, files: DataFrame, as_of: datetime
+) -> DataFrame:
+    """(alert_name, current_value, detail, arg0, arg1), one row for each of the configured alerts.
+
+    Sessions and waits count as of the newest capture of their server. The backup checks take the newest
+    backup of every database of every server first and then report the one waiting longest. Waits
+    are judged by their mean per waiting task, disks by the share of a tablespace that is used, and the error
+    log (``errors``: classified rows) by the errors of the last hour.
     """
-    sessions = latest_snapshot(sessions)
+    sessions, waits = latest_snapshot(sessions), latest_snapshot(waits)
     now = at(as_of)
     n = F.col("n")
     text = n.cast("string")
@@ -43,31 +58,35 @@ def run_checks(sessions: DataFrame, audit: DataFrame, backups: DataFrame, jobs:
     failures = audit.where(
         (F.col("event_type") == "FAILED_LOGIN") & (F.col("login_time") > before(as_of, hours=1))
     ).agg(F.count("*").alias("n"))
-    newest = (
-        backups.where(F.col("backup_type") == "D")
-        .groupBy("server_name", "database_name")
-        .agg(F.max("backup_finish").alias("last_finish"))
-    )
-    overdue = newest.withColumn("hours", boundary_diff("hour", F.col("last_finish"), now)).agg(
-        F.max(F.struct("hours", F.concat_ws("/", "server_name", "database_name").alias("name"))).alias("worst")
+    newest = backups.groupBy("server_name", "database_name", "backup_type").agg(F.max("backup_finish").alias("last_finish"))
+    waited = boundary_diff("hour", F.col("last_finish"), now)
+    overdue = lambda kind: _worst(newest.where(F.col("backup_type") == kind), waited, F.concat_ws("/", "server_name", "database_name"))
+    per_task = truncated_div(F.col("wait_time_ms"), F.col("waiting_tasks"))
+    wait_name = F.concat_ws(": ", "server_name", "wait_type")
+    slowest = _worst(waits, per_task, wait_name)
+    latch = _worst(waits.where(F.col("wait_type").like("PAGELATCH%")), per_task, wait_name)
+    logged = errors.where((F.col("severity") >= 16) & (F.col("log_date") > before(as_of, hours=1))).agg(F.count("*").alias("n"))
+    spaces = files.groupBy("server_name", "tablespace_name").agg(total(F.col("used_mb")).alias("used"), total(F.col("size_mb")).alias("size"))
+    fullest = _worst(
+        spaces, F.floor(F.col("used").cast("double") * 100 / F.nullif(F.col("size"), F.lit(0))), F.concat_ws("/", "server_name", "tablespace_name")
     )
     failed_jobs = jobs.where(
         (F.col("run_status") == 0) & (F.col("run_time") >= F.to_date(before(as_of, days=1)).cast("timestamp_ntz"))
     ).agg(F.count("*").alias("n"))
 
+    name = F.col("name")
+    late = lambda what: F.concat(F.lit("Database "), name, F.lit(": "), text, F.lit(f" hours since {what}"))
+    waiting = F.concat(name, F.lit(" waits "), text, F.lit(" ms on average"))
     parts = [
         _check(running, "Long Running Query", n, F.concat(F.lit("Query running for "), text, F.lit(" seconds"))),
         _check(blocked, "Blocking Chain", n, F.concat(text, F.lit(" sessions in blocking chain"))),
         _check(failures, "Failed Logins", n, F.concat(text, F.lit(" failed logins in last hour"))),
-        _check(
-            overdue,
-            "Database Full Backup Overdue",
-            F.col("worst.hours"),
-            F.concat(
-                F.lit("Database "), F.col("worst.name"), F.lit(": "), F.col("worst.hours").cast("string"),
-                F.lit(" hours since backup"),
-            ),
-        ),
+        _check(overdue("D"), "Database Full Backup Overdue", n, late("backup")),
+        _check(overdue("L"), "Log Backup Overdue", n, late("log backup")),
+        _check(slowest, "High Wait Time", n, waiting, F.substring_index("name", ": ", -1)),
+        _check(logged, "Error Log Error", n, F.concat(text, F.lit(" errors in last hour"))),
+        _check(fullest, "Disk Space Low", n, F.concat(name, F.lit(" is "), text, F.lit("% full")), name, text),
+        _check(latch, "TempDB Contention", n, waiting, F.substring_index("name", ": ", -1)),
         _check(failed_jobs, "Job Failed", n, F.lit("Recent job failures detected")),
     ]
     merged = parts[0]
@@ -87,7 +106,11 @@ def check_alerts(config: DataFrame, checks: DataFrame) -> DataFrame:
             "current_value",
             "threshold_value",
             "detail",
-            fill_template(F.col("message_template"), F.col("current_value").cast("string")).alias("notification"),
+            fill_template(
+                F.col("message_template"),
+                F.coalesce("arg0", F.col("current_value").cast("string")),
+                F.coalesce("arg1", F.col("threshold_value").cast("string")),
+            ).alias("notification"),
         )
     )
 

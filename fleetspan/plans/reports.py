@@ -77,8 +77,8 @@ def health_report(t: FleetTelemetry, as_of: datetime, hours: int = 24) -> DataFr
     """Health check of the whole fleet now. Listings keep their report length; summaries keep every row.
 
     Sessions, locks, counters and replicas count as of their newest capture, waits and statements
-    over the last ``hours``. An input that several sections need is read once: its newest or recent rows,
-    or its totals, are written to the shared folder and the sections read those. ``row_no`` ranks the rows of a
+    over the last ``hours``. Where several sections need the newest or recent rows of a history, or its
+    totals, those are written to the shared folder and the sections read them; catalogs are not copied. ``row_no`` ranks the rows of a
     listing and is 0 elsewhere.
     """
     ensure_checkpoint_dir(t.sessions.sparkSession)
@@ -103,9 +103,7 @@ def health_report(t: FleetTelemetry, as_of: datetime, hours: int = 24) -> DataFr
     recent = lambda df: df.where(c("capture_time") >= before(as_of, hours=hours))
     sessions = latest_snapshot(t.sessions).checkpoint()
     statements = recent(t.query_stats).checkpoint()
-    tables = t.tables.checkpoint()
-    indexes = t.indexes.checkpoint()
-    databases = t.databases.checkpoint()
+    tables, indexes, databases = t.tables, t.indexes, t.databases
     backups = (
         t.backups.groupBy("server_name", "database_name", "backup_type")
         .agg(
@@ -136,7 +134,7 @@ def health_report(t: FleetTelemetry, as_of: datetime, hours: int = 24) -> DataFr
     parts = [
         *[summary(df, 1, "OVERVIEW", c("name"), "count", c("n"), none) for df in overview],
         summary(
-            rows.databases_not_online(databases), 2, "DATABASE STATUS", c("database_name"), "recovery_model",
+            rows.databases_not_online(databases), 2, "DATABASE STATUS", _path("server_name", "database_name"), "recovery_model",
             c("recovery_model"), c("state_desc"),
         ),
         summary(
@@ -167,60 +165,60 @@ def health_report(t: FleetTelemetry, as_of: datetime, hours: int = 24) -> DataFr
         ),
         listing(
             rows.job_runs(t.jobs, as_of, whole_job_only=True), [F.desc("run_time"), F.desc("run_id")], 10,
-            10, "JOB RUNS", c("job_name"), "run_id", c("run_id"), c("status"),
+            10, "JOB RUNS", _path("server_name", "job_name"), "run_id", c("run_id"), c("status"),
         ),
         listing(
             errors, [F.desc("log_date"), F.desc("severity"), F.asc("log_id")], 20,
             11, "RECENT ERRORS", c("log_id"), "severity", c("severity"), c("priority"),
         ),
         summary(
-            aggregates.connection_summary(sessions, as_of), 12, "CONNECTIONS", c("status"), "connections", c("connections"), none
+            aggregates.connection_summary(sessions, as_of), 12, "CONNECTIONS", _path("server_name", "status"), "connections", c("connections"), none
         ),
         listing(
             lag, [F.desc("lag_bytes"), F.asc("capture_time"), F.asc("server_name"), F.asc("replica_name")], 10,
-            13, "REPLICATION LAG", c("replica_name"), "lag_bytes", c("lag_bytes"), c("status"),
+            13, "REPLICATION LAG", _path("server_name", "ag_name", "replica_name"), "lag_bytes", c("lag_bytes"), c("status"),
         ),
         listing(
-            rankings.largest_tables(tables, n=20), [F.desc("total_mb"), F.asc("schema_name"), F.asc("table_name")], 20,
-            14, "LARGEST TABLES", c("table_name"), "table_rows", c("table_rows"), none,
+            rankings.largest_tables(tables, n=20), [F.desc("total_mb"), *_in_order(joins.TABLE)], 20,
+            14, "LARGEST TABLES", _path(*joins.TABLE), "table_rows", c("table_rows"), none,
         ),
         summary(
-            rows.invalid_objects(t.objects), 15, "INVALID OBJECTS", c("object_name"), "object_type", c("object_type"), c("status")
+            rows.invalid_objects(t.objects), 15, "INVALID OBJECTS", _path("server_name", "database_name", "owner", "object_name"), "object_type", c("object_type"), c("status")
         ),
         summary(
-            rows.long_running(sessions, as_of, seconds=300), 16, "LONG RUNNING QUERIES", c("session_id"), "duration_s",
+            rows.long_running(sessions, as_of, seconds=300), 16, "LONG RUNNING QUERIES", _path("server_name", "session_id"), "duration_s",
             c("duration_s"), c("status"),
         ),
         listing(
-            t.missing, [F.desc("improvement"), F.asc("index_handle")], 10,
-            17, "MISSING INDEXES", c("index_handle"), "user_seeks", c("user_seeks"), none,
+            t.missing, [F.desc("improvement"), F.asc("server_name"), F.asc("index_handle")], 10,
+            17, "MISSING INDEXES", _path("server_name", "index_handle"), "user_seeks", c("user_seeks"), none,
         ),
-        summary(t.files, 18, "FILE USAGE", c("file_name"), "used_mb", c("used_mb"), c("file_type")),
+        summary(t.files, 18, "FILE USAGE", _path("server_name", "database_name", "file_name"), "used_mb", c("used_mb"), c("file_type")),
         summary(rows.redo_log_groups(t.redo), 19, "REDO LOG", c("group_no"), "members", c("members"), c("status")),
         summary(
-            aggregates.archive_rate(t.archive, as_of), 20, "ARCHIVE LOGS", F.date_format("hour", "yyyy-MM-dd HH"), "archive_logs",
+            aggregates.archive_rate(t.archive, as_of), 20, "ARCHIVE LOGS", F.concat_ws("/", "server_name", F.date_format("hour", "yyyy-MM-dd HH")), "archive_logs",
             c("archive_logs"), none,
         ),
         summary(_stacked(totals, ["full_backups", "incr_backups"]), 21, "BACKUP TOTALS", c("name"), "count", c("n"), none),
         listing(
             rankings.top_queries(statements, "logical_reads", 10, min_calls=10), _heaviest("logical_reads"), 10,
-            22, "TOP SQL BY READS", c("query_hash"), "logical_reads", c("logical_reads"), none,
+            22, "TOP SQL BY READS", _path("server_name", "database_name", "query_hash"), "logical_reads", c("logical_reads"), none,
         ),
         listing(
             rankings.top_queries(statements, "total_elapsed_ms", 20), _heaviest("total_elapsed_ms"), 20,
-            23, "SLOW QUERIES", c("query_hash"), "total_elapsed_ms", c("total_elapsed_ms"), none,
+            23, "SLOW QUERIES", _path("server_name", "database_name", "query_hash"), "total_elapsed_ms", c("total_elapsed_ms"), none,
         ),
         summary(
-            aggregates.wait_event_counts(sessions), 24, "WAIT EVENTS", F.concat_ws(":", "wait_event_type", "wait_type"),
+            aggregates.wait_event_counts(sessions), 24, "WAIT EVENTS", F.concat_ws("/", "server_name", F.concat_ws(":", "wait_event_type", "wait_type")),
             "wait_count", c("wait_count"), none,
         ),
         listing(
-            rows.table_bloat(tables), [F.desc("n_dead"), F.asc("schema_name"), F.asc("table_name")], 20,
-            25, "TABLE BLOAT", c("table_name"), "n_dead", c("n_dead"), c("status"),
+            rows.table_bloat(tables), [F.desc("n_dead"), *_in_order(joins.TABLE)], 20,
+            25, "TABLE BLOAT", _path(*joins.TABLE), "n_dead", c("n_dead"), c("status"),
         ),
         listing(
-            rows.cache_hit_ratio(tables, n=10), [F.asc_nulls_last("cache_hit_ratio"), F.asc("schema_name"), F.asc("table_name")], 10,
-            26, "CACHE HIT RATIO", c("table_name"), "blks_read", c("blks_read"), none,
+            rows.cache_hit_ratio(tables, n=10), [F.asc_nulls_last("cache_hit_ratio"), *_in_order(joins.TABLE)], 10,
+            26, "CACHE HIT RATIO", _path(*joins.TABLE), "blks_read", c("blks_read"), none,
         ),
         summary(
             aggregates.storage_by_schema(tables), 27, "STORAGE BY SCHEMA", _path("server_name", "database_name", "schema_name"), "table_count", c("table_count"), none
@@ -229,9 +227,9 @@ def health_report(t: FleetTelemetry, as_of: datetime, hours: int = 24) -> DataFr
             aggregates.lock_summary(latest_snapshot(t.locks)),
             [F.desc("lock_count"), F.asc("server_name"), F.asc_nulls_first("relation_id"), F.asc("locktype"), F.asc("lock_mode"), F.asc("lock_status")],
             20,
-            28, "TABLE LOCKS", F.coalesce(c("relation_id").cast("string"), F.lit("-")), "lock_count", c("lock_count"), c("lock_status"),
+            28, "TABLE LOCKS", F.concat_ws("/", "server_name", F.coalesce(c("relation_id").cast("string"), F.lit("-"))), "lock_count", c("lock_count"), c("lock_status"),
         ),
-        summary(t.channels, 29, "REPLICATION CHANNELS", c("channel_name"), "seconds_behind", c("seconds_behind"), c("io_state")),
+        summary(t.channels, 29, "REPLICATION CHANNELS", _path("server_name", "channel_name"), "seconds_behind", c("seconds_behind"), c("io_state")),
         summary(
             rankings.latest_snapshot(t.counters), 30, "COUNTERS", F.concat_ws("/", "server_name", "counter_name"), "counter_value",
             c("counter_value"), none,
@@ -240,6 +238,10 @@ def health_report(t: FleetTelemetry, as_of: datetime, hours: int = 24) -> DataFr
     return union_sections(parts)
 
 
+def _in_order(names: list[str]) -> list[Column]:
+    return [F.asc(n) for n in names]
+
+
 def _path(*names: str) -> Column:
     return F.concat_ws("/", *names)
 
@@ -313,7 +315,7 @@ def weekly_lines(t: FleetTelemetry, as_of: datetime) -> DataFrame:
         .orderBy(F.desc("ms"), "wait_type")
         .limit(10)
     )
-    sizes = rankings.latest_snapshot(t.sizes, by=())
+    sizes = latest_snapshot(t.sizes, ["server_name", "database_name"])
     failures = (
         t.audit.where((c("event_type") == "FAILED_LOGIN") & (c("login_time") >= before(as_of, days=7)))
         .groupBy("login_name")
@@ -329,7 +331,7 @@ def weekly_lines(t: FleetTelemetry, as_of: datetime) -> DataFrame:
                 F.concat(F.lit("Count: "), c("n").cast("string"), F.lit(", Total: "), c("ms").cast("string"), F.lit("ms")),
             ),
             *lines(
-                3, "DATABASE SIZES", sizes, c("database_name"),
+                3, "DATABASE SIZES", sizes, _path("server_name", "database_name"),
                 F.concat(F.format_string("%.2f", F.round(c("total_mb") / 1024, 2)), F.lit(" GB")),
             ),
             *lines(

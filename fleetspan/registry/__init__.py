@@ -31,9 +31,9 @@ def with_views(body: str) -> str:
     names = list(dict.fromkeys(_VIEW_NAME.findall(body)))
     ctes = [f"{n} AS ({_INPUT.sub(lambda m: m.group(1), VIEWS[n]).strip()})" for n in names]
     body = body.strip()
-    if body.upper().startswith("WITH "):
-        ctes.append(body[5:])
-        return "WITH " + ",\n".join(ctes)
+    for head in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(head):
+            return head + ",\n".join([*ctes, body[len(head) :]])
     return ("WITH " + ",\n".join(ctes) + "\n" + body) if ctes else body
 
 

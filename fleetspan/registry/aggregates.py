@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from fleetspan.functions.rules import BASELINE_COUNTERS
 from fleetspan.operators import aggregates as agg
-from fleetspan.operators import joins
+from fleetspan.operators import joins, partials
 from fleetspan.registry import Entry, with_views
 from fleetspan.registry.joins import SQL_DUPLICATES, TBL, same_table
 from fleetspan.registry.rows import NOW, SQL_WAIT_CATEGORY, classified, names, sql_classified
+from fleetspan.session import scratch_path
+from fleetspan.sources.versioned import VersionedTable
 from fleetspan.sources.views import AS_OF
 
 KPI_AS_OF = datetime(2001, 7, 20, 12)
@@ -60,6 +62,33 @@ def sales(t):
     return orders, lines, products
 
 
+def _days_of(t, history, series, value):
+    """Day states as they are kept: stored once, then the days of the newest rows built again as if those had come late."""
+    table = VersionedTable(t.spark, scratch_path(t.spark, "day-states"))
+    late = F.col("capture_time") >= F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    partials.store_days(table, partials.day_states(history.where(~late), series, value))
+    partials.patch_days(table, history, history.where(late), series, value)
+    return table.read()
+
+
+def _baseline_from_days(t):
+    measures = partials.baseline_measures(t.wait_stats_history, t.perf_counters, t.query_stats_snapshot)
+    return partials.baseline_from_states(_days_of(t, measures, partials.BASELINE_SERIES, "measure"), measures, AS_OF)
+
+
+def _growth_from_days(t):
+    return partials.growth_from_states(_days_of(t, t.database_size_history, partials.DATABASE, "total_mb"), t.database_size_history, AS_OF)
+
+
+def _sketched(t):
+    """Sketch states per capture, merged, next to the exact counts: whether they lie within four standard errors."""
+    by = ["server_name", "status"]
+    exact = partials.distinct_connections_exact(t.session_requests, AS_OF).select(*by, F.col("unique_users").alias("users"), F.col("unique_apps").alias("apps"))
+    merged = partials.distinct_connections(partials.connection_states(t.session_requests, AS_OF))
+    close = lambda n: F.abs(F.col(f"unique_{n}") - F.col(n)) <= F.greatest(F.lit(0.0), F.ceil(F.col(n) * 4 * 1.04 / 64))
+    return merged.join(exact, by).select(*by, "connections", "max_duration_s", close("users").alias("users_close"), close("apps").alias("apps_close"))
+
+
 SQL_BASELINE = f"""base AS (
         SELECT server_name, 'Wait_' || wait_type AS metric_name, CAST(round(CAST(avg(wait_time_ms) AS DECIMAL(38, 10)), 4) AS DOUBLE) AS metric_value FROM wait_stats_history
         WHERE capture_time >= {NOW} - INTERVAL '30' DAY GROUP BY 1, 2
@@ -192,18 +221,18 @@ ENTRIES = {
         FROM database_size_history GROUP BY 1, 2, 3"""),
     ),
     "a08_growth_summary": Entry(
-        lambda t: agg.growth_summary(t.database_size_history, AS_OF, by="server_name", value="total_mb"),
+        lambda t: agg.growth_summary(t.database_size_history, AS_OF, by=["server_name"], value="total_mb"),
         with_views(f"""WITH s AS (SELECT server_name, capture_time, CAST(sum(total_mb) AS BIGINT) AS size_mb FROM database_size_history
             WHERE capture_time >= {NOW} - INTERVAL '7' DAY GROUP BY 1, 2)
         SELECT server_name, min(capture_time) AS first_sample, max(capture_time) AS last_sample, min(size_mb) AS min_mb, max(size_mb) AS max_mb,
                max(size_mb) - min(size_mb) AS growth_mb, avg(size_mb) AS avg_mb FROM s GROUP BY 1"""),
     ),
     "a08_growth_by_database": Entry(
-        lambda t: agg.growth_summary(t.database_size_history, AS_OF, by="database_name", value="used_mb", days=14),
-        with_views(f"""WITH s AS (SELECT database_name, capture_time, CAST(sum(used_mb) AS BIGINT) AS size_mb FROM database_size_history
-            WHERE capture_time >= {NOW} - INTERVAL '14' DAY GROUP BY 1, 2)
-        SELECT database_name, min(capture_time) AS first_sample, max(capture_time) AS last_sample, min(size_mb) AS min_mb, max(size_mb) AS max_mb,
-               max(size_mb) - min(size_mb) AS growth_mb, avg(size_mb) AS avg_mb FROM s GROUP BY 1"""),
+        lambda t: agg.growth_summary(t.database_size_history, AS_OF, by=["server_name", "database_name"], value="used_mb", days=14),
+        with_views(f"""WITH s AS (SELECT server_name, database_name, capture_time, CAST(sum(used_mb) AS BIGINT) AS size_mb FROM database_size_history
+            WHERE capture_time >= {NOW} - INTERVAL '14' DAY GROUP BY 1, 2, 3)
+        SELECT server_name, database_name, min(capture_time) AS first_sample, max(capture_time) AS last_sample, min(size_mb) AS min_mb, max(size_mb) AS max_mb,
+               max(size_mb) - min(size_mb) AS growth_mb, avg(size_mb) AS avg_mb FROM s GROUP BY 1, 2"""),
     ),
     "a09_growth_projection": Entry(
         lambda t: agg.growth_projection(t.database_size_history, AS_OF, limits=limits(t)),
@@ -218,6 +247,28 @@ ENTRIES = {
                     ELSE printf('%.2f', CAST(round(CAST(daily_growth_mb AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' MB/day' END AS growth_text
         FROM d LEFT JOIN m ON d.database_name = m.database_name AND d.server_name = m.server_name"""),
     ),
+    "a09_growth_from_days": Entry(
+        _growth_from_days,
+        with_views(f"""WITH {sql_growth()}
+        SELECT server_name, database_name, current_mb, daily_growth_mb, days_to_double, DATE '2024-01-31' + CAST(days_to_double AS INT) AS projected_date,
+               CASE WHEN days_between >= 30 THEN 'HIGH' WHEN days_between >= 14 THEN 'MEDIUM' ELSE 'LOW' END AS confidence, {SQL_EXHAUST_BAND} AS status,
+               CASE WHEN daily_growth_mb > 1024 THEN printf('%.2f', CAST(round(CAST(daily_growth_mb / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB/day'
+                    ELSE printf('%.2f', CAST(round(CAST(daily_growth_mb AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' MB/day' END AS growth_text FROM d"""),
+    ),
+    "a08_growth_from_days": Entry(
+        lambda t: partials.growth_summary_from_states(_days_of(t, partials.group_samples(t.database_size_history, ["server_name"], "total_mb"), ["server_name"], "size_mb"),
+            partials.group_samples(t.database_size_history, ["server_name"], "total_mb"), AS_OF, ["server_name"]).withColumn("avg_mb", F.round("avg_mb", 4)),
+        with_views(f"""WITH s AS (SELECT server_name, capture_time, CAST(sum(total_mb) AS BIGINT) AS size_mb FROM database_size_history
+            WHERE capture_time >= {NOW} - INTERVAL '7' DAY GROUP BY 1, 2)
+        SELECT server_name, min(capture_time) AS first_sample, max(capture_time) AS last_sample, min(size_mb) AS min_mb, max(size_mb) AS max_mb,
+               max(size_mb) - min(size_mb) AS growth_mb, CAST(round(CAST(avg(size_mb) AS DECIMAL(38, 10)), 4) AS DOUBLE) AS avg_mb FROM s GROUP BY 1"""),
+    ),
+    "a07_size_trend_from_days": Entry(
+        lambda t: partials.size_trend_from_states(_days_of(t, t.database_size_history, partials.DATABASE, "total_mb")),
+        with_views("""
+        SELECT server_name, database_name, CAST(capture_time AS DATE) AS snapshot_date, avg(total_mb) AS avg_size_mb, min(total_mb) AS min_size_mb, max(total_mb) AS max_size_mb
+        FROM database_size_history GROUP BY 1, 2, 3"""),
+    ),
     "a10_days_to_double": Entry(
         lambda t: agg.days_to_double(t.database_size_history, AS_OF),
         with_views(f"""WITH g AS (SELECT server_name, database_name, max(total_mb) AS current_size_mb, max(total_mb) - min(total_mb) AS growth_mb,
@@ -262,6 +313,18 @@ ENTRIES = {
         with_views(f"""WITH {SQL_BASELINE} SELECT *, CASE WHEN metric_name LIKE 'Wait%' THEN 'wait' WHEN metric_name LIKE 'Query%' THEN 'query' ELSE 'counter' END AS metric_source,
                'AVG' AS metric_type, DATE '2024-01-31' AS baseline_date FROM base"""),
     ),
+    "a13_baseline_from_days": Entry(
+        _baseline_from_days,
+        with_views(f"""WITH {SQL_BASELINE} SELECT *, CASE WHEN metric_name LIKE 'Wait%' THEN 'wait' WHEN metric_name LIKE 'Query%' THEN 'query' ELSE 'counter' END AS metric_source,
+               'AVG' AS metric_type, DATE '2024-01-31' AS baseline_date FROM base"""),
+    ),
+    "a14_variance_from_days": Entry(
+        lambda t: agg.baseline_variance(t.wait_stats_history, _baseline_from_days(t), AS_OF),
+        with_views(f"""WITH {SQL_VARIANCE}
+        SELECT *, CASE WHEN abs(variance_pct) > 50 THEN 1 ELSE 0 END AS alert_triggered,
+               CASE WHEN variance_pct > 50 THEN 'SIGNIFICANT INCREASE' WHEN variance_pct > 25 THEN 'INCREASE'
+                    WHEN variance_pct < -50 THEN 'SIGNIFICANT DECREASE' ELSE 'DECREASE' END AS status FROM var"""),
+    ),
     "a14_baseline_variance": Entry(
         lambda t: agg.baseline_variance(t.wait_stats_history, base(t), AS_OF),
         with_views(f"""WITH {SQL_VARIANCE}
@@ -343,15 +406,30 @@ ENTRIES = {
     "a18_connection_summary": Entry(
         lambda t: agg.connection_summary(t.session_requests, AS_OF),
         with_views(f"""
-        SELECT status, CAST(count(*) AS BIGINT) AS connections, CAST(count(DISTINCT login_name) AS BIGINT) AS unique_users,
+        SELECT server_name, capture_time, status, CAST(count(*) AS BIGINT) AS connections, CAST(count(DISTINCT login_name) AS BIGINT) AS unique_users,
+               CAST(count(DISTINCT program_name) AS BIGINT) AS unique_apps, CAST(date_diff('second', min(query_start), {NOW}) AS BIGINT) AS max_duration_s
+        FROM session_requests GROUP BY 1, 2, 3"""),
+    ),
+    "a18_distinct_connections": Entry(
+        lambda t: partials.distinct_connections_exact(t.session_requests, AS_OF),
+        with_views(f"""
+        SELECT server_name, status, CAST(count(*) AS BIGINT) AS connections, CAST(count(DISTINCT login_name) AS BIGINT) AS unique_users,
+               CAST(count(DISTINCT program_name) AS BIGINT) AS unique_apps, CAST(date_diff('second', min(query_start), {NOW}) AS BIGINT) AS max_duration_s
+        FROM session_requests GROUP BY 1, 2"""),
+    ),
+    "a18_distinct_sketches": Entry(
+        _sketched,
+        with_views(f"""WITH e AS (
+        SELECT server_name, status, CAST(count(*) AS BIGINT) AS connections, CAST(count(DISTINCT login_name) AS BIGINT) AS unique_users,
                CAST(count(DISTINCT program_name) AS BIGINT) AS unique_apps, CAST(date_diff('second', min(query_start), {NOW}) AS BIGINT) AS max_duration_s
-        FROM session_requests GROUP BY 1"""),
+        FROM session_requests GROUP BY 1, 2)
+        SELECT server_name, status, connections, max_duration_s, true AS users_close, true AS apps_close FROM e"""),
     ),
     "a18_connections_by_origin": Entry(
         lambda t: agg.connections_by_origin(t.session_requests, skip_program_like="app6%"),
         with_views("""
-        SELECT login_name, program_name, host_name, status, CAST(count(*) AS BIGINT) AS session_count, max(query_start) AS last_start
-        FROM session_requests WHERE program_name NOT LIKE 'app6%' GROUP BY 1, 2, 3, 4"""),
+        SELECT server_name, capture_time, login_name, program_name, host_name, status, CAST(count(*) AS BIGINT) AS session_count, max(query_start) AS last_start
+        FROM session_requests WHERE program_name NOT LIKE 'app6%' GROUP BY 1, 2, 3, 4, 5, 6"""),
     ),
     "a19_state_pivot": Entry(
         lambda t: agg.state_pivot(
@@ -383,7 +461,8 @@ ENTRIES = {
     "a21_wait_event_counts": Entry(
         lambda t: agg.wait_event_counts(t.session_requests),
         with_views("""
-        SELECT status AS wait_event_type, wait_type, CAST(count(*) AS BIGINT) AS wait_count FROM session_requests WHERE wait_type IS NOT NULL GROUP BY 1, 2"""),
+        SELECT server_name, capture_time, status AS wait_event_type, wait_type, CAST(count(*) AS BIGINT) AS wait_count
+        FROM session_requests WHERE wait_type IS NOT NULL GROUP BY 1, 2, 3, 4"""),
     ),
     "a22_lock_summary": Entry(
         lambda t: agg.lock_summary(t.lock_table),
@@ -409,13 +488,13 @@ ENTRIES = {
     "a23_archive_rate": Entry(
         lambda t: agg.archive_rate(
             t.backup_history.where(F.col("backup_type") == "L").select(
-                F.col("backup_start").alias("first_time"), F.col("backup_size_mb").alias("size_mb")
+                "server_name", F.col("backup_start").alias("first_time"), F.col("backup_size_mb").alias("size_mb")
             ),
             AS_OF,
         ),
         with_views(f"""
-        SELECT date_trunc('hour', backup_start) AS hour, CAST(count(*) AS BIGINT) AS archive_logs, CAST(sum(backup_size_mb) AS BIGINT) AS size_mb
-        FROM backup_history WHERE backup_type = 'L' AND backup_start > {NOW} - INTERVAL '24' HOUR GROUP BY 1"""),
+        SELECT server_name, date_trunc('hour', backup_start) AS hour, CAST(count(*) AS BIGINT) AS archive_logs, CAST(sum(backup_size_mb) AS BIGINT) AS size_mb
+        FROM backup_history WHERE backup_type = 'L' AND backup_start > {NOW} - INTERVAL '24' HOUR GROUP BY 1, 2"""),
     ),
     "a24_error_summary": Entry(
         lambda t: agg.error_summary(classified(t, 30)),
@@ -471,7 +550,7 @@ ENTRIES = {
     "a28_doc_summary": Entry(
         lambda t: agg.doc_summary(t.column_catalog),
         with_views("""
-        SELECT database_name, schema_name || '.' || object_name AS table_name, CAST(count(*) AS BIGINT) AS column_count FROM column_catalog GROUP BY 1, 2"""),
+        SELECT server_name, database_name, schema_name || '.' || object_name AS table_name, CAST(count(*) AS BIGINT) AS column_count FROM column_catalog GROUP BY 1, 2, 3"""),
     ),
     "a29_daily_sales": Entry(
         lambda t: agg.daily_sales(*sales(t)),

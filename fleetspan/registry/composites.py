@@ -25,14 +25,16 @@ def fleet(t) -> reports.FleetTelemetry:
         sizes=t.database_size_history, maintenance=t.index_maintenance_log, query_stats=t.query_stats_snapshot,
         missing=joins.missing_indexes(t.missing_index_details, t.missing_index_groups, t.missing_index_stats), redo=t.redo_log,
         archive=t.backup_history.where(F.col("backup_type") == "L").select(
-            F.col("backup_start").alias("first_time"), F.col("backup_size_mb").alias("size_mb")
+            "server_name", F.col("backup_start").alias("first_time"), F.col("backup_size_mb").alias("size_mb")
         ),
         locks=t.lock_table, channels=t.replication_channel, counters=t.perf_counters,
     )
 
 
 def checks(t):
-    return alerts.run_checks(t.session_requests, t.login_audit, t.backup_history, t.job_history, AS_OF)
+    return alerts.run_checks(
+        t.session_requests, t.login_audit, t.backup_history, t.job_history, t.wait_stats_history, classified(t, 1), t.file_space, AS_OF
+    )
 
 
 def triggered(t):
@@ -47,28 +49,44 @@ def _parsed_blocking(t):
 
 
 def documented(t):
-    return dictionary.documentation(t.column_catalog, t.object_catalog, AS_OF)
+    return dictionary.documentation(t.column_catalog, t.object_catalog, t.index_catalog, t.index_columns, AS_OF)
+
+
+def _sql_overdue(kind: str, label: str, text: str) -> str:
+    return f"""SELECT '{label}' AS alert_name, CAST(h AS BIGINT) AS v, 'Database ' || db || ': ' || h || ' hours since {text}' AS detail,
+            CAST(NULL AS VARCHAR) AS arg0, CAST(NULL AS VARCHAR) AS arg1
+        FROM (SELECT server_name || '/' || database_name AS db, date_diff('hour', max(backup_finish), {NOW}) AS h FROM backup_history
+              WHERE backup_type = '{kind}' GROUP BY server_name, database_name ORDER BY h DESC, db DESC LIMIT 1) b"""
 
 
-SQL_CHECKS = f"""checks AS (
-        SELECT 'Long Running Query' AS alert_name, CAST(max(date_diff('second', query_start, {NOW})) AS BIGINT) AS v FROM {SQL_SESSIONS_NOW} q
-        WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '5' MINUTE
-        UNION ALL SELECT 'Blocking Chain', CAST(count(*) AS BIGINT) FROM {SQL_SESSIONS_NOW} q WHERE blocking_session_id > 0
-        UNION ALL SELECT 'Failed Logins', CAST(count(*) AS BIGINT) FROM login_audit WHERE event_type = 'FAILED_LOGIN' AND login_time > {NOW} - INTERVAL '1' HOUR
-        UNION ALL SELECT 'Database Full Backup Overdue', CAST(max(h) AS BIGINT) FROM (SELECT date_diff('hour', max(backup_finish), {NOW}) AS h FROM backup_history
-                  WHERE backup_type = 'D' GROUP BY server_name, database_name) b
-        UNION ALL SELECT 'Job Failed', CAST(count(*) AS BIGINT) FROM job_history WHERE run_status = 0 AND run_time >= TIMESTAMP '2024-01-30 00:00:00'),
-    worst AS (SELECT server_name || '/' || database_name AS database_name FROM (SELECT server_name, database_name,
-              date_diff('hour', max(backup_finish), {NOW}) AS h FROM backup_history
-              WHERE backup_type = 'D' GROUP BY 1, 2) b ORDER BY h DESC, 1 DESC LIMIT 1),
+SQL_CHECKS = f"""w AS (SELECT server_name, wait_type, CAST(floor(wait_time_ms / nullif(waiting_tasks, 0)) AS BIGINT) AS ms FROM wait_stats_history h
+             WHERE capture_time = (SELECT max(capture_time) FROM wait_stats_history x WHERE x.server_name = h.server_name)),
+    disk AS (SELECT server_name || '/' || tablespace_name AS name, CAST(floor(CAST(sum(used_mb) AS DOUBLE) * 100 / sum(size_mb)) AS BIGINT) AS pct
+             FROM file_space GROUP BY server_name, tablespace_name),
+    errs AS ({sql_classified(1)}),
+    checks AS (
+        SELECT 'Long Running Query' AS alert_name, CAST(max(date_diff('second', query_start, {NOW})) AS BIGINT) AS v,
+               'Query running for ' || max(date_diff('second', query_start, {NOW})) || ' seconds' AS detail, CAST(NULL AS VARCHAR) AS arg0, CAST(NULL AS VARCHAR) AS arg1
+        FROM {SQL_SESSIONS_NOW} q WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '5' MINUTE
+        UNION ALL SELECT 'Blocking Chain', CAST(count(*) AS BIGINT), count(*) || ' sessions in blocking chain', NULL, NULL FROM {SQL_SESSIONS_NOW} q WHERE blocking_session_id > 0
+        UNION ALL SELECT 'Failed Logins', CAST(count(*) AS BIGINT), count(*) || ' failed logins in last hour', NULL, NULL FROM login_audit
+                  WHERE event_type = 'FAILED_LOGIN' AND login_time > {NOW} - INTERVAL '1' HOUR
+        UNION ALL {_sql_overdue('D', 'Database Full Backup Overdue', 'backup')}
+        UNION ALL {_sql_overdue('L', 'Log Backup Overdue', 'log backup')}
+        UNION ALL SELECT 'Job Failed', CAST(count(*) AS BIGINT), 'Recent job failures detected', NULL, NULL FROM job_history
+                  WHERE run_status = 0 AND run_time >= TIMESTAMP '2024-01-30 00:00:00'
+        UNION ALL SELECT 'High Wait Time', ms, server_name || ': ' || wait_type || ' waits ' || ms || ' ms on average', wait_type, NULL
+                  FROM (SELECT * FROM w WHERE ms IS NOT NULL ORDER BY ms DESC, server_name || ': ' || wait_type DESC LIMIT 1) x
+        UNION ALL SELECT 'Error Log Error', CAST(count(*) AS BIGINT), count(*) || ' errors in last hour', NULL, NULL FROM errs
+                  WHERE severity >= 16 AND log_date > {NOW} - INTERVAL '1' HOUR
+        UNION ALL SELECT 'Disk Space Low', pct, name || ' is ' || pct || '% full', name, CAST(pct AS VARCHAR)
+                  FROM (SELECT * FROM disk WHERE pct IS NOT NULL ORDER BY pct DESC, name DESC LIMIT 1) x
+        UNION ALL SELECT 'TempDB Contention', ms, server_name || ': ' || wait_type || ' waits ' || ms || ' ms on average', wait_type, NULL
+                  FROM (SELECT * FROM w WHERE wait_type LIKE 'PAGELATCH%' AND ms IS NOT NULL ORDER BY ms DESC, server_name || ': ' || wait_type DESC LIMIT 1) x),
     config(alert_name, alert_type, threshold_value, message) AS (VALUES {", ".join(
         "('%s', '%s', CAST(%d AS BIGINT), '%s')" % a for a in rules.ALERTS)}),
-    hits AS (SELECT c.alert_name, k.alert_type, c.v AS current_value, k.threshold_value,
-             CASE c.alert_name WHEN 'Long Running Query' THEN 'Query running for ' || c.v || ' seconds'
-                  WHEN 'Blocking Chain' THEN c.v || ' sessions in blocking chain' WHEN 'Failed Logins' THEN c.v || ' failed logins in last hour'
-                  WHEN 'Job Failed' THEN 'Recent job failures detected'
-                  ELSE 'Database ' || (SELECT database_name FROM worst) || ': ' || c.v || ' hours since backup' END AS detail,
-             replace(k.message, '{{0}}', CAST(c.v AS VARCHAR)) AS notification
+    hits AS (SELECT c.alert_name, k.alert_type, c.v AS current_value, k.threshold_value, c.detail,
+             replace(replace(k.message, '{{0}}', coalesce(c.arg0, CAST(c.v AS VARCHAR))), '{{1}}', coalesce(c.arg1, CAST(k.threshold_value AS VARCHAR))) AS notification
              FROM checks c JOIN config k ON c.alert_name = k.alert_name WHERE c.v >= k.threshold_value)"""
 
 
@@ -105,7 +123,7 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
     _sec(1, "OVERVIEW", "'Active Sessions'", "count", "count(*)", "NULL", "FROM sess WHERE status = 'running'"),
     _sec(1, "OVERVIEW", "'Blocked Requests'", "count", "count(*)", "NULL", "FROM sess WHERE blocking_session_id > 0"),
     _sec(1, "OVERVIEW", "'Backups (24h)'", "count", "count(*)", "NULL", f"FROM backup_history WHERE backup_start > {NOW} - INTERVAL '1' DAY"),
-    _sec(2, "DATABASE STATUS", "database_name", "recovery_model", "recovery_model", "state_desc", "FROM database_catalog WHERE state_desc <> 'ONLINE'"),
+    _sec(2, "DATABASE STATUS", "server_name || '/' || database_name", "recovery_model", "recovery_model", "state_desc", "FROM database_catalog WHERE state_desc <> 'ONLINE'"),
     _sec(3, "BACKUP STATUS", "database_name", "hours_since_backup", "h", "s", "FROM bs WHERE s <> 'OK'"),
     _top(4, "ACTIVE SESSIONS", "server_name || '/' || session_id", "wait_time_ms", "wait_time_ms", "status", "sess WHERE status <> 'idle'",
          "wait_time_ms DESC, server_name, session_id", 20),
@@ -120,51 +138,51 @@ SQL_HEALTH = f"""WITH errs AS ({sql_classified(7)}),
     _top(9, "UNUSED INDEXES", "index_name", "size_kb", "used_pages * 8",
          "CASE WHEN user_scans = 0 THEN 'UNUSED' WHEN user_scans < 10 THEN 'LOW USAGE' ELSE 'ACTIVE' END", "ix",
          "user_scans, used_pages DESC, index_name", 20),
-    _top(10, "JOB RUNS", "job_name", "run_id", "run_id",
+    _top(10, "JOB RUNS", "server_name || '/' || job_name", "run_id", "run_id",
          "CASE run_status WHEN 0 THEN 'Failed' WHEN 1 THEN 'Succeeded' WHEN 2 THEN 'Retry' WHEN 3 THEN 'Canceled' ELSE 'Unknown' END",
          "job_history WHERE step_id = 0 AND run_time >= TIMESTAMP '2024-01-30 00:00:00'", "run_time DESC, run_id DESC", 10),
     _top(11, "RECENT ERRORS", "log_id", "severity", "severity",
          "CASE WHEN severity >= 20 THEN 'CRITICAL' WHEN severity >= 17 THEN 'HIGH' ELSE 'MEDIUM' END",
          f"errs WHERE log_date >= {NOW} - INTERVAL '24' HOUR", "log_date DESC, severity DESC, log_id", 20),
-    _sec(12, "CONNECTIONS", "status", "connections", "count(*)", "NULL", "FROM sess GROUP BY sess.status"),
-    _top(13, "REPLICATION LAG", "replica_name", "lag_bytes", "sent_lsn - replay_lsn",
+    _sec(12, "CONNECTIONS", "server_name || '/' || status", "connections", "count(*)", "NULL", "FROM sess GROUP BY sess.server_name, sess.status"),
+    _top(13, "REPLICATION LAG", "server_name || '/' || ag_name || '/' || replica_name", "lag_bytes", "sent_lsn - replay_lsn",
          "CASE WHEN sent_lsn - replay_lsn > 1073741824 THEN 'CRITICAL' WHEN sent_lsn - replay_lsn > 104857600 THEN 'WARNING' ELSE 'OK' END",
          "lag", "sent_lsn - replay_lsn DESC, capture_time, server_name, replica_name", 10),
-    _top(14, "LARGEST TABLES", "table_name", "table_rows", "n_live", "NULL",
-         "(SELECT * FROM table_stats ORDER BY table_bytes + index_bytes DESC, schema_name, table_name LIMIT 20) q",
-         "CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) DESC, schema_name, table_name", 20),
-    _sec(15, "INVALID OBJECTS", "object_name", "object_type", "object_type", "status",
+    _top(14, "LARGEST TABLES", "server_name || '/' || database_name || '/' || schema_name || '/' || table_name", "table_rows", "n_live", "NULL",
+         "(SELECT * FROM table_stats ORDER BY table_bytes + index_bytes DESC, server_name, database_name, schema_name, table_name LIMIT 20) q",
+         "CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) DESC, server_name, database_name, schema_name, table_name", 20),
+    _sec(15, "INVALID OBJECTS", "server_name || '/' || database_name || '/' || owner || '/' || object_name", "object_type", "object_type", "status",
          f"FROM object_catalog WHERE status <> 'VALID' AND object_type IN ({names(rules.CHECKED_OBJECT_TYPES)}) AND owner NOT IN ({names(rules.SYSTEM_OWNERS_OBJECTS)})"),
-    _sec(16, "LONG RUNNING QUERIES", "session_id", "duration_s", f"date_diff('second', query_start, {NOW})", "status",
+    _sec(16, "LONG RUNNING QUERIES", "server_name || '/' || session_id", "duration_s", f"date_diff('second', query_start, {NOW})", "status",
          f"FROM sess WHERE status <> 'idle' AND query_start < {NOW} - INTERVAL '300' SECOND"),
-    _top(17, "MISSING INDEXES", "index_handle", "user_seeks", "user_seeks", "NULL",
-         "(SELECT g.index_handle, s.user_seeks, CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS imp FROM missing_index_stats s "
-         "JOIN missing_index_groups g ON s.group_handle = g.group_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50) q",
-         "imp DESC, index_handle", 10),
-    _sec(18, "FILE USAGE", "file_name", "used_mb", "used_mb", "file_type", "FROM file_space"),
+    _top(17, "MISSING INDEXES", "server_name || '/' || index_handle", "user_seeks", "user_seeks", "NULL",
+         "(SELECT g.server_name, g.index_handle, s.user_seeks, CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS imp FROM missing_index_stats s "
+         "JOIN missing_index_groups g ON s.group_handle = g.group_handle AND s.server_name = g.server_name WHERE s.avg_user_impact > 10 AND s.user_seeks > 50) q",
+         "imp DESC, server_name, index_handle", 10),
+    _sec(18, "FILE USAGE", "server_name || '/' || database_name || '/' || file_name", "used_mb", "used_mb", "file_type", "FROM file_space"),
     _sec(19, "REDO LOG", "group_no", "members", "members", "status", "FROM redo_log"),
-    _sec(20, "ARCHIVE LOGS", "strftime(date_trunc('hour', backup_start), '%Y-%m-%d %H')", "archive_logs", "count(*)", "NULL",
-         f"FROM backup_history WHERE backup_type = 'L' AND backup_start > {NOW} - INTERVAL '24' HOUR GROUP BY date_trunc('hour', backup_start)"),
+    _sec(20, "ARCHIVE LOGS", "server_name || '/' || strftime(date_trunc('hour', backup_start), '%Y-%m-%d %H')", "archive_logs", "count(*)", "NULL",
+         f"FROM backup_history WHERE backup_type = 'L' AND backup_start > {NOW} - INTERVAL '24' HOUR GROUP BY server_name, date_trunc('hour', backup_start)"),
     *[_sec(21, "BACKUP TOTALS", f"'{n}'", "count", "count(*)", "NULL",
            f"FROM backup_history WHERE backup_type = '{k}' AND backup_finish > {NOW} - INTERVAL '7' DAY")
       for n, k in (("full_backups", "D"), ("incr_backups", "I"))],
-    _top(22, "TOP SQL BY READS", "query_hash", "logical_reads", "logical_reads", "NULL", "st WHERE exec_count > 10",
+    _top(22, "TOP SQL BY READS", "server_name || '/' || database_name || '/' || query_hash", "logical_reads", "logical_reads", "NULL", "st WHERE exec_count > 10",
          "logical_reads DESC, server_name, database_name, query_hash, exec_count, total_elapsed_ms", 10),
-    _top(23, "SLOW QUERIES", "query_hash", "total_elapsed_ms", "total_elapsed_ms", "NULL", "st",
+    _top(23, "SLOW QUERIES", "server_name || '/' || database_name || '/' || query_hash", "total_elapsed_ms", "total_elapsed_ms", "NULL", "st",
          "total_elapsed_ms DESC, server_name, database_name, query_hash, exec_count, logical_reads", 20),
-    _sec(24, "WAIT EVENTS", "status || ':' || wait_type", "wait_count", "count(*)", "NULL",
-         "FROM sess WHERE wait_type IS NOT NULL GROUP BY sess.status, wait_type"),
-    _top(25, "TABLE BLOAT", "table_name", "n_dead", "n_dead",
+    _sec(24, "WAIT EVENTS", "server_name || '/' || status || ':' || wait_type", "wait_count", "count(*)", "NULL",
+         "FROM sess WHERE wait_type IS NOT NULL GROUP BY sess.server_name, sess.status, wait_type"),
+    _top(25, "TABLE BLOAT", "server_name || '/' || database_name || '/' || schema_name || '/' || table_name", "n_dead", "n_dead",
          "CASE WHEN n_dead > 0 AND table_bytes > 0 AND CAST(n_dead * 40 AS DOUBLE) / table_bytes * 100 > 20 THEN 'CLEANUP NEEDED' ELSE 'OK' END",
-         "table_stats", "n_dead DESC, schema_name, table_name", 20),
-    _top(26, "CACHE HIT RATIO", "table_name", "blks_read", "blks_read", "NULL", "table_stats WHERE blks_read > 0",
-         "CAST(round(CAST(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) NULLS LAST, schema_name, table_name", 10),
+         "table_stats", "n_dead DESC, server_name, database_name, schema_name, table_name", 20),
+    _top(26, "CACHE HIT RATIO", "server_name || '/' || database_name || '/' || schema_name || '/' || table_name", "blks_read", "blks_read", "NULL", "table_stats WHERE blks_read > 0",
+         "CAST(round(CAST(CAST(blks_hit AS DOUBLE) * 100 / nullif(blks_hit + blks_read, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) NULLS LAST, server_name, database_name, schema_name, table_name", 10),
     _sec(27, "STORAGE BY SCHEMA", "server_name || '/' || database_name || '/' || schema_name", "table_count", "count(*)", "NULL",
          "FROM table_stats GROUP BY server_name, database_name, schema_name"),
-    _top(28, "TABLE LOCKS", "coalesce(CAST(relation_id AS VARCHAR), '-')", "lock_count", "n", "lock_status",
+    _top(28, "TABLE LOCKS", "server_name || '/' || coalesce(CAST(relation_id AS VARCHAR), '-')", "lock_count", "n", "lock_status",
          "(SELECT server_name, relation_id, locktype, lock_mode, CASE WHEN granted = 1 THEN 'GRANTED' ELSE 'WAITING' END AS lock_status, count(*) AS n FROM lk GROUP BY 1, 2, 3, 4, 5) q",
          "n DESC, server_name, relation_id NULLS FIRST, locktype, lock_mode, lock_status", 20),
-    _sec(29, "REPLICATION CHANNELS", "channel_name", "seconds_behind", "seconds_behind", "io_state", "FROM replication_channel"),
+    _sec(29, "REPLICATION CHANNELS", "server_name || '/' || channel_name", "seconds_behind", "seconds_behind", "io_state", "FROM replication_channel"),
     _sec(30, "COUNTERS", "server_name || '/' || counter_name", "counter_value", "counter_value", "NULL",
          "FROM perf_counters p WHERE capture_time = (SELECT max(capture_time) FROM perf_counters x WHERE x.server_name = p.server_name)"),
 ])
@@ -192,8 +210,8 @@ SQL_WEEKLY_LINES = f"""
     FROM (SELECT wait_type, sum(waiting_tasks) AS waiting_tasks, sum(wait_time_ms) AS wait_time_ms FROM wait_stats_history
           WHERE capture_time >= {NOW} - INTERVAL '24' HOUR GROUP BY wait_type ORDER BY 3 DESC, 1 LIMIT 10) w GROUP BY wait_type
     UNION ALL SELECT 3, '=== DATABASE SIZES ===', ''
-    UNION ALL SELECT 3, database_name, printf('%.2f', CAST(round(CAST(CAST(total_mb AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB' FROM database_size_history
-    WHERE capture_time = (SELECT max(capture_time) FROM database_size_history)
+    UNION ALL SELECT 3, server_name || '/' || database_name, printf('%.2f', CAST(round(CAST(CAST(total_mb AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE)) || ' GB' FROM database_size_history d
+    WHERE capture_time = (SELECT max(capture_time) FROM database_size_history x WHERE x.server_name = d.server_name AND x.database_name = d.database_name)
     UNION ALL SELECT 4, '=== FAILED LOGINS (Last 7 days) ===', ''
     UNION ALL SELECT 4, login_name, n || ' attempts' FROM (SELECT login_name, count(*) AS n FROM login_audit
         WHERE event_type = 'FAILED_LOGIN' AND login_time >= {NOW} - INTERVAL '7' DAY GROUP BY 1 ORDER BY n DESC, login_name LIMIT 10) f"""
@@ -201,8 +219,16 @@ SQL_WEEKLY_LINES = f"""
 SQL_TYPE = """CASE WHEN max_length IS NOT NULL THEN data_type || '(' || max_length || ')'
         WHEN num_precision IS NOT NULL THEN data_type || '(' || num_precision || ',' || num_scale || ')' ELSE data_type END"""
 SQL_DOC_TAIL = """
-        UNION ALL SELECT database_name, CAST(CASE object_type WHEN 'VIEW' THEN 2 WHEN 'PROCEDURE' THEN 3 ELSE 4 END AS BIGINT), owner || '.' || object_name,
-               CAST(0 AS BIGINT), '- ' || owner || '.' || object_name FROM object_catalog WHERE object_type IN ('VIEW', 'PROCEDURE', 'FUNCTION')"""
+        UNION ALL SELECT server_name, database_name, CAST(CASE object_type WHEN 'VIEW' THEN 2 WHEN 'PROCEDURE' THEN 3 WHEN 'FUNCTION' THEN 4 WHEN 'PACKAGE BODY' THEN 5 ELSE 6 END AS BIGINT),
+               owner || '.' || object_name, CAST(0 AS BIGINT), '- ' || owner || '.' || object_name FROM object_catalog
+        WHERE object_type IN ('VIEW', 'PROCEDURE', 'FUNCTION', 'PACKAGE BODY', 'SEQUENCE')
+        UNION ALL SELECT i.server_name, i.database_name, 7, i.schema_name || '.' || i.table_name, i.index_id, '- ' || i.index_name || ' (' || k.cols || ')'
+                   || CASE WHEN i.is_primary_key = 1 THEN ' PRIMARY KEY' WHEN i.is_unique = 1 THEN ' UNIQUE' ELSE '' END
+        FROM index_catalog i JOIN (SELECT server_name, database_name, schema_name, table_name, index_id, string_agg(column_name, ', ' ORDER BY key_ordinal) AS cols
+             FROM index_columns GROUP BY 1, 2, 3, 4, 5) k USING (server_name, database_name, schema_name, table_name, index_id)
+        UNION ALL SELECT server_name, database_name, 8, schema_name || '.' || object_name, line_no, '- ' || kind || ' (' || string_agg(column_name, ', ' ORDER BY column_id) || ')'
+        FROM (SELECT *, 'PRIMARY KEY' AS kind, 1 AS line_no FROM column_catalog WHERE is_primary_key = 1
+              UNION ALL SELECT *, 'FOREIGN KEY', 2 FROM column_catalog WHERE is_foreign_key = 1) x GROUP BY server_name, database_name, schema_name, object_name, kind, line_no"""
 
 ENTRIES = {
     "c01_check_alerts": Entry(triggered, with_views(f"WITH {SQL_CHECKS} SELECT * FROM hits")),
@@ -245,29 +271,29 @@ ENTRIES = {
     "c05_data_dictionary": Entry(
         lambda t: dictionary.markdown(documented(t)),
         with_views(f"""
-        SELECT DISTINCT database_name, CAST(1 AS BIGINT) AS section_no, schema_name || '.' || object_name AS object_name, CAST(0 AS BIGINT) AS line_no,
+        SELECT DISTINCT server_name, database_name, CAST(1 AS BIGINT) AS section_no, schema_name || '.' || object_name AS object_name, CAST(0 AS BIGINT) AS line_no,
                '## ' || schema_name || '.' || object_name AS line FROM column_catalog
-        UNION ALL SELECT database_name, 1, schema_name || '.' || object_name, column_id + 3,
+        UNION ALL SELECT server_name, database_name, 1, schema_name || '.' || object_name, column_id + 3,
                column_name || ' (' || {SQL_TYPE} || CASE WHEN is_primary_key = 1 THEN ' PK' ELSE '' END || CASE WHEN is_foreign_key = 1 THEN ' FK' ELSE '' END
                    || CASE WHEN is_nullable = 0 THEN ' NOT NULL' ELSE '' END || CASE WHEN is_identity = 1 THEN ' IDENTITY' ELSE '' END
                    || coalesce(' DEFAULT ' || default_value, '') || ')' FROM column_catalog {SQL_DOC_TAIL}"""),
     ),
     "c05_data_dictionary_table": Entry(
         lambda t: dictionary.markdown(documented(t), style="table"),
-        with_views(f"""WITH h AS (SELECT DISTINCT database_name, schema_name || '.' || object_name AS n FROM column_catalog)
-        SELECT database_name, CAST(1 AS BIGINT) AS section_no, n AS object_name, CAST(0 AS BIGINT) AS line_no, '### ' || n AS line FROM h
-        UNION ALL SELECT database_name, 1, n, 1, '| Column | Type | Nullable | Default |' FROM h
-        UNION ALL SELECT database_name, 1, n, 2, '|--------|------|----------|---------|' FROM h
-        UNION ALL SELECT database_name, 1, schema_name || '.' || object_name, column_id + 3,
+        with_views(f"""WITH h AS (SELECT DISTINCT server_name, database_name, schema_name || '.' || object_name AS n FROM column_catalog)
+        SELECT server_name, database_name, CAST(1 AS BIGINT) AS section_no, n AS object_name, CAST(0 AS BIGINT) AS line_no, '### ' || n AS line FROM h
+        UNION ALL SELECT server_name, database_name, 1, n, 1, '| Column | Type | Nullable | Default |' FROM h
+        UNION ALL SELECT server_name, database_name, 1, n, 2, '|--------|------|----------|---------|' FROM h
+        UNION ALL SELECT server_name, database_name, 1, schema_name || '.' || object_name, column_id + 3,
                '| ' || column_name || ' | ' || {SQL_TYPE} || ' | ' || CASE WHEN is_nullable = 0 THEN 'NO' ELSE 'YES' END || ' | ' || coalesce(default_value, '') || ' |'
         FROM column_catalog {SQL_DOC_TAIL}"""),
     ),
     "c05_quick_reference": Entry(
         lambda t: dictionary.quick_reference(documented(t)),
         with_views("""
-        SELECT database_name, schema_name || '.' || object_name AS object_name, CAST(count(*) AS BIGINT) AS column_count, 'TABLE' AS object_type
-        FROM column_catalog GROUP BY 1, 2
-        UNION ALL SELECT database_name, owner || '.' || object_name, NULL, object_type FROM object_catalog WHERE object_type IN ('PROCEDURE', 'FUNCTION')"""),
+        SELECT server_name, database_name, schema_name || '.' || object_name AS object_name, CAST(count(*) AS BIGINT) AS column_count, 'TABLE' AS object_type
+        FROM column_catalog GROUP BY 1, 2, 3
+        UNION ALL SELECT server_name, database_name, owner || '.' || object_name, NULL, object_type FROM object_catalog WHERE object_type IN ('PROCEDURE', 'FUNCTION')"""),
     ),
     "c06_analyze_statements": Entry(
         lambda t: statements.maintenance_statements(t.table_stats, "analyze"),
@@ -299,12 +325,12 @@ ENTRIES = {
         lambda t: statements.maintenance_statements(
             joins.missing_indexes(t.missing_index_details, t.missing_index_groups, t.missing_index_stats), "create_index"
         ),
-        with_views("""SELECT 'IX_' || d.table_name || '_' || replace(replace(d.equality_columns, '[', ''), ']', '') AS index_name, d.schema_name, d.table_name,
+        with_views("""SELECT d.server_name, 'IX_' || d.table_name || '_' || replace(replace(d.equality_columns, '[', ''), ']', '') AS index_name, d.schema_name, d.table_name,
                d.equality_columns || coalesce(', ' || d.inequality_columns, '') AS index_columns,
                'CREATE INDEX [IX_' || d.table_name || '_' || replace(replace(d.equality_columns, '[', ''), ']', '') || '] ON [' || d.schema_name || '].['
                    || d.table_name || '] (' || d.equality_columns || coalesce(', ' || d.inequality_columns, '') || ');' AS statement
-        FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle
-        JOIN missing_index_details d ON d.index_handle = g.index_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50"""),
+        FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle AND s.server_name = g.server_name
+        JOIN missing_index_details d ON d.index_handle = g.index_handle AND d.server_name = g.server_name WHERE s.avg_user_impact > 10 AND s.user_seeks > 50"""),
     ),
     "c06_drop_duplicate_statements": Entry(
         lambda t: statements.maintenance_statements(

@@ -57,7 +57,7 @@ def columns_parts(t):
     )
     return (
         c.select(
-            "database_name", "schema_name", "object_name", "column_name", "column_id", "data_type", "max_length", "num_precision",
+            "server_name", "database_name", "schema_name", "object_name", "column_name", "column_id", "data_type", "max_length", "num_precision",
             "num_scale", "is_nullable",
         ),
         types,
@@ -210,16 +210,16 @@ ENTRIES = {
     "j03_blocking_paths": Entry(
         lambda t: joins.blocking_paths(t.session_requests),
         with_views("""WITH RECURSIVE e AS (SELECT server_name, capture_time, session_id, blocking_session_id AS b FROM session_requests WHERE blocking_session_id > 0),
-        walk(server_name, capture_time, origin, visited, at) AS (
+        walk(server_name, capture_time, origin, visited, stop) AS (
             SELECT server_name, capture_time, session_id, [session_id], b FROM e
-            UNION ALL SELECT w.server_name, w.capture_time, w.origin, list_append(w.visited, w.at), e.b FROM walk w
-            JOIN e ON e.server_name = w.server_name AND e.capture_time = w.capture_time AND e.session_id = w.at WHERE NOT list_contains(w.visited, w.at)),
-        ends AS (SELECT w.*, list_contains(visited, at) AS circle FROM walk w
-            WHERE list_contains(visited, at) OR NOT EXISTS (SELECT 1 FROM e WHERE e.server_name = w.server_name AND e.capture_time = w.capture_time AND e.session_id = w.at)),
-        cut AS (SELECT *, CASE WHEN circle THEN list_min(visited[list_position(visited, at):]) END AS cycle_id FROM ends),
-        way AS (SELECT *, CASE WHEN circle THEN visited[:list_position(visited, cycle_id) - 1] ELSE visited END AS steps, CASE WHEN circle THEN cycle_id ELSE at END AS head FROM cut)
-        SELECT way.server_name, way.capture_time, origin AS session_id, e.b AS blocked_by, CASE WHEN NOT circle THEN at END AS root_blocker, cycle_id,
-               circle AND list_contains(visited[list_position(visited, at):], origin) AS in_cycle, CAST(len(steps) AS BIGINT) AS level,
+            UNION ALL SELECT w.server_name, w.capture_time, w.origin, list_append(w.visited, w.stop), e.b FROM walk w
+            JOIN e ON e.server_name = w.server_name AND e.capture_time = w.capture_time AND e.session_id = w.stop WHERE NOT list_contains(w.visited, w.stop)),
+        ends AS (SELECT w.*, list_contains(visited, stop) AS circle FROM walk w
+            WHERE list_contains(visited, stop) OR NOT EXISTS (SELECT 1 FROM e WHERE e.server_name = w.server_name AND e.capture_time = w.capture_time AND e.session_id = w.stop)),
+        cut AS (SELECT *, CASE WHEN circle THEN list_min(visited[list_position(visited, stop):]) END AS cycle_id FROM ends),
+        way AS (SELECT *, CASE WHEN circle THEN visited[:list_position(visited, cycle_id) - 1] ELSE visited END AS steps, CASE WHEN circle THEN cycle_id ELSE stop END AS head FROM cut)
+        SELECT way.server_name, way.capture_time, origin AS session_id, e.b AS blocked_by, CASE WHEN NOT circle THEN stop END AS root_blocker, cycle_id,
+               circle AND list_contains(visited[list_position(visited, stop):], origin) AS in_cycle, CAST(len(steps) AS BIGINT) AS level,
                array_to_string(list_prepend(head, list_reverse(steps)), ' > ') AS path, repeat('  ', len(steps)) || origin AS chain
         FROM way JOIN e ON e.server_name = way.server_name AND e.capture_time = way.capture_time AND e.session_id = way.origin"""),
     ),
@@ -278,6 +278,29 @@ ENTRIES = {
         SELECT {TBL}, match_kind, index1_name, index2_name, index1_columns, index2_columns, index1_size_kb, index2_size_kb, savings_kb,
                group_size, recommendation FROM dup"""),
     ),
+    "j08_column_sets": Entry(
+        lambda t: joins.column_sets(t.index_columns, t.index_catalog).withColumn("column_set", F.array_join("column_set", ", ")),
+        with_views(f"""WITH k AS (SELECT {TBL}, index_id, string_agg(column_name, ', ' ORDER BY key_ordinal) AS key_columns,
+            array_to_string(list_sort(list_distinct(list(column_name))), ', ') AS column_set FROM index_columns GROUP BY {TBL}, index_id),
+        g AS (SELECT {TBL}, column_set, min(index_id) AS set_id, CAST(count(*) AS BIGINT) AS set_size, CAST(sum(used_pages * 8) AS BIGINT) AS set_kb
+              FROM k JOIN index_catalog s USING ({TBL}, index_id) GROUP BY {TBL}, column_set)
+        SELECT {of('k')}, k.index_id, s.index_name, s.is_unique, s.is_primary_key, s.used_pages * 8 AS size_kb, k.key_columns, k.column_set, g.set_id, g.set_size, g.set_kb
+        FROM k JOIN index_catalog s USING ({TBL}, index_id) JOIN g ON {same_table('k', 'g')} AND k.column_set = g.column_set"""),
+    ),
+    "j08_overlapping_indexes": Entry(
+        lambda t: joins.overlapping_indexes(t.index_columns, t.index_catalog),
+        with_views(f"""WITH k AS (SELECT {TBL}, index_id, list_sort(list_distinct(list(column_name))) AS c FROM index_columns GROUP BY {TBL}, index_id),
+        g AS (SELECT {TBL}, c, min(index_id) AS index_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(used_pages * 8) AS BIGINT) AS kb
+              FROM k JOIN index_catalog s USING ({TBL}, index_id) GROUP BY {TBL}, c),
+        p AS (SELECT {of('a')}, a.index_id AS i1, b.index_id AS i2, a.c AS c1, b.c AS c2, a.n AS n1, b.n AS n2, a.kb AS kb1, b.kb AS kb2, list_sort(list_intersect(a.c, b.c)) AS both_
+              FROM g a JOIN g b ON {same_table('a', 'b')} AND a.index_id < b.index_id)
+        SELECT {of('p')}, x.index_name AS index1_name, y.index_name AS index2_name, array_to_string(c1, ', ') AS columns1, array_to_string(c2, ', ') AS columns2,
+               array_to_string(both_, ', ') AS shared_columns,
+               CAST(round(CAST(CAST(len(both_) AS DOUBLE) * 100 / (len(c1) + len(c2) - len(both_)) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS overlap_pct,
+               n1 AS set1_indexes, n2 AS set2_indexes, kb1 AS set1_kb, kb2 AS set2_kb
+        FROM p JOIN index_catalog x ON {same_table('x', 'p')} AND x.index_id = p.i1 JOIN index_catalog y ON {same_table('y', 'p')} AND y.index_id = p.i2
+        WHERE len(both_) * 100 >= 50 * (len(c1) + len(c2) - len(both_))"""),
+    ),
     "u02_shared_columns": Entry(
         lambda t: joins.duplicate_indexes(t.index_columns, t.index_catalog, min_kb=0).select(
             *joins.TABLE, "match_kind", "index1_name", "index2_name", "shared_columns"
@@ -291,31 +314,31 @@ ENTRIES = {
     "j09_missing_indexes": Entry(
         lambda t: joins.missing_indexes(t.missing_index_details, t.missing_index_groups, t.missing_index_stats),
         with_views("""
-        SELECT d.index_handle, d.database_name, d.schema_name, d.table_name,
+        SELECT d.server_name, d.index_handle, d.database_name, d.schema_name, d.table_name,
                d.equality_columns || coalesce(', ' || d.inequality_columns, '') AS index_columns, d.included_columns,
                CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS improvement, s.user_seeks,
                'IX_' || d.table_name || '_' || replace(replace(d.equality_columns, '[', ''), ']', '') AS index_name,
                'CREATE INDEX [IX_' || d.table_name || '_' || d.index_handle || '] ON [' || d.schema_name || '].[' || d.table_name || '] ('
                    || d.equality_columns || coalesce(', ' || d.inequality_columns, '') || ')'
                    || coalesce(' INCLUDE (' || d.included_columns || ')', '') || ';' AS create_statement
-        FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle
-        JOIN missing_index_details d ON d.index_handle = g.index_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50"""),
+        FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle AND s.server_name = g.server_name
+        JOIN missing_index_details d ON d.index_handle = g.index_handle AND d.server_name = g.server_name WHERE s.avg_user_impact > 10 AND s.user_seeks > 50"""),
     ),
     "j09_missing_indexes_top": Entry(
         lambda t: joins.missing_indexes(t.missing_index_details, t.missing_index_groups, t.missing_index_stats, n=10).select(
-            "index_handle", "improvement", "user_seeks"
+            "server_name", "index_handle", "improvement", "user_seeks"
         ),
         with_views("""
-        SELECT g.index_handle, CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS improvement, s.user_seeks
-        FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle
-        JOIN missing_index_details d ON d.index_handle = g.index_handle WHERE s.avg_user_impact > 10 AND s.user_seeks > 50
-        ORDER BY improvement DESC, g.index_handle LIMIT 10"""),
+        SELECT g.server_name, g.index_handle, CAST(round(CAST(CAST(s.avg_user_cost AS DOUBLE) * s.avg_user_impact / 100 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS improvement, s.user_seeks
+        FROM missing_index_stats s JOIN missing_index_groups g ON s.group_handle = g.group_handle AND s.server_name = g.server_name
+        JOIN missing_index_details d ON d.index_handle = g.index_handle AND d.server_name = g.server_name WHERE s.avg_user_impact > 10 AND s.user_seeks > 50
+        ORDER BY improvement DESC, g.server_name, g.index_handle LIMIT 10"""),
     ),
     "j10_unused_index_script": Entry(
         lambda t: joins.unused_index_script(t.index_catalog, AS_OF),
         with_views(f"""
-        SELECT database_name, table_name, index_name, used_pages * 8 AS size_kb, user_seeks + user_scans AS total_reads,
-               'USE [' || database_name || ']; DROP INDEX [' || index_name || '] ON [dbo].[' || table_name || '];' AS drop_statement
+        SELECT server_name, database_name, schema_name, table_name, index_name, used_pages * 8 AS size_kb, user_seeks + user_scans AS total_reads,
+               'USE [' || database_name || ']; DROP INDEX [' || index_name || '] ON [' || schema_name || '].[' || table_name || '];' AS drop_statement
         FROM index_catalog WHERE is_primary_key = 0 AND is_unique = 0 AND user_seeks = 0 AND user_scans = 0
           AND last_used < {NOW} - INTERVAL '30' DAY AND used_pages * 8 >= 1000"""),
     ),
@@ -347,55 +370,58 @@ ENTRIES = {
         LEFT JOIN d ON d.server_name = i.server_name LEFT JOIN l ON l.server_name = i.server_name"""),
     ),
     "j13_new_principals": Entry(
-        lambda t: joins.new_principals(snapshot(t.principals, 1), snapshot(t.principals, 0), ["login_name"]),
+        lambda t: joins.new_principals(snapshot(t.principals, 1), snapshot(t.principals, 0), ["server_name", "login_name"]),
         with_views("""
-        SELECT c.principal_id, c.login_name, c.login_type, c.is_disabled, 'CREATED' AS action_type FROM principals c WHERE c.snap = 1
-          AND NOT EXISTS (SELECT 1 FROM principals p WHERE p.snap = 0 AND p.login_name = c.login_name)"""),
+        SELECT c.server_name, c.principal_id, c.login_name, c.login_type, c.is_disabled, 'CREATED' AS action_type FROM principals c WHERE c.snap = 1
+          AND NOT EXISTS (SELECT 1 FROM principals p WHERE p.snap = 0 AND p.server_name = c.server_name AND p.login_name = c.login_name)"""),
     ),
     "j13_new_role_members": Entry(
         lambda t: joins.new_principals(
-            snapshot(t.role_members, 1), snapshot(t.role_members, 0), ["database_name", "role_name", "member_name"], "ADDED"
+            snapshot(t.role_members, 1), snapshot(t.role_members, 0), ["server_name", "database_name", "role_name", "member_name"], "ADDED"
         ),
         with_views("""
-        SELECT database_name, role_name, member_name, 'ADDED' AS action_type FROM role_members c WHERE c.snap = 1
-          AND NOT EXISTS (SELECT 1 FROM role_members p WHERE p.snap = 0 AND p.database_name = c.database_name
+        SELECT server_name, database_name, role_name, member_name, 'ADDED' AS action_type FROM role_members c WHERE c.snap = 1
+          AND NOT EXISTS (SELECT 1 FROM role_members p WHERE p.snap = 0 AND p.server_name = c.server_name AND p.database_name = c.database_name
                           AND p.role_name = c.role_name AND p.member_name = c.member_name)"""),
     ),
     "j14_dropped_principals": Entry(
-        lambda t: joins.dropped_principals(snapshot(t.principals, 1), snapshot(t.principals, 0), ["login_name"]),
+        lambda t: joins.dropped_principals(snapshot(t.principals, 1), snapshot(t.principals, 0), ["server_name", "login_name"]),
         with_views("""
-        SELECT login_name, 'DROPPED' AS action_type FROM principals WHERE snap = 0
-          AND login_name NOT IN (SELECT login_name FROM principals WHERE snap = 1)"""),
+        SELECT server_name, login_name, 'DROPPED' AS action_type FROM principals p WHERE snap = 0
+          AND NOT EXISTS (SELECT 1 FROM principals c WHERE c.snap = 1 AND c.server_name = p.server_name AND c.login_name = p.login_name)"""),
     ),
     "j14_removed_role_members": Entry(
         lambda t: joins.dropped_principals(
-            snapshot(t.role_members, 1), snapshot(t.role_members, 0), ["database_name", "role_name", "member_name"], "REMOVED"
+            snapshot(t.role_members, 1), snapshot(t.role_members, 0), ["server_name", "database_name", "role_name", "member_name"], "REMOVED"
         ),
         with_views("""
-        SELECT database_name, role_name, member_name, 'REMOVED' AS action_type FROM role_members p WHERE p.snap = 0
-          AND NOT EXISTS (SELECT 1 FROM role_members c WHERE c.snap = 1 AND p.database_name = c.database_name
+        SELECT server_name, database_name, role_name, member_name, 'REMOVED' AS action_type FROM role_members p WHERE p.snap = 0
+          AND NOT EXISTS (SELECT 1 FROM role_members c WHERE c.snap = 1 AND p.server_name = c.server_name AND p.database_name = c.database_name
                           AND p.role_name = c.role_name AND p.member_name = c.member_name)"""),
     ),
     "j15_compare_servers": Entry(
-        lambda t: joins.compare_servers(snapshot(t.principals, 0), snapshot(t.principals, 1), ["login_name", "login_type"]),
-        with_views("""
-        SELECT login_name, login_type, 'SOURCE ONLY' AS side FROM principals WHERE snap = 0 AND login_name NOT IN (SELECT login_name FROM principals WHERE snap = 1)
+        lambda t: joins.compare_servers(snapshot(t.principals, 0), snapshot(t.principals, 1), ["server_name", "login_name", "login_type"]),
+        with_views("""WITH a AS (SELECT * FROM principals WHERE snap = 0), b AS (SELECT * FROM principals WHERE snap = 1)
+        SELECT server_name, login_name, login_type, 'SOURCE ONLY' AS side FROM a
+        WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.server_name = a.server_name AND b.login_name = a.login_name AND b.login_type = a.login_type)
         UNION ALL
-        SELECT login_name, login_type, 'TARGET ONLY' AS side FROM principals WHERE snap = 1 AND login_name NOT IN (SELECT login_name FROM principals WHERE snap = 0)"""),
+        SELECT server_name, login_name, login_type, 'TARGET ONLY' AS side FROM b
+        WHERE NOT EXISTS (SELECT 1 FROM a WHERE b.server_name = a.server_name AND b.login_name = a.login_name AND b.login_type = a.login_type)"""),
     ),
     "j16_role_members": Entry(
         lambda t: joins.role_members(t.role_links, t.role_catalog, snapshot(t.principals, 1)),
         with_views("""
-        SELECT r.role_name, p.login_name AS member_name, CASE WHEN p.login_type = 'SQL_LOGIN' THEN 'User' ELSE 'Group' END AS member_type,
+        SELECT r.server_name, r.role_name, p.login_name AS member_name, CASE WHEN p.login_type = 'SQL_LOGIN' THEN 'User' ELSE 'Group' END AS member_type,
                'EXEC sp_addsrvrolemember ''' || p.login_name || ''', ''' || r.role_name || ''';' AS assignment_statement
-        FROM role_links l JOIN role_catalog r ON l.role_id = r.role_id JOIN principals p ON p.principal_id = l.member_id AND p.snap = 1"""),
+        FROM role_links l JOIN role_catalog r ON l.role_id = r.role_id AND l.server_name = r.server_name
+        JOIN principals p ON p.principal_id = l.member_id AND p.server_name = l.server_name AND p.snap = 1"""),
     ),
     "j17_permissions": Entry(
         lambda t: joins.permissions(t.permission_grants, snapshot(t.principals, 1)),
         with_views("""
-        SELECT g.grant_id, a.login_name AS grantee_name, b.login_name AS grantor_name, g.permission_name, g.state_desc, 'SERVER' AS object_type
-        FROM permission_grants g JOIN principals a ON a.principal_id = g.grantee_id AND a.snap = 1
-        JOIN principals b ON b.principal_id = g.grantor_id AND b.snap = 1 WHERE g.class_id = 100"""),
+        SELECT g.server_name, g.grant_id, a.login_name AS grantee_name, b.login_name AS grantor_name, g.permission_name, g.state_desc, 'SERVER' AS object_type
+        FROM permission_grants g JOIN principals a ON a.principal_id = g.grantee_id AND a.server_name = g.server_name AND a.snap = 1
+        JOIN principals b ON b.principal_id = g.grantor_id AND b.server_name = g.server_name AND b.snap = 1 WHERE g.class_id = 100"""),
     ),
     "j18_failover_pairs": Entry(
         lambda t: joins.failover_pairs(t.replica_lag),
@@ -407,11 +433,11 @@ ENTRIES = {
     ),
     "j19_replication_channels": Entry(
         lambda t: joins.replication_channels(
-            t.replication_channel.select("channel_name", "source_host"),
-            t.replication_channel.select("channel_name", "io_state", "last_error", "events_read"),
-            t.replication_channel.select("channel_name", "sql_state", "seconds_behind", "error_count"),
+            t.replication_channel.select("server_name", "channel_name", "source_host"),
+            t.replication_channel.select("server_name", "channel_name", "io_state", "last_error", "events_read"),
+            t.replication_channel.select("server_name", "channel_name", "sql_state", "seconds_behind", "error_count"),
         ),
-        with_views("""SELECT channel_name, source_host, io_state, last_error, events_read, sql_state, seconds_behind, error_count FROM replication_channel"""),
+        with_views("""SELECT server_name, channel_name, source_host, io_state, last_error, events_read, sql_state, seconds_behind, error_count FROM replication_channel"""),
     ),
     "j20_events_vs_names": Entry(
         lambda t: joins.events_vs_names(wait_events(t), wait_names(t)),
@@ -424,7 +450,7 @@ ENTRIES = {
     "j21_column_dictionary": Entry(
         lambda t: joins.column_dictionary(*columns_parts(t)),
         with_views("""
-        SELECT database_name, schema_name, object_name, column_name, column_id,
+        SELECT server_name, database_name, schema_name, object_name, column_name, column_id,
                CASE WHEN max_length IS NOT NULL THEN data_type || '(' || max_length || ')'
                     WHEN num_precision IS NOT NULL THEN data_type || '(' || num_precision || ',' || num_scale || ')' ELSE data_type END AS type_text,
                CASE data_type WHEN 'varchar' THEN 'text' WHEN 'timestamp' THEN 'time' ELSE 'number' END AS type_family,

@@ -9,6 +9,8 @@ from fleetspan.operators import rankings
 from fleetspan.operators.rows import exclude_benign, wait_category
 from fleetspan.registry import Entry, with_views
 from fleetspan.registry.rows import SQL_WAIT_CATEGORY, sql_bytes
+from fleetspan.session import scratch_path
+from fleetspan.sources import landing, newest
 from fleetspan.sources.views import AS_OF
 
 
@@ -34,6 +36,14 @@ def sql_top(by: str, n: int, floor: int = 0) -> str:
         SELECT * FROM m ORDER BY {by} DESC NULLS LAST, {STATS_ORDER}, total_elapsed_ms, logical_reads LIMIT {n}"""
 
 
+def _newest_first(t):
+    """The history in date folders, probed for every server that ever reported and one that never did."""
+    path = scratch_path(t.spark, "wait-days")
+    landing.append_history(t.wait_stats_history, path)
+    known = t.wait_stats_history.select("server_name").union(t.spark.range(1).select(F.lit("silent")))
+    return newest.latest_rows(t.spark, path, known).drop(landing.DATE_COL)
+
+
 ENTRIES = {
     "w01_share_of_total": Entry(
         lambda t: rankings.share_of_total(fleet_waits(t), "wait_time_ms", top=20, tie=["server_name", "wait_type"])
@@ -70,6 +80,11 @@ ENTRIES = {
         SELECT * FROM database_size_history d WHERE capture_time = (SELECT max(capture_time) FROM database_size_history x
             WHERE x.server_name = d.server_name AND x.database_name = d.database_name)"""),
     ),
+    "w04_newest_first": Entry(
+        _newest_first,
+        with_views("""
+        SELECT * FROM wait_stats_history w WHERE capture_time = (SELECT max(capture_time) FROM wait_stats_history x WHERE x.server_name = w.server_name)"""),
+    ),
     "w04_latest_snapshot_global": Entry(
         lambda t: rankings.latest_snapshot(t.query_stats_snapshot, by=()),
         with_views("SELECT * FROM query_stats_snapshot WHERE capture_time = (SELECT max(capture_time) FROM query_stats_snapshot)"),
@@ -99,22 +114,23 @@ ENTRIES = {
     "t02_largest_tables": Entry(
         lambda t: rankings.largest_tables(t.table_stats),
         with_views("""
-        SELECT schema_name, table_name, CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
+        SELECT server_name, database_name, schema_name, table_name, CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
                CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb, n_live AS table_rows
-        FROM table_stats ORDER BY table_bytes + index_bytes DESC, schema_name, table_name LIMIT 20"""),
+        FROM table_stats ORDER BY table_bytes + index_bytes DESC, server_name, database_name, schema_name, table_name LIMIT 20"""),
     ),
     "t02_tables_above": Entry(
         lambda t: rankings.largest_tables(t.table_stats, n=None, min_mb=20),
         with_views("""
-        SELECT schema_name, table_name, CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
+        SELECT server_name, database_name, schema_name, table_name, CAST(round(CAST(CAST(table_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS data_mb, CAST(round(CAST(CAST(index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS index_mb,
                CAST(round(CAST(CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS total_mb, n_live AS table_rows
         FROM table_stats WHERE CAST(table_bytes + index_bytes AS DOUBLE) / 1024 / 1024 > 20"""),
     ),
     "t03_largest_databases": Entry(
         lambda t: rankings.largest_databases(t.database_size_history),
         with_views(f"""
-        SELECT server_name, database_name, total_mb, {sql_bytes('(total_mb * 1024 * 1024)')} AS size_text FROM database_size_history
-        WHERE capture_time = (SELECT max(capture_time) FROM database_size_history) ORDER BY total_mb DESC, server_name, database_name LIMIT 10"""),
+        SELECT server_name, database_name, total_mb, {sql_bytes('(total_mb * 1024 * 1024)')} AS size_text FROM database_size_history d
+        WHERE capture_time = (SELECT max(capture_time) FROM database_size_history x WHERE x.server_name = d.server_name AND x.database_name = d.database_name)
+        ORDER BY total_mb DESC, server_name, database_name LIMIT 10"""),
     ),
     "t04_index_listing": Entry(
         lambda t: rankings.index_listing(t.index_columns),

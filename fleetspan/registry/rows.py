@@ -108,7 +108,7 @@ def alert_states(t):
 def recommendations(t):
     """Index recommendations as landed rows."""
     return t.missing_index_stats.select(
-        F.col("group_handle").alias("rec_id"),
+        F.concat_ws("/", "server_name", "group_handle").alias("rec_id"),
         "capture_time",
         F.col("avg_user_impact").alias("estimated_impact"),
         "user_seeks",
@@ -201,7 +201,7 @@ ENTRIES = {
     "p08_invalid_objects": Entry(
         lambda t: rows.invalid_objects(t.object_catalog),
         with_views(f"""
-        SELECT owner, object_type, object_name, object_id, status, strftime(last_ddl_time, '%Y-%m-%d %H:%M:%S') AS last_ddl
+        SELECT server_name, database_name, owner, object_type, object_name, object_id, status, strftime(last_ddl_time, '%Y-%m-%d %H:%M:%S') AS last_ddl
         FROM object_catalog WHERE status <> 'VALID' AND object_type IN ({names(rules.CHECKED_OBJECT_TYPES)})
           AND owner NOT IN ({names(rules.SYSTEM_OWNERS_OBJECTS)})"""),
     ),
@@ -418,7 +418,7 @@ ENTRIES = {
     "p26_file_capacity_risk": Entry(
         lambda t: rows.file_capacity_risk(t.file_space),
         with_views("""
-        SELECT database_name, file_name, size_mb - used_mb AS free_mb, max_size_mb,
+        SELECT server_name, database_name, file_name, size_mb - used_mb AS free_mb, max_size_mb,
                CAST(round(CAST(CAST(size_mb - used_mb AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_gb,
                CAST(round(CAST(CAST(max_size_mb - (size_mb - used_mb) AS DOUBLE) / 1024 AS DECIMAL(38, 10)), 2) AS DOUBLE) AS used_gb,
                CAST(round(CAST(CAST(size_mb - used_mb AS DOUBLE) * 100 / nullif(max_size_mb, 0) AS DECIMAL(38, 10)), 2) AS DOUBLE) AS free_pct,
@@ -454,13 +454,13 @@ ENTRIES = {
     "p28_recent_channel_lag": Entry(
         lambda t: rows.recent_channel_lag(channels(t), AS_OF, hours=12),
         with_views(f"""
-        SELECT capture_time, replica_name, CAST(floor((sent_lsn - replay_lsn) / 1000000) AS BIGINT) AS seconds_behind
+        SELECT server_name, capture_time, replica_name, CAST(floor((sent_lsn - replay_lsn) / 1000000) AS BIGINT) AS seconds_behind
         FROM replica_lag WHERE capture_time >= {NOW} - INTERVAL '12' HOUR"""),
     ),
     "p29_replica_health": Entry(
         lambda t: rows.replica_health(t.replica_lag, AS_OF),
         with_views(f"""WITH h AS (SELECT *, operational_state = 'Online' AND sync_health = 'Healthy' AND recovery_health = 'Online' AS ok FROM replica_lag)
-        SELECT ag_name, replica_name, replica_role, capture_time, operational_state, sync_health,
+        SELECT server_name, ag_name, replica_name, replica_role, capture_time, operational_state, sync_health,
                CASE WHEN redo_queue_mb > 100 THEN 'HIGH LAG' WHEN send_queue_mb > 50 THEN 'SEND LAG' ELSE 'OK' END AS lag_status,
                CASE WHEN ok THEN 'HEALTHY' ELSE 'UNHEALTHY' END AS health_status,
                CASE WHEN replica_role = 'PRIMARY' AND NOT ok THEN 'ACTION REQUIRED' ELSE '' END AS action_required
@@ -469,7 +469,7 @@ ENTRIES = {
     "p30_sync_lag_minutes": Entry(
         lambda t: rows.sync_lag_minutes(t.replica_lag, AS_OF),
         with_views(f"""
-        SELECT ag_name, database_name, replica_name, capture_time, last_commit_time, {sql_minutes('last_commit_time', NOW)} AS sync_lag_minutes
+        SELECT server_name, ag_name, database_name, replica_name, capture_time, last_commit_time, {sql_minutes('last_commit_time', NOW)} AS sync_lag_minutes
         FROM replica_lag WHERE capture_time >= {NOW} - INTERVAL '24' HOUR"""),
     ),
     "p31_query_issue_reads_first": Entry(
@@ -551,7 +551,7 @@ ENTRIES = {
     ),
     "p36_recommendations_open": Entry(
         lambda t: rows.recommendations_open(recommendations(t), AS_OF),
-        with_views(f"""WITH r AS (SELECT group_handle AS rec_id, capture_time, avg_user_impact AS estimated_impact, user_seeks,
+        with_views(f"""WITH r AS (SELECT server_name || '/' || group_handle AS rec_id, capture_time, avg_user_impact AS estimated_impact, user_seeks,
                    CASE WHEN avg_user_impact % 10 = 3 THEN 1 ELSE 0 END AS is_implemented FROM missing_index_stats)
         SELECT *, {sql_band('estimated_impact', rules.RECOMMENDATION_PRIORITY, 'LOW')} AS priority
         FROM r WHERE is_implemented = 0 AND capture_time >= {NOW} - INTERVAL '7' DAY
@@ -563,12 +563,12 @@ ENTRIES = {
                 {"implemented_date": F.lit(None).cast("timestamp_ntz"), "notes": F.lit(None).cast("string")}
             ),
             t.missing_index_stats.where(F.col("user_seeks") > 130).select(
-                F.col("group_handle").alias("rec_id"), F.concat(F.lit("seeks "), "user_seeks").alias("notes")
+                F.concat_ws("/", "server_name", "group_handle").alias("rec_id"), F.concat(F.lit("seeks "), "user_seeks").alias("notes")
             ),
             AS_OF,
         ),
         with_views(f"""
-        SELECT group_handle AS rec_id, capture_time, avg_user_impact AS estimated_impact, user_seeks,
+        SELECT server_name || '/' || group_handle AS rec_id, capture_time, avg_user_impact AS estimated_impact, user_seeks,
                CASE WHEN user_seeks > 130 OR avg_user_impact % 10 = 3 THEN 1 ELSE 0 END AS is_implemented,
                CASE WHEN user_seeks > 130 THEN {NOW} END AS implemented_date,
                CASE WHEN user_seeks > 130 THEN 'seeks ' || user_seeks END AS notes

@@ -10,7 +10,7 @@ from fleetspan.functions.rules import CONTENTION_WAITS
 from fleetspan.operators import ingest
 from fleetspan.registry import Entry, with_views
 from fleetspan.session import scratch_path
-from fleetspan.sources import landing
+from fleetspan.sources import landing, logfiles
 from fleetspan.sources.versioned import VersionedTable
 from fleetspan.sources.views import AS_OF
 
@@ -41,6 +41,17 @@ def _slow_log(t):
     )
 
 
+def _log_files(t):
+    """The connection log as text files in which failures have a detail of two lines, read back as records."""
+    prefix = F.regexp_extract("line", r"^(.*?\] \S+ )", 1)
+    rule = F.concat(F.lit("DETAIL:  Connection matched rule "), F.regexp_extract("line", r"\[(\d+)\]", 1), F.lit("\n\tof the host file"))
+    text = F.when(F.col("line").contains("FATAL"), F.concat("line", F.lit("\n"), prefix, rule)).otherwise(F.col("line"))
+    path = scratch_path(t.spark, "server-log")
+    t.connection_log.select(text.alias("value")).write.text(path)
+    records = logfiles.log_records(logfiles.read_lines(t.spark, path))
+    return ingest.parse_connection_log(records, AS_OF, days_back=20, keep=["added"])
+
+
 def _upsert(t):
     stats = t.query_stats_snapshot.select("server_name", "query_hash", "capture_time", "exec_count", "total_elapsed_ms")
     cut = AS_OF - timedelta(hours=2, minutes=30)
@@ -261,7 +272,7 @@ ENTRIES = {
     "s11_capture_channels": Entry(
         lambda t: ingest.capture_channels(t.replication_channel, AS_OF),
         with_views(f"""
-        SELECT channel_name, source_host, io_state, sql_state, seconds_behind, events_read, last_error, {NOW} AS recorded_at FROM replication_channel"""),
+        SELECT server_name, channel_name, source_host, io_state, sql_state, seconds_behind, events_read, last_error, {NOW} AS recorded_at FROM replication_channel"""),
     ),
     "s11_capture_database_sync": Entry(
         lambda t: ingest.capture_database_sync(t.replica_lag, AS_OF),
@@ -313,6 +324,19 @@ ENTRIES = {
         FROM connection_log WHERE line NOT LIKE '%checkpoint%'
           AND CAST(regexp_extract(line, '^(\\S+ \\S+) UTC', 1) AS TIMESTAMP) >= {NOW} - INTERVAL '20' DAY"""),
     ),
+    "s14_log_files": Entry(
+        _log_files,
+        with_views(f"""
+        SELECT CAST(regexp_extract(line, '^(\\S+ \\S+) UTC', 1) AS TIMESTAMP) AS log_time,
+               regexp_extract(line, '\\] (\\w+)@', 1) AS username, regexp_extract(line, '@(\\w+) ', 1) AS database_name,
+               nullif(regexp_extract(line, 'host=(\\S+)', 1), '') AS client_addr,
+               CASE WHEN line LIKE '%connection received%' THEN 'LOGIN' WHEN line LIKE '%disconnection%' THEN 'LOGOUT'
+                    ELSE 'FAILED_LOGIN' END AS event_type,
+               CAST(regexp_extract(line, '\\[(\\d+)\\]', 1) AS BIGINT) AS process_id,
+               CASE WHEN line LIKE '%FATAL%' THEN 'DETAIL: Connection matched rule ' || regexp_extract(line, '\\[(\\d+)\\]', 1) || chr(10) || chr(9) || 'of the host file' END AS added
+        FROM connection_log WHERE line NOT LIKE '%checkpoint%'
+          AND CAST(regexp_extract(line, '^(\\S+ \\S+) UTC', 1) AS TIMESTAMP) >= {NOW} - INTERVAL '20' DAY"""),
+    ),
     "s15_purge_keep": Entry(
         lambda t: ingest.purge_keep(t.login_audit, "login_time", AS_OF, retention_days=14),
         with_views(f"""SELECT * FROM login_audit WHERE login_time >= {NOW} - INTERVAL '14' DAY"""),

@@ -214,38 +214,45 @@ FROM {lineitem}
 """
 
 # Two snapshots (0 = previous, 1 = current): each leaves out one market segment,
-# so some logins appear and some disappear while every customer is in at least one.
+# so some logins appear and some disappear while every customer is in at least one. Ids and names repeat
+# across the three servers; role names differ, so that a join without the server shows.
 VIEWS["principals"] = """
-SELECT 0 AS snap, c_custkey AS principal_id, concat('login', c_custkey) AS login_name,
+SELECT 0 AS snap, concat('srv', c_custkey % 3) AS server_name, CAST(floor(c_custkey / 3) AS BIGINT) AS principal_id,
+       concat('login', CAST(floor(c_custkey / 3) AS BIGINT)) AS login_name,
        CASE WHEN c_custkey % 2 = 0 THEN 'SQL_LOGIN' ELSE 'WINDOWS_LOGIN' END AS login_type, 0 AS is_disabled
 FROM {customer} WHERE c_mktsegment <> 'HOUSEHOLD'
 UNION ALL
-SELECT 1 AS snap, c_custkey AS principal_id, concat('login', c_custkey) AS login_name,
+SELECT 1 AS snap, concat('srv', c_custkey % 3) AS server_name, CAST(floor(c_custkey / 3) AS BIGINT) AS principal_id,
+       concat('login', CAST(floor(c_custkey / 3) AS BIGINT)) AS login_name,
        CASE WHEN c_custkey % 2 = 0 THEN 'SQL_LOGIN' ELSE 'WINDOWS_LOGIN' END AS login_type,
        CASE WHEN c_custkey % 23 = 0 THEN 1 ELSE 0 END AS is_disabled
 FROM {customer} WHERE c_mktsegment <> 'MACHINERY'
 """
 
 VIEWS["role_members"] = """
-SELECT 0 AS snap, concat('db', c_custkey % 12) AS database_name, concat('role', c_nationkey) AS role_name,
-       concat('login', c_custkey) AS member_name
+SELECT 0 AS snap, concat('srv', c_custkey % 3) AS server_name, concat('db', CAST(floor(c_custkey / 3) AS BIGINT) % 4) AS database_name,
+       concat('role', c_nationkey) AS role_name, concat('login', CAST(floor(c_custkey / 3) AS BIGINT)) AS member_name
 FROM {customer} WHERE c_acctbal >= 0
 UNION ALL
-SELECT 1 AS snap, concat('db', c_custkey % 12) AS database_name, concat('role', c_nationkey) AS role_name,
-       concat('login', c_custkey) AS member_name
+SELECT 1 AS snap, concat('srv', c_custkey % 3) AS server_name, concat('db', CAST(floor(c_custkey / 3) AS BIGINT) % 4) AS database_name,
+       concat('role', c_nationkey) AS role_name, concat('login', CAST(floor(c_custkey / 3) AS BIGINT)) AS member_name
 FROM {customer} WHERE c_acctbal < 8000
 """
 
 VIEWS["role_catalog"] = """
-SELECT 1000000000 + CAST(n_nationkey AS BIGINT) AS role_id, concat('role_', lower(n_name)) AS role_name FROM {nation}
+SELECT concat('srv', c_custkey % 3) AS server_name, 1000000000 + CAST(c_nationkey AS BIGINT) AS role_id,
+       concat('role_', c_custkey % 3, '_', c_nationkey) AS role_name
+FROM {customer} GROUP BY c_custkey % 3, c_nationkey
 """
 
 VIEWS["role_links"] = """
-SELECT 1000000000 + CAST(c_nationkey AS BIGINT) AS role_id, c_custkey AS member_id FROM {customer}
+SELECT concat('srv', c_custkey % 3) AS server_name, 1000000000 + CAST(c_nationkey AS BIGINT) AS role_id,
+       CAST(floor(c_custkey / 3) AS BIGINT) AS member_id FROM {customer}
 """
 
 VIEWS["permission_grants"] = """
-SELECT o_orderkey AS grant_id, o_custkey AS grantee_id, CAST(floor(o_custkey / 10) AS BIGINT) AS grantor_id,
+SELECT concat('srv', o_custkey % 3) AS server_name, o_orderkey AS grant_id, CAST(floor(o_custkey / 3) AS BIGINT) AS grantee_id,
+       CAST(floor(o_custkey / 30) AS BIGINT) AS grantor_id,
        CASE o_orderpriority WHEN '1-URGENT' THEN 'CONTROL SERVER' WHEN '2-HIGH' THEN 'ALTER ANY LOGIN'
             WHEN '3-MEDIUM' THEN 'VIEW SERVER STATE' ELSE 'CONNECT SQL' END AS permission_name,
        CASE o_orderstatus WHEN 'F' THEN 'GRANT' WHEN 'P' THEN 'DENY' ELSE 'GRANT_WITH_GRANT_OPTION' END AS state_desc,
@@ -254,8 +261,9 @@ FROM {orders}
 """
 
 VIEWS["column_catalog"] = """
-SELECT concat('db', p_partkey % 3) AS database_name, 'COLUMN' AS object_type, concat('schema', p_size % 4) AS schema_name,
-       concat('t', CAST(floor(p_partkey / 10) AS BIGINT)) AS object_name, concat('c', p_partkey) AS column_name, p_partkey AS column_id,
+SELECT concat('srv', CAST(floor(p_partkey / 3) AS BIGINT) % 3) AS server_name, concat('db', p_partkey % 3) AS database_name, 'COLUMN' AS object_type,
+       concat('schema', p_size % 4) AS schema_name, concat('t', CAST(floor(p_partkey / 90) AS BIGINT)) AS object_name,
+       concat('c', CAST(floor(p_partkey / 9) AS BIGINT)) AS column_name, CAST(floor(p_partkey / 9) AS BIGINT) AS column_id,
        CASE p_size % 4 WHEN 0 THEN 'varchar' WHEN 1 THEN 'decimal' WHEN 2 THEN 'int' ELSE 'timestamp' END AS data_type,
        CASE WHEN p_size % 4 = 0 THEN p_size END AS max_length, CASE WHEN p_size % 4 = 1 THEN 18 END AS num_precision,
        CASE WHEN p_size % 4 = 1 THEN 2 END AS num_scale, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE 1 END AS is_nullable,
@@ -266,11 +274,11 @@ FROM {part}
 """
 
 VIEWS["object_catalog"] = """
-SELECT concat('db', p_partkey % 3) AS database_name,
-       CASE p_partkey % 9 WHEN 0 THEN 'SYS' WHEN 1 THEN 'CTXSYS' ELSE concat('owner', p_size % 6) END AS owner,
-       CASE p_partkey % 6 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'PROCEDURE' WHEN 2 THEN 'FUNCTION' WHEN 3 THEN 'PACKAGE BODY'
+SELECT concat('srv', CAST(floor(p_partkey / 3) AS BIGINT) % 3) AS server_name, concat('db', p_partkey % 3) AS database_name,
+       CASE CAST(floor(p_partkey / 9) AS BIGINT) % 9 WHEN 0 THEN 'SYS' WHEN 1 THEN 'CTXSYS' ELSE concat('owner', p_size % 6) END AS owner,
+       CASE CAST(floor(p_partkey / 2) AS BIGINT) % 6 WHEN 0 THEN 'VIEW' WHEN 1 THEN 'PROCEDURE' WHEN 2 THEN 'FUNCTION' WHEN 3 THEN 'PACKAGE BODY'
             WHEN 4 THEN 'SEQUENCE' ELSE 'TRIGGER' END AS object_type,
-       concat('obj', p_partkey) AS object_name, p_partkey AS object_id,
+       concat('obj', CAST(floor(p_partkey / 9) AS BIGINT)) AS object_name, CAST(floor(p_partkey / 9) AS BIGINT) AS object_id,
        CASE WHEN p_size % 5 = 0 THEN 'INVALID' ELSE 'VALID' END AS status,
        TIMESTAMP '2024-01-31 00:00:00' - (p_partkey % 500) * INTERVAL '1' HOUR AS last_ddl_time
 FROM {part}
@@ -316,7 +324,8 @@ FROM {events} GROUP BY concat('srv', user_id % 5), date_trunc('day', ts), event_
 """
 
 VIEWS["replication_channel"] = """
-SELECT concat('ch', s_suppkey) AS channel_name, concat('host', s_nationkey) AS source_host,
+SELECT concat('srv', s_suppkey % 3) AS server_name, concat('ch', CAST(floor(s_suppkey / 3) AS BIGINT)) AS channel_name,
+       concat('host', s_nationkey) AS source_host,
        CASE WHEN s_suppkey % 13 = 0 THEN 'OFF' ELSE 'ON' END AS io_state,
        CASE WHEN s_suppkey % 17 = 0 THEN 'OFF' ELSE 'ON' END AS sql_state,
        CAST(floor(abs(s_acctbal)) AS BIGINT) AS seconds_behind,
@@ -350,7 +359,7 @@ FROM {events}
 """
 
 VIEWS["missing_index_details"] = """
-SELECT p_partkey AS index_handle, concat('db', p_partkey % 12) AS database_name, concat('schema', p_partkey % 4) AS schema_name,
+SELECT concat('srv', p_partkey % 3) AS server_name, CAST(floor(p_partkey / 3) AS BIGINT) AS index_handle, concat('db', p_partkey % 12) AS database_name, concat('schema', p_partkey % 4) AS schema_name,
        concat('t', p_partkey) AS table_name, concat('[c', p_partkey % 5, '], [c', p_partkey % 3 + 5, ']') AS equality_columns,
        CASE WHEN p_size % 2 = 0 THEN concat('[d', p_size % 7, ']') END AS inequality_columns,
        CASE WHEN p_size % 3 = 0 THEN concat('[e', p_size % 5, ']') END AS included_columns
@@ -358,11 +367,12 @@ FROM {part}
 """
 
 VIEWS["missing_index_groups"] = """
-SELECT p_partkey AS index_handle, p_partkey + 1000000 AS group_handle FROM {part}
+SELECT concat('srv', p_partkey % 3) AS server_name, CAST(floor(p_partkey / 3) AS BIGINT) AS index_handle,
+       CAST(floor(p_partkey / 3) AS BIGINT) + 1000000 AS group_handle FROM {part}
 """
 
 VIEWS["missing_index_stats"] = """
-SELECT l_partkey + 1000000 AS group_handle, CAST(count(*) AS BIGINT) * 4 AS user_seeks,
+SELECT concat('srv', l_partkey % 3) AS server_name, CAST(floor(l_partkey / 3) AS BIGINT) + 1000000 AS group_handle, CAST(count(*) AS BIGINT) * 4 AS user_seeks,
        CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS avg_user_cost, CAST(l_partkey % 100 AS BIGINT) AS avg_user_impact,
        TIMESTAMP '2024-01-31 00:00:00' - (l_partkey % 10) * INTERVAL '1' DAY AS capture_time
 FROM {lineitem} GROUP BY l_partkey

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
 from fleetspan.operators import joins
@@ -70,6 +71,44 @@ def test_walk_lists_every_step_and_a_circle_once(spark):
     assert got == want
 
 
+def brute_paths(edges):
+    """Per blocked session: (blocked_by, root, cycle_id, in_cycle, level, path) by walking."""
+    by = {s: b for s, b in edges if b > 0}
+    out = {}
+    for s in by:
+        way, at = [], s
+        while at in by and at not in way:
+            way.append(at)
+            at = by[at]
+        if at in way:
+            circle = way[way.index(at) :]
+            first = min(circle)
+            steps = way[: way.index(first)]
+            out[s] = (by[s], None, first, s in circle, len(steps), " > ".join(map(str, [first, *reversed(steps)])))
+        else:
+            out[s] = (by[s], at, None, False, len(way), " > ".join(map(str, [at, *reversed(way)])))
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_paths_and_named_circles_match_walks(spark, seed):
+    rng = random.Random(seed)
+    edges = [(i, rng.choice([0, rng.randint(1, 60), max(1, i - 1)])) for i in range(1, 61)]
+    edges += [(100, 101), (101, 102), (102, 100), (103, 102), (104, 103), (110, 110), (111, 110), (120, 999)]
+    edges += [(200 + i, 199 + i if i else 0) for i in range(40)]  # a long chain
+    edges += [(300 + i, 300 + (i + 1) % 17) for i in range(17)] + [(330, 316)]  # a long circle with one waiting for it
+    people = sessions(spark, edges).unionByName(sessions(spark, [(1, 2), (2, 0)], "srv1"))
+    out = joins.blocking_paths(people).collect()
+    got = {r.session_id: (r.blocked_by, r.root_blocker, r.cycle_id, r.in_cycle, r.level, r.path) for r in out if r.server_name == "srv0"}
+    assert got == brute_paths(edges)
+    assert [(r.session_id, r.path, r.chain) for r in out if r.server_name == "srv1"] == [(1, "2 > 1", "  1")]
+    deep = next(r for r in out if r.session_id == 239 and r.server_name == "srv0")
+    assert deep.chain == "  " * 39 + "239"
+    circles = {r.cycle_id: sum(x.cycle_id == r.cycle_id and x.in_cycle for x in out) for r in out if r.cycle_id}
+    assert circles[100] == 3 and circles[110] == 1 and circles[300] == 17
+    assert joins.blocking_paths(sessions(spark, [(1, 0)])).count() == 0
+
+
 def test_equal_servers_do_not_mix(spark):
     edges = [(1, 0), (2, 1), (3, 2), (4, 2), (5, 9), (6, 7), (7, 6), (8, 3)]
     one = sessions(spark, edges)
@@ -160,6 +199,43 @@ def test_duplicate_indexes_against_pairs(spark):
         assert r.recommendation == want
 
 
+@pytest.mark.parametrize("percent", [30, 50, 67, 100])
+def test_overlapping_sets_against_all_pairs(spark, percent):
+    rng = random.Random(percent)
+    defs = []
+    for i in range(1, 120):
+        table = "hot" if i % 2 else f"t{i % 5}"
+        names = [c for c in rng.sample("abcdefg", rng.randint(1, 4))]
+        if table == "hot" and "a" not in names:
+            names.append("a")  # a column of every index of the table
+        defs.append((table, i, 0, 0, names))
+    cols, catalog = _indexes(spark, defs)
+    first = {}
+    for t, i, _, _, names in defs:
+        first.setdefault((t, frozenset(names)), i)
+    sets = sorted((t, i, s) for (t, s), i in first.items())
+    want = {
+        (t, f"ix{i}", f"ix{j}", ", ".join(sorted(a & b)))
+        for t, i, a in sets for u, j, b in sets
+        if t == u and i < j and a & b and 100 * len(a & b) >= percent * len(a | b)
+    }
+    out = joins.overlapping_indexes(cols, catalog, percent).collect()
+    got = {(r.table_name, r.index1_name, r.index2_name, r.shared_columns) for r in out}
+    assert got == want and len(out) == len(want)
+    members = joins.column_sets(cols, catalog).collect()
+    assert len(members) == len(defs)
+    for r in members:
+        same = [d for d in defs if d[0] == r.table_name and set(d[4]) == set(r.column_set)]
+        assert (r.set_id, r.set_size) == (min(d[1] for d in same), len(same)) and r.index_id in {d[1] for d in same}
+
+
+def test_a_column_of_every_index_brings_no_one_together(spark):
+    """Rare columns come first: sets that share nothing but the common one never meet, and the hot group is no pair list."""
+    defs = [("t", i, 0, 0, ["id", f"c{i}", f"d{i}"]) for i in range(1, 400)] + [("t", 500, 0, 0, ["c7", "id", "d7", "x"])]
+    cols, catalog = _indexes(spark, defs)
+    assert [(r.index1_name, r.index2_name, r.overlap_pct) for r in joins.overlapping_indexes(cols, catalog, 50).collect()] == [("ix7", "ix500", 75.0)]
+
+
 def test_duplicate_columns_against_pairs(spark):
     defs = [("t", 1, 0, 0, ["a", "b"]), ("t", 2, 0, 0, ["a", "c"]), ("t", 3, 1, 0, ["a", "b"]), ("t", 4, 0, 0, ["b"]), ("u", 5, 0, 0, ["a"])]
     cols, catalog = _indexes(spark, defs)
