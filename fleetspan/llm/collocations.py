@@ -1,8 +1,9 @@
 """Phrase collocations by stripes: every prefix holds a counter of the words that follow it.
 
-Stripes are built level by level. A task counts the next words of each prefix in its texts and
-sends (prefix, next words, counts); stripes of the same prefix are merged entry by entry, so the
-stripe of a frequent prefix is no single group. Everything that is asked for comes from the merged
+Stripes are built level by level. A task counts the next words of each prefix in its texts and sends
+one row (prefix, next words, counts); stripes of the same prefix are merged entry by entry. A prefix
+that holds a thousandth of all words or more, of which there are a thousand at most, has its stripe
+cut into slots by a hash of the next word, so no stripe is a large group. Everything that is asked for comes from the merged
 entries: an entry is a phrase and its count; the empty prefix's total is the number of words; the
 greatest entry of a prefix, and of the phrases that end in it, tells whether a longer phrase takes
 its place.
@@ -45,7 +46,8 @@ _BYTES = bytes(
     for b in range(256)
 )
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-STRIPES = "lang string, prefix binary, next array<binary>, n array<long>"
+HOT_SHARE = 1000  # a prefix is cut into slots if it holds one in so many words
+STRIPES = "lang string, prefix binary, slot int, next binary, n array<int>"
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,8 +68,8 @@ def word_hash(lang: str, word: bytes) -> int:
 class Counter:
     """Stripes of one language in one task."""
 
-    def __init__(self, lang: str, length: int, bits: np.ndarray | None):
-        self.lang, self.length, self.bits = lang, length, bits
+    def __init__(self, lang: str, length: int, bits: np.ndarray | None, hot: frozenset[bytes], slots: int):
+        self.lang, self.length, self.bits, self.hot, self.slots = lang, length, bits, hot, slots
         self.numbers, self.hashes = defaultdict(count().__next__), []
         self.numbers[_BREAK]
 
@@ -111,14 +113,28 @@ class Counter:
         for i in range(k - 1):
             prefix = np.unique(prefix * base + codes[at + i], return_inverse=True)[1]
         entry, first, n = np.unique(prefix * base + codes[at + k - 1], return_index=True, return_counts=True)
-        starts = np.flatnonzero(np.diff(entry // base, prepend=-1))
+        starts = np.flatnonzero(np.diff(entry // base, prepend=-1)).tolist()
         places = at[first]
         prefixes = [b" ".join(words[p : p + k - 1]) for p in places[starts].tolist()]
         nexts = [words[p] for p in (places + k - 1).tolist()]
-        offsets = pa.array(np.append(starts, len(entry)).astype(np.int32))
+        ends = [*starts[1:], len(entry)]
+        rows, slots, joined_, order, offsets = [], [], [], [], [0]
+        for phrase, a, b in zip(prefixes, starts, ends, strict=True):
+            parts = {0: range(a, b)}
+            if phrase in self.hot:
+                parts = defaultdict(list)
+                for i in range(a, b):
+                    parts[xxhash.xxh3_64_intdigest(nexts[i]) % self.slots].append(i)
+            for slot, entries in parts.items():
+                rows.append(phrase)
+                slots.append(slot)
+                joined_.append(b" ".join([nexts[i] for i in entries]))
+                order.extend(entries)
+                offsets.append(len(order))
+        counts = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(n[order].astype(np.int32)))
         return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang] * len(starts)), pa.array(prefixes, pa.binary()), pa.ListArray.from_arrays(offsets, pa.array(nexts, pa.binary())), pa.ListArray.from_arrays(offsets, pa.array(n))],
-            names=["lang", "prefix", "next", "n"],
+            [pa.array([self.lang] * len(rows)), pa.array(rows, pa.binary()), pa.array(slots, pa.int32()), pa.array(joined_, pa.binary()), counts],
+            names=["lang", "prefix", "slot", "next", "n"],
         )
 
 
@@ -134,9 +150,13 @@ def words_of(texts: list[bytes], carried: int) -> Iterator[list[bytes]]:
         before, at = words[len(words) - carried :] if carried else [], end
 
 
-def count_level(docs: DataFrame, length: int, bits: np.ndarray | None) -> DataFrame:
-    """Merged entries of the stripes of prefixes of ``length`` - 1 words: lang, prefix, next, a."""
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+def count_level(docs: DataFrame, length: int, bits: np.ndarray | None, hot: dict[str | None, frozenset[bytes]]) -> DataFrame:
+    """Merged entries of the stripes of prefixes of ``length`` - 1 words: lang, prefix, next, a.
+
+    ``hot`` names, by language (None: any), the prefixes whose stripes are cut into slots.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((bits, hot))
+    slots = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters: dict[str, Counter] = {}
@@ -148,16 +168,19 @@ def count_level(docs: DataFrame, length: int, bits: np.ndarray | None) -> DataFr
                 if lang not in counters:
                     if len(counters) >= 64:  # languages that a task keeps words of
                         counters.clear()
-                    counters[lang] = Counter(lang, length, shared.value)
+                    bits, hot = shared.value
+                    counters[lang] = Counter(lang, length, bits, hot.get(lang, hot.get(None, frozenset())), slots)
                 for words in words_of(some, length - 1):
                     found = counters[lang].stripes(words)
                     if found is not None:
                         yield found
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANG)).alias("lang"), F.col("text").cast("binary").alias("text")).where("text IS NOT NULL")
-    entries = rows.mapInArrow(run, STRIPES).select("lang", "prefix", F.inline(F.arrays_zip("next", "n")))
-    entries = entries.select("lang", F.col("prefix").cast("string").alias("prefix"), F.col("next").cast("string").alias("next"), "n")
-    return entries.groupBy("lang", "prefix", "next").agg(F.sum("n").alias("a"))
+    # Stripes travel as rows; their entries are counted where they arrive, without a further shuffle.
+    stripes = rows.mapInArrow(run, STRIPES).withColumns({"prefix": F.col("prefix").cast("string"), "next": F.col("next").cast("string")})
+    stripes = stripes.repartition("lang", "prefix", "slot")
+    entries = stripes.select("lang", "prefix", "slot", F.inline(F.arrays_zip(F.split("next", " ").alias("next"), "n")))
+    return entries.groupBy("lang", "prefix", "slot", "next").agg(F.sum("n").alias("a")).drop("slot")
 
 
 def phrase_bits(phrases: DataFrame, n: int) -> np.ndarray:
@@ -186,16 +209,26 @@ def phrase_bits(phrases: DataFrame, n: int) -> np.ndarray:
     return out
 
 
+def _hot_prefixes(level: DataFrame, all_words: int) -> dict[str | None, frozenset[bytes]]:
+    """The phrases of one length that hold a thousandth of all words or more, by language: a thousand at most."""
+    found = defaultdict(set)
+    for r in level.where(F.col("a") * HOT_SHARE >= all_words).select("lang", "phrase").collect():
+        found[r["lang"]].add(r["phrase"].encode("utf-8", "surrogatepass"))
+    return {lang: frozenset(some) for lang, some in found.items()}
+
+
 def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFrame, DataFrame]:
     """(counts, totals): lang, phrase, prefix, suffix, length, a of all frequent phrases; lang, n of all words."""
     spark = docs.sparkSession
     folder = scratch_path(spark, "stripes")
-    bits = None
+    bits, hot = None, {None: frozenset([b""])}
     for length in range(1, longest + 1):
-        entries = count_level(docs, length, bits)
+        entries = count_level(docs, length, bits, hot)
         if length == 1:  # the whole stripe of the empty prefix: its total is the number of words
             entries.write.parquet(f"{folder}/words")
             entries = spark.read.parquet(f"{folder}/words")
+            entries.groupBy("lang").agg(F.sum("a").alias("n")).write.parquet(f"{folder}/totals")
+            all_words = spark.read.parquet(f"{folder}/totals").agg(F.sum("n")).first()[0] or 0
         phrase = F.col("next") if length == 1 else F.concat_ws(" ", "prefix", "next")
         kept = entries.where(F.col("a") >= least).select("lang", phrase.alias("phrase"), "prefix", "a")
         suffix = F.substring_index("phrase", " ", -(length - 1)) if length > 1 else F.lit("")
@@ -206,7 +239,7 @@ def frequent_phrases(docs: DataFrame, longest: int, least: int) -> tuple[DataFra
             if not n:  # then no longer phrase is frequent either
                 break
             bits = phrase_bits(level, n)
-    spark.read.parquet(f"{folder}/words").groupBy("lang").agg(F.sum("a").alias("n")).write.parquet(f"{folder}/totals")
+            hot = _hot_prefixes(level, all_words)
     return spark.read.parquet(f"{folder}/counts"), spark.read.parquet(f"{folder}/totals")
 
 
