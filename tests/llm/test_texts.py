@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -157,6 +158,75 @@ def test_guess_costs():
     assert cost("hunter2zzz") > cost("password")
 
 
+def brute_cost(value, ranks):
+    """The cheapest of all segmentations: every segment of every kind, tried from every start."""
+    low, n = value.lower(), len(value)
+    best = [0.0] + [float("inf")] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            join = secret_scan.JOIN_COST if i else 0.0
+            part, plain = low[i:j], value[i:j]
+            costs = []
+            if j - i == 1:
+                best[j] = min(best[j], best[i] + secret_scan._brute(plain))
+            if part in ranks and 2 <= j - i <= secret_scan.LONGEST_WORD:
+                shape = 0 if plain == part else np.log10(2) if plain.istitle() or plain.isupper() else (j - i) * np.log10(2)
+                costs.append(np.log10(ranks[part]) + shape)
+            date = secret_scan._DATE.match(value, i)
+            if date and (date.end() == j or (j == i + 4 and j <= date.end())):
+                costs.append(np.log10(120) if j - i <= 4 else np.log10(365 * 120))
+            for u in range(1, min(secret_scan.LONGEST_UNIT, (j - i) // 2) + 1):
+                if (j - i) % u == 0 and part == part[:u] * ((j - i) // u):
+                    costs.append(sum(map(secret_scan._brute, plain[:u])) + np.log10((j - i) // u))
+            if j - i >= 3 and all(a + b in secret_scan._NEXT for a, b in zip(part, part[1:], strict=False)):
+                costs.append(np.log10(40) + np.log10(2 * (j - i)))
+            if costs:
+                best[j] = min(best[j], best[i] + join + min(costs))
+    return best[n]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "aab", "qwe", "we", "1999", "12", "pass", "Pass", "word", "X", "-", "0102", "longer"]), max_size=12).map("".join))
+def test_guess_cost_is_the_least_of_all_segmentations(value):
+    ranks = {"pass": 3, "word": 40, "password": 1, "we": 9, "longer": 700}
+    want = brute_cost(value, ranks)
+    assert abs(secret_scan.guess_cost(value, ranks) - want) < 1e-9
+    assert (secret_scan.guess_cost(value, ranks, 8.0) >= 8.0) == (want >= 8.0 - 1e-12)
+
+
+@pytest.mark.parametrize("value", ["a" * 20_000, "qwertyuiop" * 2_000, "as" * 10_000, "x9K!" * 5_000, "0123456789abcdef!" * 1_200])
+def test_long_values_take_a_pass(value):
+    start = time.perf_counter()
+    secret_scan.guess_cost(value, enough=secret_scan.LEAST_COST)
+    assert secret_scan.find_secrets(f"pwd = {value}!") is not None
+    assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("text,value", [
+    ("password:         hunter2x!Kq$9vLm", "hunter2x!Kq$9vLm"), ("Authorization: Bearer x!Zx9#kQ2p", "x!Zx9#kQ2p"), ("password:\n    x!Zx9#kQ2p", "x!Zx9#kQ2p"),
+    ("ftp://bob:x!Zx9#kQ2p@host/a", "x!Zx9#kQ2p"), ('"password" : "p@ss w0rd!x9"', "p@ss w0rd!x9"), ("pwd=" + "vX9!mK2$e" * 2 + " x", "vX9!mK2$e" * 2),
+])
+def test_values_that_stand_apart_from_their_name(text, value):
+    at = text.index(value)
+    assert any(a <= at and at + len(value) <= b for a, b, _ in secret_scan.find_secrets(text))
+    assert value[-5:] not in secret_scan.redacted(text)
+
+
+def test_words_of_the_texts_are_no_secrets(spark):
+    plain = ["auth: disabled", "credentials: required", "the secret: wisdom", "access_key: international", "passphrase: Required"]
+    rows = [(i, f"service {i} is disabled or required by international wisdom") for i in range(secret_scan.LEAST_TEXTS)]
+    rows += [(100 + i, t) for i, t in enumerate(plain)] + [(200, "auth: zqxvkwpjh"), (201, None)]
+    docs = documents(spark, rows)
+    ranks = secret_scan.known_words(docs)
+    assert {"disabled", "wisdom", "password"} <= set(ranks) and "zqxvkwpjh" not in ranks and len(set(ranks.values())) == len(ranks)
+    got = {r.doc_id: r.spans for r in secret_scan.scan_secrets(docs).collect()}
+    assert [got[100 + i] for i in range(len(plain))] == [""] * len(plain)
+    assert got[200] == "guess:6:15" and got[201] == ""
+    assert {r.doc_id: r.text for r in secret_scan.redact_documents(docs).collect()}[101] == plain[1]
+    assert secret_scan.known_words(docs, most=1, least_texts=2).keys() - secret_scan.RANKS.keys() == {"required"}
+    assert secret_scan.redact_documents(documents(spark, [])).count() == 0
+
+
 def test_a_value_longer_than_its_base_span_goes_whole():
     for text, spans, clean in [
         ("password=hunter2x!Kq$9vLm end", [(0, 17, 0), (9, 25, 3)], "[assign] end"),
