@@ -201,7 +201,7 @@ def test_unhealthy_primary_without_a_state(spark):
         "ag_name string, replica_name string, replica_role string, capture_time timestamp_ntz, operational_state string, sync_health string, "
         "recovery_health string, redo_queue_mb long, send_queue_mb long",
     )
-    out = rows.replica_health(row, NOW).first()
+    out = rows.replica_health(row.withColumn("server_name", F.lit("s")), NOW).first()
     assert (out.health_status, out.action_required) == ("UNHEALTHY", "ACTION REQUIRED")
 
 
@@ -250,14 +250,15 @@ def test_query_issue_profiles(spark):
 
 def test_row_chaining_and_vacuum(spark):
     tables = spark.createDataFrame([("a", "t1", 10001, 1001), ("a", "t2", 10000, 5000), ("SYS", "t3", 20000, 9000)], "schema_name string, table_name string, n_live long, chained_rows long")
-    out = rows.row_chaining(tables).collect()
+    where = {"server_name": F.lit("s"), "database_name": F.lit("d")}
+    out = rows.row_chaining(tables.withColumns(where)).collect()
     assert [(r.table_name, r.status) for r in out] == [("t1", "REBUILD NEEDED")]
     vac = spark.createDataFrame(
         [("s", "a", 10, 1000, ago(days=9)), ("s", "b", 10, 10001, ago(days=2)), ("s", "c", 10, 10001, ago(hours=2)),
          ("s", "d", 10, 50001, ago(hours=2)), ("s", "e", 0, 50001, None)],
         "schema_name string, table_name string, n_live long, n_dead long, last_autovacuum timestamp_ntz",
     )
-    got = {r.table_name: (r.recommendation, r.dead_pct) for r in rows.vacuum_recommendation(vac, NOW).collect()}
+    got = {r.table_name: (r.recommendation, r.dead_pct) for r in rows.vacuum_recommendation(vac.withColumns(where), NOW).collect()}
     assert set(got) == {"b", "c", "d", "e"}
     assert got["b"][0] == "AUTOVACUUM NEEDED" and got["c"][0] == "OK" and got["d"][0] == "MANUAL VACUUM RECOMMENDED"
     assert got["e"] == ("MANUAL VACUUM RECOMMENDED", 0.0)
