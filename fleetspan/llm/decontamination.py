@@ -4,6 +4,9 @@ The benchmark's windows of ``width`` consecutive words form a hash set. Every wi
 document is hashed, looked up, and a hit is confirmed on the words themselves. The set is
 broadcast when its measured size allows it; the lookup then runs inside the scan and nothing
 but hits leaves it. A larger set is joined by shuffle, with the same result.
+
+A text is cut into pieces of a fixed number of words that overlap by a window, so that the words
+beside a window's hash are never more than a piece and the work grows with a text's length.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ from fleetspan.session import ensure_checkpoint_dir
 
 WIDTH = 10
 _GAP = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"  # between words of a text in its own case
+PIECE_WORDS = 256
 _HEAD = 0  # the hash under which each document finds its own head row
 
 
@@ -51,21 +55,27 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_b
             F.array().cast("array<int>").alias("hit_words"), F.array().cast("array<string>").alias("hit_items"),
         ).distinct()
     texts = texts.withColumn("n", F.size("words"))
-    hashes = F.concat(F.array(F.lit(_HEAD).cast("long")), *[windows_of(F.col("words"), s) for s in spans])
-    rows = texts.select("doc_id", "text_key", "n", "words", F.posexplode(hashes).alias("at", "hash"))
-    start = F.col("at") - 1 - _before(spans)
-    same = F.array_join(F.slice("words", start + 1, F.greatest("span", F.lit(1))), " ") == F.col("window")
+    starts = F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(PIECE_WORDS))
+    pieces = F.transform(starts, lambda i: F.slice("words", i + 1, PIECE_WORDS + max(spans) - 1))
+    pieces = texts.select("doc_id", "text_key", "n", F.posexplode(pieces).alias("piece", "words"))
+    lead = F.when(F.col("piece") == 0, F.array(F.lit(_HEAD).cast("long"))).otherwise(F.array().cast("array<long>"))
+    hashes = F.concat(lead, *[F.slice(windows_of(F.col("words"), s), 1, PIECE_WORDS) for s in spans])
+    rows = pieces.select("doc_id", "text_key", "n", "piece", "words", F.posexplode(hashes).alias("at", "hash"))
+    first = F.when(F.col("piece") == 0, 1).otherwise(0)
+    local = F.col("at") - first - _before(spans)
+    start = F.col("piece") * PIECE_WORDS + local
+    same = F.array_join(F.slice("words", local + 1, F.greatest("span", F.lit(1))), " ") == F.col("window")
     heads = docs.sparkSession.range(1).select(
         F.lit(_HEAD).cast("long").alias("hash"), F.lit("").alias("window"), F.lit(0).alias("span"), F.array().cast("array<string>").alias("items")
     )
     if small_enough(windows, F.length("window") + F.length(F.concat_ws(",", "items")), broadcast_bytes):
         found = rows.join(F.broadcast(windows.unionByName(heads)), "hash")
-        found = found.where(F.when(F.col("span") == 0, F.col("at") == 0).otherwise((F.col("at") > 0) & same))
+        found = found.where(F.when(F.col("span") == 0, (F.col("at") == 0) & (F.col("piece") == 0)).otherwise((F.col("at") >= first) & same))
         found = found.select("doc_id", "text_key", "n", "span", start.alias("start"), "items")
     else:
-        near = rows.where("at > 0").select("doc_id", "text_key", "at", "hash").join(windows, "hash")
-        back = texts.distinct().withColumnsRenamed({"doc_id": "d", "text_key": "k"})
-        near = near.join(back, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k"))).where(same)
+        near = rows.where(F.col("at") >= first).select("doc_id", "text_key", "piece", "at", "hash").join(windows, "hash")
+        back = pieces.distinct().withColumnsRenamed({"doc_id": "d", "text_key": "k", "piece": "p"})
+        near = near.join(back, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")) & (F.col("piece") == F.col("p"))).where(same)
         near = near.select("doc_id", "text_key", "n", "span", start.alias("start"), "items")
         found = near.unionByName(
             texts.select("doc_id", "text_key", "n", F.lit(0).alias("span"), F.lit(0).alias("start"), F.array().cast("array<string>").alias("items"))
@@ -85,12 +95,12 @@ def find_hits(docs: DataFrame, items: DataFrame, width: int = WIDTH, broadcast_b
 
 
 def _before(spans: list[int]) -> Column:
-    """How many hashes of shorter windows stand before those of this span."""
+    """How many hashes of shorter windows stand before those of this span in a piece."""
     count = F.lit(0)
     out = F.lit(0)
     for s in spans:
         out = F.when(F.col("span") == s, count).otherwise(out)
-        count = count + F.greatest(F.col("n") - s + 1, F.lit(0))
+        count = count + F.least(F.greatest(F.size("words") - s + 1, F.lit(0)), F.lit(PIECE_WORDS))
     return out
 
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,40 @@ def test_contaminated_documents_and_spans_go(spark):
     assert texts == {1: "Keep this, And that.", 2: "clean text", 3: None, None: "", 4: "clean text"}
 
 
+@pytest.mark.parametrize("limit", [1 << 26, 0])
+def test_contamination_of_a_very_long_text(spark, limit):
+    """Windows on both sides of every piece boundary, in time that grows with the length."""
+    words = [f"w{i % 9973}x{i % 13}" for i in range(300_000)]
+    item = "one two three four five six seven eight nine ten eleven"
+    spots = [0, 250, 256 - 11, 256 - 5, 1024, 120_000, len(words) - 11]
+    for at in spots:
+        words[at : at + 11] = item.split()
+    covered = sorted({p for at in spots for p in range(at, at + 11) if words[at : at + 11] == item.split()} | {p for p in range(256 - 11, 256 + 6)})
+    table = spark.createDataFrame([("a", item), ("b", "nine ten eleven"), ("c", words[200_000])], "item_id string, text string")
+    start = time.perf_counter()
+    got = {r.doc_id: r for r in decontamination.find_hits(documents(spark, [(1, " ".join(words)), (2, None), (3, "one two")]), table, broadcast_bytes=limit).collect()}
+    assert time.perf_counter() - start < 90
+    text = words
+    want = set()
+    for span, needles in ((10, [item.split()[i : i + 10] for i in range(2)]), (3, [["nine", "ten", "eleven"]]), (1, [[words[200_000]]])):
+        heads = {n[0] for n in needles}
+        want |= {p for i, w in enumerate(text) if w in heads and text[i : i + span] in needles for p in range(i, i + span)}
+    assert got[1].hit_words == sorted(want) and set(covered) & want
+    assert got[1].n_words == 300_000 and got[1].hit_items == ["a", "b", "c"]
+    assert (got[2].n_words, got[2].hit_words, got[3].n_words, got[3].hit_words) == (0, [], 2, [])
+
+
+def test_license_in_a_very_long_text(spark):
+    words = [f"w{i % 9973}x{i % 13}" for i in range(300_000)]
+    notice = licenses.TEMPLATES[0][1].split()
+    words[290_001 : 290_001 + len(notice)] = notice
+    start = time.perf_counter()
+    got = licenses.scan_licenses(documents(spark, [(1, " ".join(words)), (2, "short")]), licenses.default_templates(spark)).collect()
+    assert time.perf_counter() - start < 90
+    assert [(r.doc_id, r.license_id, r.containment) for r in got] == [(1, licenses.TEMPLATES[0][0], 1.0)]
+    assert 290_001 - 2 * len(notice) < got[0].first_word <= 290_001
+
+
 def test_empty_tables(spark):
     none, some = documents(spark, []), documents(spark, dirty("a b c"))
     items = items_table(spark, [])
