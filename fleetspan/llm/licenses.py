@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetspan.llm.common import BROADCAST_BYTES, alnum_words, literal_rows, small_enough, windows_of
+from fleetspan.session import ensure_checkpoint_dir
 
 SHINGLE = 5
 CONTAINMENT = 0.8
@@ -76,6 +77,7 @@ def scan_licenses(
     put together under the id; a null doc_id is an id like any other. Templates with fewer words
     than a shingle cannot be told from chance and are refused. Other columns are not read.
     """
+    ensure_checkpoint_dir(docs.sparkSession)
     known = templates.select("license_id", alnum_words(F.col("text")).alias("words")).distinct()
     short = [r["license_id"] for r in known.where(F.size("words") < shingle).select("license_id").limit(5).collect()]
     if short:
@@ -88,17 +90,20 @@ def scan_licenses(
     if small_enough(known, F.length(F.concat_ws(" ", "theirs")) * bands, broadcast_bytes):
         grams, sides = F.broadcast(grams), F.broadcast(sides)
 
+    # The lookup carries no words: where windows begin is told by place, and the words are cut out of the texts that have any.
     texts = docs.select("doc_id", F.xxhash64("text").alias("text_key"), alnum_words(F.col("text")).alias("words"))
-    rows = texts.select("doc_id", "text_key", "words", F.posexplode(windows_of(F.col("words"), shingle)).alias("at", "hash"))
+    rows = texts.select("doc_id", "text_key", F.size("words").alias("size"), F.posexplode(windows_of(F.col("words"), shingle)).alias("at", "hash"))
     block = F.floor(F.col("at") / F.col("n")).cast("int")
-    windows = rows.join(grams, "hash").select(
-        "doc_id", "text_key", "words", "at", "n", F.explode(F.array(block - 1, block)).alias("block")
-    )
-    windows = windows.where((F.col("block") >= 0) & (F.col("at") + shingle <= (F.col("block") + 2) * F.col("n")))
-    first = F.col("block") * F.col("n")
-    windows = windows.select(
-        "doc_id", "text_key", "n", first.alias("first_word"), F.array_join(F.slice("words", first + 1, F.col("n") * 2), " ").alias("window")
-    ).distinct()
+    places = rows.join(grams, "hash").select("doc_id", "text_key", "at", "n", F.explode(F.array(block - 1, block)).alias("block"))
+    places = places.where((F.col("block") >= 0) & (F.col("at") + shingle <= (F.col("block") + 2) * F.col("n")))
+    places = places.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("n", (F.col("block") * F.col("n")).alias("first_word"))).alias("places")).checkpoint()
+    if small_enough(places, F.size("places") * 8, broadcast_bytes):
+        places = F.broadcast(places)
+    places = places.withColumnsRenamed({"doc_id": "d", "text_key": "k"})
+    found = docs.select("doc_id", "text").join(places, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")))
+    found = found.select("doc_id", F.col("k").alias("text_key"), alnum_words(F.col("text")).alias("words"), "places")
+    cut = F.transform("places", lambda p: F.struct(p["n"].alias("n"), p["first_word"].alias("first_word"), F.array_join(F.slice("words", p["first_word"] + 1, p["n"] * 2), " ").alias("window")))
+    windows = found.select("doc_id", "text_key", F.explode(cut).alias("w")).select("doc_id", "text_key", "w.n", "w.first_word", "w.window").distinct()
 
     signed = windows.withColumn("ours", _shingles(F.split("window", " "), shingle))
     signed = signed.select("doc_id", "text_key", "n", "first_word", "ours", F.explode(_bands(F.col("ours"), bands)).alias("b"))
