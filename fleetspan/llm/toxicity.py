@@ -22,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import alnum_words
+from fleetspan.llm.common import alnum_words, small_enough
 from fleetspan.session import ensure_checkpoint_dir
 
 FIT_ROWS = 20_000  # labelled rows, by hash of their id, that the lexicon and the model are fitted on
 LEAST_DOCS = 3  # toxic documents that must hold a term
 LEAST_LIFT = 5.0  # times as frequent in toxic documents as in others
-MOST_TERMS = 2_000  # terms in a lexicon, the most telling first
+LEAST_PLACES = 5  # words after which a term must have been seen, so that a copied passage makes no terms
+MOST_TERMS = 2_000  # the size of a lexicon, the most telling terms first
 STEMS = (4, 5, 6, 7)  # letters of the stems that are tried
 WINDOW = 8  # words on either side of a hit
 FOLDS, HELD_OUT = 5, 0
@@ -213,12 +214,14 @@ def learn_terms(texts: DataFrame) -> dict[str, float]:
 
     lift = (a / bad) / ((b + 0.5) / good)
     told = counts.withColumn("g", 2 * (part(a, bad) + part(b, good))).where((lift >= LEAST_LIFT) & (F.col("g") >= 2 * log(vocabulary) + 14))
-    candidates = told.orderBy(F.desc("g"), F.col("word").endswith("*"), F.desc(F.length("word")), "word").limit(MOST_TERMS).select("word", "a", "b", "g")
+    told = told.select("word", "a", "b", "g").checkpoint()
     before = kept.where("toxic = 1").select(
         F.explode(F.transform("words", lambda w, i: F.struct(F.array(w).alias("one"), F.when(i > 0, F.get("words", i - 1)).alias("prev")))).alias("x")
     ).select(F.explode(_entries(F.col("x.one"))).alias("word"), "x.prev")
-    varied = before.join(F.broadcast(candidates), "word").groupBy("word", "a", "b", "g").agg(F.countDistinct("prev").alias("places"))
-    rows = varied.where(F.col("places") >= F.greatest(F.lit(LEAST_DOCS), a * 0.3)).collect()  # at most MOST_TERMS
+    before = before.join(F.broadcast(told) if small_enough(told, F.length("word")) else told, "word").select("word", "a", "b", "g", "prev").distinct()
+    varied = before.groupBy("word", "a", "b", "g").agg(F.count("prev").alias("places")).where(F.col("places") >= F.least(F.lit(LEAST_PLACES), a))
+    order = [F.desc("g"), F.col("word").endswith("*"), F.desc(F.length("word")), "word"]
+    rows = varied.orderBy(*order).limit(MOST_TERMS).collect()  # the lexicon
     terms: dict[str, float] = {}
     for r in sorted(rows, key=lambda r: (-r["g"], r["word"].endswith("*"), -len(r["word"]), r["word"])):
         bare = r["word"].removesuffix("*")
