@@ -46,3 +46,22 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> Da
     """A few constant rows as a plan without Python."""
     structs = [F.struct(*[F.lit(v).alias(n) for n, v in zip(names, row, strict=True)]) for row in rows]
     return spark.range(1).select(F.inline(F.array(*structs)))
+
+
+ROWS_PER_TASK = 100_000  # of narrow rows: ids, keys, counts
+
+
+def narrow(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of at most ``rows`` rows, in no more partitions than they ask for.
+
+    What comes out of a shuffle has as many partitions as the session sets for large tables. A small
+    table that goes on like this makes that many files in every later shuffle and checkpoint.
+    """
+    return df.coalesce(max(1, -(-rows // ROWS_PER_TASK)))
+
+
+def packed(df: DataFrame) -> tuple[DataFrame, int]:
+    """``df`` cut with ``checkpoint()``, in as many partitions as its rows ask for, and their number."""
+    done = df.checkpoint()
+    n = done.count()
+    return narrow(done, n), n

@@ -6,8 +6,9 @@
    set key and only the one with the smallest id goes on.
 2. Bands of the signature are buckets. The smallest id of a bucket is its centre, and every other
    member gets one candidate edge to it: a bucket of n texts makes n - 1 pairs, not n * n / 2.
-3. A pair is confirmed on the full shingle sets: texts travel to their centre in bounded, salted
-   portions and are compared there one after the other.
+3. A pair is confirmed on the full shingle sets. Centres are dealt to blocks of about ``BLOCK``, and the
+   text of a member travels once to each block in which it has centres, in bounded, salted portions, and
+   is compared there with all of them. So a member that is near to many centres is few rows.
 4. A star can miss a link between two members that are both too far from the centre, or reach one
    of them only. So after components are formed, each bucket that still holds more than one
    component gets further stars, around members outside its largest component, until each of those
@@ -16,6 +17,8 @@
    deviations of the threshold become candidates for step 3, each in the first bucket that it shares.
    The first rounds try few centres, as each star joins components and leaves fewer members to try. Nothing is
    capped: members that do not fit one round's number of centres are centres of the next.
+   The members of open buckets are one table that carries its components along and shrinks from round to
+   round; a round's tables have as many partitions as their rows ask for, not as the session sets for large ones.
 
 With 40 bands of 6 rows two texts of similarity 0.85 share no bucket with probability
 (1 - 0.85^6)^40 < 1e-8, of similarity 0.8 with 6e-6.
@@ -31,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetspan.llm.common import small_enough
+from fleetspan.llm.common import narrow, packed, small_enough
 from fleetspan.llm.components import connected_components
 from fleetspan.session import ensure_checkpoint_dir
 
 BANDS = 40
 ROWS = 6
-PORTION = 256  # members compared with one copy of their centre's text
+BLOCK = 256  # centres whose texts are together in a task
+PORTION = 1024  # members compared with one copy of a block's centres
 CENTRES = (1, 4, 16, 64, 256)  # further centres per bucket, by round; the last number for all later ones
 SIGNED_PORTION = 4096  # signatures compared with one copy of a bucket's centres
 DEVIATIONS = 5.0
@@ -117,42 +121,78 @@ def sign(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Of ``pairs`` (centre, member) those whose shingle sets have 100 * common >= percent * all."""
-    sizes = pairs.groupBy("centre").agg(F.ceil(F.count("*") / PORTION).alias("portions"))
-    members = pairs.join(sizes, "centre").select(
-        F.col("member").alias("id"), "centre", F.pmod(F.xxhash64("member"), F.col("portions")).alias("portion"), F.lit(1).alias("role")
+def in_blocks(centres: DataFrame, n: int) -> DataFrame:
+    """``centres`` (id), at most ``n``, as distinct (id, block): dealt by hash to blocks of about ``BLOCK``."""
+    ids = narrow(centres.distinct(), n).checkpoint()
+    return ids.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-ids.count() // BLOCK) or 1)))
+
+
+def by_block(pairs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """``pairs`` (centre, member) as ``confirm`` takes them, each end a component of its own."""
+    pairs, n = packed(pairs)
+    centres = in_blocks(pairs.select(F.col("centre").alias("id")), n)
+    blocked = pairs.join(centres.withColumnRenamed("id", "centre"), "centre")
+    # A member's centres in one block: about BLOCK at most.
+    lists = blocked.groupBy("block", F.col("member").alias("id")).agg(F.collect_list("centre").alias("centres"))
+    return narrow(lists.select("block", "id", F.col("id").alias("id_in"), "centres", F.col("centres").alias("centres_in")), n), centres, n
+
+
+def confirm(lists: DataFrame, centres: DataFrame, n: int, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The components (a, b) that links join, of a member and its candidate centres.
+
+    ``lists``, at most ``n`` rows: block, id, id_in (its component), centres, centres_in (theirs). ``centres``:
+    block, id of all centres in the lists. A link is
+    100 * common >= percent * all of the shingle sets. A member that is linked with one centre of a component
+    is not compared with others of it.
+    """
+    members = lists.checkpoint()
+    sizes = members.groupBy("block").agg(F.ceil(F.count("*") / PORTION).alias("portions"))
+    if small_enough(sizes, F.lit(0)):
+        sizes = F.broadcast(sizes)
+    none = F.array().cast("array<bigint>")
+    centres = centres.join(sizes, "block").select(
+        "id", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"),
+        F.col("id").alias("id_in"), none.alias("centres"), none.alias("centres_in"),
     )
-    centres = sizes.select(F.col("centre").alias("id"), "centre", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"))
-    wanted = members.unionByName(centres).checkpoint()
+    members = members.join(sizes, "block").select(
+        "id", "block", F.pmod(F.xxhash64("id"), F.col("portions")).alias("portion"), F.lit(1).alias("role"), "id_in", "centres", "centres_in"
+    )
+    wanted = narrow(members.unionByName(centres), 2 * n).checkpoint()
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    ids = wanted.select("id").distinct()
+    ids = narrow(wanted.select("id").distinct(), 2 * n)
     if small_enough(ids, F.lit(0)):  # then only the texts that are needed are shuffled
         texts = texts.join(F.broadcast(ids), "id", "left_semi")
     there = wanted.join(texts, "id")
-    there = there.repartition("centre", "portion").sortWithinPartitions("centre", "portion", "role")
+    there = there.repartition("block", "portion").sortWithinPartitions("block", "portion", "role")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, sets = None, []
+        place, sets = None, {}
         for batch in batches:
             out_a, out_b = [], []
-            for i, centre, portion, role, text in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
+            for i, block, portion, role, id_in, centres, centres_in, text in zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True):
+                if place != (block, portion):
+                    place, sets = (block, portion), {}
                 ours = shingle_set(text, width)
                 if role == 0:  # an id on several rows may have several texts; any of them may link
-                    place, sets = (place, [*sets, ours]) if place == (centre, portion) else ((centre, portion), [ours])
+                    sets.setdefault(i, []).append(ours)
                     continue
-                for theirs in sets if place == (centre, portion) else []:
-                    small, large = sorted((ours.size, theirs.size))
-                    if 100 * small < percent * large:
-                        continue
-                    common = np.intersect1d(ours, theirs, assume_unique=True).size
-                    if common and 100 * common >= percent * (ours.size + theirs.size - common):
-                        out_a.append(centre)
-                        out_b.append(i)
-                        break
+                done = set()
+                for centre, centre_in in zip(centres, centres_in, strict=True):
+                    if centre_in not in done and any(_linked(ours, theirs, percent) for theirs in sets.get(centre, ())):
+                        done.add(centre_in)
+                        out_a.append(centre_in)
+                        out_b.append(id_in)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
-    return there.select("id", "centre", "portion", "role", "text").mapInArrow(run, "a long, b long")
+    return there.select("id", "block", "portion", "role", "id_in", "centres", "centres_in", "text").mapInArrow(run, "a long, b long")
+
+
+def _linked(ours: np.ndarray, theirs: np.ndarray, percent: int) -> bool:
+    small, large = sorted((ours.size, theirs.size))
+    if 100 * small < percent * large:
+        return False
+    common = np.intersect1d(ours, theirs, assume_unique=True).size
+    return bool(common) and 100 * common >= percent * (ours.size + theirs.size - common)
 
 
 def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -176,7 +216,7 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int = BAND
         shared = F.broadcast(shared)
     members = members.join(shared, "key").select("band", "key", "doc_id", "centre").checkpoint()
     pairs = members.where("doc_id <> centre").select("centre", F.col("doc_id").alias("member")).distinct()
-    edges = confirm(pairs, docs, width, percent)
+    edges = confirm(*by_block(pairs), docs, width, percent)
     # An id on several rows is one node, whatever sets its texts have.
     several = able.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     edges = edges.unionByName(able.join(several, "doc_id").join(sets, "set_key").select(F.col("rep").alias("a"), F.col("doc_id").alias("b")))
@@ -190,56 +230,79 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int = BAND
 
 def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """``groups`` after stars from members outside a bucket's largest component, until no bucket has one to try."""
-    tried = members.select("key", F.col("centre").alias("doc_id")).distinct()
-    turn = 0
-    while True:
-        named = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(
-            "band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component")
-        )
-        parts = named.groupBy("key", "component").agg(F.count("*").alias("n"))
-        buckets = parts.groupBy("key").agg(
-            F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("components")
+    names = groups.withColumnsRenamed({"node": "doc_id"})
+    open_, n = packed(
+        members.join(names, "doc_id", "left").select(
+            "band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"), (F.col("doc_id") == F.col("centre")).alias("tried")
         )
+    )
+    signatures, _ = packed(signatures.join(_light(open_.select("doc_id").distinct()), "doc_id", "left_semi"))
+    moves: list[DataFrame] = []  # component -> into, one table per round
+    turn = 0
+    while n:
+        # Buckets that hold several components, the largest of each, and its members that have not been centres yet.
+        parts = narrow(open_.groupBy("key", "component").agg(F.count("*").alias("n")), n)
+        buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("components"))
         buckets = buckets.where("components > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / SIGNED_PORTION).alias("portions"))
-        left = named.join(buckets, "key").checkpoint()
-        fresh = left.where("component <> main").join(tried, ["key", "doc_id"], "left_anti")
+        left = narrow(open_.join(_light(narrow(buckets, n)), "key"), n).checkpoint()
         # Up to CENTRES per bucket and round, one per hash slot, found by aggregation and not by sorting the bucket.
         slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
-        picked = fresh.groupBy("band", "key", "portions", slot.alias("slot")).agg(F.min(F.struct("doc_id", "component")).alias("c"))
-        picked = picked.select("band", "key", "portions", "c.doc_id", "c.component").checkpoint()
+        fresh = left.where("component <> main AND NOT tried")
+        picked = narrow(fresh.groupBy("key", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")), n)
+        picked = narrow(picked.groupBy("key").agg(F.collect_list("doc_id").alias("centres")), n).checkpoint()  # CENTRES at most
         if picked.isEmpty():
-            return groups
-        tried = tried.unionByName(picked.select("key", "doc_id")).checkpoint()
-        open_ = left.join(picked.select("key").distinct(), "key", "left_semi")
+            break
+        # Buckets without a member to try are done: two components that further stars would join are joined elsewhere or not at all.
+        open_, n = packed(left.join(_light(picked), "key"))
+        chosen = F.array_contains("centres", F.col("doc_id"))
         rows = open_.select("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("portions")).alias("portion"), F.lit(1).alias("role"), "doc_id", "component")
-        rows = rows.unionByName(
-            picked.select("band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "doc_id", "component")
-        )
-        signed = rows.join(signatures, "doc_id").withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
-        pairs = alike(signed, percent).distinct()
-        more = confirm(pairs, docs, width, percent)
-        # Components that a new link joins become one; the rest of the graph is not touched again.
-        name = lambda end: groups.select(F.col("node").alias(end), F.col("component").alias(f"{end}_in"))
-        more = more.join(name("a"), "a", "left").join(name("b"), "b", "left").select(
-            F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b")
-        )
-        joined = connected_components(more).select(F.col("node").alias("component"), F.col("component").alias("into"))
-        moved = groups.join(joined, "component", "left").select("node", F.coalesce("into", "component").alias("component"))
-        alone = joined.select(F.col("component").alias("node"), F.col("into").alias("component")).join(groups.select("node"), "node", "left_anti")
-        groups = moved.unionByName(alone).checkpoint()
+        rows = rows.unionByName(open_.where(chosen).select(
+            "band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "doc_id", "component"
+        ))
+        ids = narrow(open_.select("doc_id").distinct(), n)
+        signed = narrow(rows.join(signatures.join(_light(ids), "doc_id", "left_semi"), "doc_id"), 2 * n).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
+        blocks = in_blocks(picked.select(F.explode("centres").alias("id")), n)
+        lists, found = packed(alike(signed.join(_light(blocks).withColumnRenamed("id", "doc_id"), "doc_id", "left"), percent))
+        open_ = open_.select("band", "key", "doc_id", "component", (F.col("tried") | chosen).alias("tried"))
         turn += 1
+        if not found:
+            continue
+        # Components that a new link joins become one; the rest of the graph is not touched again.
+        more, linked = packed(confirm(lists, blocks, found, docs, width, percent))
+        if not linked:
+            continue
+        into, joined = packed(connected_components(more, linked))
+        if joined:
+            moves.append(into.select(F.col("node").alias("component"), F.col("component").alias("into")))
+            open_ = _moved(open_, moves[-1]).checkpoint()
+    named = members.select("doc_id").distinct().join(names, "doc_id", "full").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
+    for into in moves:
+        named = _moved(named, into)
+    return named.select(F.col("doc_id").alias("node"), "component")
+
+
+def _light(df: DataFrame) -> DataFrame:
+    """``df`` for a join: broadcast if its measured size allows, else as it is."""
+    return F.broadcast(df) if small_enough(df, F.lit(64)) else df
+
+
+def _moved(rows: DataFrame, into: DataFrame) -> DataFrame:
+    """``rows`` with the component that theirs became a part of."""
+    columns = rows.columns
+    return rows.join(_light(into), "component", "left").withColumn("component", F.coalesce("into", "component")).select(columns)
 
 
 def alike(rows: DataFrame, percent: int) -> DataFrame:
-    """(centre, member) of the same key and portion, in different components, whose signatures may belong to a link.
+    """The members and their centres of the same key and portion, in different components, whose signatures may belong to a link.
 
-    ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, band, marks, earlier (whole
-    keys of the bands before this one). A bin agrees by chance with probability 1/256, which only adds
+    One row per member and block of its centres, as ``confirm`` takes them: block, id, id_in, centres,
+    centres_in. ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, band, marks, earlier (whole
+    keys of the bands before this one), block (of a centre). A bin agrees by chance with probability 1/256, which only adds
     candidates, as marks do not tell which buckets are shared. Signatures of small sets have fewer
     independent bins; the margin widens with it. A pair counts in the first band whose whole keys agree: if
     that bucket holds one component only, so are the two in one.
     """
-    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "band", "marks", "earlier")
+    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "band", F.coalesce("block", F.lit(0).cast("long")).alias("block"), "marks", "earlier")
     rows = rows.repartition("key", "portion").sortWithinPartitions("key", "band", "portion", "role")
 
     deviation = percent / 100 * (1 - percent / 100)
@@ -247,36 +310,40 @@ def alike(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, centres, table = None, [], None
         for batch in batches:
-            key, portion, role, doc, comp, size, band = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(7))
-            marks = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            keys, ends = batch.column(8).values.to_numpy(), batch.column(8).offsets.to_numpy()
+            key, portion, role, doc, comp, size, band, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
+            marks = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keys, ends = batch.column(9).values.to_numpy(), batch.column(9).offsets.to_numpy()
             cuts = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (portion[1:] != portion[:-1]) | (role[1:] != role[:-1])) + 1
-            out_a, out_b = [], []
+            out: list[tuple] = []
             for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
                 here = (key[at], band[at], portion[at])
                 earlier = keys[ends[at] : ends[end]].reshape(end - at, band[at])
                 if here != place:
                     place, centres, table = here, [], None
                 if role[at] == 0:
-                    centres.append((doc[at:end], comp[at:end], size[at:end], marks[at:end].copy(), earlier.copy()))
+                    centres.append((doc[at:end], comp[at:end], size[at:end], block[at:end], marks[at:end].copy(), earlier.copy()))
                     table = None
                     continue
                 if table is None:
                     table = [np.concatenate(c) for c in zip(*centres, strict=True)] if centres else ()
                 if not table:
                     continue
-                names, comps, sizes, theirs, theirs_earlier = table
+                names, comps, sizes, places, theirs, theirs_earlier = table
                 for i in range(at, end):
                     equal = theirs == marks[i]
                     spread = DEVIATIONS * np.sqrt(deviation / np.minimum(np.minimum(sizes, size[i]), marks.shape[1]))
                     hit = np.flatnonzero((comps != comp[i]) & (equal.mean(axis=1) >= percent / 100 - spread))
                     if hit.size:
                         hit = hit[~(theirs_earlier[hit] == earlier[i - at]).any(axis=1)]
-                        out_a += names[hit].tolist()
-                        out_b += [doc[i]] * len(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["centre", "member"])
+                        for number in np.unique(places[hit]).tolist():
+                            some = hit[places[hit] == number]
+                            out.append((number, int(doc[i]), int(comp[i]), names[some], comps[some]))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(),) * 3 + (pa.list_(pa.int64()),) * 2)],
+                names=["block", "id", "id_in", "centres", "centres_in"],
+            )
 
-    return rows.mapInArrow(run, "centre long, member long")
+    return rows.mapInArrow(run, "block long, id long, id_in long, centres array<long>, centres_in array<long>")
 
 
 def first_of_each_group(docs: DataFrame, width: int, percent: int) -> DataFrame:
