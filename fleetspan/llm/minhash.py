@@ -12,9 +12,10 @@
 4. A star can miss a link between two members that are both too far from the centre, or reach one
    of them only. So after components are formed, each bucket that still holds more than one
    component gets further stars, around members outside its largest component, until each of those
-   has been a centre or the bucket is one component. Here members meet their centres as signatures,
-   in salted portions, and only pairs whose estimated similarity comes within five standard
-   deviations of the threshold become candidates for step 3, each in the first bucket that it shares.
+   has been a centre or the bucket is one component. The centres of a group are dealt to blocks, and a
+   member travels once to each block that has centres of its buckets, first as a signature, in salted portions.
+   Only pairs that share a bucket and whose estimated similarity comes within five standard deviations of the
+   threshold become candidates for step 3, in the same block.
    The first rounds try few centres, as each star joins components and leaves fewer members to try. Nothing is
    capped: members that do not fit one round's number of centres are centres of the next.
    The members of open buckets are one table that carries its components along and shrinks from round to
@@ -42,8 +43,8 @@ BANDS = 40
 ROWS = 6
 BLOCK = 256  # centres whose texts are together in a task
 PORTION = 1024  # members compared with one copy of a block's centres
-CENTRES = (1, 4, 16, 64, 256)  # further centres per bucket, by round; the last number for all later ones
-SIGNED_PORTION = 4096  # signatures compared with one copy of a bucket's centres
+CENTRES = (4, 64, 4096)  # further centres per bucket, by round; the last number for all later ones
+SIGNED_PORTION = 4096  # signatures compared with one copy of a block's centres
 DEVIATIONS = 5.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -127,6 +128,18 @@ def in_blocks(centres: DataFrame, n: int) -> DataFrame:
     return ids.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(-(-ids.count() // BLOCK) or 1)))
 
 
+def in_blocks_by_home(centres: DataFrame, n: int) -> DataFrame:
+    """``centres`` (id, home), at most ``n``, as distinct (id, block): the centres of each home, dealt by hash to blocks of about ``BLOCK``.
+
+    A home is the largest component of a bucket, which the buckets of one group of near copies have in common. So the
+    centres that a member meets are in few blocks, however many centres other groups have.
+    """
+    homes = narrow(centres.groupBy("id").agg(F.min("home").alias("home")), n).checkpoint()
+    sizes = narrow(homes.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).alias("parts")), n)
+    # Two homes of one hash would be one larger block, and nothing else.
+    return homes.join(_light(sizes), "home").select("id", F.xxhash64("home", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+
+
 def by_block(pairs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """``pairs`` (centre, member) as ``confirm`` takes them, each end a component of its own."""
     pairs, n = packed(pairs)
@@ -210,11 +223,11 @@ def near_duplicates(docs: DataFrame, width: int, percent: int, bands: int = BAND
     # Texts with the same set: the one with the smallest id stands for all.
     sets = able.groupBy("set_key").agg(F.min("doc_id").alias("rep")).checkpoint()
     reps = able.join(sets, "set_key").where("doc_id = rep").select("doc_id", "n_shingles", "keys", "marks")
-    members = reps.select("doc_id", F.posexplode("keys").alias("band", "key"))  # the band is mixed into its keys
+    members = reps.select("doc_id", F.explode("keys").alias("key"))  # the band is mixed into its keys
     shared = members.groupBy("key").agg(F.min("doc_id").alias("centre"), F.count("*").alias("n")).where("n > 1").checkpoint()
     if small_enough(shared, F.lit(0)):
         shared = F.broadcast(shared)
-    members = members.join(shared, "key").select("band", "key", "doc_id", "centre").checkpoint()
+    members = members.join(shared, "key").select("key", "doc_id", "centre").checkpoint()
     pairs = members.where("doc_id <> centre").select("centre", F.col("doc_id").alias("member")).distinct()
     edges = confirm(*by_block(pairs), docs, width, percent)
     # An id on several rows is one node, whatever sets its texts have.
@@ -233,7 +246,7 @@ def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame,
     names = groups.withColumnsRenamed({"node": "doc_id"})
     open_, n = packed(
         members.join(names, "doc_id", "left").select(
-            "band", "key", "doc_id", F.coalesce("component", "doc_id").alias("component"), (F.col("doc_id") == F.col("centre")).alias("tried")
+            "key", "doc_id", F.coalesce("component", "doc_id").alias("component"), (F.col("doc_id") == F.col("centre")).alias("tried")
         )
     )
     signatures, _ = packed(signatures.join(_light(open_.select("doc_id").distinct()), "doc_id", "left_semi"))
@@ -242,28 +255,29 @@ def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame,
     while n:
         # Buckets that hold several components, the largest of each, and its members that have not been centres yet.
         parts = narrow(open_.groupBy("key", "component").agg(F.count("*").alias("n")), n)
-        buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("components"))
-        buckets = buckets.where("components > 1").select("key", F.col("top.component").alias("main"), F.ceil(F.col("n") / SIGNED_PORTION).alias("portions"))
+        buckets = parts.groupBy("key").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("components"))
+        buckets = buckets.where("components > 1").select("key", F.col("top.component").alias("main"))
         left = narrow(open_.join(_light(narrow(buckets, n)), "key"), n).checkpoint()
         # Up to CENTRES per bucket and round, one per hash slot, found by aggregation and not by sorting the bucket.
         slot = F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.lit(CENTRES[min(turn, len(CENTRES) - 1)]))
         fresh = left.where("component <> main AND NOT tried")
-        picked = narrow(fresh.groupBy("key", slot.alias("slot")).agg(F.min("doc_id").alias("doc_id")), n)
-        picked = narrow(picked.groupBy("key").agg(F.collect_list("doc_id").alias("centres")), n).checkpoint()  # CENTRES at most
+        picked = narrow(fresh.groupBy("key", "main", slot.alias("slot")).agg(F.min("doc_id").alias("id")), n).checkpoint()
         if picked.isEmpty():
             break
+        blocks = in_blocks_by_home(picked.select("id", F.col("main").alias("home")), n).checkpoint()
+        # CENTRES at most, of one bucket.
+        here = picked.join(_light(blocks), "id").groupBy("key").agg(F.collect_list("id").alias("centres"), F.collect_set("block").alias("blocks"))
         # Buckets without a member to try are done: two components that further stars would join are joined elsewhere or not at all.
-        open_, n = packed(left.join(_light(picked), "key"))
-        chosen = F.array_contains("centres", F.col("doc_id"))
-        rows = open_.select("band", "key", F.pmod(F.xxhash64("doc_id"), F.col("portions")).alias("portion"), F.lit(1).alias("role"), "doc_id", "component")
-        rows = rows.unionByName(open_.where(chosen).select(
-            "band", "key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "doc_id", "component"
-        ))
-        ids = narrow(open_.select("doc_id").distinct(), n)
-        signed = narrow(rows.join(signatures.join(_light(ids), "doc_id", "left_semi"), "doc_id"), 2 * n).withColumn("earlier", F.slice("keys", F.lit(1), F.col("band")))
-        blocks = in_blocks(picked.select(F.explode("centres").alias("id")), n)
-        lists, found = packed(alike(signed.join(_light(blocks).withColumnRenamed("id", "doc_id"), "doc_id", "left"), percent))
-        open_ = open_.select("band", "key", "doc_id", "component", (F.col("tried") | chosen).alias("tried"))
+        here = narrow(here, n).checkpoint()
+        light = F.broadcast if small_enough(here, 8 * (F.size("centres") + F.size("blocks"))) else lambda df: df
+        tried = F.col("tried") | F.array_contains("centres", F.col("doc_id"))  # the list itself stays behind
+        open_, n = packed(left.join(light(here), "key").select("key", "doc_id", "component", tried.alias("tried"), "blocks"))
+        # A member of many buckets goes to each block once; they are no more than its buckets have centres.
+        goes = open_.groupBy("doc_id").agg(F.min("component").alias("component"), F.array_distinct(F.flatten(F.collect_list("blocks"))).alias("blocks"))
+        goes = narrow(goes, n).select("doc_id", "component", F.explode("blocks").alias("block"))
+        centres = blocks.join(_light(narrow(picked.groupBy("id").agg(F.collect_set("key").alias("now")), n)), "id")
+        lists, found = packed(alike(goes, centres, signatures, n, percent))
+        open_ = open_.drop("blocks")
         turn += 1
         if not found:
             continue
@@ -276,8 +290,12 @@ def _further_stars(members: DataFrame, signatures: DataFrame, groups: DataFrame,
             moves.append(into.select(F.col("node").alias("component"), F.col("component").alias("into")))
             open_ = _moved(open_, moves[-1]).checkpoint()
     named = members.select("doc_id").distinct().join(names, "doc_id", "full").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    for into in moves:
-        named = _moved(named, into)
+    if moves:
+        all_moves = moves[0]  # a component is in a later round only if it was not moved into another before
+        for into in moves[1:]:
+            later = into.select(F.col("component").alias("into"), F.col("into").alias("last"))
+            all_moves = all_moves.join(later, "into", "left").select("component", F.coalesce("last", "into").alias("into")).unionByName(into).distinct()
+        named = _moved(named, all_moves)
     return named.select(F.col("doc_id").alias("node"), "component")
 
 
@@ -292,52 +310,59 @@ def _moved(rows: DataFrame, into: DataFrame) -> DataFrame:
     return rows.join(_light(into), "component", "left").withColumn("component", F.coalesce("into", "component")).select(columns)
 
 
-def alike(rows: DataFrame, percent: int) -> DataFrame:
-    """The members and their centres of the same key and portion, in different components, whose signatures may belong to a link.
+def alike(goes: DataFrame, centres: DataFrame, signatures: DataFrame, n: int, percent: int) -> DataFrame:
+    """The members and their centres of the same block, in different components, that share a band and whose signatures may belong to a link.
 
-    One row per member and block of its centres, as ``confirm`` takes them: block, id, id_in, centres,
-    centres_in. ``rows``: key, portion, role (0: centre), doc_id, component, n_shingles, band, marks, earlier (whole
-    keys of the bands before this one), block (of a centre). A bin agrees by chance with probability 1/256, which only adds
-    candidates, as marks do not tell which buckets are shared. Signatures of small sets have fewer
-    independent bins; the margin widens with it. A pair counts in the first band whose whole keys agree: if
-    that bucket holds one component only, so are the two in one.
+    One row per member and block, as ``confirm`` takes them: block, id, id_in, centres, centres_in. ``goes``: doc_id,
+    component, block. ``centres``: id, block, now (the buckets it is a centre of). ``signatures``: doc_id, n_shingles, marks, keys.
+    A bin agrees by chance with probability 1/256, which only adds candidates, as marks do not tell which buckets
+    are shared. Signatures of small sets have fewer independent bins; the margin widens with it. A pair counts
+    in the first band whose whole keys agree, when that bucket has the centre: if it holds one component only, so are
+    the two in one.
     """
-    rows = rows.select("key", "portion", "role", "doc_id", "component", "n_shingles", "band", F.coalesce("block", F.lit(0).cast("long")).alias("block"), "marks", "earlier")
-    rows = rows.repartition("key", "portion").sortWithinPartitions("key", "band", "portion", "role")
+    goes, several = packed(goes)
+    portions = narrow(goes.groupBy("block").agg(F.ceil(F.count("*") / SIGNED_PORTION).alias("portions")), n)
+    rows = goes.join(_light(portions), "block").select("doc_id", "component", "block", F.pmod(F.xxhash64("doc_id"), F.col("portions")).alias("portion"), F.lit(1).alias("role"), F.array().cast("array<bigint>").alias("now"))
+    names = narrow(goes.select("doc_id", "component").distinct(), several)
+    centres = centres.withColumnRenamed("id", "doc_id").join(_light(names), "doc_id").join(_light(portions), "block").select(
+        "doc_id", "component", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1)).alias("portion"), F.lit(0).alias("role"), "now"
+    )
+    needed = signatures.join(_light(names.select("doc_id")), "doc_id", "left_semi")
+    rows = narrow(rows.unionByName(centres).join(needed, "doc_id"), 2 * several)
+    rows = rows.select("block", "portion", "role", "doc_id", "component", "n_shingles", "marks", "keys", "now")
+    rows = rows.repartition("block", "portion").sortWithinPartitions("block", "portion", "role")
 
     deviation = percent / 100 * (1 - percent / 100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         place, centres, table = None, [], None
         for batch in batches:
-            key, portion, role, doc, comp, size, band, block = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(8))
-            marks = np.frombuffer(b"".join(batch.column(8).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            keys, ends = batch.column(9).values.to_numpy(), batch.column(9).offsets.to_numpy()
-            cuts = np.flatnonzero((key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (portion[1:] != portion[:-1]) | (role[1:] != role[:-1])) + 1
+            block, portion, role, doc, comp, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+            marks = np.frombuffer(b"".join(batch.column(6).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            keys = batch.column(7).flatten().to_numpy().reshape(batch.num_rows, -1)
+            cuts = np.flatnonzero((block[1:] != block[:-1]) | (portion[1:] != portion[:-1]) | (role[1:] != role[:-1])) + 1
             out: list[tuple] = []
             for at, end in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
-                here = (key[at], band[at], portion[at])
-                earlier = keys[ends[at] : ends[end]].reshape(end - at, band[at])
-                if here != place:
-                    place, centres, table = here, [], None
+                if (block[at], portion[at]) != place:
+                    place, centres, table = (block[at], portion[at]), [], None
                 if role[at] == 0:
-                    centres.append((doc[at:end], comp[at:end], size[at:end], block[at:end], marks[at:end].copy(), earlier.copy()))
+                    now = np.array([np.isin(keys[i], batch.column(8)[i].values.to_numpy()) for i in range(at, end)])
+                    centres.append((doc[at:end].copy(), comp[at:end].copy(), size[at:end].copy(), marks[at:end].copy(), keys[at:end].copy(), now))
                     table = None
                     continue
                 if table is None:
                     table = [np.concatenate(c) for c in zip(*centres, strict=True)] if centres else ()
                 if not table:
                     continue
-                names, comps, sizes, places, theirs, theirs_earlier = table
+                names, comps, sizes, theirs, theirs_keys, now = table
                 for i in range(at, end):
-                    equal = theirs == marks[i]
                     spread = DEVIATIONS * np.sqrt(deviation / np.minimum(np.minimum(sizes, size[i]), marks.shape[1]))
-                    hit = np.flatnonzero((comps != comp[i]) & (equal.mean(axis=1) >= percent / 100 - spread))
+                    hit = np.flatnonzero((comps != comp[i]) & ((theirs == marks[i]).mean(axis=1) >= percent / 100 - spread))
+                    if hit.size:
+                        same = theirs_keys[hit] == keys[i]
+                        hit = hit[same.any(axis=1) & now[hit, same.argmax(axis=1)]]
                     if hit.size:
-                        hit = hit[~(theirs_earlier[hit] == earlier[i - at]).any(axis=1)]
-                        for number in np.unique(places[hit]).tolist():
-                            some = hit[places[hit] == number]
-                            out.append((number, int(doc[i]), int(comp[i]), names[some], comps[some]))
+                        out.append((int(block[i]), int(doc[i]), int(comp[i]), names[hit], comps[hit]))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(),) * 3 + (pa.list_(pa.int64()),) * 2)],
                 names=["block", "id", "id_in", "centres", "centres_in"],

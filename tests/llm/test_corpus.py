@@ -104,6 +104,23 @@ def test_bytes_that_agree_by_chance_lose_no_link(spark, monkeypatch):
     assert rows_of(got, "doc_id", "component_id") == [(1, 1), (2, 2), (3, 2)]
 
 
+def test_a_member_goes_to_a_block_once(spark):
+    """However many buckets a member shares with the centres of a block, it is one row there, and each pair counts once."""
+    near, n = np.arange(20, dtype=np.uint8).tobytes(), 60
+    keys = [[1, 2, 3, 4, 5]] * 2 * n  # all in the same five buckets
+    signatures = spark.createDataFrame([(i, 100, near, keys[i]) for i in range(2 * n)], "doc_id long, n_shingles long, marks binary, keys array<long>")
+    homes = spark.createDataFrame([(i, 7) for i in range(n)] * 3 + [(1000 + i, 1000 + i) for i in range(900)], "id long, home long")
+    blocks = minhash.in_blocks_by_home(homes, 900 + n)
+    assert blocks.count() == blocks.select("id").distinct().count() == 900 + n
+    ours = blocks.where(f"id < {n}")
+    assert ours.select("block").distinct().count() == 1  # and not one per block of all centres
+    goes = spark.createDataFrame([(i, i) for i in range(2 * n)], "doc_id long, component long").join(ours.select("block").distinct())
+    for now, pairs in (([1, 2, 3, 4, 5], n * (2 * n - 1)), ([2], 0)):  # those that share bucket 1 first meet there
+        rows = minhash.alike(goes, ours.withColumn("now", F.lit(now).cast("array<long>")), signatures, 2 * n, 85).collect()
+        assert len(rows) == len({(r.block, r.id) for r in rows}) == (2 * n if pairs else 0)
+        assert sum(len(r.centres) for r in rows) == pairs and all(r.id not in r.centres for r in rows)
+
+
 def test_first_of_each_group(spark):
     rows = near_copies(2, groups=4, size=4) + [(700, None), (701, ""), (None, "x y z"), (702, "b b b"), (702, "a a a"), (702, "a a a")]
     docs = documents(spark, rows)
