@@ -515,32 +515,31 @@ def overlapping_indexes(index_columns: DataFrame, indexes: DataFrame, percent: i
     index has brings nobody together unless it is all they have. Sizes too far apart are ruled out before the columns
     are compared.
     """
-    members = column_sets(index_columns, indexes)
-    sets = members.where("index_id = set_id").select(*TABLE, "set_id", "column_set", "set_size", "set_kb")
-    tokens = sets.select(*TABLE, "set_id", F.explode("column_set").alias("column_name"))
+    ensure_checkpoint_dir(index_columns.sparkSession)
+    sets = column_sets(index_columns, indexes).where("index_id = set_id").select(*TABLE, "set_id", "index_name", "column_set", "set_size", "set_kb").checkpoint()
+    tokens = sets.select(*TABLE, "set_id", "column_set").distinct().select(*TABLE, "set_id", F.explode("column_set").alias("column_name"))
     column = [*TABLE, "column_name"]
     ranked = join_groups(tokens, tokens.groupBy(*column).agg(F.count("*").alias("used")), column)
     # The columns of one index are few, so the list is bounded.
     listed = ranked.groupBy(*TABLE, "set_id").agg(F.array_sort(F.collect_list(F.struct("used", "column_name"))).alias("rare_first"))
     length = F.size("rare_first")
     kept = length - F.ceil(length * percent / 100).cast("int") + 1
-    prefix = listed.join(sets, [*TABLE, "set_id"]).select(
-        *TABLE, "set_id", "column_set", F.explode(F.slice("rare_first", F.lit(1), kept)).alias("token")
-    ).select(*TABLE, F.col("token.column_name").alias("column_name"), "set_id", "column_set")
-    one = prefix.withColumnsRenamed({"set_id": "set1_id", "column_set": "set1"})
-    two = prefix.withColumnsRenamed({"set_id": "set2_id", "column_set": "set2"})
+    rare = listed.select(*TABLE, "set_id", F.slice("rare_first", F.lit(1), kept)["column_name"].alias("rare"))
+    # Each side of a pair brings all that the result and the tests below need, so pairs are not joined again.
+    rare = sets.join(rare, [*TABLE, "set_id"]).checkpoint()
+    side = lambda n: rare.select(
+        *TABLE, F.explode("rare").alias("column_name"), F.col("set_id").alias(f"set{n}_id"), F.col("column_set").alias(f"set{n}"), F.col("rare").alias(f"rare{n}"),
+        F.col("index_name").alias(f"index{n}_name"), F.col("set_size").alias(f"set{n}_indexes"), F.col("set_kb").alias(f"set{n}_kb"),
+    )
     small, large = F.least(F.size("set1"), F.size("set2")), F.greatest(F.size("set1"), F.size("set2"))
     shared = F.array_intersect("set1", "set2")
     both = F.size("set1") + F.size("set2") - F.size(shared)
-    pairs = one.join(two, column).where((F.col("set1_id") < F.col("set2_id")) & (small * 100 >= large * percent) & (F.size(shared) * 100 >= both * percent))
     # A pair meets on each rare column it shares; it counts on the first of them by name.
-    rare = lambda side: prefix.groupBy(*TABLE, "set_id").agg(F.collect_list("column_name").alias(f"rare{side}")).withColumnRenamed("set_id", f"set{side}_id")
-    pairs = pairs.join(rare(1), [*TABLE, "set1_id"]).join(rare(2), [*TABLE, "set2_id"])
-    pairs = pairs.where(F.col("column_name") == F.array_min(F.array_intersect("rare1", "rare2")))
-    side = lambda n: members.where("index_id = set_id").select(
-        *TABLE, F.col("set_id").alias(f"set{n}_id"), F.col("index_name").alias(f"index{n}_name"), F.col("set_size").alias(f"set{n}_indexes"), F.col("set_kb").alias(f"set{n}_kb")
+    first = F.col("column_name") == F.array_min(F.array_intersect("rare1", "rare2"))
+    pairs = side(1).join(side(2), column).where(
+        (F.col("set1_id") < F.col("set2_id")) & (small * 100 >= large * percent) & first & (F.size(shared) * 100 >= both * percent)
     )
-    return pairs.join(side(1), [*TABLE, "set1_id"]).join(side(2), [*TABLE, "set2_id"]).select(
+    return pairs.select(
         *TABLE,
         "index1_name",
         "index2_name",

@@ -236,6 +236,20 @@ def test_a_column_of_every_index_brings_no_one_together(spark):
     assert [(r.index1_name, r.index2_name, r.overlap_pct) for r in joins.overlapping_indexes(cols, catalog, 50).collect()] == [("ix7", "ix500", 75.0)]
 
 
+def test_pairs_of_overlapping_sets_are_joined_once(spark):
+    """The column sets are made once, and pairs are one join: not one more for each name, size and list of either side."""
+    cols, catalog = _indexes(spark, [("t", i, 0, 0, ["id", f"c{i % 9}", f"d{i % 7}"]) for i in range(1, 40)])
+    plan = joins.overlapping_indexes(cols, catalog)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 1 and "Aggregate" not in plan
+
+
+def test_overlapping_sets_of_a_repeated_catalog_row(spark):
+    cols, catalog = _indexes(spark, [("t", 1, 0, 0, ["a", "b"]), ("t", 2, 0, 0, ["a", "b", "c"])])
+    again = catalog.unionByName(catalog.where("index_id = 2").withColumn("index_name", F.lit("other")))
+    got = sorted((r.index1_name, r.index2_name, r.overlap_pct) for r in joins.overlapping_indexes(cols, again).collect())
+    assert got == [("ix1", "ix2", 66.67), ("ix1", "other", 66.67)]
+
+
 def test_duplicate_columns_against_pairs(spark):
     defs = [("t", 1, 0, 0, ["a", "b"]), ("t", 2, 0, 0, ["a", "c"]), ("t", 3, 1, 0, ["a", "b"]), ("t", 4, 0, 0, ["b"]), ("u", 5, 0, 0, ["a"])]
     cols, catalog = _indexes(spark, defs)
