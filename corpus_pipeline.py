@@ -16,33 +16,41 @@ from fleetspan.session import scratch_path
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
+# Of texts on their way to and from Python. An executor's JVM and Python workers live through all stages, and what
+# large batches once took of their memory they keep.
+BATCH_BYTES = 4 << 20
+
+
+def prepared(spark: SparkSession) -> SparkSession:
+    prepare(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents predicted toxic go; the model is learned from the labelled ones among ``docs``."""
-    return toxicity.acceptable(docs, table(prepare(spark), sf_dir, "labels"))
+    return toxicity.acceptable(docs, table(prepared(spark), sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays, the one with the smallest id."""
-    prepare(spark)
+    prepared(spark)
     return minhash.first_of_each_group(docs, SHINGLE_WORDS, SIMILAR_PERCENT)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    return decontamination.clean_documents(docs, table(prepare(spark), sf_dir, "benchmark"))
+    return decontamination.clean_documents(docs, table(prepared(spark), sf_dir, "benchmark"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced by their kind."""
-    prepare(spark)
+    prepared(spark)
     return secret_scan.redact_documents(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document: doc_id, size, source_size, target, taken (how many of its words the mix takes)."""
-    prepare(spark)
+    prepared(spark)
     return mixing.mixture(docs)
 
 
@@ -60,7 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``; the files of each stage stay in the shared folder."""
-    docs = table(prepare(spark), sf_dir, "documents")
+    docs = table(prepared(spark), sf_dir, "documents")
     for name, stage in STAGES:
         path = scratch_path(spark, f"pipeline-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)

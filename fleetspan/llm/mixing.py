@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from math import isqrt
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,6 +119,10 @@ def pack(sizes: DataFrame) -> DataFrame:
     return rows.select("doc_id", "source", "size", "slice", "row", (F.col("base") + F.col("upto") - F.col("size")).alias("offset"))
 
 
+def _batch(**columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns.values()], names=list(columns))
+
+
 def slots(spark: SparkSession, plan: Plan, seed: int = 0) -> DataFrame:
     """One row per output slot: shard, source_no (place in the plan), pass_no, block."""
     total = int(plan.quotas.sum())
@@ -133,14 +137,14 @@ def slots(spark: SparkSession, plan: Plan, seed: int = 0) -> DataFrame:
         wanted = min(SHARD_SLOTS, total - shard * SHARD_SLOTS)
         return np.random.Generator(np.random.PCG64(_seed(seed, "shard", shard))).multinomial(wanted, odds)
 
-    def counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard in frame["id"]:
-                drawn = draw(int(shard))
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard in batch.column("id").to_pylist():
+                drawn = draw(shard)
                 at = np.flatnonzero(drawn)
-                yield pd.DataFrame({"shard": shard, "source_no": at.astype(np.int32), "n": drawn[at]})
+                yield _batch(shard=np.full(at.size, shard, np.int64), source_no=at.astype(np.int32), n=drawn[at].astype(np.int64))
 
-    drawn = spark.range(shards).mapInPandas(counts, "shard long, source_no int, n long")
+    drawn = spark.range(shards).mapInArrow(counts, "shard long, source_no int, n long")
     before = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     drawn = drawn.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
     got = np.zeros(len(quotas), np.int64)
@@ -150,9 +154,9 @@ def slots(spark: SparkSession, plan: Plan, seed: int = 0) -> DataFrame:
     spare, lack = np.maximum(got - quotas, 0), np.maximum(quotas - got, 0)
     spare_from, lack_upto = np.cumsum(spare) - spare, np.cumsum(lack)
 
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for shard, no, n, first in zip(frame["shard"], frame["source_no"], frame["n"], frame["first"], strict=True):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for shard, no, n, first in zip(*(batch.column(c).to_pylist() for c in ("shard", "source_no", "n", "first")), strict=True):
                 k = np.arange(first, first + n)
                 own = k[k < quotas[no]]
                 moved = spare_from[no] + k[k >= quotas[no]] - quotas[no]
@@ -168,10 +172,10 @@ def slots(spark: SparkSession, plan: Plan, seed: int = 0) -> DataFrame:
                     for p in np.unique(turn):
                         here = turn == p
                         block[here] = permuted(index[here], int(blocks[source]), _seed(seed, "pass", source, int(p)))
-                    yield pd.DataFrame({"shard": shard, "source_no": np.int32(source), "pass_no": turn.astype(np.int32), "block": block})
+                    yield _batch(shard=np.full(len(at), shard, np.int64), source_no=np.full(len(at), source, np.int32), pass_no=turn.astype(np.int32), block=block.astype(np.int64))
 
     tasks = max(-(-shards // SHARDS_PER_TASK), min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    return drawn.repartition(tasks, "shard").mapInPandas(place, names)
+    return drawn.repartition(tasks, "shard").mapInArrow(place, names)
 
 
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, weights: tuple = WEIGHTS, share: float = 1.0, most: int = MOST_PASSES, seed: int = 0) -> tuple[DataFrame, DataFrame, Plan]:
